@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, sharding
+from . import fingerprints, mixing, sharding, simhash
 from .common import table
 
 QUERIES = {
     "op1_document_fingerprints": lambda spark, d: fingerprints.op1_query(table(spark, d, "documents")),
+    "op4_simhash": lambda spark, d: simhash.op4_query(table(spark, d, "documents")),
     "op5_sharding": lambda spark, d: sharding.op5_query(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7_query(table(spark, d, "documents")),
 }
