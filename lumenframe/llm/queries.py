@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, sharding, simhash
+from . import bpe, fingerprints, mixing, sharding, simhash
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": lambda spark, d: simhash.op4_query(table(spark, d, "documents")),
     "op5_sharding": lambda spark, d: sharding.op5_query(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7_query(table(spark, d, "documents")),
+    "op8_bpe": lambda spark, d: bpe.op8_query(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
