@@ -173,9 +173,8 @@ def trained(docs: DataFrame) -> tuple[list[str], Network | None]:
     return langs, net
 
 
-def identified(docs: DataFrame, model: tuple[list[str], Network | None] | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of `docs`, with `model` or one trained on `docs`."""
-    langs, net = model or trained(docs)
+def predictor(langs: list[str], net: Network | None):
+    """The function from texts to (languages, scores)."""
 
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -198,6 +197,13 @@ def identified(docs: DataFrame, model: tuple[list[str], Network | None] | None =
             begin = end
         return names, scores
 
+    return predict
+
+
+def identified(docs: DataFrame, model: tuple[list[str], Network | None] | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of each row of `docs`, with `model` or one trained on `docs`."""
+    predict = predictor(*(model or trained(docs)))
+
     def run(batches):
         for batch in batches:
             names, scores = predict(batch.column("text").to_pylist())
@@ -211,5 +217,17 @@ def identified(docs: DataFrame, model: tuple[list[str], Network | None] | None =
     return docs.select("doc_id", held_out, "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def filtered(docs: DataFrame, least: float, model: tuple[list[str], Network | None] | None = None) -> DataFrame:
+    """The rows of `docs` with a known language of probability `least` or more."""
+    predict = predictor(*(model or trained(docs)))
+
+    def run(batches):
+        for batch in batches:
+            names, scores = predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_query(docs: DataFrame) -> DataFrame:
     return identified(docs)

@@ -172,5 +172,21 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that a discriminant trained on them predicts as class 1.
+
+    Texts are read twice, once for the class moments and once for the scores, so
+    that no row has to be found again by its id.
+    """
+    model = trained(with_statistics(docs), labels)
+
+    def run(batches):
+        for batch in batches:
+            stats = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.scores(stats) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, labels)
