@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions import color, gamut
+from ..operators.adapters import rgba
+from ..operators.stats import pixel_stats
+from . import images, pixels  # noqa: F401  (they register their queries)
+from .base import QUERIES, SQL, rounded
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("x", "v"))
-    return px.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    """sRGB code values to linear light, to ACEScg, and the statistics of each image and channel."""
+    img = rgba(spark, sf_dir).apply(color.transfer("srgb", "decode")).apply(color.matrixed(gamut.rgb_to_rgb("srgb", "aces_ap1", "bradford")))
+    stats = pixel_stats(img, ("image_id", "channel"))
+    return rounded(stats, ["image_id", "channel", "nan_count", "inf_count", "finite_count"], ["min", "max", "avg", "stddev"])
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
