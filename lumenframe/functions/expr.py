@@ -1,7 +1,8 @@
 """Scalar expressions that Spark and ANSI SQL engines read alike.
 
-An `Ex` is the text of a scalar SQL expression in the common subset of Spark SQL
-and DuckDB (doubles are written as casts, so neither engine reads decimals).
+An `Ex` is the text of a scalar SQL expression, in the common subset of Spark SQL
+and DuckDB wherever there is one (doubles are written as casts, so neither
+engine reads decimals).
 `Ex.col` makes a Spark Column of it, which Catalyst optimises like any other, and
 the text itself serves as the mirror in another engine.
 """
@@ -13,70 +14,70 @@ from pyspark.sql import functions as F
 
 
 class Ex:
-    """A scalar expression."""
+    """A scalar expression; `spark` differs from `sql` only where the two dialects do."""
 
-    __slots__ = ("sql",)
+    __slots__ = ("spark", "sql")
 
-    def __init__(self, sql: str):
-        self.sql = sql
+    def __init__(self, sql: str, spark: str | None = None):
+        self.sql, self.spark = sql, spark or sql
 
     @property
     def col(self) -> Column:
-        return F.expr(self.sql)
+        return F.expr(self.spark)
 
     def __add__(self, o):
-        return Ex(f"({self.sql} + {ex(o).sql})")
+        return joined("({} + {})", self, o)
 
     def __radd__(self, o):
         return ex(o) + self
 
     def __sub__(self, o):
-        return Ex(f"({self.sql} - {ex(o).sql})")
+        return joined("({} - {})", self, o)
 
     def __rsub__(self, o):
         return ex(o) - self
 
     def __mul__(self, o):
-        return Ex(f"({self.sql} * {ex(o).sql})")
+        return joined("({} * {})", self, o)
 
     def __rmul__(self, o):
         return ex(o) * self
 
     def __truediv__(self, o):
-        return Ex(f"({self.sql} / {ex(o).sql})")
+        return joined("({} / {})", self, o)
 
     def __rtruediv__(self, o):
         return ex(o) / self
 
     def __neg__(self):
-        return Ex(f"(- {self.sql})")
+        return joined("(- {})", self)
 
     def __pow__(self, o):
-        return Ex(f"pow({self.sql}, {ex(o).sql})")
+        return joined("pow({}, {})", self, o)
 
     def __lt__(self, o):
-        return Ex(f"({self.sql} < {ex(o).sql})")
+        return joined("({} < {})", self, o)
 
     def __le__(self, o):
-        return Ex(f"({self.sql} <= {ex(o).sql})")
+        return joined("({} <= {})", self, o)
 
     def __gt__(self, o):
-        return Ex(f"({self.sql} > {ex(o).sql})")
+        return joined("({} > {})", self, o)
 
     def __ge__(self, o):
-        return Ex(f"({self.sql} >= {ex(o).sql})")
+        return joined("({} >= {})", self, o)
 
     def eq(self, o):
-        return Ex(f"({self.sql} = {ex(o).sql})")
+        return joined("({} = {})", self, o)
 
     def __and__(self, o):
-        return Ex(f"({self.sql} AND {ex(o).sql})")
+        return joined("({} AND {})", self, o)
 
     def __or__(self, o):
-        return Ex(f"({self.sql} OR {ex(o).sql})")
+        return joined("({} OR {})", self, o)
 
     def cast(self, kind: str):
-        return Ex(f"CAST({self.sql} AS {kind})")
+        return joined(f"CAST({{}} AS {kind})", self)
 
 
 def ex(value) -> Ex:
@@ -92,9 +93,15 @@ def ex(value) -> Ex:
     return Ex(f"CAST({float(value)!r} AS DOUBLE)")
 
 
+def joined(template: str, *parts) -> Ex:
+    """`template` filled with the parts' texts, in each dialect."""
+    parts = [ex(p) for p in parts]
+    return Ex(template.format(*[p.sql for p in parts]), template.format(*[p.spark for p in parts]))
+
+
 def _call(name: str):
     def call(*args) -> Ex:
-        return Ex(f"{name}({', '.join(ex(a).sql for a in args)})")
+        return joined(f"{name}({', '.join(['{}'] * len(args))})", *args)
 
     call.__name__ = name
     return call
@@ -106,24 +113,36 @@ power = _call("pow")
 
 
 def floor(x) -> Ex:
-    return Ex(f"CAST(floor({ex(x).sql}) AS DOUBLE)")
+    return joined("CAST(floor({}) AS DOUBLE)", x)
 
 
 def integer(x) -> Ex:
     """The floor of `x` as an integer."""
-    return Ex(f"CAST(floor({ex(x).sql}) AS INT)")
+    return joined("CAST(floor({}) AS INT)", x)
 
 
 def rounded(x, digits: int = 6) -> Ex:
     """`x` rounded half away from zero; negative zero becomes zero."""
-    return Ex(f"(round({ex(x).sql}, {digits}) + CAST(0.0 AS DOUBLE))")
+    return joined(f"(round({{}}, {digits}) + CAST(0.0 AS DOUBLE))", x)
 
 
 def when(*pairs) -> Ex:
     """CASE: (condition, value) pairs and a last default."""
     *cases, default = pairs
-    arms = " ".join(f"WHEN {ex(c).sql} THEN {ex(v).sql}" for c, v in cases)
-    return Ex(f"CASE {arms} ELSE {ex(default).sql} END")
+    flat = [e for pair in cases for e in pair]
+    return joined(f"CASE {' '.join(['WHEN {} THEN {}'] * len(cases))} ELSE {{}} END", *flat, default)
+
+
+def numbers(values) -> Ex:
+    """A constant array of doubles."""
+    items = [ex(float(v)).sql for v in values]
+    return Ex(f"[{', '.join(items)}]", f"array({', '.join(items)})")
+
+
+def at(array, index) -> Ex:
+    """The element of an array at a place counted from 0."""
+    a, i = ex(array), ex(index)
+    return Ex(f"{a.sql}[({i.sql}) + 1]", f"get({a.spark}, {i.spark})")
 
 
 def clamp(x, low=0.0, high=1.0) -> Ex:

@@ -74,19 +74,22 @@ SAMPLES_SQL = """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / C
 
 
 def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items that share (order, line) as the samples of one deep pixel."""
+    """Line items that share (order, line) as the samples of one deep pixel.
+
+    The factors have many digits so that sums don't fall on the halves of a rounding.
+    """
     s = samples(spark, sf_dir)
     return s.select(
         F.col("l_orderkey").alias("y"),
         F.col("l_linenumber").alias("x"),
         F.col("g").alias("z"),
         F.col("g").alias("zback"),
-        (F.col("b") * 5.0).alias("a"),
-        F.col("r"),
-        (F.col("a") * 4.0).alias("g"),
-        F.lit(0.25).alias("b"),
+        (F.col("b") * 4.91275183917).alias("a"),
+        (F.col("r") * 0.97713459273).alias("r"),
+        (F.col("a") * 3.98312875413).alias("g"),
+        F.lit(0.25331947218).alias("b"),
     )
 
 
-DEEP_SQL = f"""SELECT l_orderkey AS y, l_linenumber AS x, g AS z, g AS zback, b * CAST(5.0 AS DOUBLE) AS a, r,
-  a * CAST(4.0 AS DOUBLE) AS g, CAST(0.25 AS DOUBLE) AS b FROM ({SAMPLES_SQL}) AS s"""
+DEEP_SQL = f"""SELECT l_orderkey AS y, l_linenumber AS x, g AS z, g AS zback, b * CAST(4.91275183917 AS DOUBLE) AS a,
+  r * CAST(0.97713459273 AS DOUBLE) AS r, a * CAST(3.98312875413 AS DOUBLE) AS g, CAST(0.25331947218 AS DOUBLE) AS b FROM ({SAMPLES_SQL}) AS s"""
