@@ -95,7 +95,7 @@ def _keys(fps: DataFrame, probe: bool) -> DataFrame:
 
 def _words(rest: Column, radius: Column) -> Column:
     """All 64-bit words within `radius` (1 or 2) bits of `rest`."""
-    one = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.shiftleft(F.lit(1).cast("bigint"), i))
+    one = F.array(*[F.lit((1 << i) if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)])
     near = F.concat(F.array(rest), F.transform(one, lambda b: rest.bitwiseXOR(b)))
     far = F.flatten(F.transform(near, lambda w: F.transform(one, lambda b: w.bitwiseXOR(b))))
     return F.when(radius == 1, near).otherwise(F.array_distinct(F.concat(near, far)))
