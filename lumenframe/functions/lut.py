@@ -139,10 +139,11 @@ class Lut3D:
 
     def frame(self, df: DataFrame, method: str = "trilinear") -> DataFrame:
         """`df` with its r, g and b looked up in Arrow batches; the cube is broadcast."""
-        held = df.sparkSession.sparkContext.broadcast(self)
+        # Broadcast values are pickled by reference to their class, so only plain values go there.
+        held = df.sparkSession.sparkContext.broadcast((self.cube, self.low, self.high))
 
         def run(batches):
-            cube = held.value
+            cube = Lut3D(*held.value)
             for batch in batches:
                 rgb = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in RGB], axis=1)
                 out = cube.apply(rgb, method)
