@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import color, gamut
 from ..operators.adapters import rgba
 from ..operators.stats import pixel_stats
-from . import colors, images, pixels, tables  # noqa: F401  (they register their queries)
+from . import colors, extras, images, pixels, tables  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL, rounded
 
 
