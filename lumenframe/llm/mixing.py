@@ -48,11 +48,10 @@ def with_rates(sizes: DataFrame, weights: dict[str, float] | None, power: float)
     else:
         given = sizes.sparkSession.createDataFrame(list(weights.items()) or [("", 0.0)], "source string, weight double")
         weighted = sizes.join(F.broadcast(given), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    total = weighted.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows"))
-    return weighted.crossJoin(F.broadcast(total)).select(
-        "source",
-        F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * F.col("rows") / F.col("n")).otherwise(0.0).alias("rate"),
-    )
+    total, rows = weighted.agg(F.sum("weight"), F.sum("n")).first()
+    if not total:
+        return weighted.select("source", F.lit(0.0).alias("rate"))
+    return weighted.select("source", (F.col("weight") / F.lit(float(total)) * F.lit(rows) / F.col("n")).alias("rate"))
 
 
 def inverted(mean: Column) -> Column:
