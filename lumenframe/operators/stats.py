@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .composite import paired
@@ -107,8 +107,9 @@ def histogram(img: Img, channel: str, bins: int, low: float, high: float) -> Dat
     counted = img.df.where(finite(channel)).groupBy(bin_of(F.col(channel), bins, low, high).alias("bin")).agg(F.count("*").alias("n"))
     every = img.df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return out.crossJoin(F.broadcast(total)).select("bin", "n", (F.col("n") / F.coalesce("total", F.lit(1))).alias("share"))
+    # As many rows as bins; pixels are counted before this.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return out.select("bin", "n", (F.col("n") / F.greatest(total, F.lit(1))).alias("share"))
 
 
 def range_check(img: Img, low, high) -> DataFrame:
