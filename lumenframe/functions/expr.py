@@ -187,7 +187,11 @@ class Op:
     def sql(self, source: str, keys: list[str]) -> str:
         """The same as a query over `source` (a table's name or a subquery)."""
         source = f"({source})" if source.lstrip().upper().startswith(("SELECT", "WITH")) else source
+        known = {"r", "g", "b", "a"}
         for i, step in enumerate(self.steps):
-            source = f"(SELECT *, {', '.join(f'{v.sql} AS {k}' for k, v in step.items())} FROM {source} AS s{i})"
+            again = ", ".join(f"{v.sql} AS {k}" for k, v in step.items() if k in known)
+            new = "".join(f", {v.sql} AS {k}" for k, v in step.items() if k not in known)
+            source = f"(SELECT *{f' REPLACE ({again})' if again else ''}{new} FROM {source} AS s{i})"
+            known |= set(step)
         outs = [*keys, *(f"{v.sql} AS {k}" for k, v in self.out.items())]
         return f"SELECT {', '.join(outs)} FROM {source} AS src"

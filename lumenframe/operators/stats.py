@@ -84,6 +84,12 @@ def constant_color(img: Img, threshold: float = 0.0) -> DataFrame:
     return img.df.groupBy("image_id").agg(*first, *ends).select("image_id", within.alias("constant"))
 
 
+def first_color(img: Img, threshold: float = 0.0) -> DataFrame:
+    """(image_id, channels): the colour of each image that is constant."""
+    first = [F.min_by(c, F.struct("y", "x")).alias(c) for c in img.channels]
+    return img.df.groupBy("image_id").agg(*first).join(constant_color(img, threshold).where("constant").drop("constant"), "image_id")
+
+
 def constant_channel(img: Img, channel: str, value: float, threshold: float = 0.0) -> DataFrame:
     return img.df.groupBy("image_id").agg(F.bool_and(F.abs(F.col(channel) - value) <= threshold).alias("constant"))
 
@@ -112,6 +118,12 @@ def histogram(img: Img, channel: str, bins: int, low: float, high: float) -> Dat
     return out.select("bin", "n", (F.col("n") / F.greatest(total, F.lit(1))).alias("share"))
 
 
+def histograms(img: Img, bins: int, low: float, high: float) -> DataFrame:
+    """(channel, bin, n) of all channels in one pass; empty bins have no row."""
+    v = F.col("value")
+    return long(img).where(finite(v)).groupBy("channel", bin_of(v, bins, low, high).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def range_check(img: Img, low, high) -> DataFrame:
     """(low, high, inside): pixels with a channel below its bound, else above it, else neither."""
     under, over = F.lit(False), F.lit(False)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frequency, repair
+from ..functions.expr import ex
+from ..operators import frequency, layers, repair, sampling, stats, texture
+from ..operators.adapters import RGBA_SQL, load
 from .base import GRAY_SQL, K, gray, register, rgba, rounded, table_query
 
 
@@ -24,8 +26,6 @@ def _frequency() -> None:
 
 
 def _repair() -> None:
-    from ..operators.adapters import RGBA_SQL
-
     holed = lambda s, d: rgba(s, d).select({c: F.when((F.col("x") + F.col("y")) % 5 == 0, 0.0).otherwise(F.col(c)) for c in ("r", "g", "b", "a")})
     register("re_push_pull", lambda s, d: rounded(repair.push_pull(holed(s, d)).df, K, ("r", "g", "b", "a")))
     table_query(
@@ -38,3 +38,45 @@ def _repair() -> None:
 
 _frequency()
 _repair()
+
+
+def _layers() -> None:
+    every = lambda s, d: layers.merged({"beauty": rgba(s, d), "id": rgba(s, d).select({"r": F.col("a")})})
+    table_query(
+        "la_list",
+        lambda s, d: layers.listed(every(s, d)),
+        f"SELECT l AS layer, count(*) AS pixels, count(DISTINCT image_id) AS images FROM ({RGBA_SQL}) AS p, (VALUES ('beauty'), ('id')) AS v(l) GROUP BY l",
+        ["layer", "pixels", "images"],
+    )
+    table_query("la_pick", lambda s, d: layers.picked(every(s, d), "id").select(*K, "r"), f"SELECT image_id, y, x, a AS r FROM ({RGBA_SQL}) AS p", K, ("r",))
+    bins = "CASE WHEN value <= 0 THEN 0 WHEN value >= 1 THEN 15 ELSE CAST(least(floor(value / CAST(1 AS DOUBLE) * 16), 15) AS INT) END"
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS channel, {c} AS value FROM ({RGBA_SQL}) AS c{c}" for c in "rgba")
+    table_query(
+        "st_histograms",
+        lambda s, d: stats.histograms(rgba(s, d), 16, 0.0, 1.0),
+        f"SELECT channel, {bins} AS bin, count(*) AS n FROM ({rows}) AS r0 GROUP BY 1, 2",
+        ["channel", "bin", "n"],
+    )
+
+
+def _textures() -> None:
+    looked = lambda s, d: load(s, d, "lineitem").select(
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("k"),
+        F.lit(0).cast("bigint").alias("image_id"), (F.col("l_quantity") / 50).alias("u"), (F.col("l_extendedprice") / 105000).alias("v"),
+        *[(F.col("l_tax") * f).alias(c) for c, f in (("dudx", 1.3), ("dvdx", 0.2), ("dudy", 0.1), ("dvdy", 0.9))],
+    ).withColumn("key", F.xxhash64("k")).drop("k")
+    register("tx_trilinear", lambda s, d: rounded(texture.trilinear(texture.levelled(looked(s, d), gray(s, d)), gray(s, d)), ["key"], ("v",)))
+    register("tx_anisotropic", lambda s, d: rounded(texture.anisotropic(looked(s, d), gray(s, d)), ["key"], ("v",)))
+    register("tx_volume", lambda s, d: rounded(texture.volume(looked(s, d).withColumn("t", F.col("dudx") * 5), gray(s, d), 10), ["key"], ("v",)))
+    level = sampling.mip_level(ex("r") * 64.0, ex("g") * 50.0, ex("b") * 64.0, ex("a") * 50.0, 7)
+    table_query(
+        "tx_level",
+        lambda s, d: rgba(s, d).df.select(*K, level.col.alias("level")),
+        f"SELECT image_id, y, x, {level.sql} AS level FROM ({RGBA_SQL}) AS p",
+        K,
+        ("level",),
+    )
+
+
+_layers()
+_textures()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions import color, gamut, transfer
+from ..functions import color, curves, gamut, transfer
 from ..functions.expr import Op, ex, least
 from .base import pixel_query
 
@@ -21,6 +21,38 @@ def _transfer_queries() -> None:
             pixel_query(f"tf_{name}_{direction}", Op({c: one(ex(c)) for c in ALL}), view="samples")
 
 
+def _curve_ops() -> dict[str, Op]:
+    s_shape = curves.fitted([(0.0, 0.0), (0.25, 0.15), (0.6, 0.7), (1.0, 1.0)])
+    lift = curves.fitted([(0.0, 0.05), (0.5, 0.5), (1.0, 0.9)])
+    zones = {
+        "blacks": curves.Zone((1.2, 1.0, 0.9, 1.1), 0.4, 0.4), "shadows": curves.Zone((0.8, 1.1, 1.0, 1.2), 0.5, 0.0),
+        "midtones": curves.Zone((1.3, 0.9, 1.0, 0.8), 0.4, 0.6), "highlights": curves.Zone((0.7, 1.2, 1.0, 1.1), 0.3, 1.0),
+        "whites": curves.Zone((1.2, 0.9, 1.0, 0.95), 0.4, 0.5),
+    }
+    hues = {
+        "hue_hue": curves.periodic([(0.0, 0.03), (0.33, 0.3), (0.66, 0.7)], climbs=True), "hue_sat": curves.periodic([(0.1, 1.2), (0.6, 0.8)]),
+        "hue_lum": curves.periodic([(0.2, 1.1), (0.7, 0.9)]), "sat_sat": curves.fitted([(0.0, 0.0), (0.5, 0.6), (1.0, 1.0)]),
+        "lum_sat": curves.fitted([(0.0, 0.8), (0.5, 1.0), (1.0, 1.2)]), "sat_lum": curves.fitted([(0.0, 1.0), (1.0, 1.1)]),
+        "lum_lum": curves.fitted([(0.0, 0.0), (0.5, 0.55), (1.0, 1.0)]), "hue_fx": curves.periodic([(0.0, 0.0), (0.5, 0.02)]),
+    }
+    odt = gamut.rgb_to_rgb("aces_ap1", "srgb", "bradford")
+    tone = color.tone_mapped()
+    shown = {c: transfer.encode("srgb", color.clamp(e)) for c, e in color.matrixed(odt).out.items() if c != "a"}
+    return {
+        "gr_rgb_curves": curves.rgb_curves(s_shape, None, lift, s_shape),
+        "gr_rgb_curves_inverse": curves.rgb_curves(s_shape, None, lift, s_shape, inverse=True),
+        "gr_tone_log": curves.tone("log", **zones, s_contrast=1.3),
+        "gr_tone_log_inverse": curves.tone("log", **zones, s_contrast=1.3, inverse=True),
+        "gr_tone_video_soft": curves.tone("video", midtones=zones["midtones"], s_contrast=0.7),
+        "gr_tone_linear": curves.tone("linear", midtones=curves.Zone((1.2, 1.0, 0.9, 1.1), 0.0, 5.0), highlights=curves.Zone((0.8, 1.0, 1.0, 1.0), -1.0, 4.0)),
+        "gr_hue_curves_log": curves.hue_curves("log", **hues),
+        "gr_hue_curves_vid": curves.hue_curves("vid", **hues),
+        "ff_gamma_log": color.each(curves.gamma_log()),
+        "ff_double_log": color.each(curves.double_log()),
+        "ac_rrt_odt": Op({**shown, "a": "a"}, {f"t_{c}": tone.out[c] for c in color.RGB}, {c: f"t_{c}" for c in color.RGB}),
+    }
+
+
 def _color_queries() -> None:
     ops = {
         "ar_add_const": color.with_constant("add", (0.1, 0.2, 0.3)),
@@ -95,6 +127,7 @@ def _color_queries() -> None:
         "st_maxchan": Op({"v": "greatest(r, g, b, a)"}),
         "st_minchan": Op({"v": "least(r, g, b, a)"}),
     }
+    ops |= _curve_ops()
     ops |= {f"co_map_{name}": color.color_mapped(name) for name in color.COLOR_MAPS}
     ops |= {f"ac_tone_{name}": color.tone_mapped(name) for name in color.TONE_PRESETS}
     shapes = {

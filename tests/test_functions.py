@@ -273,3 +273,87 @@ def test_plans(spark, sf_dir):
     assert "ReadSchema: struct<l_quantity" in only and "l_tax" not in only.split("ReadSchema")[1]
     assert plan(filters.box_blur(grid_image(spark), 3).df).count("Exchange hash") == 2
     assert plan(filters.median(grid_image(spark), 5).df).count("Exchange hash") == 2
+
+
+def test_slope_curves(spark):
+    from lumenframe.functions import curves
+
+    points = [(0.0, 0.0), (0.25, 0.15), (0.6, 0.7), (1.0, 1.0)]
+    curve = curves.fitted(points)
+    assert np.allclose([curve.at(x) for x, _ in points], [y for _, y in points])
+    grid = np.linspace(-0.2, 1.2, 57)
+    out = column(spark, grid, curve.forward)
+    assert np.allclose(out, [curve.at(v) for v in grid]) and (np.diff(out) > 0).all()
+    assert np.allclose(column(spark, out, curve.inverse), grid, atol=1e-9)
+    # The slope has no jumps.
+    fine = np.linspace(0, 1, 2001)
+    assert np.abs(np.diff([curve.at(v) for v in fine], 2)).max() < 1e-5
+    given = curves.fitted(points, [1.0, 0.5, 1.0, 0.25])
+    assert np.allclose([(given.at(x + 1e-7) - given.at(x - 1e-7)) / 2e-7 for x, _ in points[1:3]], [0.5, 1.0], atol=1e-4)
+    around = curves.periodic([(0.1, 1.2), (0.6, 0.8)])
+    assert around.at(0.0) == pytest.approx(around.at(1.0))
+
+
+@pytest.mark.parametrize("style", ["log", "video", "linear"])
+def test_tone_inverts(spark, style):
+    from lumenframe.functions import curves
+
+    rows = np.random.default_rng(8).random((40, 3)) * 0.9 + 0.02
+    one = (1.2, 0.9, 1.0, 0.85)
+    top, _, bottom, pivot = curves.TONE_STYLES[style]
+    size = top - bottom
+    zones = {
+        "blacks": curves.Zone(one, bottom + size * 0.4, size * 0.4), "shadows": curves.Zone(one, pivot + size * 0.1, bottom), "midtones": curves.Zone(one, pivot, size * 0.6),
+        "highlights": curves.Zone(one, pivot - size * 0.1, top), "whites": curves.Zone(one, bottom + size * 0.4, size * 0.5),
+    }
+    for chosen in [*({k: v} for k, v in zones.items()), zones]:
+        for contrast in (1.0, 1.4, 0.7):
+            pair = [curves.tone(style, **chosen, s_contrast=contrast, inverse=i) for i in (False, True)]
+            assert np.allclose(run(spark, rows, *pair), rows, atol=1e-6)
+    moved = run(spark, rows, curves.tone(style, **zones))
+    assert not np.allclose(moved, rows, atol=1e-3)
+    assert np.allclose(run(spark, rows, curves.tone(style)), rows, atol=1e-9)
+
+
+def test_rgb_and_hue_curves(spark):
+    from lumenframe.functions import curves
+
+    rows = np.random.default_rng(9).random((40, 3)) * 0.8 + 0.1
+    s = curves.fitted([(0.0, 0.0), (0.25, 0.15), (0.6, 0.7), (1.0, 1.0)])
+    assert np.allclose(run(spark, rows, curves.rgb_curves(s, None, s, s), curves.rgb_curves(s, None, s, s, inverse=True)), rows, atol=1e-9)
+    assert np.allclose(run(spark, rows, curves.hue_curves("log")), rows, atol=1e-6)
+    line = curves.fitted([(0.0, 0.0), (1.0, 1.0)])
+    flat = curves.periodic([(0.1, 1.0), (0.6, 1.0)])
+    turn = curves.periodic([(0.0, 0.0), (0.5, 0.5)], climbs=True)
+    same = curves.hue_curves("vid", hue_hue=turn, hue_sat=flat, hue_lum=flat, sat_sat=line, lum_lum=line)
+    assert np.allclose(run(spark, rows, same), rows, atol=1e-6)
+
+
+def test_textures(spark):
+    from lumenframe.operators import texture
+
+    img = grid_image(spark, 8, 8)
+    a = array(img)
+    look = spark.createDataFrame([(1, 0, 2.5 / 8, 3.5 / 8, 0.0), (2, 0, 1.0 / 8, 1.0 / 8, 0.0), (3, 0, 0.3, 0.7, 3.0), (4, 0, 2.5 / 8, 3.5 / 8, 0.5)], "key int, image_id bigint, u double, v double, level double")
+    got = {r.key: r.v for r in texture.trilinear(look, img).collect()}
+    half = a.reshape(4, 2, 4, 2).mean(axis=(1, 3))
+    assert got[1] == pytest.approx(a[3, 2]) and got[2] == pytest.approx(a[:2, :2].mean()) and got[3] == pytest.approx(a.mean())
+    x, y = 2.5 / 8 * 4 - 0.5, 3.5 / 8 * 4 - 0.5
+    i, j, fx, fy = int(x), int(y), x % 1, y % 1
+    coarse = (half[j : j + 2, i : i + 2] * np.outer([1 - fy, fy], [1 - fx, fx])).sum()
+    assert got[4] == pytest.approx((a[3, 2] + coarse) / 2)
+    d = look.selectExpr("key", "image_id", "u", "v", "0.5D AS dudx", "0.0D AS dvdx", "0.0D AS dudy", "0.125D AS dvdy")
+    assert texture.anisotropic(d, img).count() == 4
+
+
+def test_layers(spark):
+    from lumenframe.operators import layers
+
+    img = grid_image(spark, 3, 3, ("r", "g", "b", "a", "z"))
+    out = layers.color_only(img, color.tone_mapped())
+    assert out.channels == ("r", "g", "b", "a", "z")
+    assert out.df.select("z").exceptAll(img.df.select("z")).count() == 0
+    assert layers.groups(["R", "diff.R", "diff.G"]) == {"": ["R"], "diff": ["diff.R", "diff.G"]}
+    assert layers.kinds(["diff.R", "A", "Z", "id", "N.x"]) == {"diff.R": "color", "A": "alpha", "Z": "depth", "id": "id", "N.x": "other"}
+    with pytest.raises(ValueError):
+        layers.merged({"a": img, "b": grid_image(spark, 4, 3)})
