@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import aces2
+from ..functions.color import each as color_each
 from ..functions.expr import Op, ex
 from ..functions.lut import Lut1D, Lut3D
 from ..operators.adapters import load
@@ -70,5 +72,29 @@ def _catalog() -> None:
     table_query("oc_bake", bake, ir.as_sql(place.sql(at_sql, ["ri", "gi", "bi"]), baked, ["ri", "gi", "bi"]), ["ri", "gi", "bi"], RGBA)
 
 
+def _appearance() -> None:
+    pixel_query("ac2_jmh", aces2.rgb_to_jmh())
+    chain = lambda ops: [_Ready(op) for op in ops]
+    chain_query("ac2_jmh_there_and_back", chain([aces2.rgb_to_jmh(), aces2.jmh_to_rgb()]))
+    for peak in (100.0, 1000.0):
+        pixel_query(f"ac2_tonescale_{int(peak)}", color_each(aces2.ToneScale(peak).forward))
+    chain_query("ac2_tone_scaled", chain([aces2.rgb_to_jmh(), aces2.tone_scaled(), aces2.jmh_to_rgb()]))
+    image_query("ac2_output_rec709", lambda s, d: ir.applied(rgba(s, d), chain(aces2.output_transform())), None, RGBA)
+
+
+class _Ready:
+    """An operation as a transform of a chain."""
+
+    def __init__(self, op: Op):
+        self._op = op
+
+    def identity(self) -> bool:
+        return False
+
+    def op(self) -> Op:
+        return self._op
+
+
 _luts()
 _catalog()
+_appearance()

@@ -357,3 +357,21 @@ def test_layers(spark):
     assert layers.kinds(["diff.R", "A", "Z", "id", "N.x"]) == {"diff.R": "color", "A": "alpha", "Z": "depth", "id": "id", "N.x": "other"}
     with pytest.raises(ValueError):
         layers.merged({"a": img, "b": grid_image(spark, 4, 3)})
+
+
+def test_appearance_space(spark):
+    from lumenframe.functions import aces2
+
+    rows = np.random.default_rng(11).random((30, 3)) * 2
+    assert np.allclose(run(spark, rows, aces2.rgb_to_jmh(), aces2.jmh_to_rgb()), rows, atol=1e-7)
+    greys = np.array([[0.18] * 3, [1.0] * 3])
+    jmh = run(spark, greys, aces2.rgb_to_jmh())
+    assert np.allclose(jmh[:, 1], 0, atol=1e-6) and jmh[1, 0] == pytest.approx(100)
+    for peak, grey in ((100.0, 0.1), (1000.0, 0.145)):
+        curve = aces2.ToneScale(peak)
+        light = np.array([0.01, 0.18, 1.0, 8.0])
+        assert column(spark, [0.18], curve.forward)[0] == pytest.approx(grey, abs=6e-4)
+        assert np.allclose(column(spark, light, lambda v: curve.inverse(curve.forward(v))), light, rtol=1e-6)  # noqa: B023
+    shown = run(spark, [[3.0, 0.2, 0.1], [0.18] * 3, [0.01, 0.2, 2.0]], *aces2.output_transform())
+    assert shown.min() >= 0 and shown.max() <= 1
+    assert np.allclose(shown[1], 0.1, atol=1e-3)
