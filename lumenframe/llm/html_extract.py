@@ -56,7 +56,8 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""")
+_UNSHOWN = re.compile(r"""\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 
 
 class Block:
@@ -75,7 +76,7 @@ def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
         words = {w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
         if words & FURNITURE_WORDS and not (in_article and words & {"header"} and not words & (FURNITURE_WORDS - {"header"})):
             return True
-    return bool(_HIDDEN.search(re.sub(r'"[^"]*(?:href|src)[^"]*"', "", attrs))) if "hidden" in attrs or "none" in attrs else False
+    return bool(_UNSHOWN.search(attrs)) or ("hidden" in attrs and "hidden" in _QUOTED.sub("", attrs).lower().split())
 
 
 def blocks(page: str) -> list[Block]:

@@ -90,6 +90,11 @@ def test_html():
     assert html_extract.main_text("<p>a<br>b") == "a b"
 
 
+def test_html_hidden_blocks():
+    inside = '<article><p>Shown.</p><div hidden><p>Not shown</p></div><div style="display: none">Nor this</div><div class="overflow-hidden">But this.</div></article>'
+    assert html_extract.main_text(inside) == "Shown. But this."
+
+
 def test_html_without_an_article():
     long = "This is the text of a page that has no marks of its own, but it is long and it reads as the prose of a man does. " * 3
     page = f"<div><a href=1>one</a> <a href=2>two</a></div><div>{long}</div><div>Then.</div><div>{long}</div><div><a href=3>more links</a></div>"
