@@ -193,6 +193,23 @@ def rotate(img: Img, angle: float, kind: str = "bilinear") -> Img:
     return warp(img, rotation(angle, img.roi), "black", kind)
 
 
+def rotate_whole(img: Img, degrees: float, background=(0.0,)) -> Img:
+    """A turn whose result holds the whole image; what it doesn't cover takes a background colour."""
+    a, r = math.radians(degrees), img.roi
+    c, s = abs(math.cos(a)), abs(math.sin(a))
+    w, h = math.ceil(r.width * c + r.height * s - 1e-9), math.ceil(r.width * s + r.height * c - 1e-9)
+    turned = np.array([[math.cos(a), math.sin(a), 0], [-math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    to_middle, back = np.eye(3), np.eye(3)
+    to_middle[:2, 2], back[:2, 2] = (-(w - 1) / 2, -(h - 1) / 2), (r.x0 + (r.width - 1) / 2, r.y0 + (r.height - 1) / 2)
+    m = affine_map(back @ turned @ to_middle, "clamp")
+    eps = 1e-6
+    inside = (m.sx >= r.x0 - eps) & (m.sx <= r.x1 - 1 + eps) & (m.sy >= r.y0 - eps) & (m.sy <= r.y1 - 1 + eps)
+    marked = img.select({**{k: F.col(k) for k in img.channels}, "covered": F.lit(1.0)})
+    out = sampled(marked, Roi(0, w, 0, h), Map(m.sx, m.sy, "bilinear", "clamp", inside))
+    fill = [float(background[min(i, len(background) - 1)]) for i in range(len(img.channels))]
+    return out.select({k: F.when(F.col("covered") > 0, F.col(k)).otherwise(f) for k, f in zip(img.channels, fill, strict=True)})
+
+
 def st_map(roi: Roi, flip_s: bool = False, flip_t: bool = False, wrap: str = "black") -> Map:
     """Places named by channels s and t in [0, 1]."""
     s = ex(1.0) - "s" if flip_s else ex("s")

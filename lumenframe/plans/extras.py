@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import ex
-from ..operators import frequency, layers, repair, sampling, stats, texture
+from ..operators import filters, frequency, layers, repair, sampling, stats, texture, tiles
 from ..operators.adapters import RGBA_SQL, load
 from .base import GRAY_SQL, K, gray, register, rgba, rounded, table_query
 
@@ -78,5 +78,20 @@ def _textures() -> None:
     )
 
 
+def _tiles() -> None:
+    import numpy as np
+
+    gauss = filters.gaussian_weights(0.8)
+    from .images import _agg, _conv
+
+    table_query("fi_gauss_tiles", lambda s, d: tiles.gaussian(gray(s, d), 0.8, 16).df, _conv(np.outer(gauss, gauss)), K, ("v",))
+    table_query("fi_median_tiles", lambda s, d: tiles.median(gray(s, d), 3, 16).df, _agg(1, "list_sort(list(n))[5]"), K, ("v",))
+    table_query("ti_there_and_back", lambda s, d: tiles.from_tiles(tiles.to_tiles(gray(s, d), 16, 2), gray(s, d), 16).df, GRAY_SQL, K, ("v",))
+    for method in ("vng", "ahd"):
+        register(f"de_{method}", lambda s, d, m=method: rounded(tiles.demosaic(gray(s, d), "RGGB", m, 16).df, K, ("r", "g", "b")))
+    register("wa_rotate_whole", lambda s, d: rounded(sampling.rotate_whole(rgba(s, d), 30.0, (0.5,)).df, K, ("r", "g", "b", "a")))
+
+
 _layers()
 _textures()
+_tiles()

@@ -375,3 +375,40 @@ def test_appearance_space(spark):
     shown = run(spark, [[3.0, 0.2, 0.1], [0.18] * 3, [0.01, 0.2, 2.0]], *aces2.output_transform())
     assert shown.min() >= 0 and shown.max() <= 1
     assert np.allclose(shown[1], 0.1, atol=1e-3)
+
+
+@pytest.mark.parametrize("size", [4, 64])
+def test_tiles(spark, size):
+    from lumenframe.operators import tiles
+
+    img = grid_image(spark, 13, 11)
+    assert np.allclose(array(tiles.gaussian(img, 0.8, size)), array(filters.blur(img, 0.8)))
+    assert np.allclose(array(tiles.median(img, 5, size)), array(filters.median(img, 5)))
+    back = tiles.from_tiles(tiles.to_tiles(img, size, 2), img, size)
+    assert np.array_equal(array(back), array(img))
+
+
+@pytest.mark.parametrize("method", ["bilinear", "vng", "ahd"])
+def test_demosaic_of_smooth_colours(spark, method):
+    from lumenframe.operators import tiles
+
+    h, w = 12, 14
+    y, x = np.mgrid[:h, :w]
+    true = np.stack([0.2 + 0.02 * x, 0.5 + 0.01 * y, 0.8 - 0.02 * x], axis=-1)
+    rows = [(0, int(j), int(i), float(true[j, i, "RGB".index("RGGB"[(j % 2) * 2 + i % 2])])) for j in range(h) for i in range(w)]
+    img = image.Img(spark.createDataFrame(rows, "image_id bigint, y int, x int, v double"), image.Roi(0, w, 0, h), ("v",))
+    out = filters.demosaic(img) if method == "bilinear" else tiles.demosaic(img, "RGGB", method, 5)
+    for r in out.df.where("y BETWEEN 3 AND 8 AND x BETWEEN 3 AND 10").collect():
+        assert np.allclose([r.r, r.g, r.b], true[r.y, r.x], atol=0.02)
+
+
+def test_rotate_whole(spark):
+    from lumenframe.operators import sampling
+
+    img = grid_image(spark, 5, 8)
+    right = sampling.rotate_whole(img, -90.0)
+    a = array(img)
+    assert (right.roi.width, right.roi.height) == (5, 8)
+    assert np.allclose(array(right), np.rot90(a, 1)) or np.allclose(array(right), np.rot90(a, -1))
+    tilted = sampling.rotate_whole(img, 45.0, (0.25,))
+    assert array(tilted)[0, 0] == 0.25 and tilted.df.count() == tilted.roi.width * tilted.roi.height
