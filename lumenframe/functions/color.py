@@ -251,8 +251,8 @@ def exposure_contrast(style: str, exposure=0.0, contrast=1.0, gamma=1.0, pivot=0
 
 
 def grading_primary(style: str, brightness=(0, 0, 0), contrast=(1, 1, 1), gamma=(1, 1, 1), offset=(0, 0, 0), exposure=(0, 0, 0),
-                    lift=(0, 0, 0), gain=(1, 1, 1), saturation=1.0, pivot=None, black=0.0, white=1.0, low=None, high=None) -> Op:
-    """Primary grading in its log, linear or video style, then saturation and clamps."""
+                    lift=(0, 0, 0), gain=(1, 1, 1), saturation=1.0, pivot=None, black=0.0, white=1.0, low=None, high=None, inverse=False) -> Op:
+    """Primary grading in its log, linear or video style, then saturation and clamps; backwards with `inverse`."""
     pivot = pivot if pivot is not None else (-0.2 if style == "log" else 0.18)
     span = white - black
 
@@ -260,6 +260,8 @@ def grading_primary(style: str, brightness=(0, 0, 0), contrast=(1, 1, 1), gamma=
         t = (x - black) / span
         return power(absolute(t), 1 / g) * when((t < 0.0, -1.0), 1.0) * span + black if g != 1 else x
 
+    if inverse:
+        return _grading_primary_back(style, brightness, contrast, gamma, offset, exposure, lift, gain, saturation, pivot, black, white, low, high, gammaed)
     step = {}
     for i, c in enumerate(RGB):
         x = ex(c)
@@ -282,6 +284,30 @@ def grading_primary(style: str, brightness=(0, 0, 0), contrast=(1, 1, 1), gamma=
     return Op({**out, "a": "a"}, step, {"y0": luma("p_r", "p_g", "p_b")})
 
 
+def _grading_primary_back(style, brightness, contrast, gamma, offset, exposure, lift, gain, saturation, pivot, black, white, low, high, gammaed) -> Op:
+    span = white - black
+    bounded = {f"p_{c}": ex(c) for c in RGB}
+    if low is not None:
+        bounded = {k: greatest(e, low) for k, e in bounded.items()}
+    if high is not None:
+        bounded = {k: least(e, high) for k, e in bounded.items()}
+    spread = {f"q_{c}": ex("y0") + (ex(f"p_{c}") - "y0") / float(saturation) for c in RGB}
+    out = {}
+    for i, c in enumerate(RGB):
+        x = ex(f"q_{c}")
+        if style == "log":
+            at = 0.5 + pivot * 0.5
+            out[c] = (gammaed(x, 1 / gamma[i]) - at) / contrast[i] + at - brightness[i] * 6.25 / 1023.0
+        elif style == "linear":
+            at = 0.18 * 2.0**pivot
+            x = power(absolute(x / at), 1 / contrast[i]) * when((x < 0.0, -1.0), 1.0) * at
+            out[c] = x / 2.0 ** exposure[i] - offset[i]
+        else:
+            slope = span / (white / gain[i] + (lift[i] * (gain[i] - white) / gain[i]) - black) if gain[i] else 1.0
+            out[c] = (gammaed(x, 1 / gamma[i]) - black) / slope + black - (offset[i] + lift[i])
+    return Op({**out, "a": "a"}, bounded, {"y0": luma("p_r", "p_g", "p_b")}, spread)
+
+
 def dynamic_grade(exposure=0.0, contrast=1.0, gamma=1.0, saturation=1.0, pivot=0.18) -> Op:
     step = {f"p_{c}": power(greatest((ex(c) * 2.0**exposure - pivot) * contrast + pivot, 0.0), 1 / gamma) for c in RGB}
     return Op({**{c: ex("y0") + (ex(f"p_{c}") - "y0") * saturation for c in RGB}, "a": "a"}, step, {"y0": luma("p_r", "p_g", "p_b")})
@@ -466,11 +492,36 @@ def _hue_weight(inverse_width: float) -> tuple[Ex, Ex]:
     return knot, when(*inside, 0.0)
 
 
-def red_modified() -> Op:
-    """The red modifier, version 1.0."""
-    knot, weight = _hue_weight(1.6976527263135504)
-    red = when((ex("fh") > 0.0, ex("r") + ex("fh") * _sat_weight(1e-2) * (ex(0.03) - "r") * (1 - 0.82)), "r")
-    return Op({"r": red, "g": "g", "b": "b", "a": "a"}, {**_max_min(), "k0": knot}, {"fh": weight})
+#: Scale, inverse hue width of each version. Fixed values.
+RED_VERSIONS = {"1.0": (0.82, 1.6976527263135504), "0.3": (0.85, 1.9098593171027443)}
+
+
+def red_modified(version: str = "1.0", inverse: bool = False) -> Op:
+    """The red modifier: red is pulled to a pivot near the red hue. 0.3 keeps the hue by moving the middle channel too.
+
+    The inverse weighs the hue of the modified colour, as is usual, so it is near rather than exact.
+    """
+    scale, inverse_width = RED_VERSIONS[version]
+    cut, pivot = 1 - scale, 0.03
+    knot, weight = _hue_weight(inverse_width)
+    if inverse:
+        low = least("g", "b")
+        qa = ex("fh") * cut - 1.0
+        qb = ex("r") - ex("fh") * (low + pivot) * cut
+        qc = ex("fh") * low * (pivot * cut)
+        red = (-qb - sqrt(greatest(qb * qb - qa * qc * 4.0, 0.0))) / (qa * 2.0)
+    else:
+        red = ex("r") + ex("fh") * _sat_weight(1e-2) * (ex(pivot) - "r") * cut
+    first = (_max_min(), {"k0": knot}, {"fh": weight}, {"nr": when((ex("fh") > 0.0, red), "r")})
+    if version == "1.0":
+        return Op({"r": "nr", "g": "g", "b": "b", "a": "a"}, *first)
+
+    def kept(middle: str, low: str) -> Ex:
+        return (ex(middle) - low) / greatest(ex("r") - low, 1e-10) * (ex("nr") - low) + low
+
+    green = when(((ex("fh") > 0.0) & (ex("g") >= "b"), kept("g", "b")), "g")
+    blue = when(((ex("fh") > 0.0) & (ex("g") < "b"), kept("b", "g")), "b")
+    return Op({"r": "nr", "g": green, "b": blue, "a": "a"}, *first)
 
 
 def glowed(gain: float = 0.05, middle: float = 0.08, inverse: bool = False) -> Op:

@@ -302,6 +302,27 @@ def parse_m3d(text: str) -> Lut3D:
     return Lut3D(_cube_of(np.array([[float(v) for v in x[1:4]] for x in rows if len(x) >= 4]) / top, blue_first=True))
 
 
+def parse_hdl(text: str) -> Lut1D | Lut3D:
+    """.lut (Houdini): a one-dimensional table `RGB`, or a cube `3D`, between braces"""
+    low, high = map(float, re.search(r"From\s+(\S+)\s+(\S+)", text).groups())
+    kind = re.search(r"Type\s+(\S+)", text)[1].upper()
+    block = lambda name: [float(v) for v in re.search(rf"\b{name}\s*\{{([^}}]*)\}}", text)[1].split()]
+    if "3D" in kind:
+        values = np.array(block("3D")).reshape(-1, 3)
+        return Lut3D(_cube_of(values), (low,) * 3, (high,) * 3)
+    found = [c for c in ("R", "G", "B") if re.search(rf"\b{c}\s*\{{", text)]
+    return Lut1D(np.array([block(c) for c in found]).T if found else np.array(block("RGB"))[:, None], low, high)
+
+
+def parse_look(text: str) -> Lut3D:
+    """.look: an XML element LUT of a size and little-endian floats in hexadecimal, red fastest"""
+    root = ET.fromstring(text)
+    node = next(e for e in root.iter() if _tag(e) == "LUT")
+    n = int(next(e.text for e in node.iter() if _tag(e) == "size").strip("\"' "))
+    data = "".join(next(e.text for e in node.iter() if _tag(e) == "data").split()).replace('"', "")
+    return Lut3D(_cube_of(np.frombuffer(bytes.fromhex(data), "<f4").reshape(n**3, 3).astype(float)))
+
+
 def parse_spimtx(text: str) -> tuple[np.ndarray, np.ndarray]:
     """.spimtx: a 3 x 3 matrix and offsets in 16-bit units"""
     m = np.array([float(v) for v in text.split()]).reshape(3, 4)
@@ -316,6 +337,7 @@ def write_spimtx(m: np.ndarray, offset=(0, 0, 0)) -> str:
 FORMATS = {
     "cube": parse_cube, "spi1d": parse_spi1d, "spi3d": parse_spi3d, "3dl": parse_3dl, "csp": parse_csp, "itx": parse_itx, "vf": parse_vf,
     "cub": parse_truelight, "1dl": parse_1dl, "m3d": parse_m3d, "mga": parse_m3d, "spimtx": parse_spimtx,
+    "lut": parse_hdl, "look": parse_look,
 }
 
 

@@ -79,3 +79,30 @@ def flat_attributes(rows: DataFrame, key: str, document: str) -> DataFrame:
 def status_counts(results: DataFrame) -> DataFrame:
     """(status, n) of a batch's per-file results."""
     return results.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def as_xml(columns: list[str]) -> Column:
+    """Columns as one XML element."""
+    return F.to_xml(F.struct(*columns))
+
+
+def from_xml(document: Column, schema: str) -> Column:
+    return F.from_xml(document, schema)
+
+
+def udim_tiles(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(prefix, suffix, tile, u, v) of file names whose four-digit number is a tile from 1001 to 1999."""
+    tile = F.regexp_extract(path, r"(?<!\d)(1\d{3})(?!\d)\D*$", 1)
+    rows = paths.where(tile != "").withColumn("tile", tile.cast("int")).where("tile BETWEEN 1001 AND 1999")
+    u, v = udim_place(F.col("tile"))
+    return rows.select(
+        F.regexp_replace(path, r"1\d{3}\D*$", "").alias("prefix"), F.regexp_extract(path, r"1\d{3}(\D*)$", 1).alias("suffix"), "tile",
+        u.cast("int").alias("u"), v.cast("int").alias("v"),
+    )
+
+
+def atlas(tiles: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels (tile, y, x, ...) of tiles of one size as pixels of one image, v upwards."""
+    u, v = udim_place(F.col("tile"))
+    top = F.lit(9) - v
+    return tiles.withColumn("x", (F.col("x") + u * width).cast("int")).withColumn("y", (F.col("y") + top * height).cast("int")).drop("tile")

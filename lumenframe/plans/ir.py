@@ -163,7 +163,8 @@ FIXED = {
     "aces_gamut_comp_13": (color.gamut_compressed, lambda: color.gamut_compressed(True)),
     "aces_glow_10": (color.glowed, lambda: color.glowed(inverse=True)),
     "aces_glow_03": (lambda: color.glowed(0.075, 0.1), lambda: color.glowed(0.075, 0.1, True)),
-    "aces_red_mod_10": (color.red_modified, None),
+    "aces_red_mod_10": (color.red_modified, lambda: color.red_modified(inverse=True)),
+    "aces_red_mod_03": (lambda: color.red_modified("0.3"), lambda: color.red_modified("0.3", True)),
     "aces_dark_to_dim_10": (color.surround, lambda: color.surround(1 / color.DIM_GAMMA)),
 }
 
@@ -180,10 +181,7 @@ class Fixed:
         return False
 
     def op(self) -> Op:
-        make = FIXED[self.name][not self.forward]
-        if make is None:
-            raise ValueError(f"{self.name} has no inverse here")
-        return make()
+        return FIXED[self.name][not self.forward]()
 
 
 @dataclass(frozen=True, eq=False)

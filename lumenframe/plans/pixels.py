@@ -117,6 +117,11 @@ def _color_queries() -> None:
         "ff_gamut_compress": color.gamut_compressed(),
         "ff_gamut_uncompress": color.gamut_compressed(True),
         "ff_red_modifier": color.red_modified(),
+        "ff_red_modifier_03": color.red_modified("0.3"),
+        "ff_red_modifier_inverse": color.red_modified(inverse=True),
+        "gr_primary_log_inverse": color.grading_primary("log", brightness=(10, 0, -10), contrast=(1.2, 1.1, 1), gamma=(1.2, 1, 0.9), saturation=1.1, inverse=True),
+        "gr_primary_linear_inverse": color.grading_primary("linear", offset=(0.01, 0, -0.01), exposure=(0.3, 0, -0.2), contrast=(1.2, 1.1, 1.05), saturation=0.9, inverse=True),
+        "gr_primary_video_inverse": color.grading_primary("video", lift=(0.02, 0, 0.01), gain=(1.1, 1, 0.95), gamma=(1.2, 1.1, 0.9), offset=(0.01, 0, 0), inverse=True),
         "ff_glow": color.glowed(),
         "ff_glow_03": color.glowed(0.075, 0.1),
         "ff_glow_inverse": color.glowed(inverse=True),

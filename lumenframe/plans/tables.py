@@ -225,6 +225,24 @@ def _sequences() -> None:
         "SELECT name, count(*) AS n, count(DISTINCT value) AS values FROM (SELECT event_id, k AS name, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) AS e0) AS e1 GROUP BY name",
         ["name", "n", "values"],
     )
+    table_query(
+        "md_path",
+        lambda s, d: load(s, d, "events").select("event_id", sequences.attribute(F.col("props"), "k").alias("k"), sequences.attribute(F.col("props"), "k:none").alias("none")),
+        "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k.none') AS none FROM events",
+        ["event_id", "k", "none"],
+    )
+    table_query(
+        "md_xml",
+        lambda s, d: load(s, d, "nation").select(sequences.from_xml(sequences.as_xml(["n_nationkey", "n_name"]), "n_nationkey int, n_name string").alias("b")).select("b.*"),
+        "SELECT n_nationkey, n_name FROM nation",
+        ["n_nationkey", "n_name"],
+    )
+    table_query(
+        "sq_udim_files",
+        lambda s, d: sequences.udim_tiles(load(s, d, "supplier").select(F.concat(F.lit("tex/wood_v2."), F.col("s_suppkey") + 990, F.lit(".exr")).alias("path"))),
+        "SELECT 'tex/wood_v2.' AS prefix, '.exr' AS suffix, t AS tile, CAST((t - 1001) % 10 AS INT) AS u, CAST((t - 1001) // 10 AS INT) AS v FROM (SELECT CAST(s_suppkey + 990 AS INT) AS t FROM supplier) AS q WHERE t BETWEEN 1001 AND 1999",
+        ["prefix", "suffix", "tile", "u", "v"],
+    )
     table_query(
         "ba_status",
         lambda s, d: sequences.status_counts(load(s, d, "pages").select(F.when(F.col("html").contains("</html>"), "ok").otherwise("failed").alias("status"))),

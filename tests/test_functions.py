@@ -126,6 +126,41 @@ def test_table_formats():
     assert np.allclose(chain[0].m, np.diag([1.2, 1, 0.8])) and chain[1] == ir.Range(0, 1, 0, 1)
 
 
+def test_more_table_formats():
+    cube = lut.Lut3D(np.random.default_rng(4).random((3, 3, 3, 3)).astype(np.float32).astype(float))
+    red_fastest = cube.cube.transpose(2, 1, 0, 3).reshape(-1, 3)
+    numbers = "\n".join(" ".join(map(repr, map(float, r))) for r in red_fastest)
+    assert np.allclose(lut.parse(f"LUT_3D_SIZE 3\n{numbers}", "itx").cube, cube.cube)
+    assert np.allclose(lut.parse(f"Version 3\nType 3D\nFrom 0.0 1.0\nTo 0 1\nLength 3\nLUT:\n3D {{\n{numbers}\n}}", "lut").cube, cube.cube)
+    curve = lut.parse("Version 1\nType RGB\nFrom -1 2\nLength 3\nLUT:\nR { 0 0.25 1 }\nG { 0 0.5 1 }\nB { 0 0.75 1 }", "lut")
+    assert curve.tables.shape == (3, 3) and (curve.low, curve.high, curve.tables[1, 2]) == (-1, 2, 0.75)
+    data = red_fastest.astype("<f4").tobytes().hex()
+    assert np.allclose(lut.parse(f"<look><LUT><size>3</size><data>{data}</data></LUT></look>", "look").cube, cube.cube)
+    csp = f"CSPLUTV100\n3D\n\n2\n0 1\n0 1\n2\n0 1\n0 1\n2\n0 1\n0 1\n\n3 3 3\n{numbers}\n"
+    assert np.allclose(lut.parse(csp, "csp").cube, cube.cube)
+    blue_fastest = "\n".join(" ".join(map(repr, map(float, r))) for r in cube.cube.reshape(-1, 3))
+    assert np.allclose(lut.parse(f"#Inventor V2.1 ascii\ngrid_size 3 3 3\ndata\n{blue_fastest}", "vf").cube, cube.cube)
+    assert np.allclose(lut.parse("LUT: 3 4\n" + "\n".join(map(str, [0, 85, 170, 255] * 3)), "1dl").tables[:, 1], [0, 1 / 3, 2 / 3, 1])
+
+
+@pytest.mark.parametrize("style", ["log", "linear", "video"])
+def test_primary_grades_invert(spark, style):
+    rows = np.random.default_rng(12).random((30, 3)) * 0.8 + 0.1
+    how = {
+        "log": {"brightness": (10, 0, -10), "contrast": (1.2, 1.1, 1), "gamma": (1.2, 1, 0.9)},
+        "linear": {"offset": (0.01, 0, -0.01), "exposure": (0.3, 0, -0.2), "contrast": (1.2, 1.1, 1.05)},
+        "video": {"lift": (0.02, 0, 0.01), "gain": (1.1, 1, 0.95), "gamma": (1.2, 1.1, 0.9), "offset": (0.01, 0, 0)},
+    }[style]
+    both = [color.grading_primary(style, **how, saturation=1.2, inverse=i) for i in (False, True)]
+    assert np.allclose(run(spark, rows, *both), rows, atol=1e-9)
+
+
+def test_red_modifier_inverts(spark):
+    rows = np.array([[0.8, 0.1, 0.12], [0.5, 0.2, 0.1], [0.1, 0.7, 0.2]])
+    # The way back weighs the hue of the modified colour, so it is near, not exact.
+    assert np.allclose(run(spark, rows, color.red_modified(), color.red_modified(inverse=True)), rows, atol=1e-2)
+
+
 CONFIG = """
 # a configuration
 ocio_profile_version: 2
