@@ -1,18 +1,18 @@
 """Hole filling by a push-pull pyramid.
 
-Going up, a coarser pixel is the alpha-weighted mean of those of its four children
-that aren't holes; going down, holes take their parent's colour. Both ways are
-keyed joins and sums, a level being a quarter of the one below.
+Going up, a block is the alpha-weighted mean of its pixels that aren't holes; going
+down, a hole takes the colour of the smallest block around it that has one.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .image import KEYS, Img, Roi
+from .image import KEYS, Img
 
 
 def holes(img: Img, threshold: float = 1e-3) -> DataFrame:
@@ -24,31 +24,30 @@ def has_holes(img: Img, threshold: float = 1e-3) -> DataFrame:
     return holes(img, threshold).select("image_id", (F.col("n") > 0).alias("holes"))
 
 
-def _coarser(img: Img, threshold: float) -> Img:
-    """Half the size, rounded up; each pixel from its children that aren't holes."""
+def _blocks(img: Img, levels: int):
+    """An array of (level, by, bx): the blocks of 2, 4, 8, ... pixels that hold a pixel."""
     r = img.roi
-    w = F.when(F.col("a") >= threshold, F.col("a")).otherwise(0.0)
-    total = F.sum(w)
-    up = img.df.groupBy(
-        "image_id", F.floor((F.col("y") - r.y0) / 2).cast("int").alias("y"), F.floor((F.col("x") - r.x0) / 2).cast("int").alias("x")
-    ).agg(
-        *[F.when(total > 0, F.sum(F.col(c) * w) / F.when(total > 0, total).otherwise(1.0)).otherwise(0.0).alias(c) for c in img.channels if c != "a"],
-        F.when(total > 0, total / F.count_if(w > 0)).otherwise(0.0).alias("a"),
-    )
-    return Img(up.select(*KEYS, *img.channels), Roi(0, -(-r.width // 2), 0, -(-r.height // 2)), img.channels)
+    at = lambda c, lo, i: F.floor((F.col(c) - lo) / 2**i).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("level"), at("y", r.y0, i).alias("by"), at("x", r.x0, i).alias("bx")) for i in range(1, levels + 1)])
 
 
 def push_pull(img: Img, threshold: float = 1e-3) -> Img:
-    """Holes filled from coarser and coarser surroundings; other pixels stay."""
-    levels = [img]
-    while max(levels[-1].roi.width, levels[-1].roi.height) > 1:
-        levels.append(_coarser(levels[-1], threshold))
-    filled = levels[-1]
-    for fine in reversed(levels[:-1]):
-        r = fine.roi
-        coarse = filled.df.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), *[F.col(c).alias(f"up_{c}") for c in fine.channels])
-        at = fine.df.withColumn("py", F.floor((F.col("y") - r.y0) / 2).cast("int")).withColumn("px", F.floor((F.col("x") - r.x0) / 2).cast("int"))
-        hole = F.col("a") < threshold
-        met = at.join(coarse, ["image_id", "py", "px"], "left")
-        filled = replace(fine, df=met.select(*KEYS, *[F.when(hole, F.coalesce(f"up_{c}", c)).otherwise(F.col(c)).alias(c) for c in fine.channels]))
-    return filled
+    """Holes take the alpha-weighted mean of the smallest block around them that isn't all holes; other pixels stay.
+
+    Blocks of all sizes are summed in one pass; holes ask for theirs in one join. An image of nothing but holes stays as it is.
+    """
+    levels = max(1, math.ceil(math.log2(max(img.roi.width, img.roi.height, 2))))
+    hole = F.col("a") < threshold
+    blocks = _blocks(img, levels)
+    colors = [c for c in img.channels if c != "a"]
+    full = img.df.where(~hole).select("image_id", *img.channels, F.explode(blocks).alias("k")).select("image_id", "k.*", *img.channels)
+    sums = full.groupBy("image_id", "level", "by", "bx").agg(
+        *[(F.sum(F.col(c) * F.col("a")) / F.sum("a")).alias(f"up_{c}") for c in colors], F.avg("a").alias("up_a")
+    )
+    asked = img.df.where(hole).select(*KEYS, F.explode(blocks).alias("k")).select(*KEYS, "k.*")
+    ups = [f"up_{c}" for c in img.channels]
+    found = asked.join(sums, ["image_id", "level", "by", "bx"]).groupBy(*KEYS).agg(F.min_by(F.struct(*ups), "level").alias("best"))
+    filled = img.df.join(found, list(KEYS), "left").select(
+        *KEYS, *[F.when(hole & F.col("best").isNotNull(), F.col(f"best.up_{c}")).otherwise(F.col(c)).alias(c) for c in img.channels]
+    )
+    return replace(img, df=filled)

@@ -326,10 +326,29 @@ def mip_levels(width: int, height: int) -> int:
     return 1 + int(math.floor(math.log2(max(width, height))))
 
 
+def mip_factor(n: int, level: int) -> int:
+    """Pixels of the base along one axis in a pixel of a level; an axis stops halving at length 1."""
+    return 2 ** min(level, int(math.floor(math.log2(n))))
+
+
 def mip_pyramid(img: Img):
-    """All levels in one table, with column `level`."""
-    level, out = img, img.df.select(F.lit(0).alias("level"), *KEYS, *img.channels)
-    for i in range(1, mip_levels(img.roi.width, img.roi.height)):
-        level = halved(level)
-        out = out.unionByName(level.df.select(F.lit(i).alias("level"), *KEYS, *img.channels))
-    return out
+    """All levels in one table, with column `level`.
+
+    A level's pixel is the mean of 2 x 2 pixels below it, so the mean of all base pixels in its block: every base pixel
+    is sent to its block on each level in one pass, and summed up before the one shuffle.
+    """
+    r, n = img.roi, mip_levels(img.roi.width, img.roi.height)
+    base = img.df.select(F.lit(0).alias("level"), *KEYS, *img.channels)
+    if n == 1:
+        return base
+    blocks = []
+    for i in range(1, n):
+        fx, fy = mip_factor(r.width, i), mip_factor(r.height, i)
+        x, y = F.floor((F.col("x") - r.x0) / fx).cast("int"), F.floor((F.col("y") - r.y0) / fy).cast("int")
+        inside = (x < max(1, r.width >> i)) & (y < max(1, r.height >> i))
+        blocks.append(F.when(inside, F.struct(F.lit(i).alias("level"), y.alias("y"), x.alias("x"))))
+    spread = img.df.select("image_id", *img.channels, F.explode(F.array_compact(F.array(*blocks))).alias("b"))
+    means = spread.groupBy(F.col("b.level").alias("level"), "image_id", F.col("b.y").alias("y"), F.col("b.x").alias("x")).agg(
+        *[F.avg(c).alias(c) for c in img.channels]
+    )
+    return base.unionByName(means)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ex
 from .image import Img
-from .sampling import mip_level, mip_levels, mip_pyramid, wrapped
+from .sampling import mip_level, mip_levels, mip_pyramid
 
 
 def trilinear(lookups: DataFrame, texture: Img, wrap: str = "periodic") -> DataFrame:
@@ -22,23 +22,32 @@ def trilinear(lookups: DataFrame, texture: Img, wrap: str = "periodic") -> DataF
         F.struct(F.least(low + 1, F.lit(n - 1)).alias("l"), (F.col("level") - low).alias("lw")),
     )
     places = lookups.select("key", "image_id", "u", "v", F.explode(both).alias("b")).select("key", "image_id", "u", "v", "b.l", "b.lw").where("lw > 0")
-    rows = None
-    for level in range(n):
-        lw, lh = max(1, w >> level), max(1, h >> level)
-        at = places.where(F.col("l") == level).withColumn("sx", F.col("u") * lw - 0.5).withColumn("sy", F.col("v") * lh - 0.5)
-        taps = F.array(*[
-            F.struct(
-                wrapped(ex(f"CAST(floor(sx) AS INT) + {dx}"), 0, lw, wrap).col.alias("x"), wrapped(ex(f"CAST(floor(sy) AS INT) + {dy}"), 0, lh, wrap).col.alias("y"),
-                (_part("sx", dx) * _part("sy", dy) * F.col("lw")).alias("w"),
-            )
-            for dy in (0, 1) for dx in (0, 1)
-        ])
-        one = at.select("key", "image_id", F.lit(level).alias("level"), F.explode(taps).alias("t")).select("key", "image_id", "level", "t.x", "t.y", "t.w")
-        rows = one if rows is None else rows.unionByName(one)
+    side = lambda full: F.greatest(F.lit(1), F.expr(f"shiftright({full}, l)"))
+    at = places.withColumns({"wl": side(w), "hl": side(h)}).withColumns({"sx": F.col("u") * F.col("wl") - 0.5, "sy": F.col("v") * F.col("hl") - 0.5})
+    taps = F.array(*[
+        F.struct(
+            _inside(F.floor("sx").cast("int") + dx, F.col("wl"), wrap).alias("x"), _inside(F.floor("sy").cast("int") + dy, F.col("hl"), wrap).alias("y"),
+            (_part("sx", dx) * _part("sy", dy) * F.col("lw")).alias("w"),
+        )
+        for dy in (0, 1) for dx in (0, 1)
+    ])
+    rows = at.select("key", "image_id", F.col("l").alias("level"), F.explode(taps).alias("t")).select("key", "image_id", "level", "t.x", "t.y", "t.w")
     found = rows.join(mip_pyramid(texture), ["image_id", "level", "y", "x"], "left")
     return found.groupBy("key").agg(*[F.coalesce(F.sum(F.col("w") * F.col(c)), F.lit(0.0)).alias(c) for c in texture.channels])
 
 
+def _inside(at: Column, n: Column, wrap: str) -> Column:
+    """A texel's place brought into [0, n) by a wrap mode (black leaves it)."""
+    if wrap == "periodic":
+        return F.pmod(at, n).cast("int")
+    if wrap == "clamp":
+        return F.greatest(F.lit(0), F.least(n - 1, at)).cast("int")
+    if wrap == "mirror":
+        t = F.pmod(at, n * 2)
+        return F.when(t < n, t).otherwise(n * 2 - 1 - t).cast("int")
+    return at
+
+
 def _part(c: str, d: int) -> Column:
     t = F.col(c) - F.floor(c)
     return t if d else 1 - t

@@ -27,7 +27,21 @@ def _frequency() -> None:
 
 def _repair() -> None:
     holed = lambda s, d: rgba(s, d).select({c: F.when((F.col("x") + F.col("y")) % 5 == 0, 0.0).otherwise(F.col(c)) for c in ("r", "g", "b", "a")})
-    register("re_push_pull", lambda s, d: rounded(repair.push_pull(holed(s, d)).df, K, ("r", "g", "b", "a")))
+    one = "CAST(1 AS DOUBLE)"
+    base = f"SELECT image_id, y, x, {', '.join(f'CASE WHEN (x + y) % 5 = 0 THEN {one} * 0 ELSE {c} END AS {c}' for c in 'rgba')} FROM ({RGBA_SQL}) AS h0"
+    ups = ", ".join(f"sum({c} * a) / sum(a) AS u{c}" for c in "rgb")
+    pick = ", ".join(f"CASE WHEN p.a < CAST(0.001 AS DOUBLE) AND f.ua IS NOT NULL THEN f.u{c} ELSE p.{c} END AS {c}" for c in "rgba")
+    table_query(
+        "re_push_pull",
+        lambda s, d: repair.push_pull(holed(s, d)).df,
+        f"WITH base AS ({base}), sums AS (SELECT image_id, l.v AS lv, y >> l.v AS fy, x >> l.v AS fx, {ups}, avg(a) AS ua FROM base, (SELECT CAST(v AS INT) AS v FROM range(1, 7) AS q(v)) AS l "
+        "WHERE a >= CAST(0.001 AS DOUBLE) GROUP BY 1, 2, 3, 4), "
+        "ranked AS (SELECT b.image_id, b.y, b.x, s.ur, s.ug, s.ub, s.ua, row_number() OVER (PARTITION BY b.image_id, b.y, b.x ORDER BY s.lv) AS k FROM base AS b JOIN sums AS s "
+        "ON s.image_id = b.image_id AND s.fy = b.y >> s.lv AND s.fx = b.x >> s.lv WHERE b.a < CAST(0.001 AS DOUBLE)) "
+        f"SELECT p.image_id, p.y, p.x, {pick} FROM base AS p LEFT JOIN (SELECT * FROM ranked WHERE k = 1) AS f ON f.image_id = p.image_id AND f.y = p.y AND f.x = p.x",
+        K,
+        ("r", "g", "b", "a"),
+    )
     table_query(
         "re_holes",
         lambda s, d: repair.holes(holed(s, d)),
