@@ -35,6 +35,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 #: One chunk in 2**CUT_BITS bytes, about.
 CUT_BITS = 9
 #: Tokens that a task's cache of chunks holds at most.
@@ -191,7 +193,7 @@ def coded(docs: DataFrame, file: str, want: tuple[str, ...] = ("ids", "decoded")
 
     def run(batches):
         codec = Codec(held.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts, out = batch.column("text"), [[] for _ in want]
             for t in texts:
                 ids = codec.encode(t.as_py() or "")

@@ -34,3 +34,10 @@ def unit_draw(*parts: Column) -> Column:
 def crc32_of(column: str) -> Column:
     """CRC-32 of the column written as text (null: of the empty string), unsigned."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of few rows, so that what a worker makes of texts at one time stays small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)

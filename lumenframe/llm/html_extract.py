@@ -23,6 +23,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH, LINKS_HIGH = 0.12, 0.28, 0.5
 #: Frequent short words of the corpus languages. Fixed values.
@@ -189,7 +191,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of `pages`."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p.as_py()) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, slices
 
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 128, (2, 3, 4), 8, 8
 PER_LANGUAGE, TRAIN_TEXTS, WINDOWS_EACH = 600, 20_000, 6
@@ -205,7 +205,7 @@ def identified(docs: DataFrame, model: tuple[list[str], Network | None] | None =
     predict = predictor(*(model or trained(docs)))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
@@ -222,7 +222,7 @@ def filtered(docs: DataFrame, least: float, model: tuple[list[str], Network | No
     predict = predictor(*(model or trained(docs)))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, cut_lineage
+from .common import crc32_of, cut_lineage, slices
 
 SHRINKAGE, RIDGE, THRESHOLD = 0.2, 1e-3, 0.3
 FOLDS = 5
@@ -93,7 +93,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, stats) of each row of `docs`."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(stats, pa.list_(pa.float64()))],
@@ -181,7 +181,7 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = trained(with_statistics(docs), labels)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stats = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.scores(stats) >= THRESHOLD))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, slices
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: (shift, bits, radius) of the segments; sum(radius + 1) is RADIUS + 1.
@@ -64,7 +64,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fingerprints as signed longs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
