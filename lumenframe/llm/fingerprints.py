@@ -88,7 +88,8 @@ def merge_parts(df: DataFrame, keys: list[str], sketch: str, k: int = SIZE) -> D
 def in_chunks(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     """(chunk, doc_id, text), the chunks in the order of doc_id.
 
-    Chunks are equal ranges of doc_id. Rows without an id come first, spread by
+    Chunks are equal ranges of doc_id; where ids crowd in few ranges a chunk grows,
+    and the window over it spills to disk. Rows without an id come first, spread by
     a hash of their text.
     """
     n, low, high = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
