@@ -26,9 +26,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def unit_draw(*parts: Column) -> Column:
-    """A number in (0, 1), uniform over the hash of `parts`; the same for the same parts."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+def digest(*parts: Column | str) -> Column:
+    """MD5 of the parts written as text with bars between (null: empty); SQL engines can say the same."""
+    texts = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.md5(F.concat_ws("|", *texts).cast("binary"))
+
+
+def hashed_unit(*parts: Column | str) -> Column:
+    """A number in (0, 1), the same for the same parts: the first 52 bits of their MD5, at the middle of their interval."""
+    return (F.conv(F.substring(digest(*parts), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def hashed_unit_sql(prefix: str, key: str = "doc_id") -> str:
+    """`hashed_unit(prefix, key)` in SQL."""
+    return f"(('0x' || substr(md5('{prefix}|' || coalesce({key}::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
 
 
 def crc32_of(column: str) -> Column:

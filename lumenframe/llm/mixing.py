@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import digest, hashed_unit
+
 #: Means above this are split in equal parts; then the first term exp(-mean) is far from underflow.
 MOST_MEAN = 32.0
 #: Terms of the inverted distribution; at MOST_MEAN the chance beyond them is under 1e-60.
@@ -28,15 +30,6 @@ TERMS = 180
 BROADCAST_SOURCES = 100_000
 
 
-def digest(seed: int, *parts: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
-
-
-def hashed_unit(seed: int, *parts: Column) -> Column:
-    """A number in (0, 1): the first 52 bits of an MD5, at the middle of their interval."""
-    return (F.conv(F.substring(digest(seed, *parts), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-
-
 def with_rates(sizes: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
     """(source, n) with the mean repetition rate of each source.
 
@@ -80,7 +73,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     joined = packed.join(plan, F.col("row.source").eqNullSafe(F.col("__s")))
 
     def one(part: Column) -> Column:
-        u = hashed_unit(seed, F.col("row.doc_id"), part)
+        u = hashed_unit(str(seed), F.col("row.doc_id"), part)
         return F.size(F.filter(F.col("__cdf"), lambda c: c < u))
 
     many = F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda a, part: a + one(part))
@@ -88,7 +81,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float
         joined.withColumn("copies", F.when(F.col("__rate") > 0, many).otherwise(0))
         .where("copies > 0")
         .select("row", F.col("__rate").alias("rate"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-        .withColumn("shuffle_key", digest(seed, F.col("row.doc_id"), F.lit("at"), F.col("copy")))
+        .withColumn("shuffle_key", digest(str(seed), F.col("row.doc_id"), "at", F.col("copy")))
     )
     return copied.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

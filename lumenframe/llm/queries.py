@@ -19,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_sharding": sharding.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_draw
+from .common import digest, hashed_unit, hashed_unit_sql
 
-#: Sub-buckets of a shard in which slots are counted apart.
-SUBS = 4096
+#: Sub-buckets of a shard in which slots are counted apart: three hexadecimal digits of a hash.
+SUBS = 16**3
 
 
 @dataclass(frozen=True)
@@ -55,35 +55,33 @@ def grown(cluster: list[Shard], weight: float = 1.0) -> list[Shard]:
     return [*cluster, Shard(f"region-of-{i}", f"rack-of-{i}", i, weight)]
 
 
-def placed(key: Column, cluster: list[Shard]) -> Column:
-    """The shard of `key`: least weighted draw at each of the three levels."""
-
-    def least(level: str, children: dict[str, float], then) -> Column:
-        live = {name: w for name, w in children.items() if w > 0}
-        if len(live) == 1:
-            return then(next(iter(live)))
-        draws = [(-F.log(unit_draw(key, F.lit(f"{level}/{name}"))) / F.lit(float(w)), name) for name, w in live.items()]
-        best = F.least(*[d for d, _ in draws])
-        out = then(draws[-1][1])
-        for d, name in reversed(draws[:-1]):
-            out = F.when(d == best, then(name)).otherwise(out)
-        return out
+def tree(cluster: list[Shard]) -> dict[str, dict[str, float]]:
+    """The children of each node and their weights: of the root "", of regions, of racks ("region/rack")."""
+    out: dict[str, dict[str, float]] = {}
+    for s in cluster:
+        if s.weight > 0:
+            rack = f"{s.region}/{s.rack}"
+            for node, child in (("", s.region), (s.region, rack), (rack, str(s.shard))):
+                children = out.setdefault(node, {})
+                children[child] = children.get(child, 0.0) + s.weight
+    return out
 
-    def total(rows: list[Shard], by) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for s in rows:
-            out[by(s)] = out.get(by(s), 0.0) + s.weight
-        return out
 
-    def in_rack(region: str, rack: str) -> Column:
-        rows = [s for s in cluster if (s.region, s.rack) == (region, rack)]
-        return least("shard", total(rows, lambda s: str(s.shard)), lambda name: F.lit(int(name)))
+def placed(key: Column, cluster: list[Shard]) -> Column:
+    """The shard of `key`: from the root, three times the child with the least weighted draw."""
+    nodes = tree(cluster)
+    children = F.create_map(*[
+        e for node, found in nodes.items()
+        for e in (F.lit(node), F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(w)).alias("weight")) for n, w in found.items()]))
+    ])
 
-    def in_region(region: str) -> Column:
-        rows = [s for s in cluster if s.region == region]
-        return least("rack", total(rows, lambda s: s.rack), lambda rack: in_rack(region, rack))
+    def below(node: Column) -> Column:
+        draws = F.transform(
+            F.element_at(children, node), lambda c: F.struct((-F.log(hashed_unit(c["name"], key)) / c["weight"]).alias("draw"), c["name"].alias("name"))
+        )
+        return F.array_min(draws)["name"]
 
-    return least("region", total(cluster, lambda s: s.region), in_region)
+    return below(below(below(F.lit("")))).cast("int")
 
 
 def with_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
@@ -93,7 +91,7 @@ def with_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataF
     shard; the offsets of the sub-buckets are a table of shards x SUBS rows,
     which may be broadcast. Order within a shard: sub-bucket, then key.
     """
-    sub = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(SUBS)).cast("int")
+    sub = F.conv(F.substring(digest("slot", F.col(key)), 1, 3), 16, 10).cast("int")
     rows = df.withColumn("__sub", sub)
     counts = rows.groupBy(shard, "__sub").agg(F.count("*").alias("__n"))
     ahead = Window.partitionBy(shard).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,3 +119,33 @@ def op5_query(docs: DataFrame, shards: int = 24) -> DataFrame:
     return with_slots(rows, "shard", "doc_id").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+# The same in SQL: the draws of a level compared one by one, and CRC-32 as a fold over the text's bytes.
+
+
+def _placed_sql(cluster: list[Shard], key: str) -> str:
+    nodes = tree(cluster)
+
+    def below(node: str) -> str:
+        if node not in nodes:
+            return node
+        draws = {name: f"(-ln({hashed_unit_sql(name, key)}) / {w!r}::DOUBLE)" for name, w in nodes[node].items()}
+        arms = " ".join(f"WHEN {d} <= least({', '.join(draws.values())}) THEN {below(name)}" for name, d in draws.items())
+        return f"CASE {arms} END"
+
+    return below("")
+
+
+OP5_SQL = f"""
+WITH bits AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+rows AS (SELECT doc_id, text, coalesce(text, '') AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, text, (length(h) // 2 + 8)::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM rows, bits),
+placed AS (SELECT doc_id, size, text_crc32, ({_placed_sql(layout(24), "doc_id")})::INT AS shard,
+  ({_placed_sql(grown(layout(24)), "doc_id")})::INT AS grown_shard FROM sized)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot|' || coalesce(doc_id::VARCHAR, '')), 1, 3), doc_id, size, text_crc32) - 1 AS slot FROM placed
+"""
