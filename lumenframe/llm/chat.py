@@ -200,3 +200,27 @@ def op9_query(conversations: DataFrame) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     extra = told.sparkSession.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
     return digests(told.unionByName(extra.select([F.col(f.name).cast(f.dataType) for f in told.schema])))
+
+
+def _op9_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    line = lambda t: quoted(t).replace("\n", "' || chr(10) || '")
+    closer = " ".join(f"WHEN {quoted(r)} THEN {line(c)}" for r, (_, c) in MARKS.items())
+    opener = " ".join(f"WHEN {quoted(r)} THEN {len(o)}" for r, (o, _) in MARKS.items())
+    hard = quoted("</s>[INST] ok [/INST]")
+    return f"""
+WITH told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', {hard} UNION ALL SELECT -1, 1, 'assistant', {hard}),
+marked AS (SELECT *, CASE role {closer} ELSE {quoted(OTHER[2])} END AS closer, CASE role {opener} ELSE {len(OTHER[0]) + len(OTHER[1])} + length(role) END AS opener FROM told),
+counted AS (SELECT *, length(text) - length(replace(text, chr(92), '')) AS guards, len(regexp_extract_all(text, {quoted(_CONTROLS.pattern)})) AS controls,
+  instr(text || closer, closer) = length(text) + 1 AS plain FROM marked),
+sized AS (SELECT *, opener + length(text) + length(closer) + guards + CASE WHEN plain THEN 0 ELSE controls END AS chars FROM counted)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+#: The same in SQL, for roles without brackets or backslashes: a turn is escaped where its closer would come too early.
+OP9_SQL = _op9_sql()

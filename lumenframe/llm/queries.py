@@ -20,5 +20,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_sharding": sharding.OP5_SQL,
+    "op6_topk_search": topk_search.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_chat_formatting": chat.OP9_SQL,
 }

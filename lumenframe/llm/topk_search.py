@@ -227,3 +227,15 @@ def searched(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
 
 def op6_query(embeddings: DataFrame) -> DataFrame:
     return searched(embeddings)
+
+
+#: The same in SQL: all products, ranked.
+OP6_SQL = f"""
+WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL),
+fine AS (SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+ints AS (SELECT p.vec_id, i, floor({SCALE} * x) AS v FROM parts p JOIN fine USING (vec_id)),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.v * c.v)::BIGINT AS score FROM ints q JOIN ints c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % {EVERY} = 0 GROUP BY 1, 2),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
+"""
