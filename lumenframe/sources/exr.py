@@ -1,4 +1,4 @@
-"""OpenEXR scan-line files: flat (uncompressed, RLE, ZIPS, ZIP) and deep (uncompressed, RLE, ZIPS)."""
+"""OpenEXR files: flat in lines or tiles (uncompressed, RLE, ZIPS, ZIP, PXR24; of a pyramid the full size), and deep in lines (uncompressed, RLE, ZIPS)."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from .codecs import Picture, Unreadable
 
 MAGIC = b"\x76\x2f\x31\x01"
 #: Compression numbers and lines in a block. Fixed values.
-NONE, RLE, ZIPS, ZIP = 0, 1, 2, 3
-LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16}
+NONE, RLE, ZIPS, ZIP, PXR24 = 0, 1, 2, 3, 5
+LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16, PXR24: 16}
 TYPES = {0: np.dtype("<u4"), 1: np.dtype("<f2"), 2: np.dtype("<f4")}
 
 
@@ -48,6 +48,8 @@ def header(b: bytes) -> tuple[dict, int]:
             found[name] = struct.unpack("<4i", body)
         elif kind == "compression":
             found[name] = body[0]
+        elif kind == "tiledesc":
+            found[name] = struct.unpack("<IIB", body)
         elif kind == "string":
             found[name] = body.decode("latin-1")
         elif kind in ("float", "int", "v2f", "v3f", "m33f", "m44f"):
@@ -111,7 +113,40 @@ def _to_runs(b: bytes) -> bytes:
     return bytes(out)
 
 
-def unpacked(b: bytes, compression: int, size: int, raw: bool = False) -> bytes:
+#: Bytes that PXR24 keeps of a sample, and where they stand in its 32 bits.
+_PXR24 = {0: (24, 16, 8, 0), 1: (8, 0), 2: (24, 16, 8)}
+
+
+def _from_pxr24(b: bytes, types: list[int], width: int, rows: int) -> bytes:
+    """Lines of samples from byte planes of differences."""
+    raw, out, at = np.frombuffer(zlib.decompress(b), np.uint8), [], 0
+    for _ in range(rows):
+        for t in types:
+            diffs = np.zeros(width, np.uint32)
+            for shift in _PXR24[t]:
+                diffs |= raw[at : at + width].astype(np.uint32) << np.uint32(shift)
+                at += width
+            values = np.cumsum(diffs, dtype=np.uint32)
+            out.append((values.astype("<u2") if t == 1 else values.astype("<u4")).tobytes())
+    return b"".join(out)
+
+
+def _to_pxr24(b: bytes, types: list[int], width: int, rows: int) -> bytes:
+    """The reverse; floats are cut to 24 bits."""
+    planes, at = [], 0
+    for _ in range(rows):
+        for t in types:
+            size = TYPES[t].itemsize
+            values = np.frombuffer(b, "<u2" if t == 1 else "<u4", width, at).astype(np.uint32)
+            at += size * width
+            if t == 2:
+                values &= np.uint32(0xFFFFFF00)
+            diffs = np.diff(values, prepend=np.uint32(0))
+            planes += [((diffs >> np.uint32(s)) & np.uint32(255)).astype(np.uint8).tobytes() for s in _PXR24[t]]
+    return zlib.compress(b"".join(planes))
+
+
+def unpacked(b: bytes, compression: int, size: int, types: list[int] | None = None, width: int = 0, rows: int = 0) -> bytes:
     """A block's bytes; blocks that didn't shrink are stored plainly."""
     if compression == NONE or len(b) == size:
         return b
@@ -119,12 +154,17 @@ def unpacked(b: bytes, compression: int, size: int, raw: bool = False) -> bytes:
         return _unpredict(_runs(b))
     if compression in (ZIPS, ZIP):
         return _unpredict(zlib.decompress(b))
+    if compression == PXR24:
+        return _from_pxr24(b, types, width, rows)
     raise Unreadable(f"EXR compression {compression}")
 
 
-def packed(b: bytes, compression: int) -> bytes:
+def packed(b: bytes, compression: int, types: list[int] | None = None, width: int = 0, rows: int = 0) -> bytes:
     if compression == NONE or not b:
         return b
+    if compression == PXR24:
+        small = _to_pxr24(b, types, width, rows)
+        return small if len(small) < len(b) else b
     small = _to_runs(_predict(b)) if compression == RLE else zlib.compress(_predict(b))
     return small if len(small) < len(b) else b
 
@@ -135,29 +175,39 @@ def _lower(name: str) -> str:
 
 def read(b: bytes) -> Picture:
     h, at = header(b)
-    if h["tiled"] or h["deep"]:
-        raise Unreadable("tiled or deep EXR read as flat")
+    if h["deep"]:
+        raise Unreadable("deep EXR read as flat")
     channels = h["channels"]
     if any((sx, sy) != (1, 1) for _, _, sx, sy in channels):
         raise Unreadable("subsampled EXR")
     x0, y0, x1, y1 = h["dataWindow"]
     w, n = x1 - x0 + 1, y1 - y0 + 1
-    lines = LINES.get(h["compression"])
-    if lines is None:
+    if h["compression"] not in LINES:
         raise Unreadable(f"EXR compression {h['compression']}")
-    blocks = -(-n // lines)
-    offsets = struct.unpack(f"<{blocks}Q", b[at : at + 8 * blocks])
     out = {c: np.empty((n, w), np.float32) for c, *_ in channels}
-    per_line = sum(TYPES[t].itemsize for _, t, *_ in channels) * w
-    for o in offsets:
-        y, size = struct.unpack("<ii", b[o : o + 8])
-        rows = min(lines, y1 - y + 1)
-        body = unpacked(b[o + 8 : o + 8 + size], h["compression"], per_line * rows)
+    types = [t for _, t, *_ in channels]
+    per_pixel = sum(TYPES[t].itemsize for t in types)
+
+    def put(body: bytes, x: int, y: int, width: int, rows: int) -> None:
         i = 0
         for r in range(rows):
             for c, t, *_ in channels:
-                out[c][y - y0 + r] = np.frombuffer(body, TYPES[t], w, i)
-                i += TYPES[t].itemsize * w
+                out[c][y + r, x : x + width] = np.frombuffer(body, TYPES[t], width, i)
+                i += TYPES[t].itemsize * width
+
+    if h["tiled"]:
+        tw, th, _ = h["tiles"]
+        for o in struct.unpack(f"<{-(-w // tw) * -(-n // th)}Q", b[at : at + 8 * -(-w // tw) * -(-n // th)]):  # the full size comes first
+            tx, ty, _, _, size = struct.unpack("<5i", b[o : o + 20])
+            width, rows = min(tw, w - tx * tw), min(th, n - ty * th)
+            put(unpacked(b[o + 20 : o + 20 + size], h["compression"], per_pixel * width * rows, types, width, rows), tx * tw, ty * th, width, rows)
+    else:
+        lines = LINES[h["compression"]]
+        blocks = -(-n // lines)
+        for o in struct.unpack(f"<{blocks}Q", b[at : at + 8 * blocks]):
+            y, size = struct.unpack("<ii", b[o : o + 8])
+            rows = min(lines, y1 - y + 1)
+            put(unpacked(b[o + 8 : o + 8 + size], h["compression"], per_pixel * w * rows, types, w, rows), 0, y - y0, w, rows)
     order = {c: i for i, c in enumerate("RGBAYZ")}
     names = sorted(out, key=lambda c: (order.get(c, 99), c))
     text = {k: str(v) for k, v in h.items() if isinstance(v, str | float | int) and k not in ("tiled", "deep", "compression", "lineOrder")}
@@ -168,32 +218,44 @@ def _attribute(name: str, kind: str, body: bytes) -> bytes:
     return name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(body)) + body
 
 
-def _head(channels: list[tuple[str, int]], w: int, n: int, compression: int, attributes: dict[str, str], deep: bool = False) -> bytes:
+def _head(channels: list[tuple[str, int]], w: int, n: int, compression: int, attributes: dict[str, str], deep: bool = False, tile: int = 0) -> bytes:
     chlist = b"".join(c.encode() + b"\0" + struct.pack("<iIii", t, 0, 1, 1) for c, t in channels) + b"\0"
     box = struct.pack("<4i", 0, 0, w - 1, n - 1)
-    out = MAGIC + struct.pack("<I", 2 | (0x800 if deep else 0)) + _attribute("channels", "chlist", chlist)
+    out = MAGIC + struct.pack("<I", 2 | (0x800 if deep else 0) | (0x200 if tile else 0)) + _attribute("channels", "chlist", chlist)
     out += _attribute("compression", "compression", bytes([compression])) + _attribute("dataWindow", "box2i", box)
     out += _attribute("displayWindow", "box2i", box) + _attribute("lineOrder", "lineOrder", b"\0")
     out += _attribute("pixelAspectRatio", "float", struct.pack("<f", 1)) + _attribute("screenWindowCenter", "v2f", struct.pack("<2f", 0, 0))
     out += _attribute("screenWindowWidth", "float", struct.pack("<f", 1))
     if deep:
         out += _attribute("type", "string", b"deepscanline") + _attribute("version", "int", struct.pack("<i", 1)) + _attribute("chunkCount", "int", struct.pack("<i", n))
+    if tile:
+        out += _attribute("tiles", "tiledesc", struct.pack("<IIB", tile, tile, 0))
     for k, v in attributes.items():
         out += _attribute(k, "string", v.encode("latin-1", "replace"))
     return out + b"\0"
 
 
-def write(p: Picture, compression: int = ZIP, half: bool = False) -> bytes:
+def write(p: Picture, compression: int = ZIP, half: bool = False, tile: int = 0) -> bytes:
+    """In lines, or in square tiles of a given side."""
     t = 1 if half else 2
     names = {(c.upper() if c in ("r", "g", "b", "a", "y", "z") else c): v for c, v in p.channels.items()}
     channels = [(c, t) for c in sorted(names)]
-    taken = ("pixelAspectRatio", "screenWindowWidth", "channels", "dataWindow")
-    head = _head(channels, p.width, p.height, compression, {k: v for k, v in p.attributes.items() if k not in taken})
-    blocks = []
+    taken = ("pixelAspectRatio", "screenWindowWidth", "channels", "dataWindow", "tiles")
+    head = _head(channels, p.width, p.height, compression, {k: v for k, v in p.attributes.items() if k not in taken}, False, tile)
+    types, blocks = [t] * len(channels), []
+
+    def block(x: int, y: int, w: int, rows: int) -> bytes:
+        body = b"".join(names[c][r, x : x + w].astype(TYPES[t]).tobytes() for r in range(y, y + rows) for c, _ in channels)
+        return packed(body, compression, types, w, rows)
+
+    if tile:
+        for ty in range(-(-p.height // tile)):
+            for tx in range(-(-p.width // tile)):
+                small = block(tx * tile, ty * tile, min(tile, p.width - tx * tile), min(tile, p.height - ty * tile))
+                blocks.append(struct.pack("<5i", tx, ty, 0, 0, len(small)) + small)
+        return _joined(head, blocks)
     for y in range(0, p.height, LINES[compression]):
-        rows = range(y, min(y + LINES[compression], p.height))
-        body = b"".join(names[c][r].astype(TYPES[t]).tobytes() for r in rows for c, _ in channels)
-        small = packed(body, compression)
+        small = block(0, y, p.width, min(LINES[compression], p.height - y))
         blocks.append(struct.pack("<ii", y, len(small)) + small)
     return _joined(head, blocks)
 

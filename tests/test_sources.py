@@ -48,13 +48,26 @@ def test_png_filters_and_depths():
 
 @pytest.mark.parametrize("compression", [exr.NONE, exr.RLE, exr.ZIPS, exr.ZIP])
 @pytest.mark.parametrize("half", [False, True])
-def test_exr_compressions(compression, half):
+@pytest.mark.parametrize("tile", [0, 8, 64])
+def test_exr_compressions(compression, half, tile):
     p = picture(37, 21, ("r", "g", "b", "a", "z"))
-    got = exr.read(exr.write(p, compression, half))
+    b = exr.write(p, compression, half, tile)
+    got = exr.read(b)
+    assert codecs.size_of(b) == (21, 37)
     for c, v in p.channels.items():
         assert np.array_equal(got.channels[c], v.astype(np.float16).astype(np.float32) if half else v)
 
 
+@pytest.mark.parametrize("tile", [0, 8])
+def test_exr_pxr24(tile):
+    p = picture(37, 21)
+    got = exr.read(exr.write(p, exr.PXR24, False, tile))
+    for c, v in p.channels.items():
+        assert np.array_equal(got.channels[c].view(np.uint32), v.view(np.uint32) & np.uint32(0xFFFFFF00))
+    half = exr.read(exr.write(p, exr.PXR24, True, tile))
+    assert np.array_equal(half.channels["g"], p.channels["g"].astype(np.float16).astype(np.float32))
+
+
 @pytest.mark.parametrize("compression", [exr.NONE, exr.RLE, exr.ZIPS])
 def test_deep_round_trip(compression):
     rng = np.random.default_rng(2)
