@@ -106,6 +106,38 @@ def _tiles() -> None:
     register("wa_rotate_whole", lambda s, d: rounded(sampling.rotate_whole(rgba(s, d), 30.0, (0.5,)).df, K, ("r", "g", "b", "a")))
 
 
+def _files() -> None:
+    """Images written as files of a format and read again."""
+    from ..sources import files
+
+    names = ("r", "g", "b")
+
+    def there_and_back(s, d, kind, bits):
+        img = rgba(s, d)
+        rows = img.df.select(F.col("image_id").cast("string").alias("path"), F.col("y").alias("py"), F.col("x").alias("px"), *names)
+        back = files.decoded(files.encoded(rows, kind, channels=names, bits=bits))
+        return back.select(F.col("path").cast("bigint").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x"), *names)
+
+    single = "CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+    unit = "CAST(CAST(least(greatest({c}, 0.0), 1.0) AS FLOAT) AS DOUBLE)"
+    cut = "floor(CAST(CAST(" + unit + " * {top} AS FLOAT) AS DOUBLE)) / {top}.0"
+    near = "floor(" + unit + " * CAST({top} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / {top}.0"
+    for name, kind, bits, formula, top in (
+        ("exr", "exr", None, single, 1), ("pfm", "pfm", None, single, 1), ("tiff32", "tiff", 32, single, 1), ("tiff16", "tiff", 16, cut, 65535),
+        ("png16", "png", 16, cut, 65535), ("png8", "png", 8, cut, 255), ("ppm8", "ppm", 8, cut, 255), ("dpx16", "dpx", 16, near, 65535),
+    ):
+        table_query(
+            f"so_{name}",
+            lambda s, d, k=kind, b=bits: there_and_back(s, d, k, b),
+            f"SELECT image_id, y, x, {', '.join(f'CAST(CAST({formula.format(c=c, top=top)} AS FLOAT) AS DOUBLE) AS {c}' for c in names)} FROM ({RGBA_SQL}) AS p",
+            K,
+            names,
+        )
+    for name, bits in (("hdr", None), ("dpx", 10), ("dpx12", 12)):
+        register(f"so_{name}", lambda s, d, k=name.rstrip("12"), b=bits: rounded(there_and_back(s, d, k, b), K, names))
+
+
 _layers()
 _textures()
 _tiles()
+_files()

@@ -9,31 +9,11 @@ from __future__ import annotations
 
 import struct
 import zlib
-from dataclasses import dataclass, field
 
 import numpy as np
 
-
-@dataclass
-class Picture:
-    """Channels (height, width) by name, and attributes."""
-
-    channels: dict[str, np.ndarray]
-    attributes: dict[str, str] = field(default_factory=dict)
-    format: str = ""
-
-    @property
-    def height(self) -> int:
-        return next(iter(self.channels.values())).shape[0]
-
-    @property
-    def width(self) -> int:
-        return next(iter(self.channels.values())).shape[1]
-
-
-class Unreadable(ValueError):
-    """Bytes that no decoder here can read."""
-
+from . import exr
+from .picture import Picture, Unreadable
 
 NAMES = {1: ("y",), 2: ("y", "a"), 3: ("r", "g", "b"), 4: ("r", "g", "b", "a")}
 
@@ -260,9 +240,9 @@ def read_dpx(b: bytes) -> Picture:
 
 
 def write_dpx(p: Picture, bits: int = 10, order: str = ">") -> bytes:
-    data = np.clip(np.nan_to_num(stacked(p)), 0, 1)
+    data = np.clip(np.nan_to_num(stacked(p)), 0, 1).astype(np.float64)
     h, w, n = data.shape
-    v = np.round(data * (2**bits - 1)).astype(np.uint32).reshape(h, w * n)
+    v = np.floor(data * (2**bits - 1) + 0.5).astype(np.uint32).reshape(h, w * n)
     if bits == 8:
         body = v.astype(np.uint8).tobytes()
     elif bits == 16:
@@ -365,8 +345,6 @@ def write_tiff(p: Picture, bits: int = 16, deflate: bool = True) -> bytes:
 
 def probe(b: bytes) -> str:
     """The format of a file by its first bytes; empty if unknown."""
-    from . import exr
-
     for start, name in (
         (b"\x89PNG\r\n\x1a\n", "png"), (b"P5", "pnm"), (b"P6", "pnm"), (b"Pf", "pfm"), (b"PF", "pfm"), (b"#?", "hdr"), (b"SDPX", "dpx"), (b"XPDS", "dpx"),
         (b"II*\0", "tiff"), (b"MM\0*", "tiff"), (exr.MAGIC, "exr"), (b"\xff\xd8\xff", "jpeg"), (b"8BPS", "psd"), (b"DDS ", "dds"), (b"\xabKTX", "ktx"),
@@ -378,8 +356,6 @@ def probe(b: bytes) -> str:
 
 
 def decode(b: bytes) -> Picture:
-    from . import exr
-
     readers = {"png": read_png, "pnm": read_pnm, "pfm": read_pnm, "hdr": read_hdr, "dpx": read_dpx, "tiff": read_tiff, "exr": exr.read}
     name = probe(b)
     if name not in readers:
@@ -409,16 +385,12 @@ def size_of(b: bytes) -> tuple[int, int]:
             at += 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
         raise Unreadable("jpeg without a frame")
     if name == "exr":
-        from . import exr
-
-        return exr.size_of(b)
+            return exr.size_of(b)
     p = decode(b)
     return p.width, p.height
 
 
 def encode(p: Picture, name: str, bits: int | None = None) -> bytes:
-    from . import exr
-
     if name == "png":
         return write_png(p, bits or 8)
     if name in ("ppm", "pgm", "pnm"):

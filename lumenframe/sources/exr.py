@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from .codecs import Picture, Unreadable
+from .picture import Picture, Unreadable
 
 MAGIC = b"\x76\x2f\x31\x01"
 #: Compression numbers and lines in a block. Fixed values.

@@ -67,7 +67,12 @@ def _pixel_batch(path: str, picture: codecs.Picture, y0: int, y1: int) -> pa.Rec
 
 
 def pixels(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each pixel of each readable file (py, px; a missing channel is null). Files go in strips of rows."""
+    """One row for each pixel of each readable file (py, px; a missing channel is null)."""
+    return decoded(binary(spark, path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The pixels of (path, content) rows, wherever these come from. Files go in strips of rows."""
 
     def run(batches):
         for batch in batches:
@@ -80,7 +85,7 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
                 for y in range(0, picture.height, step):
                     yield _pixel_batch(p, picture, y, min(y + step, picture.height))
 
-    return binary(spark, path).select("path", "content").mapInArrow(run, PIXELS)
+    return files.select("path", "content").mapInArrow(run, PIXELS)
 
 
 def deep(spark: SparkSession, path: str) -> DataFrame:
