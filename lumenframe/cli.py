@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import color
-from .operators import composite, filters, geometry, sampling, stats
+from .operators import composite, filters, geometry, repair, sampling, stats
 from .operators.image import Img, Roi
 from .sources import files
 
@@ -77,6 +77,10 @@ def parser() -> argparse.ArgumentParser:
     command("unpremult")
     command("color", ("source", str, "sRGB"), ("target", str, "ACEScg"))
     command("lut", ("file", str, ""))
+    command("aces", ("op", str, "rrt-odt"))
+    command("warp", ("kind", str, "barrel"), ("k1", float, 0.1), ("k2", float, 0.0), ("radius", float, 1.0))
+    command("maketx")
+    command("fill")
     command("shuffle", ("pattern", str, "RGB"))
     command("batch", ("op", str, "convert"), ("scale", float, 1.0), ("format", str, "png"), out=False)
     return p
@@ -118,8 +122,24 @@ def changed(spark: SparkSession, a: argparse.Namespace) -> Img:
         return img.apply(color.premultiplied() if c == "premult" else color.unpremultiplied())
     if c == "shuffle":
         return geometry.shuffle_pattern(img, a.pattern)
+    if c == "fill":
+        return repair.push_pull(img)
+    if c == "warp":
+        kinds = {
+            "barrel": lambda r: sampling.barrel(r, a.k1, a.k2), "pincushion": lambda r: sampling.pincushion(r, a.k1, a.k2),
+            "fisheye": lambda r: sampling.fisheye(r, a.k1), "twist": lambda r: sampling.twist(r, a.k1, a.radius), "wave": lambda r: sampling.wave(r, a.k1, a.k2),
+            "spherize": lambda r: sampling.spherize(r, a.k1, a.radius), "ripple": lambda r: sampling.ripple(r, a.k1, a.k2, a.radius),
+        }
+        return sampling.sampled(img, img.roi, kinds[a.kind](img.roi))
     from .plans import catalog, ir
 
+    if c == "aces":
+        conversion = catalog.standard().conversion
+        idt, odt = conversion("sRGB", "ACEScg"), conversion("ACEScg", "sRGB")
+        if a.op == "idt":
+            return ir.applied(img, idt)
+        toned = img.apply(color.tone_mapped()) if a.op.startswith("rrt") else img
+        return ir.applied(toned, odt) if a.op.endswith("odt") else toned
     if c == "color":
         return ir.applied(img, catalog.standard().conversion(a.source, a.target))
     if c == "lut":
@@ -152,6 +172,12 @@ def main(args: list[str] | None = None) -> int:
         results = files.batch(spark, a.input, a.op, scale=a.scale, format=a.format).persist()
         shown(results)
         return int(results.where("status = 'failed'").count() > 0)
+    elif a.command == "maketx":
+        img = opened(spark, a.input)
+        stem, _, extension = a.output.rpartition(".")
+        for level in range(sampling.mip_levels(img.roi.width, img.roi.height)):
+            saved(img, f"{stem}.mip{level}.{extension}")
+            img = sampling.halved(img)
     else:
         img = changed(spark, a)
         saved(img, a.output, getattr(a, "bits", None))

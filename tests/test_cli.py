@@ -40,3 +40,12 @@ def test_commands(spark, photo, tmp_path, capsys):
     assert cli.main(["convert", path, png, "--bits", "16"]) == 0
     assert cli.main(["diff", path, png, "--fail", "0.0001"]) == 0
     assert cli.main(["composite", path, png, out, "--mode", "screen"]) == 0
+    assert cli.main(["aces", path, out, "--op", "rrt"]) == 0
+    assert read().channels["r"].max() <= 1
+    assert cli.main(["warp", path, out, "--kind", "twist", "--k1", "0"]) == 0
+    assert np.allclose(read().channels["g"][1:-1, 1:-1], p.channels["g"][1:-1, 1:-1], atol=1e-5)
+    assert cli.main(["maketx", path, str(tmp_path / "t.exr")]) == 0
+    half = codecs.decode((tmp_path / "t.mip1.exr").read_bytes())
+    assert (half.width, half.height) == (6, 4)
+    assert np.allclose(half.channels["b"][0, 0], p.channels["b"][:2, :2].mean(), atol=1e-6)
+    assert cli.main(["fill", path, out]) == 0
