@@ -148,6 +148,10 @@ def components(pairs: DataFrame) -> DataFrame:
     links never grow in number, and rounds grow with the logarithm of a path.
     """
 
+    def smallest(df: DataFrame) -> DataFrame:
+        # Stored, so that the join that follows has two plain sides and can be split where a node has very many links.
+        return cut_lineage(df.groupBy("a").agg(F.min("b").alias("m")))
+
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -155,10 +159,9 @@ def components(pairs: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        least = smallest(both).select("a", F.least("a", "m").alias("m"))
+        large = cut_lineage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        small = large.join(smallest(large), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         now = cut_lineage(small.where("a <> b").distinct())
         before, seen = seen, state(now)
         if seen == before:
@@ -173,8 +176,8 @@ def grouped(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     roots = components(links(reps.select("fp"), crowd))
     # Only fingerprints that link to another one have a root; few documents have one.
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    named = every.join(reps, every["node"] == reps["fp"]).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut_lineage(every.join(reps, every["node"] == reps["fp"]).select("node", "root", "least"))
+    least = cut_lineage(named.groupBy("root").agg(F.min("least").alias("component_id")))
     linked = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     known = reps.join(linked, "fp", "left").select(
         "fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
