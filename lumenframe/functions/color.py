@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from .expr import LUMA, Ex, Op, absolute, atan2, clamp, dot, ex, exp, floor, greatest, least, ln, luma, power, sqrt, when
+from .expr import Ex, Op, absolute, atan2, clamp, dot, ex, exp, floor, greatest, least, ln, luma, power, sqrt, when
 from .transfer import CURVES
 
 RGB = ("r", "g", "b")

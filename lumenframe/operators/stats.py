@@ -22,19 +22,26 @@ def long(img: Img) -> DataFrame:
 
 
 def pixel_stats(img: Img, by: tuple[str, ...] = ("channel",)) -> DataFrame:
-    """Range, mean and population deviation of the finite samples of each channel, and counts of the others."""
-    v = F.col("value")
-    fine = F.when(finite(v), v)
-    mean, square = F.avg(fine), F.avg(fine * fine)
-    return long(img).groupBy(*by).agg(
-        F.min(fine).alias("min"),
-        F.max(fine).alias("max"),
-        mean.alias("avg"),
-        F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("stddev"),
-        F.count_if(F.isnan(v)).alias("nan_count"),
-        F.count_if(F.abs(v) == float("inf")).alias("inf_count"),
-        F.count(fine).alias("finite_count"),
-    )
+    """Range, mean and population deviation of the finite samples of each channel, and counts of the others.
+
+    All channels are summed up side by side in one pass; they become rows after that.
+    """
+    sums, rows = [], []
+    for c in img.channels:
+        v = F.col(c)
+        fine = F.when(finite(v), v)
+        sums += [
+            F.min(fine).alias(f"{c}_min"), F.max(fine).alias(f"{c}_max"), F.avg(fine).alias(f"{c}_avg"), F.avg(fine * fine).alias(f"{c}_square"),
+            F.count_if(F.isnan(v)).alias(f"{c}_nan"), F.count_if(F.abs(v) == float("inf")).alias(f"{c}_inf"), F.count(fine).alias(f"{c}_n"),
+        ]
+        mean = F.col(f"{c}_avg")
+        rows.append(F.struct(
+            F.lit(c).alias("channel"), F.col(f"{c}_min").alias("min"), F.col(f"{c}_max").alias("max"), mean.alias("avg"),
+            F.sqrt(F.greatest(F.lit(0.0), F.col(f"{c}_square") - mean * mean)).alias("stddev"),
+            F.col(f"{c}_nan").alias("nan_count"), F.col(f"{c}_inf").alias("inf_count"), F.col(f"{c}_n").alias("finite_count"),
+        ))
+    keys = [k for k in by if k != "channel"]
+    return img.df.groupBy(*keys).agg(*sums).select(*keys, F.explode(F.array(*rows)).alias("s")).select(*keys, "s.*").select(*by, "min", "max", "avg", "stddev", "nan_count", "inf_count", "finite_count")
 
 
 def merged_stats(parts: DataFrame, by: tuple[str, ...]) -> DataFrame:

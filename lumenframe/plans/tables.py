@@ -25,7 +25,7 @@ def _stats() -> None:
     table_query(
         "st_merged_stats",
         lambda s, d: stats.merged_stats(stats.pixel_stats(rgba(s, d), ("image_id", "channel")), ("channel",)),
-        whole.replace("CAST(0 AS BIGINT) AS nan_count", "CAST(0 AS BIGINT) AS nan_count"),
+        whole,
         keys,
         numbers,
     )
