@@ -58,25 +58,29 @@ def merged_stats(parts: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def compare(a: Img, b: Img, fail: float, warn: float, fail_relative: float = 0.0) -> DataFrame:
     """Errors of two images over their union: mean, RMS, PSNR, the first greatest one, and counts over thresholds."""
-    both = paired(a, b)
-    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("p"), F.col(f"{c}2").alias("q")) for i, c in enumerate(a.channels)])
-    rows = both.df.select(*KEYS, F.explode(pairs).alias("s")).select(
-        *KEYS, "s.c", F.abs(F.col("s.p") - F.col("s.q")).alias("d"), ((F.abs("s.p") + F.abs("s.q")) / 2).alias("size")
-    )
-    limit = F.greatest(F.lit(fail), F.col("size") * fail_relative)
-    rms = F.sqrt(F.avg(F.col("d") * F.col("d")))
-    first = F.max_by(F.struct("image_id", "y", "x", "c"), F.struct(F.col("d"), -F.col("image_id"), -F.col("y"), -F.col("x"), -F.col("c")))
-    return rows.agg(
-        F.avg("d").alias("mean_error"),
-        rms.alias("rms_error"),
-        F.when(rms == 0, F.lit(float("inf"))).otherwise(20 * F.log10(1 / F.when(rms == 0, F.lit(1.0)).otherwise(rms))).alias("psnr"),
-        F.max("d").alias("max_error"),
-        first.alias("at"),
-        F.count_if(F.col("d") > limit).alias("nfail"),
-        F.count_if((F.col("d") > warn) & ~(F.col("d") > limit)).alias("nwarn"),
-    ).select(
-        "mean_error", "rms_error", "psnr", "max_error", F.col("at.image_id").alias("max_image"), F.col("at.y").alias("max_y"),
-        F.col("at.x").alias("max_x"), F.col("at.c").alias("max_c"), "nfail", "nwarn",
+    both, n = paired(a, b), len(a.channels)
+    total = lambda parts: sum(parts[1:], parts[0])
+    diffs = [F.abs(F.col(c) - F.col(f"{c}2")) for c in a.channels]
+    limits = [F.greatest(F.lit(fail), (F.abs(c) + F.abs(f"{c}2")) / 2 * fail_relative) for c in a.channels]
+    one = lambda hit: F.when(hit, 1).otherwise(0)
+    # The first in scan order among the greatest: the greatest by (difference, place negated).
+    worst = [
+        F.struct(d.alias("d"), (-F.col("image_id")).alias("i"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"), F.lit(-k).alias("c")) for k, d in enumerate(diffs)
+    ]
+    rows = both.df.select(
+        total(diffs).alias("sum"), total([d * d for d in diffs]).alias("square"), (F.greatest(*worst) if n > 1 else worst[0]).alias("worst"),
+        total([one(d > k) for d, k in zip(diffs, limits, strict=True)]).alias("fails"),
+        total([one((d > warn) & ~(d > k)) for d, k in zip(diffs, limits, strict=True)]).alias("warns"),
+    )
+    sums = rows.agg(
+        (F.sum("sum") / (F.count("*") * n)).alias("mean_error"), F.sqrt(F.sum("square") / (F.count("*") * n)).alias("rms_error"), F.max("worst").alias("at"),
+        F.coalesce(F.sum("fails"), F.lit(0)).alias("nfail"), F.coalesce(F.sum("warns"), F.lit(0)).alias("nwarn"),
+    )
+    rms = F.col("rms_error")
+    return sums.select(
+        "mean_error", "rms_error", F.when(rms == 0, F.lit(float("inf"))).otherwise(20 * F.log10(1 / F.when(rms == 0, F.lit(1.0)).otherwise(rms))).alias("psnr"),
+        F.col("at.d").alias("max_error"), (-F.col("at.i")).alias("max_image"), (-F.col("at.y")).alias("max_y"), (-F.col("at.x")).alias("max_x"),
+        (-F.col("at.c")).alias("max_c"), "nfail", "nwarn",
     )
 
 
