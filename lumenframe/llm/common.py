@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,13 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator of words.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Frequent short words of the corpus languages. Fixed values.
+STOP_WORDS = frozenset(
+    "a an and are as at be by for from he in is it of on or that the this to was were with you "
+    "das dem den der des die ein eine für im ist mit nicht sich und von zu "
+    "au avec ce dans de des du elle en est et la le les ne par pas pour que qui sur un une "
+    "al como con del el es la las lo los no o para por que se su un una y".split()
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df`, stored in the folder that the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session has none (tests, one machine).
+    A folder of our own is set only where the session has none and is a single process;
+    executors on other machines wouldn't see it. What is stored goes with the
+    session if spark.cleaner.referenceTracking.cleanCheckpoints is set, else it stays in that folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 

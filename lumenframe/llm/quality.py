@@ -15,7 +15,6 @@ scores are the share of class 1 (0.5 without labels).
 
 from __future__ import annotations
 
-import re
 import string
 
 import numpy as np
@@ -23,17 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, cut_lineage, slices
+from .common import STOP_WORDS, crc32_of, cut_lineage, slices
 
 SHRINKAGE, RIDGE, THRESHOLD = 0.2, 1e-3, 0.3
 FOLDS = 5
-#: Frequent short words of the corpus languages. Fixed values.
-STOP_WORDS = frozenset(
-    "a an and are as at be by for from he in is it of on or that the this to was were with you "
-    "das dem den der des die ein eine für im ist mit nicht sich und von zu "
-    "au avec ce dans de des du elle en est et la le les ne par pas pour que qui sur un une "
-    "al como con del el es la las lo los no o para por que se su un una y".split()
-)
 _KINDS = np.zeros((256, 6), np.int64)
 for _b in range(256):
     _c = chr(_b)
@@ -49,7 +41,6 @@ NAMES = (
     "length", "upper", "digit", "stops", "symbols", "lines", "word_length", "word_spread",
     "distinct_words", "top_word", "stop_words", "distinct_lines", "odd_words", "short_lines",
 )
-_ODD = re.compile(r"[^\W\d_]*[|#$%&*!@^~<>{}\[\]\\/=+_]+")
 
 
 def statistics(text: str | None) -> list[float]:
