@@ -9,8 +9,12 @@ pass an open block takes the label of the nearest decided blocks of its region
 nearer by, and between equals the text before it counts. A region with no decided block
 keeps what is open.
 
+A page with hardly any stop word is in a language that the list doesn't know. There
+long blocks count as text that consist of letters mostly and have the marks of sentences.
+
 Defined cases: a null or empty page has an empty text; unclosed tags, comments
-and raw elements run to the end of the page as in browsers; a page without any
+and raw elements run to the end of the page as in browsers, and tags that may be left open
+(paragraphs, list items, cells, options) end where the next one begins; a page without any
 tag is one block; repeated rows stay apart. Whole pages are read whatever their
 length.
 """
@@ -23,24 +27,21 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import STOP_WORDS, slices
 
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH, LINKS_HIGH = 0.12, 0.28, 0.5
-#: Frequent short words of the corpus languages. Fixed values.
-STOP_WORDS = frozenset(
-    "a an and are as at be by for from he in is it of on or that the this to was were with you "
-    "das dem den der des die ein eine für im ist mit nicht sich und von zu "
-    "au avec ce dans de des du elle en est et la le les ne par pas pour que qui sur un une "
-    "al como con del el es la las lo los no o para por que se su un una y".split()
-)
+#: Below this share of stop words in all its text a page's language is unknown; then prose has so many letters, and marks of sentences.
+STOPS_UNKNOWN, LETTERS_LEAST, MARKS_LEAST = 0.03, 0.7, 0.004
 #: Elements that stand inside a line. Fixed values.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
-#: Elements whose content isn't text of the page. Fixed values.
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas video audio select option button xmp noembed".split())
+#: Elements whose content is read as characters up to their end tag, and isn't text of the page. Fixed values.
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
+#: Other elements whose content isn't text of the page. Fixed values.
+NO_TEXT = frozenset("object svg math canvas video audio select datalist option optgroup button".split())
 #: Elements around a page's furniture. Fixed values.
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 #: Words of class, id and role that name furniture. Fixed values.
@@ -50,7 +51,19 @@ FURNITURE_WORDS = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promotion recommended related reply replies respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
+#: Marks that end or divide sentences. Fixed values.
+MARKS = frozenset(".,;:!?\u3002\u3001\uff0c\uff01\uff1f\u060c\u061f\u06d4\u0964")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_CELLS, _ROWS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
+#: What a start tag ends if it was left open, and in which elements it looks for that. Fixed values.
+ENDS = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    **{n: (frozenset(("dt", "dd")), frozenset(("dl",))) for n in ("dt", "dd")},
+    **{n: (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))) for n in ("option", "optgroup")},
+    **{n: (_CELLS, frozenset(("tr", "table"))) for n in _CELLS},
+    "tr": (_CELLS | {"tr"}, _ROWS | {"table"}),
+    **{n: (_CELLS | _ROWS | {"tr"}, frozenset(("table",))) for n in _ROWS},
+}
 _TAG = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
@@ -70,6 +83,8 @@ class Block:
 
 
 def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+    if name in NO_TEXT:
+        return True
     if name in FURNITURE:
         return not (name == "header" and in_article)
     if not attrs or name in ("html", "body", "article", "main"):
@@ -127,22 +142,35 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         links = 0
-        if name in VOID or name == "p":
+        if name in VOID:
             continue
         if ending:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == name:
                     del open_[i:]
                     break
-        elif not attrs.endswith("/"):
+            continue
+        if open_ and open_[-1][0] == "p":
+            open_.pop()
+        ends, within = ENDS.get(name, ((), ()))
+        for i in range(len(open_) - 1 if ends else -1, -1, -1):
+            if open_[i][0] in ends:
+                del open_[i:]
+            elif open_[i][0] in within:
+                break
+        if not attrs.endswith("/"):
             article, furniture = open_[-1][1:] if open_ else (False, False)
             open_.append((name, article or name in ("article", "main"), furniture or _is_furniture(name, attrs, article)))
     close()
     return out
 
 
-def decide(b: Block) -> bool | None:
-    """First pass: True (text), False (furniture) or None (open)."""
+def stop_share(words: list[str]) -> float:
+    return sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+
+
+def decide(b: Block, known: bool = True) -> bool | None:
+    """First pass: True (text), False (furniture) or None (open); `known`: the stop words know the page's language."""
     if b.furniture:
         return False
     size = len(b.text)
@@ -153,18 +181,25 @@ def decide(b: Block) -> bool | None:
         return False
     if size < SHORT:
         return False if links > 0 and not b.article else None
-    words = b.text.split()
-    stops = sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+    if b.article:
+        return True
+    if not known:
+        letters, marks = sum(map(str.isalpha, b.text)), sum(c in MARKS for c in b.text)
+        spaces = b.text.count(" ")
+        if letters < LETTERS_LEAST * (size - spaces) or marks < MARKS_LEAST * size:
+            return False
+        return True if size > LONG else None
+    stops = stop_share(b.text.split())
     if stops >= STOPS_HIGH or (stops >= STOPS_LOW and size > LONG):
         return True
-    if stops >= STOPS_LOW or b.article:
-        return None
-    return False
+    return None if stops >= STOPS_LOW else False
 
 
 def label(found: list[Block]) -> list[Block]:
     """`found` with every label set."""
-    first = [decide(b) for b in found]
+    words = [w for b in found if not b.furniture for w in b.text.split()]
+    known = not words or stop_share(words) >= STOPS_UNKNOWN
+    first = [decide(b, known) for b in found]
     nearest: list[tuple[list, list]] = [([], []) for _ in found]
     for direction, order in ((0, range(len(found))), (1, range(len(found) - 1, -1, -1))):
         seen: dict[bool, int] = {}
