@@ -17,8 +17,6 @@ without a language aren't learnt from; with no labelled row at all everything is
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +29,6 @@ PER_LANGUAGE, TRAIN_TEXTS, WINDOWS_EACH = 600, 20_000, 6
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +130,11 @@ class Network:
                     self.p[k] -= (step * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of `text` is alphabetic (digits of any script, fractions and numerals aren't)."""
+    return any(map(str.isalpha, text))
+
+
 def as_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -142,6 +144,7 @@ def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
     known = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_of("doc_id") % FOLDS != HELD_OUT)
     ).select("doc_id", "lang", "text")
+    # A row for each language.
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not counts:
         return [], np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64)
@@ -157,7 +160,7 @@ def training_windows(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray
     texts, labels = [], []
     for row in sorted(sample.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["pieces"])):
         for piece in row["pieces"]:
-            if _LETTER.search(piece):
+            if has_letter(piece):
                 texts.append(as_bytes(piece)[:LENGTH])
                 labels.append(number[row["lang"]])
     rows, owners, _ = windows(texts)
@@ -185,7 +188,7 @@ def predictor(langs: list[str], net: Network | None):
             end, total, held = begin, 0, []
             while end < len(texts) and total < 1 << 21:
                 t = texts[end]
-                held.append(as_bytes(t) if t and _LETTER.search(t) else b"")
+                held.append(as_bytes(t) if t and has_letter(t) else b"")
                 total += len(held[-1])
                 end += 1
             rows, owners, sizes = windows(held)
