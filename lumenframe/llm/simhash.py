@@ -8,7 +8,8 @@ Search. Fingerprints are cut into segments with radii r_i such that
 sum(r_i + 1) = RADIUS + 1: of two linked fingerprints, some segment i differs in
 at most r_i bits (else over RADIUS bits differ). So a table of (segment, key)
 is probed with the Hamming ball of radius r_i around each key, and complete
-distances verify what the table returns.
+distances verify what the table returns. The more fingerprints there are, the fewer and
+wider the segments, and the larger the balls (`segments`): keys stay selective.
 
 Crowded keys. A key of the table that over `crowd` fingerprints share isn't
 probed pair by pair. Its members and probers meet at codewords instead: a
@@ -26,6 +27,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, slices
 
 WORDS, SEED, RADIUS = 4, 42, 4
-#: (shift, bits, radius) of the segments; sum(radius + 1) is RADIUS + 1.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 CROWD = 1000
+#: A fingerprint that over one in HEAVY rows have is joined by a broadcast; fewer than HEAVY fingerprints can be.
+HEAVY = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -60,62 +63,80 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs."""
+def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns `keep`: fingerprints as signed longs."""
+    names = ["doc_id", *keep]
 
     def run(batches):
         for batch in slices(batches):
             fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps, pa.int64())], [*names, "fp"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{kinds}, fp bigint")
+
+
+def segments(count: int) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius) of each segment: two or three of them, with the fewest probes and expected candidates.
+
+    A probe meets ``count / 2**bits`` fingerprints on average: three segments of 45 probes
+    are the choice up to some 24 million fingerprints, two of 562 beyond.
+    """
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    def cut(n: int) -> list[tuple[int, int, int]]:
+        edges = [64 * i // n for i in range(n + 1)]
+        return [(a, b - a, (RADIUS + 1 - n + n - 1 - i) // n) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
+    def cost(found: list[tuple[int, int, int]]) -> float:
+        return sum(len(_masks(range(bits), radius)) * (1 + count / 2**bits) for _, bits, radius in found)
 
-def _ball(key: Column, bits: int, radius: int) -> Column:
-    """All keys within `radius` (0 or 1) of `key`."""
-    if radius == 0:
-        return F.array(key)
-    return F.array(key, *[key.bitwiseXOR(F.lit(1 << i).cast("bigint")) for i in range(bits)])
+    return min((cut(n) for n in (2, 3)), key=cost)
 
 
-def _keys(fps: DataFrame, probe: bool) -> DataFrame:
+def _masks(places: range | list[int], radius: int) -> list[int]:
+    """All differences of at most `radius` bits among `places`."""
+    return [sum(1 << i for i in some) for r in range(radius + 1) for some in combinations(places, r)]
+
+
+def _longs(values: list[int]) -> Column:
+    """The values, unsigned, as a constant array of signed longs."""
+    return F.split(F.lit(" ".join(str(v - (1 << 64) if v >> 63 else v) for v in values)), " ").cast("array<bigint>")
+
+
+def _keys(fps: DataFrame, cuts: list[tuple[int, int, int]], probe: bool) -> DataFrame:
     """(seg, key, fp, off): the segments' keys, or with `probe` the balls around them; off: bits away."""
 
     def entries(i: int, shift: int, bits: int, radius: int) -> Column:
         own = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
         return F.transform(
-            _ball(own, bits, radius if probe else 0),
-            lambda k: F.struct(F.lit(i).alias("seg"), k.alias("key"), F.bit_count(k.bitwiseXOR(own)).cast("int").alias("off")),
+            _longs(_masks(range(bits), radius if probe else 0)),
+            lambda m: F.struct(F.lit(i).alias("seg"), own.bitwiseXOR(m).alias("key"), F.bit_count(m).cast("int").alias("off")),
         )
 
-    every = [entries(i, *segment) for i, segment in enumerate(SEGMENTS)]
+    every = [entries(i, *cut) for i, cut in enumerate(cuts)]
     return fps.select("fp", F.explode(F.concat(*every)).alias("k")).select("k.seg", "k.key", "fp", "k.off")
 
 
-def _words(rest: Column, radius: Column) -> Column:
-    """All 64-bit words within `radius` (1 or 2) bits of `rest`."""
-    one = F.array(*[F.lit((1 << i) if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)])
-    near = F.concat(F.array(rest), F.transform(one, lambda b: rest.bitwiseXOR(b)))
-    far = F.flatten(F.transform(near, lambda w: F.transform(one, lambda b: w.bitwiseXOR(b))))
-    return F.when(radius == 1, near).otherwise(F.array_distinct(F.concat(near, far)))
-
-
-def _segment_mask(seg: Column) -> Column:
-    out = F.lit(0).cast("bigint")
-    for i, (shift, bits, _) in enumerate(SEGMENTS):
-        mask = ((1 << bits) - 1) << shift
-        out = F.when(seg == i, F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("bigint")).otherwise(out)
+def _words(cuts: list[tuple[int, int, int]]) -> Column:
+    """All codewords of (seg, fp, off): `fp` without its segment, and what differs from that in at most 2 - off other bits."""
+    out = None
+    for i, (shift, bits, _) in enumerate(cuts):
+        free = [i for i in range(64) if not shift <= i < shift + bits]
+        rest = F.col("fp").bitwiseAND(F.get(_longs([sum(1 << i for i in free)]), F.lit(0)))
+        arms = [F.transform(_longs(_masks(free, 2 - off)), rest.bitwiseXOR) for off in range(3)]
+        words = F.when(F.col("off") == 0, arms[0]).when(F.col("off") == 1, arms[1]).otherwise(arms[2])
+        out = F.when(F.col("seg") == i, words) if out is None else out.when(F.col("seg") == i, words)
     return out
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame, crowd: int = CROWD, cuts: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(a, b): pairs of the distinct fingerprints `fps` whose components are those of all links.
 
     Outside crowded keys these are all links; in crowded ones, for each codeword
     a link from every fingerprint to the least one.
     """
-    table, probes = _keys(fps, False), _keys(fps, True)
+    cuts = cuts or segments(fps.count())
+    table, probes = _keys(fps, cuts, False), _keys(fps, cuts, True)
     crowded = table.groupBy("seg", "key").count().where(F.col("count") > crowd).select("seg", "key")
     some = crowded.limit(1).count() > 0
     if some:
@@ -130,10 +151,7 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
         .select("a", "b")
     )
     if some:
-        rest = F.col("fp").bitwiseAND(F.bitwise_not(_segment_mask(F.col("seg"))))
-        met = held.select("seg", "key", "fp", F.explode(_words(rest, 2 - F.col("off"))).alias("word")).where(
-            F.col("word").bitwiseAND(_segment_mask(F.col("seg"))) == 0
-        )
+        met = held.select("seg", "key", "fp", F.explode(_words(cuts)).alias("word"))
         first = met.groupBy("seg", "key", "word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
         pairs = pairs.unionByName(
             met.join(first, ["seg", "key", "word"]).where(F.col("fp") > F.col("b")).select(F.col("fp").alias("a"), "b")
@@ -169,21 +187,39 @@ def components(pairs: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def grouped(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of `docs`."""
-    fps = cut_lineage(with_fingerprints(docs))
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(reps.select("fp"), crowd))
+def _components_of(fps: DataFrame, crowd: int, cuts: list[tuple[int, int, int]] | None) -> DataFrame:
+    """(fp, n, root, component_id) of each distinct fingerprint of `fps` (doc_id, fp); root: the same for all of a group, and only for them."""
+    reps = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(reps.select("fp"), crowd, cuts))
     # Only fingerprints that link to another one have a root; few documents have one.
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = cut_lineage(every.join(reps, every["node"] == reps["fp"]).select("node", "root", "least"))
     least = cut_lineage(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    linked = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    known = reps.join(linked, "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+    linked = named.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    own = F.col("root").isNull()
+    return cut_lineage(
+        reps.join(linked, "fp", "left").select(
+            "fp", "n", F.when(own, F.col("fp")).otherwise(F.col("root")).alias("root"), F.when(own, F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+        )
     )
-    # Both sides of the last join are then plain scans, so a fingerprint that a third of all rows share can be split.
-    return fps.join(cut_lineage(known), "fp").select("doc_id", "fp", "component_id")
+
+
+def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """`rows` with what `known` holds for their fingerprint, wherever their rows crowd.
+
+    A fingerprint of over one in HEAVY rows is joined by a broadcast of fewer than HEAVY
+    rows; the others, of few rows each, meet in a shuffle.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(known.where(F.col("n") * HEAVY > total).drop("n"))
+    light = known.where(F.col("n") * HEAVY <= total).drop("n")
+    return rows.join(heavy, "fp").unionByName(rows.join(heavy, "fp", "left_anti").join(light, "fp"))
+
+
+def grouped(docs: DataFrame, crowd: int = CROWD, cuts: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of `docs`."""
+    fps = cut_lineage(with_fingerprints(docs))
+    return _joined(fps, _components_of(fps, crowd, cuts)).select("doc_id", "fp", "component_id")
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
@@ -191,10 +227,19 @@ def op4_query(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group: that with the least id, and one of rows with equal ids.
+    """`docs` with one row of each group.
 
-    Rows without an id are kept apart from all others.
+    It is the row with the least id (a row without an id only where no row of the group has one), and
+    of several rows with that id the one whose two hashes of all columns are least. So
+    the choice doesn't depend on the order of rows, and an id on texts of several groups
+    stands in as many rows. Of rows that are equal in all columns one stays.
     """
-    keep = grouped(docs).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    told = [x for c in docs.columns for x in (docs[c], docs[c].isNull())]
+    # Equal rows, and only they, have equal hashes; with 128 bits, but for a chance of 2**-128 a pair.
+    marked = docs.select(F.xxhash64(F.lit(1), *told).alias("__h"), F.xxhash64(F.lit(2), *told).alias("__i"), F.struct(*docs.columns).alias("__row"))
+    fps = cut_lineage(with_fingerprints(marked.select("__row.doc_id", "__row.text", "__h", "__i"), ("__h", "__i")))
+    by_root = _joined(fps, _components_of(fps.select("doc_id", "fp"), CROWD, None)).groupBy("root")
+    best = by_root.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__h", "__i")).alias("b")).select("b.__h", "b.__i")
+    # Equal rows become one before the shuffle, so that no task gets very many of them.
+    single = marked.groupBy("__h", "__i").agg(F.first("__row").alias("__row"))
+    return single.join(cut_lineage(best), ["__h", "__i"], "left_semi").select("__row.*")
