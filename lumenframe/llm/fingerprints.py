@@ -13,14 +13,16 @@ repeated shingles count once. Two empty sketches resemble each other fully
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES
 
 WORDS, SIZE = 5, 128
-#: Rows that one chunk of neighbouring documents has at most, about; and chunks at most.
-CHUNK_ROWS, MOST_CHUNKS = 512, 1_000_000
+#: Rows of a chunk of neighbouring documents, about; chunks at most; and sampled places for each chunk's bound.
+CHUNK_ROWS, MOST_CHUNKS, EACH = 512, 1 << 16, 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -78,29 +80,53 @@ def merge_parts(df: DataFrame, keys: list[str], sketch: str, k: int = SIZE) -> D
 
     Each task keeps the `k` least distinct hashes of a group before the shuffle
     (a limited rank), so a group never gathers more than `k` hashes from a task.
+    A null sketch counts as empty; a group of empty sketches only has an empty one.
     """
-    hashes = df.select(*keys, F.explode(sketch).alias("__h")).distinct()
-    order = Window.partitionBy(*keys).orderBy("__h")
+    # An empty sketch stands as a null hash, ranked behind all others and left out of the list.
+    hashes = df.select(*keys, F.explode_outer(sketch).alias("__h")).distinct()
+    order = Window.partitionBy(*keys).orderBy(F.col("__h").asc_nulls_last())
     least = hashes.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
     return least.groupBy(*keys).agg(F.sort_array(F.collect_list("__h")).alias(sketch))
 
 
+def _place(text: Column) -> Column:
+    """Where a row stands among all: by id (null first), then by a hash of the text, then anywhere.
+
+    Written as text that sorts so. Rows with equal ids and texts are interchangeable, so
+    their last part only deals them out: however many there are, chunks can cut them.
+    """
+    hexed = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))), 16, "0")
+    at = F.col("doc_id").cast("bigint")
+    spread = F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0")
+    return F.concat(F.when(at.isNull(), "0").otherwise(F.concat(F.lit("1"), hexed(at))), hexed(F.xxhash64(F.coalesce(text, F.lit("")))), spread)
+
+
+def _bounds(docs: DataFrame, chunks: int, n: int) -> list[str]:
+    """Where all but the first of about `chunks` chunks of equally many rows begin, from a sample of EACH places a chunk."""
+    share = min(1.0, EACH * chunks / max(1, n))
+    some = docs.select(_place(F.col("text")).alias("p")).sample(share, seed=1).toPandas()["p"].sort_values().tolist()
+    return [some[len(some) * i // chunks] for i in range(1, chunks) if some]
+
+
 def in_chunks(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """(chunk, doc_id, text), the chunks in the order of doc_id.
+    """(chunk, place, doc_id, text), the chunks in the order of their places.
 
-    Chunks are equal ranges of doc_id; where ids crowd in few ranges a chunk grows,
-    and the window over it spills to disk. Rows without an id come first, spread by
-    a hash of their text.
+    Chunks hold about equally many rows however ids are spread. Their bounds come from a sample
+    that MOST_CHUNKS bounds; beyond that many chunks of `rows` rows chunks grow, and
+    the windows over them spill to disk.
     """
-    n, low, high = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
+    n = docs.count()
     chunks = max(1, min(MOST_CHUNKS, n // rows))
-    width = (high - low) // chunks + 1
-    chunk = F.when(
-        F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(chunks))
-    ).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)))
+    bounds = sorted(set(_bounds(docs, chunks, n))) if chunks > 1 else []
+    wide = max(1, math.isqrt(len(bounds)))
+    # Two short searches, among every `wide`-th bound and between two of those. A constant of MOST_CHUNKS places at most.
+    listed = lambda found: F.split(F.lit(" ".join(found)), " ") if found else F.array().cast("array<string>")
+    below = lambda found: F.size(F.filter(found, lambda b: b <= F.col("place")))
+    first = F.col("__first")
+    chunk = F.when(first == 0, 0).otherwise((first - 1) * wide + below(F.slice(listed(bounds), (first - 1) * wide + 1, F.lit(wide))))
+    placed = docs.select(_place(F.col("text")).alias("place"), "doc_id", "text").withColumn("__first", below(listed(bounds[::wide])))
     # Never null, so that no filter is inferred on it and both readers share one shuffle.
-    return docs.select(F.coalesce(chunk.cast("bigint"), F.lit(0)).alias("chunk"), "doc_id", "text")
+    return placed.select(F.coalesce(chunk.cast("bigint"), F.lit(0)).alias("chunk"), "place", "doc_id", "text")
 
 
 def fingerprinted(docs: DataFrame, k: int = SIZE) -> DataFrame:
@@ -108,18 +134,19 @@ def fingerprinted(docs: DataFrame, k: int = SIZE) -> DataFrame:
 
     The edited text is the document with its last half (in code points, rounded
     down) replaced by the first as many code points, or all, of the next
-    document in the order of (doc_id, text); the last document's next is the
+    document in the order of (doc_id, hash of the text); the last document's next is the
     first. Rows with equal ids and texts are interchangeable.
 
-    One shuffle carries the texts: neighbours meet in chunks of the id range,
+    One shuffle carries the texts: neighbours meet in chunks of the order,
     and only the first document of each chunk goes to the chunk before it.
     """
     chunked = in_chunks(docs)
     held = chunked.repartition("chunk")
-    order = Window.partitionBy("chunk").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    # Both readers of `held` need the same columns, so they share one shuffle.
+    order = Window.partitionBy("chunk").orderBy("place", "doc_id")
     firsts = held.withColumn("r", F.row_number().over(order)).where("r = 1").select("chunk", F.col("text").alias("next_text"))
     # A row for each chunk, of two numbers: bounded by MOST_CHUNKS.
-    ids = chunked.select("chunk").distinct()
+    ids = firsts.select("chunk")
     around = Window.orderBy("chunk")
     before = ids.select(
         F.col("chunk").alias("at"),
@@ -131,12 +158,11 @@ def fingerprinted(docs: DataFrame, k: int = SIZE) -> DataFrame:
     across = with_sketch(across, F.col("next_text"), "next_sketch", k)
     inside = with_sketch(held, F.col("text"), "sketch", k).select(
         "*",
-        F.row_number().over(order).alias("r"),
-        F.count("*").over(Window.partitionBy("chunk")).alias("n"),
+        F.lead(F.lit(False), 1, True).over(order).alias("last"),
         F.lead("text").over(order).alias("then_text"),
         F.lead("sketch").over(order).alias("then_sketch"),
     )
-    last = F.col("r") == F.col("n")
+    last = F.col("last")
     paired = inside.join(across, "chunk", "left").select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
