@@ -13,17 +13,18 @@ cosine of at least ``c = t / (|q| l)``:
   narrowest range, the other coordinates thin them out;
 * else length pruning: vectors sorted by norm, those of norm at least ``t / |q|``.
 
-What is left is verified with whole products, in float32 or float64, whichever
-represents all partial sums of the integers exactly.
+What is left is verified with whole products, in float32 or float64 where these
+represent all partial sums of the integers exactly. Where lengths are too large for that, float64
+only sorts out what is surely not among the k best, and the rest is multiplied in whole numbers of any size.
 
 Queries come in groups and meet the bucket parts they can't skip; each such tile
 returns the k best it holds for each query, above the bound.
 
 Defined cases: null vectors and vectors with null or non-finite components take
-no part; a shorter vector counts as padded with zeros; rows with the query's id are the
-query's own and no candidates of it; of repeated query ids one (the least vector)
-asks, repeated candidates each count; with fewer than k others all
-are returned; ties go to the smaller id.
+no part; a shorter vector counts as padded with zeros; every row with a query's id asks for itself, and
+every other row, of the same id too, is a candidate; with fewer than k others all
+are returned; ties go to the smaller id; a score beyond the range of a long is held at its
+end, and ties there.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -40,22 +41,29 @@ from .common import cut_lineage
 K, SCALE, EVERY = 20, 64, 20
 #: Norms of a bucket differ by this factor at most.
 NORM_STEP = 1.05
-#: Rows of a bucket part (grows with the table, so that parts stay under PARTS), and of a query group.
-PART_ROWS, MOST_PART_ROWS, PARTS, QUERY_ROWS = 8192, 262_144, 256, 65_536
+#: Bytes of a bucket part's vectors at most, rows of it at most, and rows of a query group.
+PART_BYTES, PART_ROWS, QUERY_ROWS = 1 << 24, 65_536, 65_536
 #: Vectors that seed the lower bounds.
 SEEDS = 1024
 COORDINATE_FROM, FOCUS = 0.8, 4
 SLACK = 1e-6
+#: What rounding changes at most, relative to the product of two lengths; and the least and greatest long. Fixed values.
+ROUNDED, LEAST, GREATEST = 1e-12, -(1 << 63), (1 << 63) - 1
 
 
 def integers(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v, norm): floor(SCALE * x) of every usable vector and its length."""
+    """(row, vec_id, v, norm): floor(SCALE * x) of every usable vector, as whole doubles, its length, and a number of its own."""
     x = F.col("embedding")
-    fine = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("bigint"))
-    rows = embeddings.where(fine & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
-    return rows.withColumn("norm", F.sqrt(square))
+    fine = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double") * SCALE) == float("inf")))
+
+    def whole(e: Column) -> Column:
+        y = e.cast("double") * SCALE  # a double beyond 2**53 is whole already
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    rows = embeddings.where(fine & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, whole).alias("v"))
+    most = F.greatest(F.array_max(F.transform("v", F.abs)), F.lit(1.0))
+    square = F.aggregate("v", F.lit(0.0), lambda a, e: a + (e / most) * (e / most))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "*", F.coalesce(F.sqrt(square) * most, F.lit(0.0)).alias("norm"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -79,13 +87,19 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """The lengths of the rows, of components of any size."""
+    most = np.maximum(np.abs(vectors).max(axis=1, initial=0), 1.0)
+    return np.sqrt(((vectors / most[:, None]) ** 2).sum(axis=1)) * most
+
+
 class Part:
     """A part of a bucket, ready for searches."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        norms = lengths_of(vectors)
         order = np.argsort(-norms, kind="stable")
-        self.ids, self.vectors, self.norms = ids[order], vectors[order], norms[order]
+        self.rows, self.ids, self.vectors, self.norms = rows[order], ids[order], vectors[order], norms[order]
         self.longest = float(self.norms[0]) if len(ids) else 0.0
         self.units = self.vectors / np.maximum(self.norms, 1e-300)[:, None]
         self._columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -124,35 +138,52 @@ class Part:
             if self._single is None:
                 self._single = self.vectors.astype(np.float32)
             return (queries.astype(np.float32) @ self._single[places].T).astype(np.float64)
-        return queries @ self.vectors[places].T
+        with np.errstate(over="ignore", invalid="ignore"):
+            return queries @ self.vectors[places].T
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
+    def search(self, rows: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int):
         """(query place, ids, scores): the k best of this part for each query, no worse than its bound."""
-        norms = np.sqrt((queries * queries).sum(axis=1))
+        norms = lengths_of(queries)
         reach = norms * self.longest
         with np.errstate(divide="ignore", invalid="ignore"):
             cosines = np.where((bounds > 0) & (reach > 0), bounds / reach, -1.0)
-        scanned = []
+        exact = reach < 1 << 53
+        scanned: tuple[list[int], list[int]] = ([], [])
         for i in np.nonzero(cosines <= 1 + SLACK)[0].tolist():
             if cosines[i] < COORDINATE_FROM:
-                scanned.append(i)
+                scanned[int(exact[i])].append(i)
                 continue
             at = self.by_coordinates(queries[i] / norms[i], float(cosines[i]) - SLACK)
             if len(at):
-                yield self._kept(i, ids[i], at, self.products(queries[i : i + 1], at, float(norms[i]))[0], bounds[i], k)
-        for begin in range(0, len(scanned), 128):
-            some = np.array(scanned[begin : begin + 128])
-            need = np.where((bounds[some] > 0) & (norms[some] > 0), bounds[some] / np.maximum(norms[some], 1e-300), 0.0)
-            far = int(np.searchsorted(-self.norms, -(need.min() - SLACK), "right")) if need.min() > 0 else len(self.ids)
-            scores = self.products(queries[some], slice(0, far), float(norms[some].max()))
-            for row, i in enumerate(some.tolist()):
-                yield self._kept(i, ids[i], np.arange(far), scores[row], bounds[i], k)
-
-    def _kept(self, i, own, at, scores, bound, k):
-        fine = (scores >= bound) & (self.ids[at] != own)
+                yield self._kept(i, rows[i], queries[i], at, self.products(queries[i : i + 1], at, float(norms[i]))[0], bounds[i], k, exact[i])
+        for group in scanned:
+            for begin in range(0, len(group), 128):
+                some = np.array(group[begin : begin + 128])
+                need = np.where((bounds[some] > 0) & (norms[some] > 0), bounds[some] / np.maximum(norms[some], 1e-300), 0.0).min()
+                far = int(np.searchsorted(-self.norms, -(need * (1 - SLACK) - SLACK), "right")) if need > 0 else len(self.rows)
+                scores = self.products(queries[some], slice(0, far), float(norms[some].max()))
+                for row, i in enumerate(some.tolist()):
+                    yield self._kept(i, rows[i], queries[i], np.arange(far), scores[row], bounds[i], k, exact[i])
+
+    def _kept(self, i, own, query, at, scores, bound, k, exact):
+        if exact:
+            fine = (scores >= bound) & (self.rows[at] != own)
+            at, scores = at[fine], scores[fine]
+            best = best_of(scores, self.ids[at], k)
+            return i, self.ids[at][best], scores[best].astype(np.int64)
+        # Rounded scores may be off by this much, and further if they passed the range of doubles.
+        size = float(lengths_of(query[None])[0])
+        off = ROUNDED * self.longest * size
+        fine = (self.rows[at] != own) & ~(scores < bound - off)
         at, scores = at[fine], scores[fine]
-        best = best_of(scores, self.ids[at], k)
-        return i, self.ids[at][best], scores[best]
+        if len(at) > k and np.isfinite(scores).all():
+            edge = np.partition(scores, len(scores) - k)[len(scores) - k] - 2 * off
+            # Scores held at an end tie, and the smaller id is better.
+            at = at[(scores >= edge) | (scores >= GREATEST - off) | (edge <= LEAST)]
+        asked = [int(x) for x in query]
+        whole = [min(max(sum(a * int(b) for a, b in zip(asked, self.vectors[j], strict=True)), LEAST), GREATEST) for j in at.tolist()]
+        best = sorted(range(len(at)), key=lambda j: (-whole[j], self.ids[at[j]]))[:k]
+        return i, self.ids[at][best], np.array([whole[j] for j in best], np.int64)
 
 
 def searched(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -165,64 +196,72 @@ def searched(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame
     table = binned.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.max(F.size("v")).alias("width")).collect()
     width = max((r["width"] for r in table), default=0)
     total = sum(r["n"] for r in table)
-    size = min(MOST_PART_ROWS, max(PART_ROWS, total // PARTS))
-    parts, spans = [], []
+    size = max(1, min(PART_ROWS, PART_BYTES // (8 * max(1, width))))
+    # (bucket, its first part, its parts, its greatest norm), the longest first.
+    spans, parts = [], 0
     for r in sorted(table, key=lambda r: -r["longest"]):
         count = -(-r["n"] // size)
-        spans.append((r["bucket"], len(parts), count))
-        parts += [r["longest"]] * count
-    spans_df = spark.createDataFrame(spans, "bucket int, first int, count int")
+        spans.append((r["bucket"], parts, count, r["longest"]))
+        parts += count
+    spans_df = spark.createDataFrame([s[:3] for s in spans], "bucket int, first int, count int")
     data = binned.join(F.broadcast(spans_df), "bucket").select(
-        (F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("count"))).cast("int").alias("part"), "vec_id", "v"
+        (F.col("first") + F.pmod(F.xxhash64("row"), F.col("count"))).cast("int").alias("part"), "row", "vec_id", "v"
     )
-    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    seeds = rows.orderBy(F.xxhash64(F.lit("seed"), "vec_id"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
-    seed_ids = seeds.column("vec_id").to_numpy()
-    seed_part = Part(seed_ids, _matrix(seeds.column("v").combine_chunks(), width) if len(seed_ids) else np.zeros((0, width)))
-    lengths = np.array(parts)
+    asking = rows.where(F.col("vec_id") % every == 0).select("row", "v")
+    seeds = rows.orderBy(F.xxhash64(F.lit("seed"), "vec_id"), "vec_id").limit(SEEDS).select("row", "vec_id", "v").toArrow()
+    seed_rows, seed_ids = seeds.column("row").to_numpy(), seeds.column("vec_id").to_numpy()
+    seed_part = Part(seed_rows, seed_ids, _matrix(seeds.column("v").combine_chunks(), width) if len(seed_ids) else np.zeros((0, width)))
+    lengths, starts = np.array([s[3] for s in spans]), np.array([s[1] for s in spans] + [parts])
 
     def bound(batches):
         for batch in batches:
             queries = _matrix(batch.column("v"), width)
-            ids = batch.column("vec_id").to_numpy()
-            norms = np.sqrt((queries * queries).sum(axis=1))
-            least = np.full(len(ids), -np.inf)
-            for i, _, scores in seed_part.search(ids, queries, np.full(len(ids), -np.inf), k):
+            numbers = batch.column("row").to_numpy()
+            norms = lengths_of(queries)
+            least = np.full(len(numbers), -np.inf)
+            for i, _, scores in seed_part.search(numbers, queries, np.full(len(numbers), -np.inf), k):
                 if len(scores) == k:
-                    least[i] = scores[-1]
-            meets = [np.nonzero(n * lengths >= b - SLACK)[0].astype(np.int32) if b > 0 else np.arange(len(lengths), dtype=np.int32) for n, b in zip(norms, least, strict=True)]
+                    least[i] = float(scores[-1]) * (1 - ROUNDED if scores[-1] > 0 else 1 + ROUNDED)
+            # Buckets, and so parts, stand in the order of their greatest norms: those a query can't skip come first.
+            reach = [np.searchsorted(-n * lengths, -(b * (1 - SLACK) - SLACK), "right") if b > 0 else len(lengths) for n, b in zip(norms, least, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("v"), pa.array(least, pa.float64()), pa.array(meets, pa.list_(pa.int32()))],
-                ["vec_id", "v", "bound", "parts"],
+                [batch.column("row"), batch.column("v"), pa.array(least, pa.float64()), pa.array(starts[np.array(reach, np.int64)], pa.int32())],
+                ["row", "v", "bound", "parts"],
             )
 
     groups = max(1, -(-(total // every + 1) // QUERY_ROWS))
-    bounded = asking.mapInArrow(bound, "vec_id bigint, v array<bigint>, bound double, parts array<int>")
+    bounded = asking.mapInArrow(bound, "row bigint, v array<double>, bound double, parts int").where("parts > 0")
     query_tiles = bounded.select(
-        F.explode("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), "vec_id", "v", "bound"
-    )
-    data_tiles = data.select("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "v")
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"), "row", "v", "bound",
+    )
+    # A part goes to the groups with a query that asks for it.
+    asked = bounded.groupBy(F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")).agg(F.max("parts").alias("parts"))
+    tiles = cut_lineage(asked.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    data_tiles = data.join(tiles, "part").select("part", "group", "row", "vec_id", "v")
 
     def tile(key, left, right):
         ids, scores, owners = [], [], []
         if len(left) and len(right):
-            held = Part(left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks(), width))
-            asked = right.column("vec_id").to_numpy()
+            held = Part(left.column("row").to_numpy(), left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks(), width))
+            numbers = right.column("row").to_numpy()
             queries, bounds = _matrix(right.column("v").combine_chunks(), width), right.column("bound").to_numpy()
-            for i, found, best in held.search(asked, queries, bounds, k):
+            for i, found, best in held.search(numbers, queries, bounds, k):
                 ids.append(found)
                 scores.append(best)
-                owners.append(np.full(len(found), asked[i]))
+                owners.append(np.full(len(found), numbers[i]))
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"query_id": join(owners), "vec_id": join(ids), "score": join(scores)})
+        return pa.table({"row": join(owners), "vec_id": join(ids), "score": join(scores)})
 
     found = (
         data_tiles.groupBy("part", "group")
         .cogroup(query_tiles.groupBy("part", "group"))
-        .applyInArrow(tile, "query_id bigint, vec_id bigint, score bigint")
+        .applyInArrow(tile, "row bigint, vec_id bigint, score bigint")
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    names = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"))
+    return best.join(names, "row").select("query_id", "rank", "vec_id", "score")
 
 
 def op6_query(embeddings: DataFrame) -> DataFrame:
@@ -231,11 +270,12 @@ def op6_query(embeddings: DataFrame) -> DataFrame:
 
 #: The same in SQL: all products, ranked.
 OP6_SQL = f"""
-WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL),
-fine AS (SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))),
-ints AS (SELECT p.vec_id, i, floor({SCALE} * x) AS v FROM parts p JOIN fine USING (vec_id)),
-scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.v * c.v)::BIGINT AS score FROM ints q JOIN ints c ON q.i = c.i AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % {EVERY} = 0 GROUP BY 1, 2),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scores)
+WITH numbered AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL),
+parts AS (SELECT r, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM numbered),
+fine AS (SELECT r FROM parts GROUP BY r HAVING bool_and(x IS NOT NULL AND isfinite(x))),
+ints AS (SELECT r, p.vec_id, i, floor({SCALE} * x) AS v FROM parts p JOIN fine USING (r)),
+scores AS (SELECT q.r, q.vec_id AS query_id, c.r AS c, c.vec_id, sum(q.v * c.v)::BIGINT AS score FROM ints q JOIN ints c ON q.i = c.i AND q.r <> c.r
+  WHERE q.vec_id % {EVERY} = 0 GROUP BY ALL),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
 """
