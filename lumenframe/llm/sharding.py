@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import digest, hashed_unit, hashed_unit_sql
 
-#: Sub-buckets of a shard in which slots are counted apart: three hexadecimal digits of a hash.
+#: Sub-buckets of a shard, in which slots are counted apart: three hexadecimal digits of a hash.
 SUBS = 16**3
 
 
@@ -84,23 +84,24 @@ def placed(key: Column, cluster: list[Shard]) -> Column:
     return below(below(below(F.lit("")))).cast("int")
 
 
-def with_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
-    """`df` with gapless slot numbers from 0 within each shard.
+def with_slots(df: DataFrame, shard: str, key: str, spread: tuple[str, ...] = (), slot: str = "slot") -> DataFrame:
+    """`df` with gapless slot numbers from 0 within each shard (which is never null).
 
-    A shard is counted in SUBS hashed sub-buckets, so no task gets a whole
-    shard; the offsets of the sub-buckets are a table of shards x SUBS rows,
-    which may be broadcast. Order within a shard: sub-bucket, then key.
+    Equal rows are counted before the shuffle and written out again at the end. The others are
+    counted in SUBS sub-buckets of each shard, by a hash of `key` and the columns `spread`, so no task
+    gets a whole shard or all rows of a key. Order within a shard: sub-bucket, key, the other columns.
     """
-    sub = F.conv(F.substring(digest("slot", F.col(key)), 1, 3), 16, 10).cast("int")
-    rows = df.withColumn("__sub", sub)
-    counts = rows.groupBy(shard, "__sub").agg(F.count("*").alias("__n"))
+    others = [c for c in df.columns if c not in (shard, key)]
+    sub = F.conv(F.substring(digest("slot", F.col(key), *(F.col(c) for c in spread)), 1, 3), 16, 10).cast("int")
+    rows = df.groupBy(df.columns).agg(F.count("*").alias("__copies")).withColumn("__sub", sub)
+    counts = rows.groupBy(shard, "__sub").agg(F.sum("__copies").alias("__n"))
     ahead = Window.partitionBy(shard).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "__sub", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__at"))
-    ties = [F.col(c) for c in df.columns if c not in (shard, key)]
-    within = Window.partitionBy(shard, "__sub").orderBy(F.col(key), *ties)
-    numbered = rows.withColumn("__k", F.row_number().over(within))
-    return numbered.join(F.broadcast(offsets), [shard, "__sub"]).select(
-        *df.columns, (F.col("__at") + F.col("__k") - 1).cast("bigint").alias(slot)
+    within = Window.partitionBy(shard, "__sub").orderBy(key, *others).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("__k", F.coalesce(F.sum("__copies").over(within), F.lit(0)))
+    first = (F.col("__at") + F.col("__k")).cast("bigint")
+    return numbered.join(offsets, [shard, "__sub"]).select(
+        *df.columns, F.explode(F.sequence(first, first + F.col("__copies") - 1)).alias(slot)
     )
 
 
@@ -112,12 +113,12 @@ def op5_query(docs: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
         placed(F.col("doc_id"), cluster).alias("shard"),
         placed(F.col("doc_id"), grown(cluster)).alias("grown_shard"),
     )
-    return with_slots(rows, "shard", "doc_id").select(
-        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    # The other columns follow from the id.
+    return with_slots(rows, "shard", "doc_id", ("size", "text_crc32")).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
 
 
@@ -147,5 +148,5 @@ sized AS (SELECT doc_id, text, (length(h) // 2 + 8)::BIGINT AS size,
 placed AS (SELECT doc_id, size, text_crc32, ({_placed_sql(layout(24), "doc_id")})::INT AS shard,
   ({_placed_sql(grown(layout(24)), "doc_id")})::INT AS grown_shard FROM sized)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-  row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot|' || coalesce(doc_id::VARCHAR, '')), 1, 3), doc_id, size, text_crc32) - 1 AS slot FROM placed
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot|' || coalesce(doc_id::VARCHAR, '') || '|' || size || '|' || text_crc32), 1, 3), doc_id, size, text_crc32) - 1 AS slot FROM placed
 """
