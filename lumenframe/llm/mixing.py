@@ -20,18 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, hashed_unit
+from .common import cut_lineage, digest, hashed_unit
 
 #: Means above this are split in equal parts; then the first term exp(-mean) is far from underflow.
 MOST_MEAN = 32.0
 #: Terms of the inverted distribution; at MOST_MEAN the chance beyond them is under 1e-60.
 TERMS = 180
-#: More sources than this are joined by a shuffle, fewer are broadcast.
-BROADCAST_SOURCES = 100_000
+#: A source of over one in HEAVY documents is joined by a broadcast; fewer than HEAVY sources can be.
+HEAVY = 1024
 
 
 def with_rates(sizes: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
-    """(source, n) with the mean repetition rate of each source.
+    """(source, n, rate): `sizes` (source, n) with the mean repetition rate of each source.
 
     Without given weights, a source's target share is its size to `power`, so a
     power under 1 evens the sources out.
@@ -40,11 +40,11 @@ def with_rates(sizes: DataFrame, weights: dict[str, float] | None, power: float)
         weighted = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
         given = sizes.sparkSession.createDataFrame(list(weights.items()) or [("", 0.0)], "source string, weight double")
-        weighted = sizes.join(F.broadcast(given), "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        weighted = sizes.join(given, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     total, rows = weighted.agg(F.sum("weight"), F.sum("n")).first()
     if not total:
-        return weighted.select("source", F.lit(0.0).alias("rate"))
-    return weighted.select("source", (F.col("weight") / F.lit(float(total)) * F.lit(rows) / F.col("n")).alias("rate"))
+        return weighted.select("source", "n", F.lit(0.0).alias("rate"))
+    return weighted.select("source", "n", (F.col("weight") / F.lit(float(total)) * F.lit(rows) / F.col("n")).alias("rate"))
 
 
 def inverted(mean: Column) -> Column:
@@ -60,17 +60,20 @@ def inverted(mean: Column) -> Column:
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7) -> DataFrame:
     """The columns of `docs` in struct `row`, with rate, copies, copy (from 0) and shuffle_key, in shuffled order."""
-    source = F.col("source")
-    sizes = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n"))
+    sizes = cut_lineage(docs.groupBy("source").agg(F.count("*").alias("n")))
     rates = with_rates(sizes, weights, power)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MOST_MEAN))).cast("int")
-    plan = rates.select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), parts.alias("__parts")).withColumn(
+    plan = rates.select(F.col("source").alias("__s"), "n", F.col("rate").alias("__rate"), parts.alias("__parts")).withColumn(
         "__cdf", inverted(F.col("__rate") / F.col("__parts"))
     )
-    if sizes.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    # Large sources, of which there are few, come to their documents; those of the many small sources meet in a shuffle.
+    heavy, light = F.broadcast(plan.where(F.col("n") * HEAVY > total)), plan.where(F.col("n") * HEAVY <= total)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    joined = packed.join(plan, F.col("row.source").eqNullSafe(F.col("__s")))
+    on = F.col("row.source").eqNullSafe(F.col("__s"))
+    joined = packed.join(heavy, on)
+    if light.limit(1).count():
+        joined = joined.unionByName(packed.join(heavy, on, "left_anti").join(light, on))
 
     def one(part: Column) -> Column:
         u = hashed_unit(str(seed), F.col("row.doc_id"), part)
