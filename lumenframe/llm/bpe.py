@@ -1,16 +1,17 @@
 """Byte-level BPE with content-defined chunk reuse.
 
 Texts are cut into chunks where a rolling hash of the last 16 bytes says so, so
-equal passages in different documents give equal chunks. A task encodes each
-distinct chunk once and keeps the result in a bounded cache (a chunk that has
+equal passages in different documents give equal chunks. A Python worker encodes each
+distinct chunk once, for all the documents of its tasks, and keeps the result in a bounded cache (a chunk that has
 left the cache is encoded again: the bound costs time, never exactness).
 
 Chunks are then joined. Text breaks between a visible ASCII character and a space or
 newline whatever surrounds it: no alternative of the split pattern runs
 across such a place, so encoding piece by piece is exact there. At each join the
-text from the last break of the left chunk to the first break of the right one
-is encoded again and replaces both chunks' tokens there. A chunk is trusted only
-if its own tokens end exactly at its breaks; else the window grows over the
+text from the last break of the left chunk to the second break of the right one
+is encoded again. If what it gives between the first two breaks of the right chunk is
+exactly what the chunk has there, the new tokens replace both chunks' tokens up to that place. Else, and where a chunk's
+own tokens don't end at its breaks, the window grows over the
 whole chunk, and on, until a chunk agrees or the text ends.
 
 The vocabulary is read from a tokenizers JSON file on the driver and broadcast
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import OrderedDict
 from itertools import accumulate
 
@@ -43,7 +45,7 @@ CUT_BITS = 9
 CACHE_TOKENS = 2_000_000
 #: The split pattern of byte-level BPE files. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_FIRST_BREAK = re.compile(rb"[\x21-\x7e](?=[ \n])")
+_BREAK = re.compile(rb"[\x21-\x7e](?=[ \n])")
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -55,12 +57,14 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Chunk:
-    """A chunk's tokens, and where they can be cut: (bytes, tokens) before the first and the last break."""
+    """A chunk's tokens, and where they can be cut: (bytes, tokens) before its first, second and last break."""
 
-    __slots__ = ("first", "ids", "last")
+    __slots__ = ("first", "ids", "last", "second")
 
-    def __init__(self, ids: list[int], first: tuple[int, int] | None, last: tuple[int, int] | None):
-        self.ids, self.first, self.last = ids, first, last
+    def __init__(self, ids: list[int], first=None, second=None, last=None):
+        self.ids = ids
+        #: All of them or none.
+        self.first, self.second, self.last = (first, second, last) if first and second and last else (None, None, None)
 
 
 class Codec:
@@ -110,14 +114,14 @@ class Codec:
             return found
         self.encoded += 1
         ids = self.plain(text)
-        first, last = _FIRST_BREAK.search(text), max(text.rfind(b" "), text.rfind(b"\n"))
+        out = Chunk(ids)
+        first, last = _BREAK.search(text), max(text.rfind(b" "), text.rfind(b"\n"))
+        second = _BREAK.search(text, first.end()) if first else None
         while last > 0 and not 0x21 <= text[last - 1] <= 0x7E:
             last = max(text.rfind(b" ", 0, last), text.rfind(b"\n", 0, last))
-        a = b = None
-        if first and last > 0:
+        if second:
             ends = list(accumulate(map(self.sizes.__getitem__, ids)))
-            a, b = self._tokens(ends, first.end()), self._tokens(ends, last)
-        out = Chunk(ids, a, b) if a and b else Chunk(ids, None, None)
+            out = Chunk(ids, *(self._tokens(ends, at) for at in (first.end(), second.end(), last)))
         self.cache[text] = out
         self.held += len(ids)
         while self.held > self.most:
@@ -127,8 +131,6 @@ class Codec:
     @staticmethod
     def _tokens(ends: list[int], at: int) -> tuple[int, int] | None:
         """(at, tokens before it), if a token ends there."""
-        from bisect import bisect_left
-
         k = bisect_left(ends, at)
         return (at, k + 1) if k < len(ends) and ends[k] == at else None
 
@@ -145,10 +147,13 @@ class Codec:
             if c.first:
                 if open_ is None:
                     out += c.ids[: c.last[1]]
+                    open_ = begin + c.last[0]
                 else:
-                    out += self.plain(text[open_ : begin + c.first[0]])
-                    out += c.ids[c.first[1] : c.last[1]]
-                open_ = begin + c.last[0]
+                    again, both = self.plain(text[open_ : begin + c.second[0]]), c.ids[c.first[1] : c.second[1]]
+                    if again[-len(both) :] == both:
+                        out += again
+                        out += c.ids[c.second[1] : c.last[1]]
+                        open_ = begin + c.last[0]
             elif open_ is None:
                 open_ = begin
             begin = end
@@ -174,6 +179,18 @@ class Codec:
         return hashlib.sha256(",".join(map(self.text_of.__getitem__, ids)).encode()).hexdigest()
 
 
+#: The codec that a Python worker keeps from one task to the next.
+_KEPT: dict[bytes, Codec] = {}
+
+
+def kept_codec(file: bytes) -> Codec:
+    key = hashlib.sha256(file).digest()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Codec(file)
+    return _KEPT[key]
+
+
 #: What `coded` can return for each text.
 OUTPUTS = {
     "ids": ("array<int>", pa.list_(pa.int32()), lambda codec, ids: ids),
@@ -192,7 +209,7 @@ def coded(docs: DataFrame, file: str, want: tuple[str, ...] = ("ids", "decoded")
     names = ["doc_id", *want]
 
     def run(batches):
-        codec = Codec(held.value)
+        codec = kept_codec(held.value)
         for batch in slices(batches):
             texts, out = batch.column("text"), [[] for _ in want]
             for t in texts:
