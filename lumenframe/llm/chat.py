@@ -12,14 +12,14 @@ A backslash in text or role stands before the character it keeps literal. The pa
 is deterministic: an opener decides the kind of a turn, and the turn ends at the
 first closer that no backslash guards. A turn is written as it is, parsed and compared with its source;
 if they differ, conflicting content is escaped, step by step
-(backslashes; then every control string too), until both are identical. Every
-turn is parsed to its own end, so a conversation's turns parse one after another.
+(backslashes; then every control string too), until both are identical.
 
-The loss mask covers the text of assistant turns.
+The loss mask covers the text of assistant turns, as spans of the formatted conversation.
 
-Turns are written where they are read, spread over the cluster. Only the digests of
-a conversation need its turns in order; a task streams them from a sort, holding
-one turn and running hashes, however long the conversation.
+Turns are written where they are read, spread over the cluster. A conversation is the
+written turns in order; a task streams them from a sort into a parser that
+gets text only, not where turns begin or end (`Reader`). It holds what it hasn't parsed yet and
+running hashes, however long the conversation.
 
 Defined cases: a null text is an empty one, a null role the role ""; turns
 are ordered by (turn, role, text), null turns first; repeated rows are turns of
@@ -112,87 +112,163 @@ def render_turn(role: str, text: str) -> str:
     raise ValueError("a turn doesn't parse back")
 
 
+class Reader:
+    """Parses a formatted conversation that arrives in pieces, cut anywhere."""
+
+    def __init__(self):
+        self.text, self.begin = "", 0
+
+    def feed(self, text: str) -> list[tuple[str, str, int, int]]:
+        """(role, text, begin and end of the written text in the whole conversation) of each turn that is complete now.
+
+        A turn ends at the first unguarded closer, so what follows can't change it.
+        """
+        self.text += text
+        at, turns = 0, []
+        while at < len(self.text) and (turn := parse_turn(self.text, at)):
+            turns.append((*turn[:2], self.begin + turn[2], self.begin + turn[3]))
+            at = turn[4]
+        self.text, self.begin = self.text[at:], self.begin + at
+        return turns
+
+    def end(self) -> None:
+        if self.text:
+            raise ValueError("not a formatted conversation")
+
+
 def rendered(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, piece, mask_begin, mask_end): each turn written out.
+    """(conv_id, turn, role, piece, text_begin, text_end): each turn written out, and where its text stands in the piece.
 
-    The formatted conversation is its pieces in order. mask_begin and mask_end
-    bound the part of the piece under the loss mask (null: none).
+    The formatted conversation is its pieces in order.
     """
 
     def run(batches):
         for batch in batches:
             roles = [r or "" for r in batch.column("role").to_pylist()]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            pieces = [render_turn(r, t) for r, t in zip(roles, texts, strict=True)]
-            spans = [parse_turn(p)[2:4] if r == "assistant" else (None, None) for r, p in zip(roles, pieces, strict=True)]
+            pieces = [render_turn(r, t or "") for r, t in zip(roles, batch.column("text").to_pylist(), strict=True)]
+            spans = [parse_turn(p)[2:4] for p in pieces]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("conv_id"), batch.column("turn"), pa.array(roles, pa.string()), pa.array(texts, pa.string()),
-                    pa.array(pieces, pa.string()), pa.array([s[0] for s in spans], pa.int32()), pa.array([s[1] for s in spans], pa.int32()),
+                    batch.column("conv_id"), batch.column("turn"), pa.array(roles, pa.string()), pa.array(pieces, pa.string()),
+                    pa.array([s[0] for s in spans], pa.int32()), pa.array([s[1] for s in spans], pa.int32()),
                 ],
-                ["conv_id", "turn", "role", "text", "piece", "mask_begin", "mask_end"],
+                ["conv_id", "turn", "role", "piece", "text_begin", "text_end"],
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in conversations.schema}
-    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, piece string, mask_begin int, mask_end int"
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, piece string, text_begin int, text_end int"
     return conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, schema)
 
 
+def _in_order(conversations: DataFrame) -> DataFrame:
+    """(conv_id, piece, mask_begin, mask_end): the pieces of each conversation in one partition, in order of (turn, role, text)."""
+    pieces = rendered(conversations).repartition("conv_id")
+    written = F.substring(F.col("piece"), F.col("text_begin") + 1, F.col("text_end") - F.col("text_begin"))
+    text = F.regexp_replace(written, r"(?s)\\(.)", "$1")
+    masked = lambda c: F.when(F.col("role") == "assistant", F.col(c))
+    return pieces.sortWithinPartitions("conv_id", "turn", "role", text).select(
+        "conv_id", "piece", masked("text_begin").alias("mask_begin"), masked("text_end").alias("mask_end")
+    )
+
+
+def _folded(conversations: DataFrame, names: dict[str, tuple[str, pa.DataType]], start) -> DataFrame:
+    """The rows that ``start(conv_id)`` makes of each conversation: of ``add(piece, begin, end)`` and at last of ``finish()``."""
+    kind = next(f.dataType.simpleString() for f in conversations.schema if f.name == "conv_id")
+
+    def run(batches):
+        now, done, id_type = None, [], None
+
+        def flush():
+            columns = list(zip(*done, strict=True)) or [()] * (1 + len(names))
+            done.clear()
+            types = [id_type, *(t for _, t in names.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["conv_id", *names])
+
+        for batch in batches:
+            id_type = batch.schema.field("conv_id").type
+            for conv_id, piece, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if now is None or now.conv_id != conv_id:
+                    if now is not None:
+                        done += now.finish()
+                    now = start(conv_id)
+                done += now.add(piece, begin, end)
+                if len(done) >= 4096:
+                    yield flush()
+        if now is not None:
+            done += now.finish()
+        if done:
+            yield flush()
+
+    schema = ", ".join([f"conv_id {kind}", *(f"{name} {spark_type}" for name, (spark_type, _) in names.items())])
+    return _in_order(conversations).mapInArrow(run, schema)
+
+
 class _Digest:
-    """Running digests of one conversation, read back from its pieces."""
+    """Running digests of one conversation, parsed again from its formatted text."""
 
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.all, self.loss, self.reader = hashlib.sha256(), hashlib.sha256(), Reader()
 
-    def add(self, piece: str, begin: int | None, end: int | None) -> None:
-        role, text = parse_turn(piece)[:2]
-        self.turns += 1
+    def add(self, piece: str, begin: int | None, end: int | None) -> list[tuple]:
+        for role, text, *_ in self.reader.feed(piece):
+            self.turns += 1
+            self.all.update(f"{role}\n{text}\n".encode())
         self.chars += len(piece)
-        self.all.update(f"{role}\n{text}\n".encode())
         if begin is not None:
             masked = re.sub(r"\\(.)", r"\1", piece[begin:end], flags=re.S)
             self.loss_chars += len(masked)
             self.loss.update(masked.encode())
+        return []
 
-    def row(self) -> tuple:
-        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+    def finish(self) -> list[tuple]:
+        self.reader.end()
+        return [(self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)]
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """One row for each conversation, read back from its formatted text."""
-    pieces = rendered(conversations).repartition("conv_id")
-    ordered = pieces.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "piece", "mask_begin", "mask_end")
-    kind = next(f.dataType.simpleString() for f in conversations.schema if f.name == "conv_id")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = {
+        "n_turns": ("bigint", pa.int64()), "turns_sha256": ("string", pa.string()), "loss_chars": ("bigint", pa.int64()),
+        "loss_sha256": ("string", pa.string()), "formatted_chars": ("bigint", pa.int64()),
+    }
+    return _folded(conversations, names, _Digest)
 
-    def run(batches):
-        now, done = None, []
 
-        def flush(kind):
-            columns = list(zip(*done, strict=True)) or [()] * len(names)
-            types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+class _Parts:
+    """The formatted text of a conversation in parts of whole turns, with the loss mask of each."""
+
+    def __init__(self, conv_id, most: int):
+        self.conv_id, self.most, self.part, self.begin = conv_id, most, 0, 0
+        self.pieces: list[str] = []
+        self.size, self.mask = 0, []
+
+    def add(self, piece: str, begin: int | None, end: int | None) -> list[tuple]:
+        out = self.finish() if self.pieces and self.size + len(piece) > self.most else []
+        if begin is not None:
+            self.mask.append({"begin": self.size + begin, "end": self.size + end})
+        self.pieces.append(piece)
+        self.size += len(piece)
+        return out
+
+    def finish(self) -> list[tuple]:
+        row = (self.conv_id, self.part, self.begin, "".join(self.pieces), self.mask)
+        self.part, self.begin = self.part + 1, self.begin + self.size
+        self.pieces, self.size, self.mask = [], 0, []
+        return [row]
 
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("conv_id").type
-            for conv_id, piece, begin, end in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if now is None or now.conv_id != conv_id:
-                    if now is not None:
-                        done.append(now.row())
-                    now = _Digest(conv_id)
-                now.add(piece, begin, end)
-            if len(done) >= 4096:
-                yield flush(id_type)
-        if now is not None:
-            done.append(now.row())
-        if done:
-            yield flush(id_type)
 
-    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return ordered.mapInArrow(run, schema)
+def formatted(conversations: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(conv_id, part, begin, text, mask): the formatted conversations and the spans of their texts under the loss mask.
+
+    A conversation of over `most` characters comes in parts of whole turns, numbered from 0, `begin` characters from its start.
+    """
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    names = {
+        "part": ("bigint", pa.int64()), "begin": ("bigint", pa.int64()), "text": ("string", pa.string()),
+        "mask": ("array<struct<begin:bigint,end:bigint>>", span),
+    }
+    return _folded(conversations, names, lambda conv_id: _Parts(conv_id, most))
 
 
 def op9_query(conversations: DataFrame) -> DataFrame:
