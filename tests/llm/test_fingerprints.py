@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -29,22 +30,46 @@ def test_query_against_brute_force(spark, docs):
     assert got[1].fingerprint == ""
 
 
-def test_many_chunks(spark):
+def test_many_chunks(spark, monkeypatch):
     rows = [(i * 3, f"text number {i} of the many that there are") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    before = fp.CHUNK_ROWS
-    try:
-        fp.CHUNK_ROWS = 16
-        chunks = fp.in_chunks(df, 16)
-        assert chunks.select("chunk").distinct().count() > 10
-    finally:
-        fp.CHUNK_ROWS = before
+    assert len(chunk_sizes(df, 16)) > 10
+    monkeypatch.setattr(fp.in_chunks, "__defaults__", (16,))
     got = {r.doc_id: r.edited_sha256 for r in fp.op1_query(df).collect()}
     for i, (doc, text) in enumerate(rows):
         half, after = len(text) // 2, rows[(i + 1) % 300][1]
         assert got[doc] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
 
 
+def chunk_sizes(df, rows):
+    return sorted(r["count"] for r in fp.in_chunks(df, rows).groupBy("chunk").count().collect())
+
+
+def test_chunks_are_even_however_ids_are_spread(spark):
+    rows = [(i, f"text {i}") for i in range(5000)] + [(10**17, "far")]
+    assert max(chunk_sizes(spark.createDataFrame(rows, "doc_id bigint, text string"), 100)) < 400
+    same = [(None, None)] * 3000 + [(7, "copy")] * 3000
+    assert max(chunk_sizes(spark.createDataFrame(same, "doc_id bigint, text string"), 100)) < 400
+
+
+def test_chunks_follow_the_order(spark):
+    rows = [(i * (-1) ** i * 10**15 // (1 + i % 7), f"text {i}") for i in range(2000)] + [(None, "n"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    at = {}
+    for r in fp.in_chunks(df, 50).collect():
+        at.setdefault(r.chunk, []).append(-(1 << 63) if r.doc_id is None else r.doc_id)
+    ranges = [(min(v), max(v)) for _, v in sorted(at.items())]
+    assert len(ranges) > 20 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_repeated_rows_are_neighbours_of_each_other(spark):
+    rows = [(1, "a b")] * 40 + [(2, "c d e f g")] * 40
+    got = fp.op1_query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    told = Counter((r.doc_id, r.edited_sha256) for r in got)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert told == {(1, sha("a a")): 39, (1, sha("a c")): 1, (2, sha("c d e" + "c d ")): 39, (2, sha("c d e" + "a b")): 1}
+
+
 def test_awkward_rows_and_empty_table(docs, empty):
     assert fp.op1_query(docs).count() == docs.count()
     assert fp.op1_query(empty).collect() == []
@@ -55,6 +80,8 @@ def test_merge_is_the_sketch_of_the_whole(spark):
     df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "g int, text string")
     sketches = fp.with_sketch(df, F.col("text"), "s", 64)
     merged = {r.g: r.s for r in fp.merge_parts(sketches, ["g"], "s", 64).collect()}
+    bare = spark.createDataFrame([(1, []), (1, []), (2, [5]), (2, []), (None, None), (3, None)], "g int, s array<bigint>")
+    assert {r.g: r.s for r in fp.merge_parts(bare, ["g"], "s", 64).collect()} == {1: [], 2: [5], None: [], 3: []}
     for g in (0, 1):
         parts = [r.s for r in sketches.where(f"g = {g}").collect()]
         assert merged[g] == sorted({h for p in parts for h in p})[:64]
