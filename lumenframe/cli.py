@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import color
-from .operators import composite, filters, geometry, repair, sampling, stats
+from .functions.expr import Op
+from .operators import composite, filters, geometry, layers, repair, sampling, sequences, stats
 from .operators.image import Img, Roi
-from .sources import files
+from .sources import codecs, files
 
 
 def session() -> SparkSession:
@@ -20,28 +21,61 @@ def session() -> SparkSession:
     return spark
 
 
-def opened(spark: SparkSession, path: str, channels=("r", "g", "b", "a")) -> Img:
-    """The image of one file; a missing alpha is opaque, other missing channels black, a grey one fills r, g and b."""
-    px = files.pixels(spark, path)
-    fill = {"a": F.coalesce("a", F.lit(1.0)), **{c: F.coalesce(c, "y", F.lit(0.0)) for c in ("r", "g", "b")}}
-    df = px.select(F.lit(0).cast("bigint").alias("image_id"), F.col("py").alias("y_"), F.col("px").alias("x"), *[fill.get(c, F.coalesce(c, F.lit(0.0))).alias(c) for c in channels])
-    df = df.withColumnRenamed("y_", "y")
-    info = files.images(spark, path).select("width", "height", "error").first()
+def opened(spark: SparkSession, path: str) -> Img:
+    """The image of one file with channels r, g, b, a and whatever else the file has.
+
+    A missing alpha is opaque, other missing channels are black, a grey one fills r, g and b.
+    """
+    info = files.images(spark, path).orderBy("subimage").first()
     if info is None or info.width is None:
         raise SystemExit(f"can't read {path}: {info.error if info else 'no such file'}")
-    return Img(df, Roi(0, info.width, 0, info.height), tuple(channels))
+    own = info.channel_names
+    px = files.pixels(spark, path, tuple(own)).where("error IS NULL")
+    grey = F.col("y") if "y" in own else F.lit(0.0)
+    fill = {c: F.col(c) if c in own else grey for c in "rgb"} | {"a": F.col("a") if "a" in own else F.lit(1.0)}
+    others = {f"{c}": F.col(f"`{c}`") for c in own if c not in (*"rgba", "y")}
+    keys = [F.lit(0).cast("bigint").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x")]
+    df = px.select(*keys, *[v.alias(plain(c)) for c, v in (fill | others).items()])
+    return Img(df, Roi(0, info.width, 0, info.height), tuple(plain(c) for c in fill | others))
+
+
+def plain(name: str) -> str:
+    """A channel's name as a column's: without dots, which SQL takes for fields."""
+    return name.replace(".", "__")
+
+
+def has_alpha(spark: SparkSession, path: str) -> bool:
+    info = files.images(spark, path).orderBy("subimage").first()
+    return info is not None and "a" in (info.channel_names or [])
 
 
-def saved(img: Img, path: str, bits: int | None = None, channels=("r", "g", "b")) -> None:
-    """One file; the folder may be in any store that Spark knows."""
+def saved(img: Img, path: str, bits: int | None = None, alpha: bool = True) -> None:
+    """One file with all channels that its format holds; the folder may be in any store that the executors reach."""
     folder, _, name = path.rpartition("/")
-    rows = img.df.select(F.lit(name).alias("path"), (F.col("y") - img.roi.y0).alias("py"), (F.col("x") - img.roi.x0).alias("px"), *channels)
-    files.save(files.encoded(rows, name.rsplit(".", 1)[-1], channels=channels, bits=bits), folder or ".")
+    kind = name.rsplit(".", 1)[-1].lower()
+    kept = [c for c in img.channels if codecs.holds(kind, c) and (alpha or c != "a")]
+    rows = img.df.select(
+        F.lit(name).alias("path"), (F.col("y") - img.roi.y0).alias("py"), (F.col("x") - img.roi.x0).alias("px"), *[F.col(c).alias(c.replace("__", ".")) for c in kept]
+    )
+    files.save(files.encoded(rows, kind, channels=tuple(c.replace("__", ".") for c in kept), bits=bits), folder or ".")
 
 
-def shown(df: DataFrame) -> None:
-    for row in df.collect():
+def shown(df: DataFrame, most: int = 1000) -> None:
+    """The first rows, and how many there are if that isn't all."""
+    rows = df.limit(most + 1).collect()
+    for row in rows[:most]:
         print("  ".join(f"{k}={v}" for k, v in row.asDict().items()))
+    if len(rows) > most:
+        print(f"... {df.count()} rows in all")
+
+
+def colours(img: Img) -> Img:
+    return img.select({c: F.col(c) for c in "rgba"})
+
+
+def coloured(img: Img, op: Op) -> Img:
+    """A colour operation; channels that are no colours pass unchanged."""
+    return layers.color_only(img, op)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -82,7 +116,19 @@ def parser() -> argparse.ArgumentParser:
     command("maketx")
     command("fill")
     command("shuffle", ("pattern", str, "RGB"))
-    command("batch", ("op", str, "convert"), ("scale", float, 1.0), ("format", str, "png"), out=False)
+    command("batch", ("op", str, "convert"), ("scale", float, 1.0), ("radius", int, 3), ("format", str, None))
+    command("layers", out=False)
+    command("extract-layer", ("layer", str, ""))
+    command("channel-extract", ("channels", str, "r"))
+    merge = sub.add_parser("merge-layers")
+    merge.add_argument("inputs", nargs="+")
+    merge.add_argument("--output", required=True)
+    merge.add_argument("--names", default="")
+    udim = sub.add_parser("udim")
+    udim.add_argument("action", choices=("info", "convert", "atlas", "split"))
+    udim.add_argument("input")
+    udim.add_argument("output", nargs="?")
+    udim.add_argument("--tile-size", type=int, default=1024)
     return p
 
 
@@ -111,19 +157,19 @@ def changed(spark: SparkSession, a: argparse.Namespace) -> Img:
     if c == "sharpen":
         return filters.sharpen(img)
     if c == "composite":
-        return composite.composite(a.mode, img, opened(spark, a.second))
+        return composite.composite(a.mode, colours(img), colours(opened(spark, a.second)))
     if c == "paste":
-        return composite.paste(img, opened(spark, a.second), a.x, a.y)
+        return composite.paste(colours(img), colours(opened(spark, a.second)), a.x, a.y)
     if c == "grade":
-        return img.apply(color.cdl((a.slope,) * 3, (a.offset,) * 3, (a.power,) * 3, a.saturation))
+        return coloured(img, color.cdl((a.slope,) * 3, (a.offset,) * 3, (a.power,) * 3, a.saturation))
     if c == "clamp":
-        return img.apply(color.clamped((a.low,), (a.high,)))
+        return coloured(img, color.clamped((a.low,), (a.high,)))
     if c in ("premult", "unpremult"):
-        return img.apply(color.premultiplied() if c == "premult" else color.unpremultiplied())
+        return coloured(img, color.premultiplied() if c == "premult" else color.unpremultiplied())
     if c == "shuffle":
         return geometry.shuffle_pattern(img, a.pattern)
     if c == "fill":
-        return repair.push_pull(img)
+        return repair.push_pull(colours(img))
     if c == "warp":
         kinds = {
             "barrel": lambda r: sampling.barrel(r, a.k1, a.k2), "pincushion": lambda r: sampling.pincushion(r, a.k1, a.k2),
@@ -137,17 +183,87 @@ def changed(spark: SparkSession, a: argparse.Namespace) -> Img:
         conversion = catalog.standard().conversion
         idt, odt = conversion("sRGB", "ACEScg"), conversion("ACEScg", "sRGB")
         if a.op == "idt":
-            return ir.applied(img, idt)
-        toned = img.apply(color.tone_mapped()) if a.op.startswith("rrt") else img
-        return ir.applied(toned, odt) if a.op.endswith("odt") else toned
+            return through(img, idt)
+        toned = coloured(img, color.tone_mapped()) if a.op.startswith("rrt") else img
+        return through(toned, odt) if a.op.endswith("odt") else toned
     if c == "color":
-        return ir.applied(img, catalog.standard().conversion(a.source, a.target))
+        return through(img, catalog.standard().conversion(a.source, a.target))
     if c == "lut":
-        text = "\n".join(r.value for r in spark.read.text(a.file, wholetext=True).collect())
-        return ir.applied(img, catalog.from_file(a.file, text))
+        text = spark.read.text(a.file, wholetext=True).first().value
+        return through(img, catalog.from_file(a.file, text))
+    if c == "extract-layer":
+        return geometry.renamed(picked(img, [n for n in img.channels if layers.layer_of(n.replace("__", ".")) == a.layer]), lambda n: n.rpartition("__")[2].lower())
+    if c == "channel-extract":
+        return picked(img, [plain(n.strip()) for n in a.channels.split(",")])
     raise SystemExit(f"unknown command {c}")
 
 
+def through(img: Img, transforms) -> Img:
+    from .plans import ir
+
+    for op in ir.compiled(transforms):
+        img = coloured(img, op)
+    return img
+
+
+def picked(img: Img, names: list[str]) -> Img:
+    missing = [n for n in names if n not in img.channels]
+    if missing or not names:
+        raise SystemExit(f"no channel {', '.join(missing) or 'named'} among {', '.join(img.channels)}")
+    return img.select({n: F.col(n) for n in names})
+
+
+def merged(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Images of one size as layers of one EXR file: the first without a prefix, the others under their names."""
+    names = a.names.split(",") if a.names else [f"layer{i}" for i in range(len(a.inputs))]
+    if len(names) != len(a.inputs):
+        raise SystemExit("as many names as inputs are needed")
+    out = None
+    for name, path in zip(names, a.inputs, strict=True):
+        img = opened(spark, path)
+        if out is not None and img.roi != out.roi:
+            raise SystemExit("the images differ in size")
+        own = geometry.renamed(img, lambda c, name=name: f"{name}__{c.upper() if len(c) == 1 else c}")
+        out = own if out is None else Img(out.df.join(own.df, ["image_id", "y", "x"]), out.roi, (*out.channels, *own.channels))
+    saved(out, a.output)
+
+
+def udim(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Tiles of a texture set: info, convert to another pattern, one atlas of all, or an image split into tiles."""
+    if a.action == "split":
+        img, size = opened(spark, a.input), a.tile_size
+        u, v = F.floor(F.col("x") / size), F.lit(-(-img.roi.height // size) - 1) - F.floor(F.col("y") / size)
+        kind, kept = a.output.rsplit(".", 1)[-1], [c for c in ("r", "g", "b") if c in img.channels]
+        name = F.regexp_replace(F.lit(a.output.rpartition("/")[2]), "<UDIM>", (F.lit(1001) + u + v * 10).cast("string"))
+        rows = img.df.select(name.alias("path"), (F.col("y") % size).alias("py"), (F.col("x") % size).alias("px"), *kept)
+        files.save(files.encoded(rows, kind, channels=tuple(kept)), a.output.rpartition("/")[0] or ".")
+        return
+    found = files.images(spark, a.input.replace("<UDIM>", "*"))
+    tiles = found.withColumn("tile", sequences.tile_of("path")).where("tile IS NOT NULL")
+    u, v = sequences.udim_place(F.col("tile"))
+    if a.action == "info":
+        shown(tiles.select("tile", u.cast("int").alias("u"), v.cast("int").alias("v"), "width", "height", "path", "error").orderBy("tile"))
+        return
+    own = files.pixels(spark, a.input.replace("<UDIM>", "*")).where("error IS NULL").withColumn("tile", sequences.tile_of("path")).where("tile IS NOT NULL")
+    rgb = [F.coalesce(c, "y", F.lit(0.0)).alias(c) for c in ("r", "g", "b")]
+    kind = a.output.rsplit(".", 1)[-1]
+    if a.action == "convert":
+        name = F.regexp_replace(F.lit(a.output.rpartition("/")[2]), "<UDIM>", F.col("tile").cast("string"))
+        files.save(files.encoded(own.select(name.alias("path"), "py", "px", *rgb), kind), a.output.rpartition("/")[0] or ".")
+        return
+    box = tiles.agg(F.min(u).alias("u0"), F.max(u).alias("u1"), F.min(v).alias("v0"), F.max(v).alias("v1")).first()
+    if box.u0 is None:
+        raise SystemExit(f"no tiles in {a.input}")
+    # Each pixel of the atlas takes the pixel of its tile that it falls on.
+    size = a.tile_size
+    scaled = sequences.scaled_tiles(own.select("tile", F.col("py").alias("y"), F.col("px").alias("x"), *rgb), tiles.select("tile", "width", "height"), size)
+    u, v = sequences.udim_place(F.col("tile"))
+    placed = scaled.select(
+        F.lit(a.output.rpartition("/")[2]).alias("path"), (F.col("y") + (F.lit(box.v1) - v) * size).cast("int").alias("py"), (F.col("x") + (u - box.u0) * size).cast("int").alias("px"), "r", "g", "b"
+    )
+    files.save(files.encoded(placed, kind), a.output.rpartition("/")[0] or ".")
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session()
@@ -165,22 +281,33 @@ def main(args: list[str] | None = None) -> int:
         one, two = opened(spark, a.input), opened(spark, a.second)
         if one.roi != two.roi:
             raise SystemExit("the images differ in size")
-        result = stats.compare(one, two, a.fail or 1e30, a.warn).first()
+        result = stats.compare(colours(one), colours(two), a.fail or 1e30, a.warn).first()
         print("  ".join(f"{k}={v}" for k, v in result.asDict().items()))
         return int(a.fail > 0 and result.max_error > a.fail)
     elif a.command == "batch":
-        results = files.batch(spark, a.input, a.op, scale=a.scale, format=a.format).persist()
+        # The statuses are stored beside the results, so that no file is processed twice.
+        status = f"{a.output.rstrip('/')}/_status"
+        files.batch(spark, a.input, a.op, a.output, scale=a.scale, radius=a.radius, format=a.format).write.mode("overwrite").parquet(status)
+        results = spark.read.parquet(status)
         shown(results)
         return int(results.where("status = 'failed'").count() > 0)
+    elif a.command == "layers":
+        info = files.images(spark, a.input).select("path", "subimage", F.explode("channel_names").alias("channel"))
+        shown(info.groupBy("path", "subimage", layers.layer_expression("channel").alias("layer")).agg(F.sort_array(F.collect_list("channel")).alias("channels")).orderBy("path", "subimage", "layer"))
+    elif a.command == "merge-layers":
+        merged(spark, a)
+    elif a.command == "udim":
+        udim(spark, a)
     elif a.command == "maketx":
-        img = opened(spark, a.input)
+        img, alpha = opened(spark, a.input), has_alpha(spark, a.input)
         stem, _, extension = a.output.rpartition(".")
         for level in range(sampling.mip_levels(img.roi.width, img.roi.height)):
-            saved(img, f"{stem}.mip{level}.{extension}")
+            saved(img, f"{stem}.mip{level}.{extension}", alpha=alpha)
             img = sampling.halved(img)
     else:
         img = changed(spark, a)
-        saved(img, a.output, getattr(a, "bits", None))
+        made = a.command in ("shuffle", "channel-extract", "extract-layer") and "a" in img.channels
+        saved(img, a.output, getattr(a, "bits", None), made or has_alpha(spark, a.input) or a.command == "composite")
     return 0
 
 

@@ -5,8 +5,6 @@ All maps are exact integer maps of (x, y) within the image's box.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from .image import KEYS, Img, Roi
@@ -63,13 +61,13 @@ def cut(img: Img, roi: Roi) -> Img:
 
 
 def grid(img: Img, roi: Roi):
-    """Every pixel position of `roi` for every image: one row of each image is expanded, nothing is shuffled."""
-    corner = img.df.where((F.col("x") == img.roi.x0) & (F.col("y") == img.roi.y0)).select("image_id")
+    """Every pixel position of `roi` for every image: the ids, one row of each, are expanded."""
     return (
-        corner.where(F.lit(roi.width > 0 and roi.height > 0))
+        img.df.select("image_id").distinct()
+        .where(F.lit(roi.width > 0 and roi.height > 0))
         .select("image_id", F.explode(F.sequence(F.lit(roi.y0), F.lit(max(roi.y0, roi.y1 - 1)))).alias("y"))
         .select("image_id", "y", F.explode(F.sequence(F.lit(roi.x0), F.lit(max(roi.x0, roi.x1 - 1)))).alias("x"))
-    )
+    )
 
 
 def pad(img: Img, top: int, right: int, bottom: int, left: int, fill: float) -> Img:
@@ -141,6 +139,6 @@ def appended(a: Img, b: Img) -> Img:
     return paired(a, b)
 
 
-def renamed(img: Img, names: dict[str, str]) -> Img:
-    out = {names.get(c, c): F.col(c) for c in img.channels}
-    return replace(img.select(out))
+def renamed(img: Img, name) -> Img:
+    """Channels under the names that `name` makes of their own."""
+    return img.select({name(c): F.col(c) for c in img.channels})

@@ -30,11 +30,19 @@ def groups(channels) -> dict[str, list[str]]:
     """Channel names by layer: what stands before the last dot."""
     out: dict[str, list[str]] = {}
     for c in channels:
-        layer, _, _name = c.rpartition(".")
-        out.setdefault(layer, []).append(c)
+        out.setdefault(layer_of(c), []).append(c)
     return out
 
 
+def layer_of(channel: str) -> str:
+    """The layer of a channel by its name: what stands before the last dot."""
+    return channel.rpartition(".")[0]
+
+
+def layer_expression(column: str):
+    return F.regexp_replace(F.when(F.col(column).contains("."), F.col(column)).otherwise(F.lit(".")), r"\.[^.]*$", "")
+
+
 def listed(df: DataFrame) -> DataFrame:
     """(layer, pixels, images) of a table with a layer column."""
     return df.groupBy("layer").agg(F.count("*").alias("pixels"), F.countDistinct("image_id").alias("images"))
@@ -61,3 +69,9 @@ def color_only(img: Img, op: Op) -> Img:
     others = [c for c in img.channels if c not in op.out]
     wide = Op({**op.out, **{c: c for c in others}}, *op.steps)
     return replace(img, df=wide.frame(img.df, list(KEYS)), channels=tuple(wide.out))
+
+
+def transformed(df: DataFrame, layer: str, roi, channels, make) -> DataFrame:
+    """A layered table in which one layer is what `make` makes of its image (a crop, a resize, a blur); the others stay."""
+    img = make(Img(picked(df, layer).select(*KEYS, *channels), roi, tuple(channels)))
+    return df.where(F.col("layer") != layer).unionByName(img.df.select(F.lit(layer).alias("layer"), *KEYS, *img.channels), allowMissingColumns=True)

@@ -101,8 +101,17 @@ def udim_tiles(paths: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def atlas(tiles: DataFrame, width: int, height: int) -> DataFrame:
-    """Pixels (tile, y, x, ...) of tiles of one size as pixels of one image, v upwards."""
-    u, v = udim_place(F.col("tile"))
-    top = F.lit(9) - v
-    return tiles.withColumn("x", (F.col("x") + u * width).cast("int")).withColumn("y", (F.col("y") + top * height).cast("int")).drop("tile")
+def tile_of(path: str):
+    """The tile number in a file's name; null if there is none from 1001 to 1999."""
+    tile = F.regexp_extract(path, r"(?<!\d)(1\d{3})(?!\d)\D*$", 1)
+    return F.when(tile.between("1001", "1999"), tile.cast("int"))
+
+
+def scaled_tiles(pixels: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
+    """Pixels (tile, y, x, ...) of tiles (tile, width, height) as tiles of `size` squared: each place takes the pixel it falls on."""
+    places = sizes.select("tile", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("ty")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("tx")
+    )
+    at = lambda c, n: F.floor((F.col(c) + 0.5) * F.col(n) / size).cast("int")
+    wanted = places.select("tile", "ty", "tx", at("ty", "height").alias("y"), at("tx", "width").alias("x"))
+    return wanted.join(pixels, ["tile", "y", "x"]).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})

@@ -115,7 +115,7 @@ def _files() -> None:
     def there_and_back(s, d, kind, bits):
         img = rgba(s, d)
         rows = img.df.select(F.col("image_id").cast("string").alias("path"), F.col("y").alias("py"), F.col("x").alias("px"), *names)
-        back = files.decoded(files.encoded(rows, kind, channels=names, bits=bits))
+        back = files.decoded(files.encoded(rows, kind, channels=names, bits=bits), names)
         return back.select(F.col("path").cast("bigint").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x"), *names)
 
     single = "CAST(CAST({c} AS FLOAT) AS DOUBLE)"

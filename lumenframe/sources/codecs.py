@@ -2,7 +2,8 @@
 
 `decode` tells formats apart by their first bytes. All decoders give a `Picture`:
 channels by name as float32 arrays of one size, normalised as stored integers are
-(8 bit by 255, 16 bit by 65535), and attributes as text.
+(8 bit by 255, 16 bit by 65535), and attributes as text. Files of several images (EXR parts,
+TIFF pages) have them by number; `describe` reads headers only.
 """
 
 from __future__ import annotations
@@ -12,18 +13,8 @@ import zlib
 
 import numpy as np
 
-from . import exr
-from .picture import Picture, Unreadable
-
-NAMES = {1: ("y",), 2: ("y", "a"), 3: ("r", "g", "b"), 4: ("r", "g", "b", "a")}
-
-
-def named(data: np.ndarray) -> dict[str, np.ndarray]:
-    """Channels of a (height, width, n) array under their usual names."""
-    n = data.shape[2]
-    names = NAMES.get(n) or tuple(f"channel{i}" for i in range(n))
-    return {c: np.ascontiguousarray(data[..., i]) for i, c in enumerate(names)}
-
+from . import exr, jpeg, textures
+from .picture import Picture, Unreadable, from_int, named, names_of
 
 def stacked(p: Picture) -> np.ndarray:
     return np.stack(list(p.channels.values()), axis=-1)
@@ -34,19 +25,24 @@ def to_int(data: np.ndarray, bits: int) -> np.ndarray:
     return (np.clip(np.nan_to_num(data), 0, 1) * (2**bits - 1)).astype(np.uint8 if bits == 8 else np.uint16)
 
 
-def from_int(data: np.ndarray) -> np.ndarray:
-    return data.astype(np.float32) / np.float32(np.iinfo(data.dtype).max)
+# PNG
 
 
-# PNG
+#: First column and row, and steps across and down, of the passes of an interlaced PNG. Fixed values.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
-def read_png(b: bytes) -> Picture:
-    at, idat, palette, alpha, text = 8, [], None, None, {}
-    while at < len(b):
+def _png_chunks(b: bytes):
+    at = 8
+    while at + 8 <= len(b):
         (n,) = struct.unpack(">I", b[at : at + 4])
-        kind, body = b[at + 4 : at + 8], b[at + 8 : at + 8 + n]
+        yield b[at + 4 : at + 8], b[at + 8 : at + 8 + n]
         at += 12 + n
+
+
+def read_png(b: bytes) -> Picture:
+    idat, palette, alpha, text = [], None, None, {}
+    for kind, body in _png_chunks(b):
         if kind == b"IHDR":
             w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", body)
         elif kind == b"PLTE":
@@ -60,21 +56,26 @@ def read_png(b: bytes) -> Picture:
             text[key.decode("latin-1")] = value.decode("latin-1")
         elif kind == b"IEND":
             break
-    if interlace:
-        raise Unreadable("interlaced PNG")
     per = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    stride = (w * per * depth + 7) // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8).reshape(h, stride + 1)
-    lines = _unfilter(raw, max(1, per * depth // 8))
-    if depth == 16:
-        data = lines.reshape(h, -1).view(">u2").reshape(h, w, per).astype(np.uint16)
-    elif depth == 8:
-        data = lines.reshape(h, w, per)
-    else:
-        bits = np.unpackbits(lines, axis=1).reshape(h, -1, depth)[:, : w * per]
-        data = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8).reshape(h, w, per)
-        if color != 3:
-            data = (data.astype(np.int64) * 255 // (2**depth - 1)).astype(np.uint8)
+    raw, at = np.frombuffer(zlib.decompress(b"".join(idat)), np.uint8), 0
+    data = np.zeros((h, w, per), np.uint16 if depth == 16 else np.uint8)
+    for x0, y0, dx, dy in PASSES if interlace else ((0, 0, 1, 1),):
+        wide, high = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if wide <= 0 or high <= 0:
+            continue
+        stride = (wide * per * depth + 7) // 8 + 1
+        lines = _unfilter(raw[at : at + high * stride].reshape(high, stride), max(1, per * depth // 8))
+        at += high * stride
+        if depth == 16:
+            part = lines.reshape(high, -1).view(">u2").reshape(high, wide, per)
+        elif depth == 8:
+            part = lines.reshape(high, wide, per)
+        else:
+            bits = np.unpackbits(lines, axis=1)[:, : wide * per * depth].reshape(high, -1, depth)
+            part = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8).reshape(high, wide, per)
+        data[y0::dy, x0::dx] = part
+    if depth < 8 and color != 3:
+        data = (data.astype(np.int64) * 255 // (2**depth - 1)).astype(np.uint8)
     if color == 3:
         rgb = palette[data[..., 0]]
         if alpha is not None:
@@ -134,7 +135,11 @@ def write_png(p: Picture, bits: int = 8) -> bytes:
 # PNM and PFM
 
 
-def read_pnm(b: bytes) -> Picture:
+_PNM = {"P5": 1, "P6": 3, "Pf": 1, "PF": 3}
+
+
+def _pnm_fields(b: bytes) -> tuple[list[str], int]:
+    """Kind, width, height and top value, and where they end."""
     fields, at = [], 0
     while len(fields) < 4:
         while b[at : at + 1].isspace():
@@ -143,12 +148,19 @@ def read_pnm(b: bytes) -> Picture:
             at = b.index(b"\n", at)
             continue
         end = at
-        while not b[end : end + 1].isspace():
+        while end < len(b) and not b[end : end + 1].isspace():
             end += 1
+        if end == at:
+            raise Unreadable("broken PNM header")
         fields.append(b[at:end].decode())
         at = end
+    return fields, at
+
+
+def read_pnm(b: bytes) -> Picture:
+    fields, at = _pnm_fields(b)
     kind, w, h = fields[0], int(fields[1]), int(fields[2])
-    n = {"P5": 1, "P6": 3, "Pf": 1, "PF": 3}[kind]
+    n = _PNM[kind]
     body = b[at + 1 :]
     if kind in ("Pf", "PF"):
         order = "<" if float(fields[3]) < 0 else ">"
@@ -199,8 +211,11 @@ def read_hdr(b: bytes) -> Picture:
             at += w * 4
     e = out[..., 3].astype(np.int32)
     scale = np.where(e > 0, np.ldexp(1.0, e - 136), 0.0)
-    attributes = dict(line.split("=", 1) for line in head.decode("latin-1").splitlines() if "=" in line and not line.startswith("#"))
-    return Picture(named((out[..., :3] * scale[..., None]).astype(np.float32)), attributes, "hdr")
+    return Picture(named((out[..., :3] * scale[..., None]).astype(np.float32)), _hdr_attributes(head), "hdr")
+
+
+def _hdr_attributes(head: bytes) -> dict[str, str]:
+    return dict(line.split("=", 1) for line in head.decode("latin-1").splitlines() if "=" in line and not line.startswith("#"))
 
 
 def write_hdr(p: Picture) -> bytes:
@@ -264,16 +279,22 @@ def write_dpx(p: Picture, bits: int = 10, order: str = ">") -> bytes:
     return bytes(head) + body
 
 
-# TIFF (strips; none, deflate and packbits)
+# TIFF (strips and tiles, chunky and planar, pages; none, LZW, deflate and packbits)
 
 _TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 12: 8}
 
 
-def read_tiff(b: bytes) -> Picture:
+def _tiff_page(b: bytes, page: int) -> tuple[str, dict]:
+    """The byte order, and the tags of a page."""
     order = {b"II": "<", b"MM": ">"}[b[:2]]
     (at,) = struct.unpack(f"{order}I", b[4:8])
+    for _ in range(page):
+        (count,) = struct.unpack(f"{order}H", b[at : at + 2])
+        (at,) = struct.unpack(f"{order}I", b[at + 2 + 12 * count : at + 6 + 12 * count])
+        if not at:
+            raise Unreadable(f"no page {page}")
     (count,) = struct.unpack(f"{order}H", b[at : at + 2])
-    tags = {}
+    tags: dict = {}
     for i in range(count):
         tag, kind, n = struct.unpack(f"{order}HHI", b[at + 2 + 12 * i : at + 10 + 12 * i])
         size = _TIFF_SIZES.get(kind, 1) * n
@@ -282,39 +303,84 @@ def read_tiff(b: bytes) -> Picture:
             tags[tag] = b[where : where + n].rstrip(b"\0").decode("latin-1")
         elif kind in (3, 4):
             tags[tag] = struct.unpack(f"{order}{n}{'H' if kind == 3 else 'I'}", b[where : where + size])
+    return order, tags
+
+
+def tiff_pages(b: bytes) -> int:
+    order, n = {b"II": "<", b"MM": ">"}[b[:2]], 0
+    (at,) = struct.unpack(f"{order}I", b[4:8])
+    while at and n < 65536:
+        (count,) = struct.unpack(f"{order}H", b[at : at + 2])
+        (at,) = struct.unpack(f"{order}I", b[at + 2 + 12 * count : at + 6 + 12 * count])
+        n += 1
+    return n
+
+
+def read_tiff(b: bytes, page: int = 0) -> Picture:
+    order, tags = _tiff_page(b, page)
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     w, h, n = one(256), one(257), one(277, 1)
-    bits, pressed, kind, predictor = one(258, 1), one(259, 1), one(339, 1), one(317, 1)
-    if 273 not in tags or one(284, 1) != 1:
-        raise Unreadable("tiled or planar TIFF")
-    strips = [_inflate(b[s : s + c], pressed) for s, c in zip(tags[273], tags[279], strict=True)]
-    raw = b"".join(strips)
-    dtype = {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4", (16, 3): "f2"}[bits, kind]
-    data = np.frombuffer(raw, f"{order}{dtype}", w * h * n).reshape(h, w, n)
-    if predictor == 2:
-        data = np.cumsum(data, axis=1, dtype=data.dtype)
-    data = data.astype(np.float32) if kind == 3 or bits == 32 else from_int(data.astype(f"u{bits // 8}"))
-    return Picture(named(data), {"description": tags.get(270, "")}, "tiff")
+    bits, pressed, kind, predictor, planar = one(258, 1), one(259, 1), one(339, 1), one(317, 1), one(284, 1) == 2
+    if (bits, kind) not in ((8, 1), (16, 1), (32, 1), (32, 3), (16, 3)) or predictor not in (1, 2):
+        raise Unreadable(f"TIFF of {bits} bits, kind {kind}, predictor {predictor}")
+    dtype = np.dtype(order + {(8, 1): "u1", (16, 1): "u2", (32, 1): "u4", (32, 3): "f4", (16, 3): "f2"}[bits, kind])
+    tiled = 322 in tags
+    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    wide, high = (one(322), one(323)) if tiled else (w, min(one(278, h), h))
+    across, down, per = -(-w // wide), -(-h // high), 1 if planar else n
+    data = np.zeros((h, w, n), dtype.newbyteorder("="))
+    for i, (o, size) in enumerate(zip(offsets, sizes, strict=True)):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * high, place % across * wide
+        rows = high if tiled else min(high, h - y)
+        part = np.frombuffer(_inflate(b[o : o + size], pressed), dtype, rows * wide * per).reshape(rows, wide, per)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
+        data[y : y + rows, x : x + wide, plane : plane + per] = part[: h - y, : w - x]
+    values = data.astype(np.float32) if kind == 3 or bits == 32 else from_int(data)
+    return Picture(named(values), {"description": tags.get(270, "")}, "tiff")
+
+
+def _lzw(b: bytes) -> bytes:
+    """Variable codes of 9 to 12 bits, high bits first; a code is longer one entry before the table needs it."""
+    out, at, held, size = [], 0, 0, 0
+    table: list[bytes] = []
+    width, last = 9, b""
+    while True:
+        while size < width:
+            if at >= len(b):
+                return b"".join(out)
+            held, size, at = held << 8 | b[at], size + 8, at + 1
+        size -= width
+        code = held >> size
+        held &= (1 << size) - 1
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            now = table[code]
+        elif code == len(table) and last:
+            now = last + last[:1]
+        else:
+            raise Unreadable("TIFF code that no table has")
+        out.append(now)
+        if last:
+            table.append(last + now[:1])
+        last = now
+        width = min(12, max(9, (len(table) + 1).bit_length()))
 
 
 def _inflate(b: bytes, pressed: int) -> bytes:
     if pressed == 1:
         return b
+    if pressed == 5:
+        return _lzw(b)
     if pressed in (8, 32946):
         return zlib.decompress(b)
     if pressed == 32773:
-        out, i = bytearray(), 0
-        while i < len(b):
-            n = b[i]
-            if n < 128:
-                out += b[i + 1 : i + 2 + n]
-                i += 2 + n
-            elif n > 128:
-                out += b[i + 1 : i + 2] * (257 - n)
-                i += 2
-            else:
-                i += 1
-        return bytes(out)
+        return textures.unpackbits(b)
     raise Unreadable(f"TIFF compression {pressed}")
 
 
@@ -355,39 +421,72 @@ def probe(b: bytes) -> str:
     return "heif" if b[4:8] == b"ftyp" else ""
 
 
-def decode(b: bytes) -> Picture:
-    readers = {"png": read_png, "pnm": read_pnm, "pfm": read_pnm, "hdr": read_hdr, "dpx": read_dpx, "tiff": read_tiff, "exr": exr.read}
+def decode(b: bytes, subimage: int = 0) -> Picture:
+    """The picture of a file, or a further one of a file of several."""
+    readers = {
+        "png": read_png, "pnm": read_pnm, "pfm": read_pnm, "hdr": read_hdr, "dpx": read_dpx, "jpeg": jpeg.read, "psd": textures.read_psd,
+        "dds": textures.read_dds,
+    }
+    name = probe(b)
+    try:
+        if name == "exr":
+            return exr.read(b, subimage)
+        if name == "tiff":
+            return read_tiff(b, subimage)
+        if name not in readers:
+            raise Unreadable(name or "unknown format")
+        if subimage:
+            raise Unreadable(f"no image {subimage}")
+        return readers[name](b)
+    except (IndexError, KeyError, UnboundLocalError, struct.error, zlib.error, TypeError, ValueError) as e:
+        raise e if isinstance(e, Unreadable) else Unreadable(f"broken {name or 'file'}: {type(e).__name__} {e}") from e
+
+
+def subimages(b: bytes) -> int:
+    """How many pictures a file holds."""
     name = probe(b)
-    if name not in readers:
-        raise Unreadable(name or "unknown format")
-    return readers[name](b)
+    return len(exr.headers(b)[0]) if name == "exr" else tiff_pages(b) if name == "tiff" else 1
 
 
-def size_of(b: bytes) -> tuple[int, int]:
-    """(width, height) from the header alone, for formats that say it there."""
+def describe(b: bytes, subimage: int = 0) -> tuple[int, int, list[str], dict[str, str]]:
+    """(width, height, channels, attributes) from headers, without decoding pixels."""
     name = probe(b)
-    if name == "png":
-        return struct.unpack(">II", b[16:24])
-    if name == "dpx":
-        return struct.unpack((">" if b[:4] == b"SDPX" else "<") + "II", b[772:780])
-    if name == "psd":
-        h, w = struct.unpack(">II", b[14:22])
-        return w, h
-    if name == "dds":
-        h, w = struct.unpack("<II", b[12:20])
-        return w, h
-    if name == "jpeg":
-        at = 2
-        while at + 9 < len(b):
-            if 0xC0 <= b[at + 1] <= 0xCF and b[at + 1] not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", b[at + 5 : at + 9])
-                return w, h
-            at += 2 + struct.unpack(">H", b[at + 2 : at + 4])[0]
-        raise Unreadable("jpeg without a frame")
-    if name == "exr":
-            return exr.size_of(b)
-    p = decode(b)
-    return p.width, p.height
+    try:
+        if name == "exr":
+            return exr.describe(b, subimage)
+        if name == "tiff":
+            _, tags = _tiff_page(b, subimage)
+            return tags[256][0], tags[257][0], names_of(tags.get(277, (1,))[0]), {"description": tags.get(270, "")}
+        if subimage:
+            raise Unreadable(f"no image {subimage}")
+        if name == "png":
+            w, h, _, color = struct.unpack(">IIBB", b[16:26])
+            kinds = [k for k, _ in _png_chunks(b)]
+            text = {k.decode("latin-1"): v.decode("latin-1") for kind, body in _png_chunks(b) if kind == b"tEXt" for k, _, v in [body.partition(b"\0")]}
+            return w, h, names_of({0: 1, 2: 3, 3: 4 if b"tRNS" in kinds else 3, 4: 2, 6: 4}[color]), text
+        if name == "dpx":
+            w, h = struct.unpack((">" if b[:4] == b"SDPX" else "<") + "II", b[772:780])
+            return w, h, names_of({6: 1, 50: 3, 51: 4}.get(b[800], 3)), {"creator": b[160:260].split(b"\0")[0].decode("latin-1")}
+        if name == "hdr":
+            head, _, rest = b[:65536].partition(b"\n\n")
+            part = rest.partition(b"\n")[0].split()
+            return int(part[3]), int(part[1]), names_of(3), _hdr_attributes(head)
+        if name in ("pnm", "pfm"):
+            kind, w, h = _pnm_fields(b)[0][:3]
+            return int(w), int(h), names_of(_PNM[kind]), {}
+        if name == "jpeg":
+            w, h = jpeg.size_of(b)
+            return w, h, names_of(jpeg.components(b)), {}
+        if name in ("psd", "dds"):
+            return textures.describe(b, name)
+    except (IndexError, KeyError, struct.error, ValueError) as e:
+        raise e if isinstance(e, Unreadable) else Unreadable(f"broken {name} header: {e}") from e
+    raise Unreadable(name or "unknown format")
+
+
+def size_of(b: bytes) -> tuple[int, int]:
+    """(width, height) from the header alone."""
+    return describe(b)[:2]
 
 
 def encode(p: Picture, name: str, bits: int | None = None) -> bytes:
@@ -405,4 +504,15 @@ def encode(p: Picture, name: str, bits: int | None = None) -> bytes:
         return write_tiff(p, bits or 16)
     if name == "exr":
         return exr.write(p)
+    if name in ("jpg", "jpeg"):
+        return jpeg.write(p)
+    if name == "dds":
+        return textures.write_dds(p)
     raise Unreadable(name)
+
+
+def holds(name: str, channel: str) -> bool:
+    """Whether files of a format can hold a channel."""
+    if name == "exr":
+        return True
+    return channel in ("r", "g", "b", "y") or (channel == "a" and name in ("png", "dpx", "tif", "tiff", "dds"))

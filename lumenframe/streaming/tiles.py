@@ -38,10 +38,24 @@ def event_frames(events: DataFrame, every: str = "10 minutes", late: str = "10 m
     )
 
 
-def folded_tiles(spark: SparkSession, folder: str, schema, keys: list[str], checkpoint: str, table: str, files_per_batch: int = 16) -> StreamingQuery:
-    """Per-key sums and ranges of a stream of pixels, kept up to date in a table in memory."""
+def folded_tiles(spark: SparkSession, folder: str, schema, keys: list[str], checkpoint: str, target: str, files_per_batch: int = 16) -> StreamingQuery:
+    """Per-key sums and ranges of a stream of pixels, added up batch by batch in the folder `target`.
+
+    Each micro-batch writes the partial sums of its own keys under its number, so a batch that runs again
+    replaces what it wrote, and nothing is held on the driver; `folded` adds the parts up.
+    """
     v = F.col("v")
-    totals = pixels_stream(spark, folder, schema, files_per_batch).groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    query = totals.writeStream.format("memory").queryName(table).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def add(rows: DataFrame, batch: int) -> None:
+        parts = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        parts.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    stream = pixels_stream(spark, folder, schema, files_per_batch)
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def folded(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The sums and ranges of all batches so far."""
+    return spark.read.parquet(target).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))

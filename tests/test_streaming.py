@@ -26,9 +26,13 @@ def test_tiles_are_processed_once_each(spark, tmp_path):
 def test_folded_tiles(spark, tmp_path):
     rows = spark.range(50).select((F.col("id") % 2).alias("image_id"), F.col("id").cast("double").alias("v"))
     rows.repartition(5).write.parquet(str(tmp_path / "in"))
-    tiles.folded_tiles(spark, str(tmp_path / "in"), rows.schema, ["image_id"], str(tmp_path / "mark"), "folded", 1)
-    got = {r.image_id: (r.n, r.total, r.lo, r.hi) for r in spark.table("folded").collect()}
-    assert got == {0: (25, 600.0, 0.0, 48.0), 1: (25, 625.0, 1.0, 49.0)}
+    sums = lambda: {r.image_id: (r.n, r.total, r.lo, r.hi) for r in tiles.folded(spark, str(tmp_path / "sums"), ["image_id"]).collect()}
+    for _ in range(2):
+        tiles.folded_tiles(spark, str(tmp_path / "in"), rows.schema, ["image_id"], str(tmp_path / "mark"), str(tmp_path / "sums"), 1)
+        assert sums() == {0: (25, 600.0, 0.0, 48.0), 1: (25, 625.0, 1.0, 49.0)}
+    rows.limit(3).write.mode("append").parquet(str(tmp_path / "in"))
+    tiles.folded_tiles(spark, str(tmp_path / "in"), rows.schema, ["image_id"], str(tmp_path / "mark"), str(tmp_path / "sums"), 1)
+    assert sum(n for n, *_ in sums().values()) == 53
 
 
 def test_event_frames(spark, sf_dir):
