@@ -40,18 +40,32 @@ def flattened(samples: Column) -> Column:
 
 
 def merge_overlaps(samples: Column) -> Column:
-    """Neighbours at the same depth range become one: alphas combine, colours are weighted by them."""
+    """Neighbours at the same depth range become one: alphas combine, colours are weighted by them.
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.abs(last["z"] - s["z"]) < SAME) & (F.abs(last["zback"] - s["zback"]) < SAME)
+    Samples get the number of their run, and each run is folded by itself, so a
+    pixel's work grows with its samples, not with their square.
+    """
+
+    def apart(i):
+        a, b = F.get(samples, i - 1), F.get(samples, i)
+        return (F.abs(a["z"] - b["z"]) >= SAME) | (F.abs(a["zback"] - b["zback"]) >= SAME)
+
+    def step(last, s):
         a = last["a"] + s["a"] * (1.0 - last["a"])
         safe = F.when(a > 0, a).otherwise(1.0)
         mix = lambda c: F.when(a > 0, (last[c] * last["a"] + s[c] * s["a"] * (1.0 - last["a"])) / safe).otherwise((last[c] + s[c]) / 2)
-        joined = _sample(z=last["z"], zback=last["zback"], a=a, r=mix("r"), g=mix("g"), b=mix("b"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+        return _sample(z=last["z"], zback=last["zback"], a=a, r=mix("r"), g=mix("g"), b=mix("b"))
+
+    n = F.size(samples)
+    # Where runs begin; a pixel without samples has none.
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | apart(i)))
+
+    def run(begin, k):
+        end = F.coalesce(F.get(starts, k + 1), n)
+        rest = F.slice(samples, begin + 2, F.greatest(end - begin - 1, F.lit(0)))
+        return F.aggregate(rest, F.get(samples, begin), step)
 
-    return F.aggregate(samples, F.filter(samples, lambda _: F.lit(False)), step)
+    return F.transform(starts, run)
 
 
 def opaque_z(samples: Column) -> Column:

@@ -178,6 +178,26 @@ def affine_map(inverse, wrap: str = "black", kind: str = "bilinear") -> Map:
     return Map(row(0) / safe, row(1) / safe, kind, wrap, ok)
 
 
+def translation(dx: float, dy: float) -> np.ndarray:
+    return np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1.0]])
+
+
+def scaling(sx: float, sy: float) -> np.ndarray:
+    return np.diag([sx, sy, 1.0])
+
+
+def shear(kx: float, ky: float) -> np.ndarray:
+    return np.array([[1, kx, 0], [ky, 1, 0], [0, 0, 1.0]])
+
+
+def composed(*maps) -> np.ndarray:
+    """The map that applies the first, then the second and so on."""
+    out = np.eye(3)
+    for m in maps:
+        out = np.asarray(m, float) @ out
+    return out
+
+
 def rotation(angle: float, roi: Roi) -> np.ndarray:
     """The inverse map of a turn by `angle` (radians) about the centre of a box."""
     cx, cy = (roi.x0 + roi.x1 - 1) / 2, (roi.y0 + roi.y1 - 1) / 2
@@ -193,19 +213,23 @@ def rotate(img: Img, angle: float, kind: str = "bilinear") -> Img:
     return warp(img, rotation(angle, img.roi), "black", kind)
 
 
-def rotate_whole(img: Img, degrees: float, background=(0.0,)) -> Img:
-    """A turn whose result holds the whole image; what it doesn't cover takes a background colour."""
-    a, r = math.radians(degrees), img.roi
+def whole_turn(r: Roi, degrees: float) -> tuple[Map, Roi]:
+    """The map of a turn onto a box that holds all of `r`, valid where it meets the image."""
+    a = math.radians(degrees)
     c, s = abs(math.cos(a)), abs(math.sin(a))
     w, h = math.ceil(r.width * c + r.height * s - 1e-9), math.ceil(r.width * s + r.height * c - 1e-9)
     turned = np.array([[math.cos(a), math.sin(a), 0], [-math.sin(a), math.cos(a), 0], [0, 0, 1]])
-    to_middle, back = np.eye(3), np.eye(3)
-    to_middle[:2, 2], back[:2, 2] = (-(w - 1) / 2, -(h - 1) / 2), (r.x0 + (r.width - 1) / 2, r.y0 + (r.height - 1) / 2)
-    m = affine_map(back @ turned @ to_middle, "clamp")
+    m = affine_map(translation(r.x0 + (r.width - 1) / 2, r.y0 + (r.height - 1) / 2) @ turned @ translation(-(w - 1) / 2, -(h - 1) / 2), "clamp")
     eps = 1e-6
     inside = (m.sx >= r.x0 - eps) & (m.sx <= r.x1 - 1 + eps) & (m.sy >= r.y0 - eps) & (m.sy <= r.y1 - 1 + eps)
+    return Map(m.sx, m.sy, "bilinear", "clamp", inside), Roi(0, w, 0, h)
+
+
+def rotate_whole(img: Img, degrees: float, background=(0.0,)) -> Img:
+    """A turn whose result holds the whole image; what it doesn't cover takes a background colour."""
     marked = img.select({**{k: F.col(k) for k in img.channels}, "covered": F.lit(1.0)})
-    out = sampled(marked, Roi(0, w, 0, h), Map(m.sx, m.sy, "bilinear", "clamp", inside))
+    m, box = whole_turn(img.roi, degrees)
+    out = sampled(marked, box, m)
     fill = [float(background[min(i, len(background) - 1)]) for i in range(len(img.channels))]
     return out.select({k: F.when(F.col("covered") > 0, F.col(k)).otherwise(f) for k, f in zip(img.channels, fill, strict=True)})
 

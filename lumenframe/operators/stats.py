@@ -185,12 +185,17 @@ def perceptual_difference(a: Img, b: Img, luminance: float = 100.0, fov: float =
     return both.df.agg(F.count_if((mean > 0) & (F.abs(p - q) / F.when(mean > 0, mean).otherwise(1.0) > limit)).alias("n"))
 
 
-def pixel_hash(img: Img) -> DataFrame:
-    """(image_id, hash): an order-free 64-bit digest of all pixels, wherever they are stored."""
-    h = F.xxhash64("y", "x", *img.channels)
-    return img.df.groupBy("image_id").agg(F.bit_xor(h).alias("h"), F.sum(h.cast("decimal(38,0)")).alias("s")).select(
-        "image_id", F.sha2(F.concat_ws("/", "h", "s").cast("binary"), 256).alias("hash")
-    )
+def pixel_hash(img: Img, extra: str = "", digits: int = 6) -> DataFrame:
+    """(image_id, hash): an order-free digest of all pixels, wherever they are stored, and of `extra`.
+
+    A pixel's place and channels, rounded to `digits` places, go through MD5; 13 hexadecimal digits from the front and
+    from the back of it are summed up, so a task sends two numbers for each image.
+    """
+    whole = [F.round(F.col(c) * 10**digits).cast("bigint").cast("string") for c in img.channels]
+    h = F.md5(F.concat_ws("|", F.col("y").cast("string"), F.col("x").cast("string"), *whole).cast("binary"))
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 13), 16, 10).cast("decimal(38,0)"))
+    sums = img.df.groupBy("image_id").agg(part(1).alias("a"), part(20).alias("b"))
+    return sums.select("image_id", F.md5(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"), F.lit(extra)).cast("binary")).alias("hash"))
 
 
 def extremes(img: Img, greatest: bool = True) -> Img:

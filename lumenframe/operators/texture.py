@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ex
 from .image import Img
-from .sampling import mip_level, mip_levels, mip_pyramid
+from .sampling import environment_st, mip_level, mip_levels, mip_pyramid
+
+
+#: Copies of a coarse level's texel at most.
+MOST_COPIES = 4096
 
 
 def trilinear(lookups: DataFrame, texture: Img, wrap: str = "periodic") -> DataFrame:
     """Lookups (key, image_id, u, v, level) of a texture: bilinear in the two levels around `level`, blended.
 
-    Each lookup names at most eight texels; they meet the pyramid in one equi-join.
+    Each lookup names at most eight texels; they meet the pyramid in one equi-join. A level has fewer texels
+    the coarser it is, and each gets more lookups; so its texels stand there in copies, and lookups are
+    dealt among them by their keys. All levels together have no more copies than the finest has texels for each level.
     """
     w, h, n = texture.roi.width, texture.roi.height, mip_levels(texture.roi.width, texture.roi.height)
     low = F.least(F.floor("level"), F.lit(n - 1)).cast("int")
@@ -32,7 +38,10 @@ def trilinear(lookups: DataFrame, texture: Img, wrap: str = "periodic") -> DataF
         for dy in (0, 1) for dx in (0, 1)
     ])
     rows = at.select("key", "image_id", F.col("l").alias("level"), F.explode(taps).alias("t")).select("key", "image_id", "level", "t.x", "t.y", "t.w")
-    found = rows.join(mip_pyramid(texture), ["image_id", "level", "y", "x"], "left")
+    copies = F.least(F.expr("shiftleft(1, 2 * level)"), F.lit(MOST_COPIES))
+    dealt = rows.withColumn("copy", F.pmod(F.xxhash64("key"), copies).cast("int"))
+    texels = mip_pyramid(texture).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    found = dealt.join(texels, ["image_id", "level", "y", "x", "copy"], "left")
     return found.groupBy("key").agg(*[F.coalesce(F.sum(F.col("w") * F.col(c)), F.lit(0.0)).alias(c) for c in texture.channels])
 
 
@@ -90,3 +99,9 @@ def volume(lookups: DataFrame, slices: Img, depth: int) -> DataFrame:
     ).where("key.zw > 0")
     found = trilinear(spread, slices, "clamp")
     return found.groupBy(F.col("key.key").alias("key")).agg(*[F.sum(F.col(c) * F.col("key.zw")).alias(c) for c in slices.channels])
+
+
+def environment(directions: DataFrame, texture: Img) -> DataFrame:
+    """Lookups (key, image_id, dx, dy, dz, level) of latitude-longitude images by direction, trilinear; u goes around."""
+    u, v = environment_st("dx", "dy", "dz")
+    return trilinear(directions.select("key", "image_id", u.col.alias("u"), v.col.alias("v"), "level"), texture, "periodic")

@@ -28,7 +28,17 @@ def _luts() -> None:
     for method in ("trilinear", "tetrahedral", "nearest"):
         pixel_query(f"lu_3d_{method}", CUBE.op(method))
     big = Lut3D.of(lambda c: c**1.5, 33)
-    register("lu_3d_33_arrow", lambda s, d: rounded(big.frame(rgba(s, d).df), K, RGBA))
+    # A cube of three curves is a curve for each channel.
+    step = "least(floor(greatest(least({c}, 1.0), 0.0) * 32), 31)"
+    at = lambda i: f"pow({i} / CAST(32 AS DOUBLE), CAST(1.5 AS DOUBLE))"
+    curve = f"{at(step)} + ({at(f'({step} + 1)')} - {at(step)}) * (greatest(least({{c}}, 1.0), 0.0) * 32 - {step})"
+    table_query(
+        "lu_3d_33_arrow",
+        lambda s, d: big.frame(rgba(s, d).df),
+        f"SELECT image_id, y, x, {', '.join(f'{curve.format(c=c)} AS {c}' for c in 'rgb')}, a FROM ({RGBA_SQL}) AS p",
+        K,
+        RGBA,
+    )
 
 
 def _catalog() -> None:

@@ -7,15 +7,57 @@ from pyspark.sql import functions as F
 from ..functions.expr import ex
 from ..operators import filters, frequency, layers, repair, sampling, stats, texture, tiles
 from ..operators.adapters import RGBA_SQL, load
+from ..operators.image import Roi
 from .base import GRAY_SQL, K, gray, register, rgba, rounded, table_query
 
 
+def _dft_sql(source: str, w: int, h: int, back: bool = False) -> str:
+    """(image_id, y, x, re, im): the unitary transform by its definition, rows and then columns."""
+    turn = lambda c, n: f"(CAST(2 * {c} * k.v AS DOUBLE) * pi() / CAST({n} AS DOUBLE))"
+    sign = "-" if back else "+"
+    parts = lambda t: (f"sum(re * cos({t}) {sign} im * sin({t}))", f"sum(im * cos({t}) {'+' if back else '-'} re * sin({t}))")
+    tx, ty = turn("x", w), turn("y", h)
+    rows = f"SELECT image_id, y, CAST(k.v AS INT) AS x, {parts(tx)[0]} AS re, {parts(tx)[1]} AS im FROM ({source}) AS s0, range({w}) AS k(v) GROUP BY image_id, y, k.v"
+    size = f"sqrt(CAST({w * h} AS DOUBLE))"
+    return f"SELECT image_id, CAST(k.v AS INT) AS y, x, {parts(ty)[0]} / {size} AS re, {parts(ty)[1]} / {size} AS im FROM ({rows}) AS s1, range({h}) AS k(v) GROUP BY image_id, k.v, x"
+
+
+def _response_sql(factor: str, w: int = 64, h: int = 50) -> str:
+    """(image_id, y, x, v): grey images with their frequencies weighted by `factor` of the squared frequency f2."""
+    part = lambda c, n: f"pow(CAST(CASE WHEN {c} < {(n + 1) // 2} THEN {c} ELSE {c} - {n} END AS DOUBLE) / CAST({n} AS DOUBLE), 2)"
+    forward = _dft_sql(f"SELECT *, v AS re, CAST(0 AS DOUBLE) AS im FROM ({GRAY_SQL}) AS g0", w, h)
+    weighted = f"SELECT image_id, y, x, re * {factor} AS re, im * {factor} AS im FROM (SELECT *, {part('y', h)} + {part('x', w)} AS f2 FROM ({forward}) AS f0) AS f1"
+    return f"SELECT image_id, y, x, re AS v FROM ({_dft_sql(weighted, w, h, True)}) AS b0"
+
+
 def _frequency() -> None:
-    register("fft_forward", lambda s, d: rounded(frequency.fft(gray(s, d)).df, K, ("re", "im")))
-    register("fft_polar", lambda s, d: rounded(frequency.fft(gray(s, d)).apply(frequency.to_polar()).df, K, ("size",)))
-    register("fft_blur", lambda s, d: rounded(frequency.fft_blur(gray(s, d), 1.5).df, K, ("v",)))
-    register("fft_highpass", lambda s, d: rounded(frequency.fft_highpass(gray(s, d), 1.5).df, K, ("v",)))
-    register("fft_sharpen", lambda s, d: rounded(frequency.fft_sharpen(gray(s, d), 1.5, 0.7).df, K, ("v",)))
+    import math
+
+    import numpy as np
+
+    from .images import _conv
+
+    forward = _dft_sql(f"SELECT *, v AS re, CAST(0 AS DOUBLE) AS im FROM ({GRAY_SQL}) AS g0", 64, 50)
+    table_query("fft_forward", lambda s, d: frequency.fft(gray(s, d)).df, forward, K, ("re", "im"))
+    table_query(
+        "fft_polar",
+        lambda s, d: frequency.fft(gray(s, d)).apply(frequency.to_polar()).df.select(*K, "size"),
+        f"SELECT image_id, y, x, sqrt(re * re + im * im) AS size FROM ({forward}) AS p0",
+        K,
+        ("size",),
+    )
+    low = lambda sigma: f"exp(CAST({-2 * (math.pi * sigma) ** 2!r} AS DOUBLE) * f2)"
+    one = "CAST(1 AS DOUBLE)"
+    table_query("fft_blur", lambda s, d: frequency.fft_blur(gray(s, d), 1.5).df, _response_sql(low(1.5)), K, ("v",))
+    table_query("fft_highpass", lambda s, d: frequency.fft_highpass(gray(s, d), 1.5).df, _response_sql(f"({one} - {low(1.5)})"), K, ("v",))
+    table_query(
+        "fft_sharpen", lambda s, d: frequency.fft_sharpen(gray(s, d), 1.5, 0.7).df, _response_sql(f"({one} + CAST(0.7 AS DOUBLE) * ({one} - {low(1.5)}))"), K, ("v",)
+    )
+    kernel = np.arange(1.0, 16.0).reshape(3, 5) ** 1.3
+    square = np.zeros((5, 5))
+    square[1:4] = kernel
+    # A convolution meets the kernel from its end.
+    table_query("fft_convolve", lambda s, d: frequency.fft_convolve(gray(s, d), kernel / kernel.sum()).df, _conv(square[::-1, ::-1] / kernel.sum(), mode="periodic"), K, ("v",))
     whole = lambda s, d: frequency.fft(gray(s, d)).df.groupBy("image_id").agg(F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("energy"))
     # The transform keeps energy (a last image with missing rows counts as padded with zeros).
     table_query("fft_energy", whole, f"SELECT image_id, sum(v * v) AS energy FROM ({GRAY_SQL}) AS g0 GROUP BY image_id", ["image_id"], ("energy",))
@@ -73,15 +115,90 @@ def _layers() -> None:
     )
 
 
+#: Texture lookups: an event each, spread over all images.
+LOOKUPS_SQL = """SELECT event_id AS key, event_id % (SELECT max(vec_id) // 50 + 1 FROM embeddings) AS image_id, coalesce(value, CAST(0 AS DOUBLE)) / CAST(97.0 AS DOUBLE) AS u,
+  CAST(event_id AS DOUBLE) / CAST(1013.0 AS DOUBLE) AS v, CAST(event_id % 7 AS DOUBLE) * CAST(0.0131 AS DOUBLE) AS dudx, CAST(event_id % 3 AS DOUBLE) * CAST(0.0021 AS DOUBLE) AS dvdx,
+  CAST(event_id % 2 AS DOUBLE) * CAST(0.0013 AS DOUBLE) AS dudy, CAST(event_id % 5 AS DOUBLE) * CAST(0.0093 AS DOUBLE) AS dvdy FROM events"""
+
+
+def _images(s, d) -> int:
+    return load(s, d, "embeddings").agg(F.max("vec_id")).first()[0] // 50 + 1
+
+
+def _lookups(s, d):
+    n = _images(s, d)
+    step = lambda m, f: (F.col("event_id") % m).cast("double") * f
+    return load(s, d, "events").select(
+        F.col("event_id").alias("key"), (F.col("event_id") % n).alias("image_id"), (F.coalesce("value", F.lit(0.0)) / 97.0).alias("u"),
+        (F.col("event_id").cast("double") / 1013.0).alias("v"), step(7, 0.0131).alias("dudx"), step(3, 0.0021).alias("dvdx"), step(2, 0.0013).alias("dudy"), step(5, 0.0093).alias("dvdy"),
+    )
+
+
+def _trilinear_sql(lookups: str, pyramid: str, wrap: str = "periodic") -> str:
+    """(key, v) of lookups (key, image_id, u, v, level), each the sum of its weighted texels."""
+    two = (
+        "SELECT key, image_id, u, v, l, w, greatest(1, 64 >> l) AS wl, greatest(1, 50 >> l) AS hl FROM ("
+        f"SELECT key, image_id, u, v, CAST(least(floor(level), 6) AS INT) AS l, CAST(1 AS DOUBLE) - (level - least(floor(level), 6)) AS w FROM ({lookups}) AS k0 UNION ALL "
+        f"SELECT key, image_id, u, v, CAST(least(least(floor(level), 6) + 1, 6) AS INT), level - least(floor(level), 6) FROM ({lookups}) AS k1) AS k2 WHERE w > 0"
+    )
+    at = f"SELECT key, image_id, l, w, wl, hl, u * wl - CAST(0.5 AS DOUBLE) AS sx, v * hl - CAST(0.5 AS DOUBLE) AS sy FROM ({two}) AS k3"
+    inside = (lambda c, n: f"((({c}) % {n}) + {n}) % {n}") if wrap == "periodic" else (lambda c, n: f"greatest(0, least({n} - 1, {c}))")
+    taps = " UNION ALL ".join(
+        f"SELECT key, image_id, l, {inside(f'CAST(floor(sx) AS INT) + {dx}', 'wl')} AS x, {inside(f'CAST(floor(sy) AS INT) + {dy}', 'hl')} AS y, "
+        f"w * {'(sx - floor(sx))' if dx else '(CAST(1 AS DOUBLE) - (sx - floor(sx)))'} * {'(sy - floor(sy))' if dy else '(CAST(1 AS DOUBLE) - (sy - floor(sy)))'} AS w FROM spots"
+        for dx in (0, 1) for dy in (0, 1)
+    )
+    return (
+        f"WITH spots AS MATERIALIZED ({at}), taps AS ({taps}), mip AS MATERIALIZED ({pyramid}) "
+        "SELECT taps.key, coalesce(sum(taps.w * mip.v), CAST(0 AS DOUBLE)) AS v FROM taps LEFT JOIN mip ON mip.image_id = taps.image_id AND mip.level = taps.l AND mip.y = taps.y AND mip.x = taps.x GROUP BY taps.key"
+    )
+
+
 def _textures() -> None:
-    looked = lambda s, d: load(s, d, "lineitem").select(
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("k"),
-        F.lit(0).cast("bigint").alias("image_id"), (F.col("l_quantity") / 50).alias("u"), (F.col("l_extendedprice") / 105000).alias("v"),
-        *[(F.col("l_tax") * f).alias(c) for c, f in (("dudx", 1.3), ("dvdx", 0.2), ("dudy", 0.1), ("dvdy", 0.9))],
-    ).withColumn("key", F.xxhash64("k")).drop("k")
-    register("tx_trilinear", lambda s, d: rounded(texture.trilinear(texture.levelled(looked(s, d), gray(s, d)), gray(s, d)), ["key"], ("v",)))
-    register("tx_anisotropic", lambda s, d: rounded(texture.anisotropic(looked(s, d), gray(s, d)), ["key"], ("v",)))
-    register("tx_volume", lambda s, d: rounded(texture.volume(looked(s, d).withColumn("t", F.col("dudx") * 5), gray(s, d), 10), ["key"], ("v",)))
+    from .base import SQL
+
+    mip = "SELECT level, image_id, y, x, v FROM (" + SQL["tx_mip"].replace("round(v, 6) + CAST(0.0 AS DOUBLE) AS v", "v") + ") AS mip0"
+    level = sampling.mip_level(ex("dudx") * 64.0, ex("dvdx") * 50.0, ex("dudy") * 64.0, ex("dvdy") * 50.0, 7)
+    levelled = f"SELECT *, {level.sql} AS level FROM ({LOOKUPS_SQL}) AS lk"
+    table_query(
+        "tx_trilinear", lambda s, d: texture.trilinear(texture.levelled(_lookups(s, d), gray(s, d)), gray(s, d)), _trilinear_sql(levelled, mip), ["key"], ("v",)
+    )
+    side = lambda a, b: f"sqrt(pow({a} * CAST(64 AS DOUBLE), 2) + pow({b} * CAST(50 AS DOUBLE), 2))"
+    feet = f"SELECT *, {side('dudx', 'dvdx')} AS fa, {side('dudy', 'dvdy')} AS fb FROM ({LOOKUPS_SQL}) AS f0"
+    counted = f"SELECT *, CAST(greatest(1, least(16, ceil(greatest(fa, fb) / greatest(greatest(least(fa, fb), CAST(0.000001 AS DOUBLE)), CAST(1 AS DOUBLE))))) AS INT) AS n FROM ({feet}) AS f1"
+    place = "((CAST(i AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(n AS DOUBLE) - CAST(0.5 AS DOUBLE))"
+    spread = (
+        f"SELECT key * 16 + i - 1 AS key, image_id, u + CASE WHEN fa >= fb THEN dudx ELSE dudy END * {place} AS u, v + CASE WHEN fa >= fb THEN dvdx ELSE dvdy END * {place} AS v, "
+        f"least(CAST(6 AS DOUBLE), log2(greatest(CAST(1 AS DOUBLE), greatest(fa, fb) / n))) AS level FROM ({counted}) AS f2, range(1, 17) AS q(i) WHERE i <= n"
+    )
+    table_query(
+        "tx_anisotropic",
+        lambda s, d: texture.anisotropic(_lookups(s, d), gray(s, d)),
+        f"SELECT key // 16 AS key, avg(v) AS v FROM ({_trilinear_sql(spread, mip)}) AS an GROUP BY 1",
+        ["key"],
+        ("v",),
+    )
+    depth = "(SELECT max(vec_id) // 50 + 1 FROM embeddings)"
+    slices = f"SELECT *, greatest(CAST(0 AS DOUBLE), least(dudx * 10 * {depth} - CAST(0.5 AS DOUBLE), CAST({depth} - 1 AS DOUBLE))) AS pos FROM ({LOOKUPS_SQL}) AS s0"
+    both = (
+        f"SELECT key * 2 AS key, CAST(floor(pos) AS BIGINT) AS image_id, u, v, CAST(0 AS DOUBLE) AS level, CAST(1 AS DOUBLE) - (pos - floor(pos)) AS zw FROM ({slices}) AS s1 UNION ALL "
+        f"SELECT key * 2 + 1, CAST(least(floor(pos) + 1, {depth} - 1) AS BIGINT), u, v, CAST(0 AS DOUBLE), pos - floor(pos) FROM ({slices}) AS s2"
+    )
+    table_query(
+        "tx_volume",
+        lambda s, d: texture.volume(_lookups(s, d).withColumn("t", F.col("dudx") * 10), gray(s, d), _images(s, d)),
+        f"SELECT z.key // 2 AS key, sum(z.zw * t.v) AS v FROM ({both}) AS z JOIN ({_trilinear_sql(both, mip, 'clamp')}) AS t ON t.key = z.key GROUP BY 1",
+        ["key"],
+        ("v",),
+    )
+    way = "SELECT key, image_id, u - CAST(0.5 AS DOUBLE) AS dx, sin(v) AS dy, cos(v * CAST(3 AS DOUBLE)) AS dz, CAST(key % 4 AS DOUBLE) * CAST(0.7 AS DOUBLE) AS level FROM ({}) AS w0"
+    u, v = sampling.environment_st("dx", "dy", "dz")
+
+    def directions(s, d):
+        return _lookups(s, d).select("key", "image_id", (F.col("u") - 0.5).alias("dx"), F.sin("v").alias("dy"), F.cos(F.col("v") * 3.0).alias("dz"), ((F.col("key") % 4).cast("double") * 0.7).alias("level"))
+
+    turned = f"SELECT key, image_id, {u.sql} AS u, {v.sql} AS v, level FROM ({way.format(LOOKUPS_SQL)}) AS w1"
+    table_query("tx_environment_texels", lambda s, d: texture.environment(directions(s, d), gray(s, d)), _trilinear_sql(turned, mip), ["key"], ("v",))
     level = sampling.mip_level(ex("r") * 64.0, ex("g") * 50.0, ex("b") * 64.0, ex("a") * 50.0, 7)
     table_query(
         "tx_level",
@@ -101,9 +218,23 @@ def _tiles() -> None:
     table_query("fi_gauss_tiles", lambda s, d: tiles.gaussian(gray(s, d), 0.8, 16).df, _conv(np.outer(gauss, gauss)), K, ("v",))
     table_query("fi_median_tiles", lambda s, d: tiles.median(gray(s, d), 3, 16).df, _agg(1, "list_sort(list(n))[5]"), K, ("v",))
     table_query("ti_there_and_back", lambda s, d: tiles.from_tiles(tiles.to_tiles(gray(s, d), 16, 2), gray(s, d), 16).df, GRAY_SQL, K, ("v",))
+    own = "CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN r WHEN y % 2 = 1 AND x % 2 = 1 THEN b ELSE g END"
     for method in ("vng", "ahd"):
         register(f"de_{method}", lambda s, d, m=method: rounded(tiles.demosaic(gray(s, d), "RGGB", m, 16).df, K, ("r", "g", "b")))
-    register("wa_rotate_whole", lambda s, d: rounded(sampling.rotate_whole(rgba(s, d), 30.0, (0.5,)).df, K, ("r", "g", "b", "a")))
+        # A pixel keeps the value that it was made of.
+        table_query(
+            f"de_{method}_sites", lambda s, d, m=method: tiles.demosaic(gray(s, d), "RGGB", m, 16).df.select(*K, F.expr(own).alias("v")), GRAY_SQL, K, ("v",)
+        )
+    m, box = sampling.whole_turn(Roi(0, 16, 0, 50), 30.0)
+    marked = f"SELECT *, CAST(1 AS DOUBLE) AS covered FROM ({RGBA_SQL}) AS m0"
+    turned = sampling.sampled_sql(marked, ("r", "g", "b", "a", "covered"), Roi(0, 16, 0, 50), box, m)
+    table_query(
+        "wa_rotate_whole",
+        lambda s, d: sampling.rotate_whole(rgba(s, d), 30.0, (0.5,)).df,
+        f"SELECT image_id, y, x, {', '.join(f'CASE WHEN covered > 0 THEN {c} ELSE CAST(0.5 AS DOUBLE) END AS {c}' for c in 'rgba')} FROM ({turned}) AS t0",
+        K,
+        ("r", "g", "b", "a"),
+    )
 
 
 def _files() -> None:
@@ -121,10 +252,15 @@ def _files() -> None:
     single = "CAST(CAST({c} AS FLOAT) AS DOUBLE)"
     unit = "CAST(CAST(least(greatest({c}, 0.0), 1.0) AS FLOAT) AS DOUBLE)"
     cut = "floor(CAST(CAST(" + unit + " * {top} AS FLOAT) AS DOUBLE)) / {top}.0"
+    top3 = "greatest(" + ", ".join(single.format(c=c) for c in names) + ", CAST(0 AS DOUBLE))"
+    unit8 = f"pow(CAST(2 AS DOUBLE), floor(log2({top3})) - 7)"  # the value of one step of a shared exponent
+    rgbe = f"CASE WHEN {top3} > 0 THEN floor(greatest(CAST(CAST({{c}} AS FLOAT) AS DOUBLE), CAST(0 AS DOUBLE)) / {unit8}) * {unit8} ELSE CAST(0 AS DOUBLE) END"
     near = "floor(" + unit + " * CAST({top} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / {top}.0"
     for name, kind, bits, formula, top in (
         ("exr", "exr", None, single, 1), ("pfm", "pfm", None, single, 1), ("tiff32", "tiff", 32, single, 1), ("tiff16", "tiff", 16, cut, 65535),
         ("png16", "png", 16, cut, 65535), ("png8", "png", 8, cut, 255), ("ppm8", "ppm", 8, cut, 255), ("dpx16", "dpx", 16, near, 65535),
+        ("dpx", "dpx", 10, near, 1023), ("dpx12", "dpx", 12, near, 4095), ("dpx8", "dpx", 8, near, 255), ("tiff8", "tiff", 8, cut, 255), ("dds", "dds", None, cut, 255),
+        ("hdr", "hdr", None, rgbe, 1),
     ):
         table_query(
             f"so_{name}",
@@ -133,8 +269,6 @@ def _files() -> None:
             K,
             names,
         )
-    for name, bits in (("hdr", None), ("dpx", 10), ("dpx12", 12)):
-        register(f"so_{name}", lambda s, d, k=name.rstrip("12"), b=bits: rounded(there_and_back(s, d, k, b), K, names))
 
 
 _layers()

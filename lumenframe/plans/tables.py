@@ -78,7 +78,15 @@ def _stats() -> None:
     steps = ", ".join(f"CAST(round({c} * 65536) AS BIGINT)" for c in RGBA)
     table_query("st_unique_colors", lambda s, d: stats.unique_colors(rgba(s, d)), f"SELECT count(*) AS n FROM (SELECT DISTINCT {steps} FROM ({RGBA_SQL}) AS u0) AS u1", ["n"])
     register("st_unique_colors_approx", lambda s, d: stats.unique_colors(rgba(s, d), True))
-    register("st_pixel_hash", lambda s, d: stats.pixel_hash(rgba(s, d)))
+    whole = ", '|', ".join(f"CAST(round({c} * 1000000) AS BIGINT)" for c in RGBA)
+    part = lambda at: f"sum(('0x' || substr(h, {at}, 13))::BIGINT::HUGEINT)"
+    table_query(
+        "st_pixel_hash",
+        lambda s, d: stats.pixel_hash(rgba(s, d), "note"),
+        f"SELECT image_id, md5(a || '/' || b || '/note') AS hash FROM (SELECT image_id, {part(1)} AS a, {part(20)} AS b FROM "
+        f"(SELECT image_id, md5(concat(y, '|', x, '|', {whole})) AS h FROM ({RGBA_SQL}) AS h0) AS h1 GROUP BY image_id) AS h2",
+        ["image_id", "hash"],
+    )
     table_query(
         "st_nonzero_region",
         lambda s, d: stats.nonzero_region(gray(s, d).select({"v": F.greatest(F.col("v") - 0.33, F.lit(0.0))})),
@@ -182,7 +190,45 @@ def _deep() -> None:
     )
     flat = f"SELECT image_id, y, x, {D(2.5)} AS z, {D(2.5)} AS zback, a, r, g, b FROM ({RGBA_SQL}) AS de0"
     table_query("dp_deepen", lambda s, d: deep.exploded(deep.deepened(rgba(s, d).df, 2.5, K), K).drop("s"), flat, K, deep.FIELDS)
-    register("dp_tidy", lambda s, d: rounded(deep.exploded(deep.tidied(pixels(s, d))), rows, deep.FIELDS))
+    # Depths in steps, so that samples meet; alphas above 0.
+    coarse = f"SELECT y, x, floor(z * 4) / 4 AS z, floor(z * 4) / 4 + CAST(0.125 AS DOUBLE) AS zback, a * CAST(0.9 AS DOUBLE) + CAST(0.05 AS DOUBLE) AS a, r, g, b FROM ({DEEP_SQL}) AS t0"
+
+    def stepped(s, d):
+        z = F.floor(F.col("z") * 4) / 4
+        return deep.gathered(adapters.deep(s, d).select("y", "x", z.alias("z"), (z + 0.125).alias("zback"), (F.col("a") * 0.9 + 0.05).alias("a"), "r", "g", "b"))
+
+    order = "PARTITION BY y, x, z, zback ORDER BY a, r, g, b"
+    front = f"coalesce(exp(sum(ln({D(1)} - a)) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), {D(1)})"
+    runs = f"SELECT y, x, z, zback, {D(1)} - exp(sum(ln({D(1)} - a))) AS a, {', '.join(f'sum({c} * a * t) / ({D(1)} - exp(sum(ln({D(1)} - a)))) AS {c}' for c in 'rgb')} FROM (SELECT *, {front} AS t FROM ({coarse}) AS t1) AS t2 GROUP BY y, x, z, zback"
+    table_query(
+        "dp_tidy",
+        lambda s, d: deep.exploded(deep.tidied(stepped(s, d))),
+        f"SELECT y, x, CAST(row_number() OVER (PARTITION BY y, x ORDER BY z, zback) - 1 AS INT) AS s, z, zback, a, r, g, b FROM ({runs}) AS t3",
+        rows,
+        deep.FIELDS,
+    )
+    new = {f: 0.125 * (i + 1) for i, f in enumerate(deep.FIELDS)}
+    own = ", ".join(f"{D(v)} AS {f}" for f, v in new.items())
+
+    def inserted(s, d):
+        more = F.array(F.struct(*[F.lit(v).alias(f) for f, v in new.items()]))
+        return deep.exploded(pixels(s, d).withColumn("samples", deep.insert_samples(F.col("samples"), 1, more)))
+
+    numbered = f"SELECT y, x, s - 1 AS s, {', '.join(deep.FIELDS)} FROM ({ORDERED}) AS o"
+    table_query(
+        "dp_insert",
+        inserted,
+        f"SELECT y, x, CAST(CASE WHEN s = 0 THEN 0 ELSE s + 1 END AS INT) AS s, {', '.join(deep.FIELDS)} FROM ({numbered}) AS n0 UNION ALL SELECT y, x, 1, {own} FROM ({DEEP_SQL}) AS n1 GROUP BY y, x",
+        rows,
+        deep.FIELDS,
+    )
+    table_query(
+        "dp_erase",
+        lambda s, d: deep.exploded(pixels(s, d).withColumn("samples", deep.erase_samples(F.col("samples"), 0, 1))),
+        f"SELECT y, x, CAST(s - 1 AS INT) AS s, {', '.join(deep.FIELDS)} FROM ({numbered}) AS n0 WHERE s > 0",
+        rows,
+        deep.FIELDS,
+    )
 
 
 def _sequences() -> None:

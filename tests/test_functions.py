@@ -72,11 +72,93 @@ def run(spark, rows, *ops):
 CUBE8 = np.stack(np.meshgrid(*[np.linspace(0, 1, 8)] * 3, indexing="ij"), -1).reshape(-1, 3)
 
 
-def test_golden_grades(spark):
-    warm = run(spark, CUBE8, color.cdl((1.1, 1.1, 0.9), (0.02, 0.0, -0.02), (1, 1, 1), 1.1))
-    assert abs(warm.min()) < 1e-9 and abs(warm.max() - 1) < 1e-9 and abs(warm.mean() - 0.4955523) < 3e-2
-    contrast = run(spark, CUBE8, color.cdl((1, 1, 1), (-0.1,) * 3, (1.2,) * 3))
-    assert np.allclose([contrast.min(), contrast.max(), contrast.mean(), contrast.std()], [0, 0.8812404, 0.3723364, 0.3046936], atol=1e-4)
+#: Published statistics (least, greatest, mean, deviation) of code values 0 to 255 decoded. Fixed values.
+GOLDEN_CURVES = {
+    "apple_log": (-0.0564109, 12.0000019, 1.4866019, 2.6281667),
+    "clog2": (-0.0147269, 59.2345009, 6.2912736, 12.2666864),
+    "clog3": (-0.0738133, 14.6683016, 2.3025289, 3.4752867),
+    "pq_100": (0.0, 100.0, 10.8352318, 20.7775612),
+    "hlg": (0.0, 3.0, 0.5726982, 0.7275777),
+    "acescct": (-0.0069169, 222.8610840, 18.7180748, 42.2506714),
+}
+#: The same of a colour cube of 8 steps through matrices and colour decisions. Fixed values.
+GOLDEN_CUBES = {
+    "srgb_to_xyz": (0.0, 1.0888300, 0.5065500, 0.2558608),
+    "ap0_to_ap1": (-0.4514393, 1.4514393, 0.5, 0.4054831),
+    "identity": (0.0, 1.0, 0.5, 0.3273268),
+    "warmup": (0.0, 1.0, 0.4955523, 0.3361615),
+    "contrast": (0.0, 0.8812404, 0.3723364, 0.3046936),
+}
+#: The published matrix from sRGB to XYZ. Fixed values.
+SRGB_TO_XYZ = [[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]]
+
+
+def statistics(x):
+    return [x.min(), x.max(), x.mean(), x.std()]
+
+
+@pytest.mark.parametrize("name", sorted(GOLDEN_CURVES))
+def test_golden_curves(spark, name):
+    got = column(spark, np.linspace(0, 1, 256), lambda v: transfer.decode(name, v))
+    # The published HLG light is 3 where that of the curve is 1.
+    assert np.allclose(statistics(got * (3 if name == "hlg" else 1)), GOLDEN_CURVES[name], rtol=1e-5, atol=1e-4)
+
+
+@pytest.mark.parametrize("name", sorted(GOLDEN_CUBES))
+def test_golden_cubes(spark, name):
+    op = {
+        "srgb_to_xyz": color.matrixed(np.array(SRGB_TO_XYZ)),
+        "ap0_to_ap1": color.matrixed(gamut.rgb_to_rgb("aces_ap0", "aces_ap1")),
+        "identity": color.cdl((1, 1, 1), (0, 0, 0), (1, 1, 1)),
+        "warmup": color.cdl((1.1, 1.0, 0.9), (0.02, 0.0, -0.02), (1, 1, 1), 1.1),
+        "contrast": color.cdl((1, 1, 1), (-0.1,) * 3, (1.2,) * 3),
+    }[name]
+    assert np.allclose(statistics(run(spark, CUBE8, op)), GOLDEN_CUBES[name], atol=1e-5)
+
+
+#: Published matrices to XYZ, and adaptations from D65 to D50. Fixed values.
+TO_XYZ = {
+    "rec2020": [[0.6369580, 0.1446169, 0.1688810], [0.2627002, 0.6779981, 0.0593017], [0.0, 0.0280727, 1.0609851]],
+    "aces_ap0": [[0.9525523959, 0.0, 0.0000936786], [0.3439664498, 0.7281660966, -0.0721325464], [0.0, 0.0, 1.0088251844]],
+    "aces_ap1": [[0.6624541811, 0.1340042065, 0.1561876870], [0.2722287168, 0.6740817658, 0.0536895174], [-0.0055746495, 0.0040607335, 1.0103391003]],
+}
+TO_D50 = {
+    "bradford": [[1.0478112, 0.0228866, -0.0501270], [0.0295424, 0.9904844, -0.0170491], [-0.0092345, 0.0150436, 0.7521316]],
+    "cat02": [[1.0425731, 0.0308912, -0.0528126], [0.0221935, 1.0018566, -0.0210738], [-0.0011648, -0.0034205, 0.7617891]],
+}
+
+
+@pytest.mark.parametrize("name", ["rec2020", "aces_ap0", "aces_ap1"])
+def test_published_gamuts(name):
+    assert np.allclose(gamut.rgb_to_xyz(name), TO_XYZ[name], atol=1e-3)
+
+
+@pytest.mark.parametrize("name", sorted(TO_D50))
+def test_published_adaptations(name):
+    assert np.allclose(gamut.adaptation("D65", "D50", name), TO_D50[name], atol=6e-4)
+
+
+def test_restated_cases(spark):
+    """Slope 2 and offset 0.1 of greys, an exposure of one stop, pivoted contrast, ranges, and the log curves' values."""
+    grey = [[0.0] * 3, [0.5] * 3]
+    assert np.allclose(run(spark, grey, color.cdl((2,) * 3, (0.1,) * 3, (1,) * 3, style="noclamp")), [[0.1] * 3, [1.1] * 3])
+    assert np.allclose(run(spark, CUBE8, color.exposure_contrast("linear", 1.0, 1.0)), CUBE8 * 2)
+    assert np.allclose(run(spark, [[0.18] * 3], color.exposure_contrast("linear", 0.0, 1.5)), 0.18, atol=1e-9)
+    assert np.allclose(run(spark, [[0.0] * 3, [0.5] * 3, [1.0] * 3], color.ranged(0, 1, -1, 1, True))[:, 0], [-1, 0, 1])
+    assert np.allclose(run(spark, CUBE8, color.ranged(0, 1, 0, 1, False)), CUBE8)
+    assert np.allclose(run(spark, [[0.5] * 3], color.matrixed(np.diag([1.2, 1.0, 0.8]))), [[0.6, 0.5, 0.4]])
+    assert np.allclose(column(spark, [0.0, 0.0078125, 0.18, 1.0], lambda v: transfer.encode("acescct", v)), [0.0729055341958355, 0.155251141552511, 0.4135, 0.5548], atol=2e-4)
+    assert np.allclose(column(spark, [0.18, 1.0], lambda v: transfer.encode("acescc", v)), [0.4135, 0.5548], atol=2e-4)
+    assert run(spark, [[1.0, 0.2, 0.1]], color.red_modified())[0][0] <= 1.0
+    curve = lut.Lut1D.of(lambda x: x**2.2, 256)
+    at = np.linspace(0, 1, 97)
+    assert np.allclose(run(spark, np.stack([at] * 3, 1), curve.op())[:, 1], np.interp(at, np.linspace(0, 1, 256), np.linspace(0, 1, 256) ** 2.2))
+
+
+def test_golden_matrices():
+    assert np.allclose(gamut.rgb_to_xyz("srgb"), SRGB_TO_XYZ, atol=1e-3)
+    want = [[1.4514393161, -0.2365107469, -0.2149285693], [-0.0765537734, 1.1762296998, -0.0996759264], [0.0083161484, -0.0060324498, 0.9977163014]]
+    assert np.allclose(gamut.rgb_to_rgb("aces_ap0", "aces_ap1"), want, atol=1e-8)
 
 
 @pytest.mark.parametrize(
