@@ -323,6 +323,41 @@ def allocation(kind: str, low: float, high: float, offset: float | None = None,
     return each(lambda v: (ln(greatest(v + k, 1.1754943508222875e-38)) / math.log(2.0) - low) / (high - low))
 
 
+def basic_primary(lift=(0, 0, 0), gamma=(1, 1, 1), gain=(1, 1, 1), offset=0.0, exposure=0.0, contrast=1.0, saturation=1.0, pivot=0.18, low=None, high=None, inverse=False) -> Op:
+    """Exposure, lift, gain and gamma, an offset, contrast about a pivot, saturation, clamps; backwards (but for clamps) with `inverse`."""
+    if inverse:
+        spread = {f"q_{c}": (ex("y0") + (ex(c) - "y0") / float(saturation) - pivot) / float(contrast) + pivot - float(offset) for c in RGB}
+        out = {}
+        for i, c in enumerate(RGB):
+            x = power(greatest(f"q_{c}", 0.0), float(gamma[i])) / float(gain[i])
+            out[c] = (x - float(lift[i])) / (1.0 - float(lift[i])) / 2.0**exposure
+        return Op({**out, "a": "a"}, {"y0": luma(*RGB)}, spread)
+    step = {}
+    for i, c in enumerate(RGB):
+        x = ex(c) * 2.0**exposure
+        x = power(greatest((x + (ex(1.0) - x) * float(lift[i])) * float(gain[i]), 0.0), 1 / float(gamma[i])) + float(offset)
+        step[f"p_{c}"] = (x - pivot) * float(contrast) + pivot
+    out = {c: ex("y0") + (ex(f"p_{c}") - "y0") * float(saturation) for c in RGB}
+    if low is not None:
+        out = {c: greatest(e, float(low)) for c, e in out.items()}
+    if high is not None:
+        out = {c: least(e, float(high)) for c, e in out.items()}
+    return Op({**out, "a": "a"}, step, {"y0": luma("p_r", "p_g", "p_b")})
+
+
+def basic_tone(shadows=(1,) * 4, midtones=(1,) * 4, highlights=(1,) * 4, whites=(1,) * 4, blacks=(0,) * 4, shadow=(0.0, 0.09), highlight=(0.5, 0.89)) -> Op:
+    """Gains of shadows, midtones and highlights by luma (each red, green, blue, master), after an offset and before a scale."""
+    dark = clamp((ex(shadow[1]) - "y0") / (shadow[1] - shadow[0]))
+    light = clamp((ex("y0") - highlight[0]) / (highlight[1] - highlight[0]))
+    weights = {"wd": dark, "wl": light}
+    out = {}
+    for i, c in enumerate(RGB):
+        k = lambda v, i=i: float(v[i] * v[3] - 1)
+        gain = ex(1.0) + ex("wd") * k(shadows) + ex("wm") * k(midtones) + ex("wl") * k(highlights)
+        out[c] = (ex(c) + float(blacks[i] + blacks[3])) * gain * float(whites[i] * whites[3])
+    return Op({**out, "a": "a"}, {"y0": luma(*RGB)}, weights, {"wm": greatest(ex(1.0) - "wd" - "wl", 0.0)})
+
+
 # Filmic tone curve
 
 #: Coefficients a, b, c, d, e of the tone curve x(ax+b) / (x(cx+d)+e). Fixed values.
@@ -437,8 +472,22 @@ def rgb_to_hsy(variant: str = "lin") -> Op:
 
 
 def hsy_to_rgb(variant: str = "log") -> Op:
-    """The inverse for the log and video variants."""
-    k = {"log": 4.0, "vid": 1.25}[variant]
+    """The inverse: from luma along the hue, as far as the saturation says.
+
+    For the linear variant that distance solves a quadratic equation, as its saturation
+    is measured against the sum of the channels, which grows with the distance.
+    """
+    k = {"log": 4.0, "vid": 1.25, "lin": 1.0}[variant]
+    far = absolute(ex("q_r") - "b") + absolute(ex("q_g") - "b") + absolute(ex("q_b") - "b")
+    if variant == "lin":
+        t = clamp((ex("b") - 0.001) / 0.009)
+        sums = {"far": far, "more": ex("q_r") + "q_g" + "q_b" - ex("b") * 3.0, "base": ex("b") * 3.0 + 0.15, "sat": ex("g") / 1.4, "t0": t}
+        five = (ex(1.0) - "t0") * 5.0 * "far"
+        lines = {"qa": five * "more", "qb": five * "base" + ex("t0") * "far" - ex("sat") * "more", "qc": ex("sat") * "base"}
+        root = sqrt(greatest(ex("qb") * "qb" + ex("qa") * "qc" * 4.0, 0.0))
+        gains = [sums, lines, {"gs": ex("qc") * 2.0 / when((absolute(ex("qb") + root) > 1e-12, ex("qb") + root), 1e-12)}]
+    else:
+        gains = [{"gs": ex("g") / greatest(far * k, 1e-10)}]
     h = ex("r") - 1 / 6 + when((ex("b") < 0.0, 0.5), 0.0)
     return Op(
         {**{c: ex("b") + (ex(f"q_{c}") - "b") * "gs" for c in RGB}, "a": "a"},
@@ -446,7 +495,7 @@ def hsy_to_rgb(variant: str = "log") -> Op:
         {"p_r": clamp(absolute(ex("h0") - 3.0) - 1.0), "p_g": clamp(ex(2.0) - absolute(ex("h0") - 2.0)), "p_b": clamp(ex(2.0) - absolute(ex("h0") - 4.0))},
         {"y1": luma("p_r", "p_g", "p_b")},
         {f"q_{c}": ex(f"p_{c}") * when((absolute("y1") > 1e-10, ex("b") / when((absolute("y1") > 1e-10, "y1"), 1.0)), 0.0) for c in RGB},
-        {"gs": ex("g") / greatest((absolute(ex("q_r") - "b") + absolute(ex("q_g") - "b") + absolute(ex("q_b") - "b")) * k, 1e-10)},
+        *gains,
     )
 
 

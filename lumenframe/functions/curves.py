@@ -286,31 +286,65 @@ def periodic(points: list[tuple[float, float]], climbs: bool = False) -> SlopeCu
     return fitted(around)
 
 
-def hue_curves(style: str = "log", **curves: SlopeCurve) -> Op:
+def _added(curve: SlopeCurve) -> SlopeCurve:
+    """The curve of ``x + curve(x)``."""
+    return SlopeCurve(curve.x, tuple(m + 1 for m in curve.m), curve.y0 + curve.x[0])
+
+
+def hue_curves(style: str = "log", inverse: bool = False, **curves: SlopeCurve) -> Op:
     """Curves over hue, saturation and luma, in this order: hue_hue, sat_sat, gains lum_sat and hue_sat, gain sat_lum at the new
     saturation, lum_lum, gain hue_lum (fading with saturation), and hue_fx.
 
     Gains multiply saturation; gains of luma multiply it in the linear style and shift it by a tenth of their excess in the
-    others. hue_lum, hue_sat and hue_hue read the hue as it came. Styles: lin (saturation as in
-    linear light), log, vid; the way back from lin takes the saturation's own inverse only for log and vid, so lin is refused.
+    others. hue_lum, hue_sat and hue_hue read the hue as it came. Styles: lin (lum_lum and lum_sat read the logarithm of
+    luma), log, vid. `inverse` takes curves that rise back by their inverses, and gains as they were (at least 0.01).
     """
-    if style not in ("log", "vid"):
-        raise ValueError("hue curves are graded in the log or vid style")
-    start = rgb_to_hsy(style)
+    start, back = rgb_to_hsy(style), hsy_to_rgb(style)
     get = lambda name, v, neutral: curves[name].forward(v) if name in curves else neutral
     gain = lambda name, v: greatest(get(name, v, ex(1.0)), 0.0)
+    undo = lambda name, v: curves[name].inverse(v) if name in curves else ex(v)
+    turn = lambda v: ex(v) - floor(v)
+    shown, light = (lin_to_log, log_to_lin) if style == "lin" else (ex, ex)
     first = {"hue0": start.out["r"], "sat0": start.out["g"], "lum0": start.out["b"]}
-    second = {"hue1": get("hue_hue", ex("hue0"), ex("hue0")), "sat1": greatest(get("sat_sat", ex("sat0"), ex("sat0")), 0.0), "hl": gain("hue_lum", ex("hue0"))}
-    third = {"sat2": ex("sat1") * gain("lum_sat", ex("lum0")) * gain("hue_sat", ex("hue0"))}
-    fourth = {"lum1": get("lum_lum", ex("lum0"), ex("lum0")) + (gain("sat_lum", ex("sat2")) + (ex(1.0) - (ex(1.0) - "hl") * least("sat2", 1.0)) - 2.0) * 0.1}
-    turned = ex("hue1") - floor("hue1")
+    if inverse:
+        fx = _added(curves["hue_fx"]).inverse("hue0") if "hue_fx" in curves else ex("hue0")
+        second = {"hue1": turn(fx), "sat2": greatest("sat0", 0.0)}
+        third = {"hue2": undo("hue_hue", "hue1")}
+        fourth = {"hue2": turn("hue2"), "sl": gain("sat_lum", ex("sat2"))}
+        fifth = {"hl": ex(1.0) - (ex(1.0) - gain("hue_lum", ex("hue2"))) * least("sat2", 1.0)}
+        if style == "lin":
+            sixth = {"lum1": undo("lum_lum", shown(ex("lum0") / greatest(ex("hl") * "sl", 0.01)))}
+        else:
+            sixth = {"lum1": undo("lum_lum", ex("lum0") - (ex("hl") + "sl" - 2.0) * 0.1)}
+        seventh = {"sat1": undo("sat_sat", ex("sat2") / greatest(gain("lum_sat", ex("lum1")) * gain("hue_sat", ex("hue2")), 0.01))}
+        rename = {"r": ex("hue2"), "g": greatest("sat1", 0.0), "b": light("lum1")}
+        return Op(back.out, *start.steps, first, second, third, fourth, fifth, sixth, seventh, rename, *back.steps)
+    second = {"hue1": get("hue_hue", ex("hue0"), ex("hue0")), "sat1": greatest(get("sat_sat", ex("sat0"), ex("sat0")), 0.0), "hl": gain("hue_lum", ex("hue0")), "lum1": shown("lum0")}
+    third = {"sat2": ex("sat1") * gain("lum_sat", ex("lum1")) * gain("hue_sat", ex("hue0"))}
+    fade, sl = ex(1.0) - (ex(1.0) - "hl") * least("sat2", 1.0), gain("sat_lum", ex("sat2"))
+    curved = light(get("lum_lum", ex("lum1"), ex("lum1")))
+    fourth = {"lum2": curved * fade * sl if style == "lin" else curved + (sl + fade - 2.0) * 0.1}
+    turned = turn("hue1")
     fifth = {"hue2": turned + get("hue_fx", turned, ex(0.0))}
-    back = hsy_to_rgb(style)
-    rename = {"r": ex("hue2"), "g": ex("sat2"), "b": ex("lum1")}
+    rename = {"r": ex("hue2"), "g": ex("sat2"), "b": ex("lum2")}
     # The way back reads r, g and b as hue, saturation and luma.
     return Op(back.out, *start.steps, first, second, third, fourth, fifth, rename, *back.steps)
 
 
+def line_through(points, slope_above: float, inverse: bool = False):
+    """Straight lines between points, level below the first and of a given slope above the last."""
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+
+    def curve(v):
+        v = ex(v)
+        a, b = (ys, xs) if inverse else (xs, ys)
+        cases = [(v < a[0], ex(b[0]))]
+        cases += [(v < a[i + 1], (v - a[i]) * ((b[i + 1] - b[i]) / (a[i + 1] - a[i])) + b[i]) for i in range(len(a) - 1)]
+        return when(*cases, (v - a[-1]) * (1 / slope_above if inverse else slope_above) + b[-1])
+
+    return curve
+
+
 def gamma_log(mirror=0.0, break_point=1 / 12, gamma_power=0.5, gamma_slope=math.sqrt(3.0), gamma_offset=0.0, base=math.e, log_slope=0.17883277,
               log_offset=0.55991073, lin_slope=12.0, lin_offset=-0.28466892):
     """A power below a break, a logarithm above, mirrored (the defaults are HLG's)."""

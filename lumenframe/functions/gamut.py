@@ -16,6 +16,12 @@ GAMUTS = {
     "rec709": ((0.6400, 0.3300), (0.3000, 0.6000), (0.1500, 0.0600), "D65"),
     "rec2020": ((0.7080, 0.2920), (0.1700, 0.7970), (0.1310, 0.0460), "D65"),
     "dci_p3": ((0.6800, 0.3200), (0.2650, 0.6900), (0.1500, 0.0600), "DCI"),
+    "p3_d60": ((0.6800, 0.3200), (0.2650, 0.6900), (0.1500, 0.0600), "D60"),
+    "rec709_d60": ((0.6400, 0.3300), (0.3000, 0.6000), (0.1500, 0.0600), "D60"),
+    "rec2020_d60": ((0.7080, 0.2920), (0.1700, 0.7970), (0.1310, 0.0460), "D60"),
+    "xyz_e": ((1.0, 0.0), (0.0, 1.0), (0.0, 0.0), "E"),
+    "sgamut3_venice": ((0.740464264304292, 0.279364374750660), (0.089241145423286, 0.893809528608105), (0.110488236673827, -0.052579333080476), "D65"),
+    "sgamut3_cine_venice": ((0.775901871567345, 0.274502392854799), (0.188682902773355, 0.828684937020288), (0.101337382499301, -0.089187517306263), "D65"),
     "display_p3": ((0.6800, 0.3200), (0.2650, 0.6900), (0.1500, 0.0600), "D65"),
     "aces_ap0": ((0.7347, 0.2653), (0.0000, 1.0000), (0.0001, -0.0770), "D60"),
     "aces_ap1": ((0.7130, 0.2930), (0.1650, 0.8300), (0.1280, 0.0440), "D60"),

@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import gamut, lut
+from ..functions import aces2, color, curves, gamut, lut
 from . import ir
+from .builtins import Missing, builtin
 
 
 @dataclass
@@ -31,6 +32,8 @@ class Space:
     encoding: str = ""
     categories: tuple = ()
     is_data: bool = False
+    #: Whether its reference is the display's (XYZ under D65), not the scene's.
+    display: bool = False
 
 
 @dataclass
@@ -45,6 +48,8 @@ class View:
     name: str
     space: str
     looks: str = ""
+    #: The transform from the scene's to the display's reference; none where the space is seen as it is.
+    transform: str = ""
 
 
 @dataclass
@@ -64,10 +69,6 @@ class FileRule:
         return "(?i)^" + re.sub(r"^\(\?s:(.*)\)\\(?:Z|z)$", r"\1", body) + "$"
 
 
-class Missing(KeyError):
-    """A name that the catalogue doesn't know."""
-
-
 @dataclass
 class Catalog:
     spaces: dict[str, Space] = field(default_factory=dict)
@@ -81,6 +82,9 @@ class Catalog:
     variables: dict[str, str] = field(default_factory=dict)
     active: tuple = ()
     inactive: tuple = ()
+    #: From the scene's reference to the display's, by name; the first serves conversions without a view.
+    view_transforms: dict[str, list] = field(default_factory=dict)
+    name: str = ""
 
     def add(self, space: Space) -> None:
         self.spaces[space.name] = space
@@ -101,7 +105,19 @@ class Catalog:
         a, b = self.space(source), self.space(target)
         if a is b or a.is_data or b.is_data:
             return []
-        return [*self._to(a), *self._from(b)]
+        between: list = []
+        if a.display != b.display:
+            between = self.viewing() if b.display else [ir.Chain(tuple(self.viewing())).inverse()]
+        return [*self._to(a), *between, *self._from(b)]
+
+    def viewing(self, name: str = "") -> list:
+        """A view transform; without a name the one that changes colours least, or the first."""
+        if name:
+            if name not in self.view_transforms:
+                raise Missing(name)
+            return self.view_transforms[name]
+        plain = [n for n in self.view_transforms if re.search(r"un-?tone-?mapped|colorimetric", n, re.I)]
+        return self.view_transforms[(plain or list(self.view_transforms))[0]] if self.view_transforms else []
 
     @staticmethod
     def _to(s: Space) -> list:
@@ -115,8 +131,17 @@ class Catalog:
             return s.from_reference
         return [ir.Chain(tuple(s.to_reference)).inverse()] if s.to_reference is not None else []
 
+    def _looked(self, source: str, looks: str) -> list:
+        """From a space through looks to the scene's reference."""
+        out, now = self._through(source, looks)
+        return [*out, *self._to(self.space(now))]
+
     def with_looks(self, source: str, target: str, looks: str) -> list:
         """A conversion with looks between; `-name` applies one backwards."""
+        out, now = self._through(source, looks)
+        return [*out, *self.conversion(now, target)]
+
+    def _through(self, source: str, looks: str) -> tuple[list, str]:
         out, now = [], source
         for name, forward in parsed_looks(looks):
             if name not in self.looks:
@@ -125,12 +150,18 @@ class Catalog:
             out += self.conversion(now, look.process_space)
             out += look.forward if forward else [ir.Chain(tuple(look.forward)).inverse()]
             now = look.process_space
-        return [*out, *self.conversion(now, target)]
+        return out, now
 
     def display(self, source: str, display: str, view: str) -> list:
         for v in self.displays.get(display, []):
-            if v.name == view:
-                return self.with_looks(source, v.space, v.looks)
+            if v.name != view:
+                continue
+            space = display if v.space == "<USE_DISPLAY_NAME>" else v.space
+            if not v.transform:
+                return self.with_looks(source, space, v.looks)
+            target = self.space(space)
+            scene = [*self._looked(source, v.looks), *self.viewing(v.transform)]
+            return [*scene, *self._from(target)]
         raise Missing(f"{display}/{view}")
 
     def resolve(self, text: str, strict: bool = False) -> str:
@@ -184,7 +215,9 @@ class Catalog:
             if not views:
                 out.append(("warning", f"display {display} has no views"))
             for v in views:
-                if not known(v.space):
+                if v.transform and v.transform not in self.view_transforms:
+                    out.append(("error", f"view {display}/{v.name} names unknown view transform {v.transform}"))
+                if not known(display if v.space == "<USE_DISPLAY_NAME>" else v.space):
                     out.append(("error", f"view {display}/{v.name} names unknown space {v.space}"))
                 out += [("error", f"view {display}/{v.name} names unknown look {n}") for n, _ in parsed_looks(v.looks) if n not in self.looks]
         for look in self.looks.values():
@@ -236,7 +269,7 @@ class Processors:
 def _scalar(text: str):
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
+        return re.sub(r"\\(.)", r"\1", text[1:-1]) if text[0] == '"' else text[1:-1]
     if text in ("true", "false"):
         return text == "true"
     try:
@@ -261,7 +294,7 @@ def _flow_at(text: str):
     text = text.lstrip()
     if m := re.match(r"!<(\w+)>\s*", text):
         value, rest = _flow_at(text[m.end() :])
-        return {"!": m[1], **(value if isinstance(value, dict) else {})}, rest
+        return {"!": m[1], **(value if isinstance(value, dict) else {"values": value})}, rest
     if text.startswith("["):
         out, rest = [], text[1:].lstrip()
         while not rest.startswith("]"):
@@ -276,21 +309,36 @@ def _flow_at(text: str):
             found[key], rest = _flow_at(rest)
             rest = rest.lstrip().removeprefix(",").lstrip()
         return found, rest[1:]
-    m = re.match(r"\"[^\"]*\"|'[^']*'|[^,\]\}]*", text)
+    m = re.match(r'"(?:[^"\\]|\\.)*"|\'[^\']*\'|[^,\]\}]*', text)
     return _scalar(m[0]), text[m.end() :]
 
 
+def _unclosed(text: str) -> bool:
+    bare = re.sub(r'"(?:[^"\\]|\\.)*"|\'[^\']*\'', "", text)
+    return bare.count("{") + bare.count("[") > bare.count("}") + bare.count("]")
+
+
 def parse_yaml(text: str):
-    """Nested maps and lists by indentation, flow values and `!<Tag>`s."""
-    lines = []
-    for raw in text.splitlines():
-        body = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+    """Nested maps and lists by indentation, flow values, texts of several lines and `!<Tag>`s."""
+    lines: list[tuple[int, str]] = []
+    raw, i = text.splitlines(), 0
+    while i < len(raw):
+        body = re.sub(r"(^|\s)#[^\"']*$", "", raw[i]).rstrip()
+        indent = len(body) - len(body.lstrip())
+        i += 1
+        if re.search(r":\s+[|>][+-]?$", body):
+            told = []
+            while i < len(raw) and (not raw[i].strip() or len(raw[i]) - len(raw[i].lstrip()) > indent):
+                told.append(raw[i].strip())
+                i += 1
+            whole = "\n".join(told).strip().replace("\\", "\\\\").replace('"', '\\"')
+            body = body[: body.rindex(":") + 1] + f' "{whole}"'
         if body.strip() and body.strip() != "---":
-            lines.append((len(body) - len(body.lstrip()), body.strip()))
+            lines.append((indent, body.strip()))
     # Flow values may go over several lines.
     merged: list[tuple[int, str]] = []
     for indent, body in lines:
-        if merged and merged[-1][1].count("{") + merged[-1][1].count("[") > merged[-1][1].count("}") + merged[-1][1].count("]"):
+        if merged and _unclosed(merged[-1][1]):
             merged[-1] = (merged[-1][0], f"{merged[-1][1]} {body}")
         else:
             merged.append((indent, body))
@@ -300,7 +348,14 @@ def parse_yaml(text: str):
     return value
 
 
+def _value(rest: str):
+    """A value that stands behind a key: flow, quoted or plain to the end of the line."""
+    return _flow(rest) if rest[0] in "[{\"'!" else _scalar(rest)
+
+
 def _block(lines, at: int, indent: int):
+    if lines[at][1].startswith(("{", "[")):
+        return _flow(lines[at][1]), at + 1
     if lines[at][1].startswith("- ") or lines[at][1] == "-":
         out: list = []
         while at < len(lines) and lines[at][0] == indent and lines[at][1].startswith("-"):
@@ -308,7 +363,7 @@ def _block(lines, at: int, indent: int):
             tag = re.match(r"!<(\w+)>\s*", body)
             rest = body[tag.end() :] if tag else body
             if rest.startswith(("{", "[")) or (rest and not re.match(r"[\w \-/.]+:(\s|$)", rest)):
-                value = _flow(rest)
+                value = _value(rest)
                 at += 1
             elif rest:
                 inner = indent + len(lines[at][1]) - len(rest)
@@ -317,16 +372,19 @@ def _block(lines, at: int, indent: int):
                 value, at = _block(lines, at + 1, lines[at + 1][0])
             else:
                 value, at = {}, at + 1
-            out.append({"!": tag[1], **value} if tag and isinstance(value, dict) else value)
+            out.append({"!": tag[1], **(value if isinstance(value, dict) else {"values": value})} if tag else value)
         return out, at
     found: dict = {}
     while at < len(lines) and lines[at][0] == indent:
-        key, _, rest = re.match(r"(\"[^\"]*\"|[^:]+)(:)\s*(.*)", lines[at][1]).groups()
+        m = re.match(r"(\"[^\"]*\"|.+?)(:)(?:\s+(.*)|$)", lines[at][1], re.S)
+        if m is None:
+            raise ValueError(f"can't read {lines[at][1]!r}")
+        key, rest = m[1], m[3] or ""
         key, rest = _scalar(key), rest.strip()
         tag = re.match(r"!<(\w+)>\s*", rest)
         rest = rest[tag.end() :] if tag else rest
         if rest:
-            value, at = _flow(rest), at + 1
+            value, at = _value(rest), at + 1
         elif at + 1 < len(lines) and (lines[at + 1][0] > indent or (lines[at + 1][0] == indent and lines[at + 1][1].startswith("-"))):
             value, at = _block(lines, at + 1, lines[at + 1][0])
         else:
@@ -335,46 +393,88 @@ def _block(lines, at: int, indent: int):
     return found, at
 
 
-#: Named transforms of built-in curves and matrices.
-BUILTINS = {
-    "identity": lambda: [],
-    "srgb_to_linear": lambda: [ir.Curve("srgb")],
-    "acescct_to_acescg": lambda: [ir.Curve("acescct")],
-    "acescc_to_acescg": lambda: [ir.Curve("acescc")],
-    "ap0_to_ap1": lambda: [ir.Matrix(gamut.rgb_to_rgb("aces_ap0", "aces_ap1"))],
-    "ap1_to_ap0": lambda: [ir.Matrix(gamut.rgb_to_rgb("aces_ap1", "aces_ap0"))],
-    "ap0_to_xyz_d65": lambda: [ir.Matrix(gamut.adaptation("D60", "D65") @ gamut.rgb_to_xyz("aces_ap0"))],
-    "ap1_to_xyz_d65": lambda: [ir.Matrix(gamut.adaptation("D60", "D65") @ gamut.rgb_to_xyz("aces_ap1"))],
-    "arri_logc3_to_ap0": lambda: [ir.Curve("logc3"), ir.Matrix(gamut.rgb_to_rgb("arri_wide3", "aces_ap0", "cat02"))],
-    "arri_logc4_to_ap0": lambda: [ir.Curve("logc4"), ir.Matrix(gamut.rgb_to_rgb("arri_wide4", "aces_ap0", "cat02"))],
-    "slog3_sgamut3_to_ap0": lambda: [ir.Curve("slog3"), ir.Matrix(gamut.rgb_to_rgb("sgamut3", "aces_ap0", "cat02"))],
-    "slog3_sgamut3cine_to_ap0": lambda: [ir.Curve("slog3"), ir.Matrix(gamut.rgb_to_rgb("sgamut3_cine", "aces_ap0", "cat02"))],
-    "vlog_vgamut_to_ap0": lambda: [ir.Curve("vlog"), ir.Matrix(gamut.rgb_to_rgb("vgamut", "aces_ap0", "cat02"))],
-    "log3g10_rwg_to_ap0": lambda: [ir.Curve("log3g10"), ir.Matrix(gamut.rgb_to_rgb("red_wide", "aces_ap0", "bradford"))],
-    "redlogfilm_rwg_to_ap0": lambda: [ir.Curve("redlogfilm"), ir.Matrix(gamut.rgb_to_rgb("red_wide", "aces_ap0", "bradford"))],
-    "canon_clog2_to_ap0": lambda: [ir.Curve("clog2"), ir.Matrix(gamut.rgb_to_rgb("canon", "aces_ap0", "cat02"))],
-    "canon_clog3_to_ap0": lambda: [ir.Curve("clog3"), ir.Matrix(gamut.rgb_to_rgb("canon", "aces_ap0", "cat02"))],
-    "apple_log_rec2020_to_ap0": lambda: [ir.Curve("apple_log"), ir.Matrix(gamut.rgb_to_rgb("rec2020", "aces_ap0", "bradford"))],
-    "xyz_d65_to_srgb": lambda: [ir.Matrix(gamut.xyz_to_rgb("srgb")), ir.Curve("srgb", False)],
-    "xyz_d65_to_rec1886_rec709": lambda: [ir.Matrix(gamut.xyz_to_rgb("rec709")), ir.Curve("gamma24", False)],
-    "xyz_d65_to_rec1886_rec2020": lambda: [ir.Matrix(gamut.xyz_to_rgb("rec2020")), ir.Curve("gamma24", False)],
-    "xyz_d65_to_display_p3": lambda: [ir.Matrix(gamut.xyz_to_rgb("display_p3")), ir.Curve("srgb", False)],
-    "xyz_d65_to_g26_p3_d65": lambda: [ir.Matrix(gamut.xyz_to_rgb("display_p3")), ir.Curve("gamma26", False)],
-    "xyz_d65_to_rec2100_pq": lambda: [ir.Matrix(gamut.xyz_to_rgb("rec2020")), ir.Curve("pq_100", False)],
-    "xyz_d65_to_rec2100_hlg": lambda: [ir.Matrix(gamut.xyz_to_rgb("rec2020")), ir.Curve("hlg", False)],
-    "gamut_compress_13": lambda: [
-        ir.Matrix(gamut.rgb_to_rgb("aces_ap0", "aces_ap1")), ir.Fixed("aces_gamut_comp_13"), ir.Matrix(gamut.rgb_to_rgb("aces_ap1", "aces_ap0")),
-    ],
-}
-
-
-def builtin(style: str) -> list:
-    """A built-in transform by style, without regard to case, dashes and spaces; unknown ones are refused."""
-    wanted = re.sub(r"[-_ ]", "", style.lower())
-    for name, make in BUILTINS.items():
-        if re.sub(r"[-_ ]", "", name) == wanted:
-            return make()
-    raise Missing(style)
+def _numbers(v, n: int = 3) -> tuple:
+    return tuple(float(x) for x in v[:n]) if isinstance(v, list) else (float(v),) * n
+
+
+def _either(node: dict, one: str, default):
+    """A parameter under its name with underscores or in camel case."""
+    camel = re.sub(r"_(\w)", lambda m: m[1].upper(), one)
+    return node.get(one, node.get(camel, default))
+
+
+def _points(value) -> list[tuple[float, float]] | None:
+    """Control points: a list of pairs, or of numbers in turn, or a map with them."""
+    if isinstance(value, dict):
+        value = value.get("control_points") or value.get("points")
+    if not value:
+        return None
+    if isinstance(value[0], list):
+        return [(float(x), float(y)) for x, y in value]
+    return [(float(x), float(y)) for x, y in zip(value[::2], value[1::2], strict=True)]
+
+
+def _mixed(node, neutral: float, multiply: bool) -> tuple:
+    """Red, green and blue, joined with the master's value."""
+    if not isinstance(node, dict):
+        return (neutral,) * 3 if node is None else _numbers(node)
+    rgb, master = _numbers(node.get("rgb", neutral)), float(node.get("master", neutral))
+    return tuple(v * master if multiply else v + master for v in rgb)
+
+
+def _primary(node: dict) -> ir.Made:
+    get = node.get
+    if "style" not in node and not isinstance(get("contrast"), dict):
+        kw = {
+            "lift": _numbers(get("lift", 0.0)), "gamma": _numbers(get("gamma", 1.0)), "gain": _numbers(get("gain", 1.0)), "offset": float(get("offset", 0.0)),
+            "exposure": float(get("exposure", 0.0)), "contrast": float(get("contrast", 1.0)), "saturation": float(get("saturation", 1.0)),
+            "pivot": float(get("pivot", 0.18)), "low": get("clamp_black"), "high": get("clamp_white"),
+        }
+        return ir.Made("primary", (tuple(kw.items()),))
+    style = get("style", "log")
+    kw = {
+        "brightness": _mixed(get("brightness"), 0.0, False), "contrast": _mixed(get("contrast"), 1.0, True), "gamma": _mixed(get("gamma"), 1.0, True),
+        "offset": _mixed(get("offset"), 0.0, False), "exposure": _mixed(get("exposure"), 0.0, False), "lift": _mixed(get("lift"), 0.0, False),
+        "gain": _mixed(get("gain"), 1.0, True), "saturation": float(get("saturation", 1.0)),
+    }
+    pivot, clamp = get("pivot") or {}, get("clamp") or {}
+    if "contrast" in pivot:
+        kw["pivot"] = float(pivot["contrast"])
+    kw |= {k: float(pivot[k]) for k in ("black", "white") if k in pivot}
+    kw |= {k: float(clamp[c]) for k, c in (("low", "black"), ("high", "white")) if c in clamp}
+    return ir.Made("styled_primary", ({"linear": "linear", "log": "log", "video": "video"}[style], tuple(kw.items())))
+
+
+def _tone(node: dict) -> ir.Made:
+    get = node.get
+    if "style" not in node:
+        four = lambda k, d: _numbers(get(k, [d] * 4), 4)
+        kw = {k: four(k, 1.0) for k in ("shadows", "midtones", "highlights", "whites")} | {"blacks": four("blacks", 0.0)}
+        kw |= {"shadow": (float(get("shadow_start", 0.0)), float(get("shadow_pivot", 0.09))), "highlight": (float(get("highlight_start", 0.5)), float(get("highlight_pivot", 0.89)))}
+        return ir.Made("basic_tone", (tuple(kw.items()),))
+    zones = {}
+    for zone in ("blacks", "shadows", "midtones", "highlights", "whites"):
+        if isinstance(get(zone), dict):
+            v = get(zone)
+            first, second = (v.get("start", v.get("center")), v.get("width", v.get("pivot")))
+            zones[zone] = curves.Zone((*_numbers(v.get("rgb", 1.0)), float(v.get("master", 1.0))), float(first), float(second))
+    if "s_contrast" in node:
+        zones["s_contrast"] = float(get("s_contrast"))
+    return ir.Made("tone_zones", (get("style"), tuple(zones.items())))
+
+
+def _table(node: dict) -> ir.Table:
+    """An inline table: a cube's values with red slowest, or a curve's values (all channels, or red, green and blue in turn)."""
+    values = [float(v) for v in (node.get("values") or [])]
+    if node["!"] == "Lut3DTransform":
+        n = int(node.get("gridSize", 2))
+        found = lut.Lut3D(np.array(values).reshape(n, n, n, 3)) if values else lut.identity3d(n)
+        return ir.Table(found, "tetrahedral" if node.get("interpolation") == "tetrahedral" else "trilinear")
+    n = int(node.get("length", 2))
+    if not values:
+        values = np.linspace(0, 1, n).tolist()
+    rows = np.array(values).reshape(-1, 3) if len(values) == 3 * n and n > 1 and "length" in node else np.repeat(np.array(values)[:, None], 3, axis=1)
+    return ir.Table(lut.Lut1D(rows))
 
 
 def transform(node: dict, catalog: Catalog | None = None, files=None) -> list:
@@ -383,40 +483,106 @@ def transform(node: dict, catalog: Catalog | None = None, files=None) -> list:
     if kind == "GroupTransform":
         out = [t for child in get("children", []) for t in transform(child, catalog, files)]
     elif kind == "MatrixTransform":
-        m = np.array(get("matrix", np.eye(4).ravel()), float).reshape(4, 4)[:3, :3]
-        out = [ir.Matrix(m, tuple(get("offset", (0, 0, 0, 0))[:3]))]
+        m, offset = np.array(get("matrix", np.eye(4).ravel()), float).reshape(4, 4), np.array(get("offset", (0, 0, 0, 0)), float)
+        alone = np.allclose(m[3], (0, 0, 0, 1)) and np.allclose(m[:3, 3], 0) and offset[3] == 0
+        out = [ir.Matrix(m[:3, :3], tuple(offset[:3]))] if alone else [ir.Made("matrix4", (tuple(map(tuple, m.tolist())), tuple(offset.tolist())))]
     elif kind == "ExponentTransform":
-        v = get("value", 1.0)
         negative = {"clamp": "clamp", "mirror": "mirror", "pass_thru": "pass"}[get("style", "clamp")]
-        out = [ir.Exponent(tuple(v[:3]) if isinstance(v, list) else (v,) * 3, negative)]
+        out = [ir.Exponent(_numbers(get("value", 1.0)), negative)]
+    elif kind == "ExponentWithLinearTransform":
+        out = [ir.Made("exponent_with_linear", (_numbers(get("gamma", 1.0)), _numbers(get("offset", 0.0)), get("style") == "mirror"))]
     elif kind == "LogTransform":
         out = [ir.LogAffine(get("base", 2.0))]
-    elif kind == "LogAffineTransform":
-        out = [ir.LogAffine(get("base", 2.0), get("log_side_slope", 1.0), get("log_side_offset", 0.0), get("lin_side_slope", 1.0), get("lin_side_offset", 0.0))]
+    elif kind in ("LogAffineTransform", "LogCameraTransform"):
+        names = (("log_side_slope", 1.0), ("log_side_offset", 0.0), ("lin_side_slope", 1.0), ("lin_side_offset", 0.0))
+        p = [_numbers(_either(node, name, default)) for name, default in names]
+        if kind == "LogCameraTransform":
+            out = [ir.Made("log_camera", (float(get("base", 2.0)), *p, _numbers(_either(node, "lin_side_break", 0.0))))]
+        elif all(len(set(v)) == 1 for v in p):
+            out = [ir.LogAffine(get("base", 2.0), *(v[0] for v in p))]
+        else:
+            out = [ir.Made("log_affine", (float(get("base", 2.0)), *p))]
     elif kind == "CDLTransform":
-        out = [ir.Cdl(tuple(get("slope", (1, 1, 1))), tuple(get("offset", (0, 0, 0))), tuple(get("power", (1, 1, 1))), get("sat", 1.0), get("style", "noclamp"))]
+        out = [ir.Cdl(_numbers(get("slope", 1.0)), _numbers(get("offset", 0.0)), _numbers(get("power", 1.0)), get("sat", get("saturation", 1.0)), get("style", "noclamp"))]
     elif kind == "RangeTransform":
-        out = [ir.Range(get("min_in_value", 0.0), get("max_in_value", 1.0), get("min_out_value", 0.0), get("max_out_value", 1.0), get("style", "Clamp").lower() != "noclamp")]
+        low_in, high_in = _either(node, "min_in_value", 0.0), _either(node, "max_in_value", 1.0)
+        out = [ir.Range(low_in, high_in, _either(node, "min_out_value", low_in), _either(node, "max_out_value", high_in), get("style", "Clamp").lower() != "noclamp")]
     elif kind == "ExposureContrastTransform":
         out = [ir.ExposureContrast(get("style", "linear"), get("exposure", 0.0), get("contrast", 1.0), get("gamma", 1.0), get("pivot", 0.18))]
     elif kind == "FixedFunctionTransform":
-        out = [ir.Fixed(get("style").lower())]
+        out = [_fixed(node)]
+    elif kind == "GradingPrimaryTransform":
+        out = [_primary(node)]
+    elif kind == "GradingToneTransform":
+        out = [_tone(node)]
+    elif kind == "GradingRGBCurveTransform":
+        found = {k: curves.fitted(p) for k in ("red", "green", "blue", "master") if (p := _points(get(k)))}
+        out = [ir.Made("rgb_curves", (tuple(found.items()),))]
+    elif kind == "GradingHueCurveTransform":
+        found = {k: curves.periodic(p, k == "hue_hue") if k.startswith("hue_") else curves.fitted(p) for k in HUE_CURVES if (p := _points(get(k)))}
+        out = [ir.Made("hue_curves", ({"linear": "lin", "video": "vid"}.get(get("style"), "log"), tuple(found.items())))]
+    elif kind == "AllocationTransform":
+        p = get("vars") or [0.0, 1.0]
+        log = str(get("allocation", "uniform")).lower() in ("lg2", "log2")
+        out = [ir.Made("allocation", ("log2" if log else "uniform", float(p[0]), float(p[1]), float(p[2]) if len(p) > 2 else None))]
+    elif kind in ("Lut1DTransform", "Lut3DTransform"):
+        out = [_table(node)]
     elif kind == "BuiltinTransform":
         out = builtin(get("style"))
     elif kind == "FileTransform":
         name = catalog.resolve(get("src")) if catalog else get("src")
         out = from_file(name, files(name))
     elif kind == "ColorSpaceTransform":
-        out = catalog.conversion(get("src"), get("dst"))
+        out = [Later(catalog, "conversion", (get("src"), get("dst")))] if catalog else []
     elif kind == "LookTransform":
-        out = catalog.with_looks(get("src"), get("dst"), get("looks", ""))
+        out = [Later(catalog, "with_looks", (get("src"), get("dst"), get("looks", "")))]
     elif kind == "DisplayViewTransform":
-        out = catalog.display(get("src"), get("display"), get("view"))
+        out = [Later(catalog, "display", (get("src"), get("display"), get("view")))]
     else:
         raise Missing(kind)
     return [ir.Chain(tuple(out)).inverse()] if get("direction") == "inverse" else out
 
 
+#: Curves of a hue transform. Fixed values.
+HUE_CURVES = ("hue_hue", "hue_sat", "hue_lum", "lum_sat", "sat_sat", "lum_lum", "sat_lum", "hue_fx")
+
+
+def _fixed(node: dict):
+    style, p = str(node.get("style")), [float(v) for v in (node.get("params") or [])]
+    plain = style.lower().replace("_", "").replace("-", "")
+    if plain == "rec2100surround":
+        return ir.Made("surround", (p[0] if p else color.DIM_GAMMA,))
+    if plain in ("lintogammalog", "gammalogtolin", "lintodoublelog", "doublelogtolin"):
+        make = curves.gamma_log if "gamma" in plain else curves.double_log
+        if plain.startswith("lin"):
+            return ir.Ready(color.each(make()))
+        raise Missing(style)
+    if plain == "acesoutputtransform20":
+        return ir.Chain(tuple(ir.Ready(op) for op in aces2.output_transform(p[0] if p else 100.0)))
+    try:
+        return ir.Fixed(ir.fixed(style))
+    except KeyError as e:
+        raise Missing(style) from e
+
+
+@dataclass(frozen=True, eq=False)
+class Later:
+    """A conversion of the catalogue that is looked up when it is needed, so that spaces may be named before they are defined."""
+
+    catalog: Catalog
+    how: str
+    names: tuple
+    backward: bool = False
+
+    @property
+    def parts(self) -> tuple:
+        found = tuple(getattr(self.catalog, self.how)(*self.names))
+        return (ir.Chain(found).inverse(),) if self.backward else found
+
+    def inverse(self) -> Later:
+        return Later(self.catalog, self.how, self.names, not self.backward)
+
+
 def from_file(name: str, text: str) -> list:
     """The chain of a look-up or correction file."""
     extension = name.rsplit(".", 1)[-1].lower()
@@ -454,31 +620,151 @@ def _clf_node(kind: str, value) -> list:
 def load(text: str, files=None) -> Catalog:
     """A catalogue from the text of a configuration."""
     data = parse_yaml(text)
-    out = Catalog(roles=data.get("roles") or {}, variables={k: str(v) for k, v in (data.get("environment") or {}).items()})
+    out = Catalog(roles={k: str(v) for k, v in (data.get("roles") or {}).items()}, variables={k: str(v) for k, v in (data.get("environment") or {}).items()}, name=str(data.get("name") or ""))
     path = data.get("search_path") or []
     out.search_path = path if isinstance(path, list) else str(path).split(":")
-    for node in data.get("colorspaces") or []:
-        chain = lambda *keys: next((transform(node[k], out, files) for k in keys if node.get(k)), None)  # noqa: B023, E731
+
+    def chain(node: dict, *keys) -> list | None:
+        return next((transform(node[k], out, files) for k in keys if node.get(k)), None)
+
+    for node in [*(data.get("colorspaces") or []), *(data.get("display_colorspaces") or [])]:
+        display = bool(node.get("to_display_reference") or node.get("from_display_reference")) or node in (data.get("display_colorspaces") or [])
         out.add(Space(
-            node["name"], chain("to_reference", "to_scene_reference"), chain("from_reference", "from_scene_reference"), tuple(node.get("aliases") or ()),
-            node.get("family") or "", node.get("encoding") or "", tuple(node.get("categories") or ()), bool(node.get("isdata")),
+            node["name"], chain(node, "to_reference", "to_scene_reference", "to_display_reference"), chain(node, "from_reference", "from_scene_reference", "from_display_reference"),
+            tuple(node.get("aliases") or ()), node.get("family") or "", node.get("encoding") or "", tuple(node.get("categories") or ()), bool(node.get("isdata")), display,
         ))
+    for node in data.get("view_transforms") or []:
+        forward = chain(node, "from_scene_reference", "from_reference")
+        back = chain(node, "to_scene_reference", "to_reference")
+        out.view_transforms[node["name"]] = forward if forward is not None else [ir.Chain(tuple(back)).inverse()] if back else []
     for node in data.get("looks") or []:
-        out.looks[node["name"]] = Look(node["name"], node["process_space"], transform(node["transform"], out, files))
+        forward, back = chain(node, "transform"), chain(node, "inverse_transform")
+        out.looks[node["name"]] = Look(node["name"], node["process_space"], forward if forward is not None else [ir.Chain(tuple(back or [])).inverse()])
+
+    def view(v: dict) -> View:
+        return View(v["name"], v.get("display_colorspace") or v.get("colorspace", ""), v.get("looks") or "", v.get("view_transform") or "")
+
+    shared = {v["name"]: view(v) for v in data.get("shared_views") or []}
     for display, views in (data.get("displays") or {}).items():
-        out.displays[display] = [View(v["name"], v.get("colorspace", ""), v.get("looks") or "") for v in views]
+        out.displays[display] = []
+        for v in views or []:
+            out.displays[display] += [shared[n] for n in v["values"] if n in shared] if v.get("!") == "Views" else [view(v)]
     for node in data.get("file_rules") or []:
         if node["name"].lower() == "default":
             out.default_space = node["colorspace"]
         else:
-            out.rules.append(FileRule(node["name"], node["colorspace"], node.get("pattern", "*"), node.get("extension", "*"), node.get("regex")))
+            out.rules.append(FileRule(node["name"], node.get("colorspace", ""), node.get("pattern", "*"), node.get("extension", "*"), node.get("regex")))
     for node in data.get("named_transforms") or []:
-        out.named[node["name"]] = transform(node["transform"], out, files)
+        forward, back = chain(node, "transform"), chain(node, "inverse_transform")
+        out.named[node["name"]] = forward if forward is not None else [ir.Chain(tuple(back or [])).inverse()]
     out.active = tuple(data.get("active_colorspaces") or ())
     out.inactive = tuple(data.get("inactive_colorspaces") or ())
     return out
 
 
+# Back to text
+
+
+def _text(value) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, dict):
+        tag = f"!<{value['!']}> " if "!" in value else ""
+        return tag + "{" + ", ".join(f"{k}: {_text(v)}" for k, v in value.items() if k != "!" and v is not None) + "}"
+    if isinstance(value, list | tuple):
+        return "[" + ", ".join(map(_text, value)) + "]"
+    if isinstance(value, float | int | np.floating):
+        return repr(float(value)) if not isinstance(value, int) else str(value)
+    plain = re.fullmatch(r"[A-Za-z_$/][\w $./-]*", str(value)) and str(value) not in ("true", "false")
+    return str(value) if plain else '"' + str(value).replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def node_of(t) -> dict:
+    """A transform as the node of a configuration that gives it back."""
+    if isinstance(t, ir.Chain):
+        return {"!": "GroupTransform", "children": [node_of(p) for p in t.parts]}
+    if isinstance(t, ir.Matrix):
+        m = np.eye(4)
+        m[:3, :3] = t.m
+        return {"!": "MatrixTransform", "matrix": m.ravel().tolist(), "offset": [*map(float, t.offset), 0.0]}
+    if isinstance(t, ir.Curve):
+        node = {"!": "BuiltinTransform", "style": f"CURVE - {t.name}_to_LINEAR"}
+        return node if t.decode else node | {"direction": "inverse"}
+    if isinstance(t, ir.Exponent):
+        return {"!": "ExponentTransform", "value": [*t.power, 1.0], "style": {"pass": "pass_thru"}.get(t.negative, t.negative)}
+    if isinstance(t, ir.Cdl):
+        node = {"!": "CDLTransform", "slope": t.slope, "offset": t.offset, "power": t.power, "sat": t.saturation, "style": t.style}
+        return node | {"direction": "inverse"} if t.backward else node
+    if isinstance(t, ir.Range):
+        return {"!": "RangeTransform", "min_in_value": t.low_in, "max_in_value": t.high_in, "min_out_value": t.low_out, "max_out_value": t.high_out, "style": "Clamp" if t.clamp else "noClamp"}
+    if isinstance(t, ir.LogAffine):
+        node = {"!": "LogAffineTransform", "base": t.base, "log_side_slope": t.log_slope, "log_side_offset": t.log_offset, "lin_side_slope": t.lin_slope, "lin_side_offset": t.lin_offset}
+        return node | {"direction": "inverse"} if t.backward else node
+    if isinstance(t, ir.ExposureContrast):
+        return {"!": "ExposureContrastTransform", "style": t.style, "exposure": t.exposure, "contrast": t.contrast, "gamma": t.gamma, "pivot": t.pivot}
+    if isinstance(t, ir.Fixed):
+        node = {"!": "FixedFunctionTransform", "style": t.name.upper()}
+        return node if t.forward else node | {"direction": "inverse"}
+    if isinstance(t, ir.Table) and isinstance(t.lut, lut.Lut3D):
+        return {"!": "Lut3DTransform", "gridSize": t.lut.size, "interpolation": t.method, "values": t.lut.cube.ravel().tolist()}
+    if isinstance(t, ir.Made) and t.kind == "matrix4":
+        return {"!": "MatrixTransform", "matrix": [v for row in t.values[0] for v in row], "offset": list(t.values[1])} | ({"direction": "inverse"} if t.backward else {})
+    if isinstance(t, ir.Made) and t.kind in ("log_camera", "log_affine"):
+        names = ("base", "log_side_slope", "log_side_offset", "lin_side_slope", "lin_side_offset", "lin_side_break")
+        kind = "LogCameraTransform" if t.kind == "log_camera" else "LogAffineTransform"
+        return {"!": kind, **dict(zip(names, t.values, strict=False))} | ({"direction": "inverse"} if t.backward else {})
+    if isinstance(t, ir.Made) and t.kind == "allocation":
+        kind, low, high, offset = t.values
+        return {"!": "AllocationTransform", "allocation": kind, "vars": [low, high, *([] if offset is None else [offset])]} | ({"direction": "inverse"} if t.backward else {})
+    if isinstance(t, ir.Made) and t.kind == "primary":
+        kw = {{"low": "clamp_black", "high": "clamp_white"}.get(k, k): v for k, v in t.values[0]}
+        return {"!": "GradingPrimaryTransform", **kw} | ({"direction": "inverse"} if t.backward else {})
+    if isinstance(t, Later) and t.how == "conversion":
+        return {"!": "ColorSpaceTransform", "src": t.names[0], "dst": t.names[1]} | ({"direction": "inverse"} if t.backward else {})
+    raise ValueError(f"no text for {type(t).__name__}")
+
+
+def dumped(c: Catalog) -> str:
+    """A catalogue as the text of a configuration; `load` gives it back."""
+    out = ["ocio_profile_version: 2", ""]
+    if c.search_path:
+        out.append(f"search_path: {_text(c.search_path)}")
+    if c.variables:
+        out += ["environment:", *(f"  {k}: {_text(v)}" for k, v in c.variables.items())]
+    out += ["roles:", *(f"  {k}: {_text(v)}" for k, v in c.roles.items())] if c.roles else []
+    out.append("file_rules:")
+    for r in c.rules:
+        how = {"regex": r.regex} if r.regex is not None else {"pattern": r.pattern, "extension": r.extension}
+        out.append("  - " + _text({"!": "Rule", "name": r.name, "colorspace": r.space, **how}))
+    out.append("  - " + _text({"!": "Rule", "name": "Default", "colorspace": c.default_space or "default"}))
+    if c.displays:
+        out.append("displays:")
+        for display, views in c.displays.items():
+            out += [f"  {display}:", *("    - " + _text({"!": "View", "name": v.name, "colorspace": v.space, "looks": v.looks or None}) for v in views)]
+    for key, names in (("active_colorspaces", c.active), ("inactive_colorspaces", c.inactive)):
+        if names:
+            out.append(f"{key}: {_text(list(names))}")
+    chain = lambda parts: _text(node_of(ir.Chain(tuple(parts))))
+    if c.looks:
+        out.append("looks:")
+        for k in c.looks.values():
+            out += ["  - !<Look>", f"    name: {_text(k.name)}", f"    process_space: {_text(k.process_space)}", f"    transform: {chain(k.forward)}"]
+    out.append("colorspaces:")
+    for s in c.spaces.values():
+        out += ["  - !<ColorSpace>", f"    name: {_text(s.name)}"]
+        for key, value in (("aliases", list(s.aliases)), ("family", s.family), ("encoding", s.encoding), ("categories", list(s.categories)), ("isdata", s.is_data)):
+            if value:
+                out.append(f"    {key}: {_text(value)}")
+        for key, parts in (("to_scene_reference", s.to_reference), ("from_scene_reference", s.from_reference)):
+            if parts:
+                out.append(f"    {key}: {chain(parts)}")
+    if c.named:
+        out.append("named_transforms:")
+        for name, parts in c.named.items():
+            out += ["  - !<NamedTransform>", f"    name: {_text(name)}", f"    transform: {chain(parts)}"]
+    return "\n".join(out) + "\n"
+
+
 def standard() -> Catalog:
     """A small catalogue around ACES2065-1."""
     out = Catalog(roles={"scene_linear": "ACEScg", "default": "raw", "color_timing": "ACEScct", "reference": "ACES2065-1"}, default_space="raw")

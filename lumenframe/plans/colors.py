@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import aces2
+from ..functions import aces2, curves
 from ..functions.color import each as color_each
+from ..functions.color import hsy_to_rgb as color_hsy
 from ..functions.expr import Op, ex
 from ..functions.lut import Lut1D, Lut3D
 from ..operators.adapters import load
@@ -82,6 +83,72 @@ def _catalog() -> None:
     table_query("oc_bake", bake, ir.as_sql(place.sql(at_sql, ["ri", "gi", "bi"]), baked, ["ri", "gi", "bi"]), ["ri", "gi", "bi"], RGBA)
 
 
+#: Transforms as a configuration writes them, one for each kind.
+TRANSFORMS = {
+    "matrix4": "!<MatrixTransform> {matrix: [1.1, 0.1, 0, 0.05, 0, 0.9, 0.1, 0, 0.05, 0, 1, 0, 0.02, 0, 0, 0.9], offset: [0.01, 0, 0.02, 0.05]}",
+    "exponent_linear": "!<ExponentWithLinearTransform> {gamma: [2.4, 2.2, 2.6, 1], offset: [0.055, 0.099, 0.02, 0]}",
+    "exponent_linear_back": "!<ExponentWithLinearTransform> {gamma: [2.4, 2.2, 2.6, 1], offset: [0.055, 0.099, 0.02, 0], style: mirror, direction: inverse}",
+    "log_affine": "!<LogAffineTransform> {base: 10, log_side_slope: [0.3, 0.25, 0.2], log_side_offset: [0.5, 0.4, 0.3], lin_side_slope: 1.2, lin_side_offset: 2}",
+    "log_camera": "!<LogCameraTransform> {base: 10, log_side_slope: [0.3, 0.25, 0.2], log_side_offset: 0.4, lin_side_slope: 5, lin_side_offset: 0.06, lin_side_break: 0.01}",
+    "log_camera_back": "!<LogCameraTransform> {base: 10, logSideSlope: 0.25, logSideOffset: 0.4, linSideSlope: 5, linSideOffset: 0.06, linSideBreak: 0.01, direction: inverse}",
+    "range": "!<RangeTransform> {min_in_value: 0.1, max_in_value: 0.9, min_out_value: 0, max_out_value: 1}",
+    "allocation": "!<AllocationTransform> {allocation: lg2, vars: [-8, 5, 0.5]}",
+    "allocation_back": "!<AllocationTransform> {allocation: uniform, vars: [-0.2, 1.4], direction: inverse}",
+    "primary": "!<GradingPrimaryTransform> {lift: [0.02, 0, -0.02], gamma: [1.1, 1, 0.9], gain: [1.2, 1, 0.8], offset: 0.01, exposure: 0.2, contrast: 1.1, saturation: 0.8, clamp_black: 0, clamp_white: 2}",
+    "primary_back": "!<GradingPrimaryTransform> {lift: [0.02, 0, -0.02], gamma: [1.1, 1, 0.9], gain: [1.2, 1, 0.8], offset: 0.01, contrast: 1.1, saturation: 0.8, direction: inverse}",
+    "primary_video": "!<GradingPrimaryTransform> {style: video, gamma: {rgb: [1.1, 1, 0.9], master: 1.2}, gain: {rgb: [1.1, 1, 1], master: 1}, lift: {rgb: [0, 0.01, 0], master: 0.02}}",
+    "tone": "!<GradingToneTransform> {shadows: [1.1, 1, 0.9, 1.05], midtones: [1, 1.1, 1, 1], highlights: [0.9, 1, 1, 1], blacks: [0.01, 0, 0, 0.01], whites: [1, 1, 1.1, 1]}",
+    "tone_video": "!<GradingToneTransform> {style: video, midtones: {rgb: [1.2, 1, 0.9], master: 1.1, center: 0.4, width: 0.6}, s_contrast: 1.2}",
+    "curves": "!<GradingRGBCurveTransform> {red: [[0, 0], [0.4, 0.5], [1, 1.1]], master: [0, 0.05, 0.5, 0.55, 1, 1]}",
+    "hue": "!<GradingHueCurveTransform> {style: linear, hue_sat: [[0.1, 1.2], [0.5, 0.8]], lum_lum: [[-7, -7], [0, 0.2], [5, 5]], hue_lum: [[0.2, 1.1], [0.7, 0.9]]}",
+    "hue_back": "!<GradingHueCurveTransform> {style: video, hue_hue: [[0.1, 0.15], [0.5, 0.5], [0.8, 0.82]], sat_sat: [[0, 0], [0.5, 0.6], [1, 1.2]], hue_fx: [[0.2, 0.02], [0.7, -0.02]], direction: inverse}",
+    "lut1d": "!<Lut1DTransform> {length: 5, values: [0, 0.1, 0.35, 0.7, 1.1]}",
+    "lut3d": "!<Lut3DTransform> {gridSize: 2, interpolation: tetrahedral, values: [0, 0, 0, 0.1, 0, 0.9, 0, 1, 0.1, 0, 0.9, 1, 1, 0.1, 0, 0.9, 0, 1, 1, 0.9, 0.2, 1, 1, 1]}",
+    "fixed_hsy": "!<GroupTransform> {children: [!<FixedFunctionTransform> {style: RGB_TO_HSY_LIN}, !<MatrixTransform> {matrix: [1, 0, 0, 0, 0, 0.8, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]}, !<FixedFunctionTransform> {style: HSY_LIN_TO_RGB}]}",
+    "fixed_pq": "!<FixedFunctionTransform> {style: LIN_TO_PQ}",
+    "fixed_surround": "!<FixedFunctionTransform> {style: REC2100_SURROUND, params: [1.2]}",
+    "exposure_back": "!<ExposureContrastTransform> {style: video, exposure: 0.5, contrast: 1.2, pivot: 0.2, direction: inverse}",
+    "exposure_log_back": "!<ExposureContrastTransform> {style: log, exposure: 0.5, contrast: 1.2, pivot: 0.2, direction: inverse}",
+}
+#: Built-in styles, of which each part of the tables is taken once.
+STYLES = {
+    "venice": "SONY_SLOG3-SGAMUT3.CINE-VENICE_to_ACES2065-1", "alexa": "ARRI_ALEXA-LOGC-EI800-AWG_to_ACES2065-1", "proxy": "ACESproxy10i_to_ACES2065-1",
+    "adx10": "ADX10_to_ACES2065-1", "adx16": "ADX16_to_ACES2065-1", "blue_light": "ACES-LMT - BLUE_LIGHT_ARTIFACT_FIX",
+    "gamut": "ACES-LMT - ACES 1.3 Reference Gamut Compression", "dci": "DISPLAY - CIE-XYZ-D65_to_G2.6-P3-DCI-BFD", "dcdm": "DISPLAY - CIE-XYZ-D65_to_DCDM-D65",
+    "mirror": "DISPLAY - CIE-XYZ-D65_to_REC.1886-REC.709 - MIRROR NEGS", "p3hdr": "DISPLAY - CIE-XYZ-D65_to_DisplayP3-HDR", "pq_p3": "DISPLAY - CIE-XYZ-D65_to_ST2084-P3-D65",
+    "hlg": "DISPLAY - CIE-XYZ-D65_to_REC.2100-HLG-1000nit", "rec709": "UTILITY - ACES-AP1_to_LINEAR-REC709_BFD", "curve": "CURVE - LINEAR_to_ST-2084",
+    "sdr1": "ACES-OUTPUT - ACES2065-1_to_CIE-XYZ-D65 - SDR-VIDEO_1.0",
+}
+
+
+def _configured() -> None:
+    for name, text in TRANSFORMS.items():
+        chain_query(f"oc_cfg_{name}", catalog.transform(catalog.parse_yaml(f"t: {text}")["t"]))
+    for name, style in STYLES.items():
+        # Densities of a third of the range, beyond which light grows past what six digits tell.
+        first = [ir.Matrix(np.eye(3) * 0.3)] if name == "adx16" else []
+        chain_query(f"oc_style_{name}", [*first, *catalog.builtin(style)])
+    again = catalog.load(catalog.dumped(catalog.standard()))
+    chain_query("oc_dumped", again.display("ACEScg", "sRGB", "Film"))
+    hue = {"hue_hue": curves.periodic([(0.1, 0.12), (0.6, 0.62)], True), "lum_sat": curves.fitted([(0, 1.0), (0.5, 1.2), (1.0, 0.9)]), "sat_lum": curves.fitted([(0, 1.0), (1.0, 1.1)])}
+    for style in ("lin", "log"):
+        pixel_query(f"gr_hue_curves_{style}_gains", curves.hue_curves(style, **hue))
+        # Colours near grey, which the curves reach.
+        chain_query(f"gr_hue_curves_{style}_back", [ir.Matrix(np.full((3, 3), 0.1) + np.eye(3) * 0.1, (0.2,) * 3), _Ready(curves.hue_curves(style, True, **hue))])
+    pixel_query("ff_hsy_lin_to_rgb", color_hsy("lin"))
+    n = 9
+
+    def table_of(s, _):
+        cube = ir.baked(s, again.conversion("ACEScct", "sRGB"), n)
+        rows = [(r, g, b, *map(float, cube.cube[r, g, b])) for r in range(n) for g in range(n) for b in range(n)]
+        return s.createDataFrame(rows, "ri int, gi int, bi int, r double, g double, b double")
+
+    grid = Op({**{c_: ex(p).cast("DOUBLE") / float(n - 1) for c_, p in (("r", "ri"), ("g", "gi"), ("b", "bi"))}, "a": 1.0})
+    at_sql = f"SELECT CAST(i // {n * n} AS INT) AS ri, CAST(i // {n} % {n} AS INT) AS gi, CAST(i % {n} AS INT) AS bi FROM range({n**3}) AS b(i)"
+    keys = ["ri", "gi", "bi"]
+    table_query("oc_baked", table_of, ir.as_sql(grid.sql(at_sql, keys), catalog.standard().conversion("ACEScct", "sRGB"), keys), keys, ("r", "g", "b"))
+
+
 def _appearance() -> None:
     pixel_query("ac2_jmh", aces2.rgb_to_jmh())
     chain = lambda ops: [_Ready(op) for op in ops]
@@ -107,4 +174,5 @@ class _Ready:
 
 _luts()
 _catalog()
+_configured()
 _appearance()
