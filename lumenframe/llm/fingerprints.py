@@ -23,6 +23,8 @@ from .common import SPACES
 WORDS, SIZE = 5, 128
 #: Rows of a chunk of neighbouring documents, about; chunks at most; and sampled places for each chunk's bound.
 CHUNK_ROWS, MOST_CHUNKS, EACH = 512, 1 << 16, 16
+#: Chunks of a partition, on average, and partitions at most.
+PARTITION_CHUNKS, MOST_PARTITIONS = 2, 1 << 15
 
 
 def word_hashes(text: Column) -> Column:
@@ -109,13 +111,14 @@ def _bounds(docs: DataFrame, chunks: int, n: int) -> list[str]:
 
 
 def in_chunks(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
-    """(chunk, place, doc_id, text), the chunks in the order of their places.
+    """(chunk, place, doc_id, text), the chunks in the order of their places, each in one partition.
 
     Chunks hold about equally many rows however ids are spread. Their bounds come from a sample
     that MOST_CHUNKS bounds; beyond that many chunks of `rows` rows chunks grow, and
-    the windows over them spill to disk.
+    the windows over them spill to disk. Partitions grow in number with the table, not in size, up to MOST_PARTITIONS.
     """
     n = docs.count()
+    partitions = max(1, min(MOST_PARTITIONS, n // (rows * PARTITION_CHUNKS)))
     chunks = max(1, min(MOST_CHUNKS, n // rows))
     bounds = sorted(set(_bounds(docs, chunks, n))) if chunks > 1 else []
     wide = max(1, math.isqrt(len(bounds)))
@@ -126,7 +129,7 @@ def in_chunks(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     chunk = F.when(first == 0, 0).otherwise((first - 1) * wide + below(F.slice(listed(bounds), (first - 1) * wide + 1, F.lit(wide))))
     placed = docs.select(_place(F.col("text")).alias("place"), "doc_id", "text").withColumn("__first", below(listed(bounds[::wide])))
     # Never null, so that no filter is inferred on it and both readers share one shuffle.
-    return placed.select(F.coalesce(chunk.cast("bigint"), F.lit(0)).alias("chunk"), "place", "doc_id", "text")
+    return placed.select(F.coalesce(chunk.cast("bigint"), F.lit(0)).alias("chunk"), "place", "doc_id", "text").repartition(partitions, "chunk")
 
 
 def fingerprinted(docs: DataFrame, k: int = SIZE) -> DataFrame:
@@ -140,8 +143,7 @@ def fingerprinted(docs: DataFrame, k: int = SIZE) -> DataFrame:
     One shuffle carries the texts: neighbours meet in chunks of the order,
     and only the first document of each chunk goes to the chunk before it.
     """
-    chunked = in_chunks(docs)
-    held = chunked.repartition("chunk")
+    held = in_chunks(docs)
     # Both readers of `held` need the same columns, so they share one shuffle.
     order = Window.partitionBy("chunk").orderBy("place", "doc_id")
     firsts = held.withColumn("r", F.row_number().over(order)).where("r = 1").select("chunk", F.col("text").alias("next_text"))
