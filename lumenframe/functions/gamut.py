@@ -52,11 +52,16 @@ def white_xyz(name: str) -> np.ndarray:
     return np.array([x / y, 1.0, (1 - x - y) / y])
 
 
+def matrix_of(red, green, blue, white) -> np.ndarray:
+    """Columns are the XYZ of three primaries (x, y), scaled so that equal parts make the white point."""
+    columns = np.array([[x / y, 1.0, (1 - x - y) / y] if y else [x, y, 1 - x - y] for x, y in (red, green, blue)]).T
+    x, y = white
+    return columns * np.linalg.solve(columns, np.array([x / y, 1.0, (1 - x - y) / y]))
+
+
 def rgb_to_xyz(gamut: str) -> np.ndarray:
-    """Columns are the primaries' XYZ, scaled so that equal parts make the white point."""
     *primaries, white = GAMUTS[gamut]
-    columns = np.array([[x / y, 1.0, (1 - x - y) / y] if y else [x, y, 1 - x - y] for x, y in primaries]).T
-    return columns * np.linalg.solve(columns, white_xyz(white))
+    return matrix_of(*primaries, WHITES[white])
 
 
 def xyz_to_rgb(gamut: str) -> np.ndarray:

@@ -162,7 +162,8 @@ def _rendering(name: str) -> list | None:
         limit = next((g for k, g in LIMITS if k in body), None)
         if peak is None or limit is None:
             return None
-        return [*(ir.Ready(op) for op in aces2.output_transform(float(peak[1]), limit)), to_d65(limit)]
+        there, back = (aces2.output_transform(float(peak[1]), limit, inverse)[0] for inverse in (False, True))
+        return [ir.Ready(there, back), to_d65(limit)]
     if not body.endswith(("10", "11")):
         return None
     # The first generation: into the rendering gamut, glow, red modifier, tone curve, desaturation, and the surround for video.

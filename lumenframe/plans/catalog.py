@@ -558,13 +558,27 @@ def _fixed(node: dict):
             return ir.Ready(color.each(make()))
         raise Missing(style)
     if plain == "acesoutputtransform20":
-        return ir.Chain(tuple(ir.Ready(op) for op in aces2.output_transform(p[0] if p else 100.0)))
+        # Peak luminance, and the chromaticities of the limiting gamut's primaries and white.
+        return _aces2(aces2.output_transform, p)
+    if plain in ("acestonescalecompress20", "acesgamutcompress20"):
+        return _aces2(lambda *how: [(aces2.tone_scaled if "tone" in plain else aces2.gamut_fitted)(*how)], p)
     try:
         return ir.Fixed(ir.fixed(style))
     except KeyError as e:
         raise Missing(style) from e
 
 
+def _aces2(make, p: list[float]) -> ir.Ready:
+    peak, limit = (p[0] if p else 100.0), "rec709"
+    if len(p) >= 9:
+        given = np.array(p[1:9]).reshape(4, 2)
+        near = lambda g: np.abs(np.array([*g[:3], gamut.WHITES[g[3]]]) - given).max()
+        limit = min(gamut.GAMUTS, key=lambda name: near(gamut.GAMUTS[name]))
+        if near(gamut.GAMUTS[limit]) > 1e-3:
+            raise Missing("a limiting gamut of other primaries")
+    return ir.Ready(make(peak, limit)[0], make(peak, limit, True)[0])
+
+
 @dataclass(frozen=True, eq=False)
 class Later:
     """A conversion of the catalogue that is looked up when it is needed, so that spaces may be named before they are defined."""

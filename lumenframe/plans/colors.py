@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import aces2, curves
 from ..functions.color import each as color_each
 from ..functions.color import hsy_to_rgb as color_hsy
-from ..functions.expr import Op, ex
+from ..functions.expr import Op, clamp, ex
 from ..functions.lut import Lut1D, Lut3D
 from ..operators.adapters import load
 from . import catalog, ir
@@ -156,7 +156,22 @@ def _appearance() -> None:
     for peak in (100.0, 1000.0):
         pixel_query(f"ac2_tonescale_{int(peak)}", color_each(aces2.ToneScale(peak).forward))
     chain_query("ac2_tone_scaled", chain([aces2.rgb_to_jmh(), aces2.tone_scaled(), aces2.jmh_to_rgb()]))
-    image_query("ac2_output_rec709", lambda s, d: ir.applied(rgba(s, d), chain(aces2.output_transform())), None, RGBA)
+    # Scene light up to 4, a little of it negative.
+    lit = ir.Matrix(np.eye(3) * 2.0)
+    for peak, limit in ((100.0, "rec709"), (1000.0, "display_p3"), (500.0, "rec2020")):
+        chain_query(f"ac2_output_{limit}", [lit, *chain(aces2.output_transform(peak, limit))])
+    # Colours well inside the gamut, where the way back is steady.
+    inside = ir.Matrix(np.full((3, 3), 0.1) + np.eye(3) * 0.2, (0.2,) * 3)
+    chain_query("ac2_output_rec709_back", [inside, *chain(aces2.output_transform(100.0, "rec709", True))])
+    chain_query("ac2_tone_back", chain([aces2.rgb_to_jmh(), aces2.tone_scaled(), aces2.tone_scaled(inverse=True), aces2.jmh_to_rgb()]))
+    pixel_query("ac2_gamut_fitted", _jmh_of_channels())
+
+
+def _jmh_of_channels() -> Op:
+    """The gamut compression of colours whose J, M and h are made of the channels."""
+    fitted = aces2.gamut_fitted()
+    first = {"r": ex("r") * 60.0 + 20.0, "g": clamp(ex("g"), 0.0, 2.0) * 80.0, "b": clamp(ex("b"), 0.0, 0.999) * 360.0}
+    return Op(fitted.out, first, *fitted.steps)
 
 
 class _Ready:

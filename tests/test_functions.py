@@ -489,9 +489,36 @@ def test_appearance_space(spark):
         light = np.array([0.01, 0.18, 1.0, 8.0])
         assert column(spark, [0.18], curve.forward)[0] == pytest.approx(grey, abs=6e-4)
         assert np.allclose(column(spark, light, lambda v: curve.inverse(curve.forward(v))), light, rtol=1e-6)  # noqa: B023
-    shown = run(spark, [[3.0, 0.2, 0.1], [0.18] * 3, [0.01, 0.2, 2.0]], *aces2.output_transform())
-    assert shown.min() >= 0 and shown.max() <= 1
-    assert np.allclose(shown[1], 0.1, atol=1e-3)
+
+
+@pytest.mark.parametrize(("peak", "limit"), [(100.0, "rec709"), (1000.0, "display_p3")])
+def test_rendering(spark, peak, limit):
+    """The projection against the same in numpy; tables' corners; greys; and the way back."""
+    from lumenframe.functions import aces2
+
+    k, rng = aces2.rendering(peak, limit), np.random.default_rng(3)
+    rows = np.concatenate([10 ** rng.uniform(-3, 1, (60, 3)), [[0.18] * 3, [0.0] * 3, [-0.1, 0.2, 0.1]]])
+    shown = run(spark, rows, *aces2.output_transform(peak, limit))
+    with np.errstate(all="ignore"):
+        want = np.array(k.forward(list(rows.T), aces2._Arrays)).T
+    assert np.allclose(shown, want, atol=1e-9)
+    grey = {100.0: 0.1, 1000.0: 0.145}[peak]
+    assert np.allclose(shown[60], grey, atol=6e-4) and np.allclose(shown[61], 0, atol=1e-9)
+    assert shown.min() > -0.1 * peak / 100 and shown.max() < 1.2 * peak / 100
+    # What the display can show comes back to itself.
+    display = rng.random((60, 3)) * 0.96 * peak / 100 + 0.01
+    there = run(spark, display, *aces2.output_transform(peak, limit, True))
+    assert np.allclose(run(spark, there, *aces2.output_transform(peak, limit)), display, atol=1e-4 * peak)
+    # A knot stands at each corner of the cube, and its cusp is that corner.
+    for corner in ([1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 1, 0]):
+        j, m, h, _ = aces2._to_jmh(k.out, [np.array([c * peak / 100]) for c in map(float, corner)], aces2._Arrays)
+        at = int(np.abs(k.hues - h).argmin())
+        assert abs(k.hues[at] - h[0]) < 1e-6
+        assert np.allclose(k.cusps[at], [j[0], m[0] * (1 + 0.27 * 0.12)], rtol=1e-4)
+    # Beyond the reach at peak lightness a channel of the reach gamut is negative, just below it none.
+    for hue in (0, 90, 201):
+        edge = lambda m: np.min(aces2._from_jmh(k.reach, np.array(k.top), np.array(m), np.array(float(hue)), aces2._Arrays))  # noqa: B023, E731
+        assert edge(k.reaches[hue] + 0.02) < 0 <= edge(k.reaches[hue] - 0.02) + 1e-6
 
 
 @pytest.mark.parametrize("size", [4, 64])
