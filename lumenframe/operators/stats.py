@@ -191,11 +191,12 @@ def pixel_hash(img: Img, extra: str = "", digits: int = 6) -> DataFrame:
     A pixel's place and channels, rounded to `digits` places, go through MD5; 13 hexadecimal digits from the front and
     from the back of it are summed up, so a task sends two numbers for each image.
     """
-    whole = [F.round(F.col(c) * 10**digits).cast("bigint").cast("string") for c in img.channels]
+    # Numbers too great for that, and those that aren't numbers, stand as they are.
+    whole = [F.when(F.abs(c) < 1e12, F.round(F.col(c) * 10**digits).cast("bigint").cast("string")).otherwise(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in img.channels]
     h = F.md5(F.concat_ws("|", F.col("y").cast("string"), F.col("x").cast("string"), *whole).cast("binary"))
     part = lambda at: F.sum(F.conv(F.substring(h, at, 13), 16, 10).cast("decimal(38,0)"))
     sums = img.df.groupBy("image_id").agg(part(1).alias("a"), part(20).alias("b"))
-    return sums.select("image_id", F.md5(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"), F.lit(extra)).cast("binary")).alias("hash"))
+    return sums.select("image_id", F.sha2(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"), F.lit(extra)).cast("binary"), 256).alias("hash"))
 
 
 def extremes(img: Img, greatest: bool = True) -> Img:

@@ -83,7 +83,7 @@ def _stats() -> None:
     table_query(
         "st_pixel_hash",
         lambda s, d: stats.pixel_hash(rgba(s, d), "note"),
-        f"SELECT image_id, md5(a || '/' || b || '/note') AS hash FROM (SELECT image_id, {part(1)} AS a, {part(20)} AS b FROM "
+        f"SELECT image_id, sha256(a || '/' || b || '/note') AS hash FROM (SELECT image_id, {part(1)} AS a, {part(20)} AS b FROM "
         f"(SELECT image_id, md5(concat(y, '|', x, '|', {whole})) AS h FROM ({RGBA_SQL}) AS h0) AS h1 GROUP BY image_id) AS h2",
         ["image_id", "hash"],
     )
