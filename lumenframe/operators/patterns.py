@@ -99,6 +99,68 @@ def noise(kind: str, a: float, b: float, mono: bool = False, seed: int = 0, name
     return Op(out, *steps)
 
 
+#: The root of g^3 = g + 1, of which a low-discrepancy sequence in the plane is made. Fixed value.
+PLASTIC = 1.32471795724474602596
+
+
+def blue_noise(roi: Roi, seed: int = 0x1234567) -> Op:
+    """One channel in [0, 1) that is spread evenly: the mean of a low-discrepancy sequence along the rows and hashed noise."""
+    i = (Y - float(roi.y0)) * float(roi.width) + (X - float(roi.x0))
+    part = lambda a: (i * a + 0.5) - floor(i * a + 0.5)
+    hashed = noise("uniform", 0.0, 1.0, True, seed, ("v",))
+    even = (part(1 / PLASTIC) + part(1 / PLASTIC**2)) * 0.5
+    return Op({"v": (even + hashed.out["v"]) * 0.5}, *hashed.steps)
+
+
+# Text: glyphs of five by seven dots, scaled by whole numbers
+
+#: Rows of dots, from the top, five bits each, of the characters 0-9, A-Z and some signs. Fixed values.
+GLYPHS = dict(line.split(" ", 1) for line in """
+0 0E 11 13 15 19 11 0E|1 04 0C 04 04 04 04 0E|2 0E 11 01 02 04 08 1F|3 1F 02 04 02 01 11 0E|4 02 06 0A 12 1F 02 02|5 1F 10 1E 01 01 11 0E|6 06 08 10 1E 11 11 0E
+7 1F 01 02 04 08 08 08|8 0E 11 11 0E 11 11 0E|9 0E 11 11 0F 01 02 0C|A 0E 11 11 11 1F 11 11|B 1E 11 11 1E 11 11 1E|C 0E 11 10 10 10 11 0E|D 1C 12 11 11 11 12 1C
+E 1F 10 10 1E 10 10 1F|F 1F 10 10 1E 10 10 10|G 0E 11 10 17 11 11 0F|H 11 11 11 1F 11 11 11|I 0E 04 04 04 04 04 0E|J 07 02 02 02 02 12 0C|K 11 12 14 18 14 12 11
+L 10 10 10 10 10 10 1F|M 11 1B 15 15 11 11 11|N 11 11 19 15 13 11 11|O 0E 11 11 11 11 11 0E|P 1E 11 11 1E 10 10 10|Q 0E 11 11 11 15 12 0D|R 1E 11 11 1E 14 12 11
+S 0F 10 10 0E 01 01 1E|T 1F 04 04 04 04 04 04|U 11 11 11 11 11 11 0E|V 11 11 11 11 11 0A 04|W 11 11 11 15 15 15 0A|X 11 11 0A 04 0A 11 11|Y 11 11 11 0A 04 04 04
+Z 1F 01 02 04 08 10 1F|. 00 00 00 00 00 0C 0C|, 00 00 00 00 0C 04 08|: 00 0C 0C 00 0C 0C 00|- 00 00 00 1F 00 00 00|+ 00 04 04 1F 04 04 00|_ 00 00 00 00 00 00 1F
+/ 00 01 02 04 08 10 00|! 04 04 04 04 00 00 04|? 0E 11 01 02 04 00 04|( 02 04 08 08 08 04 02|) 08 04 02 02 02 04 08|= 00 00 1F 00 1F 00 00|# 0A 0A 1F 0A 1F 0A 0A
+""".strip().replace("|", "\n").split("\n"))
+
+
+def text_size(text: str, scale: int = 1) -> tuple[int, int]:
+    """(width, height) in pixels: six dots for a character, nine for a line."""
+    lines = text.split("\n")
+    return max(map(len, lines)) * 6 * scale, len(lines) * 9 * scale
+
+
+def in_text(text: str, x0: int, y0: int, scale: int = 1, align: str = "left", width: int | None = None) -> Ex:
+    """Whether a pixel is on a dot of the text whose box begins at (x0, y0); align: left, center or right in `width` pixels.
+
+    Lower case is drawn as upper case, a character without a glyph as a question mark. A line's dots are
+    one number for each row; which bit a pixel reads follows from its place.
+    """
+    width = text_size(text, scale)[0] if width is None else width
+    hits = []
+    for n, line in enumerate(text.upper().split("\n")):
+        own = len(line) * 6 * scale
+        left = x0 + {"left": 0, "center": (width - own) // 2, "right": width - own}[align]
+        for row in range(7):
+            dots = []
+            for i, c in enumerate(line):
+                bits = int(GLYPHS.get(c, GLYPHS["?"] if c != " " else "00 " * 7).split()[row], 16)
+                dots += [left + (i * 6 + k) * scale for k in range(5) if bits >> 4 - k & 1]
+            top = y0 + (n * 9 + row) * scale
+            spans: list[list[int]] = []
+            for x in dots:  # neighbouring dots are one span
+                if spans and spans[-1][1] == x:
+                    spans[-1][1] = x + scale
+                else:
+                    spans.append([x, x + scale])
+            if spans:
+                inside = " OR ".join(f"(x >= {a} AND x < {b})" for a, b in spans)
+                hits.append(f"(y >= {top} AND y < {top + scale} AND ({inside}))")
+    return Ex(f"({' OR '.join(hits)})" if hits else "FALSE")
+
+
 # Drawing: each shape is the condition that a pixel is covered.
 
 

@@ -261,6 +261,24 @@ def _sampling() -> None:
     wide = one.format(o="y", a="x", src=GRAY_SQL, i=0, values=values[0])
     both = one.format(o="x", a="y", src=wide, i=1, values=values[1])
     gray_query("ge_resize_lanczos3", lambda i: sampling.resize_filtered(i, 20, 30), f"SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v FROM ({both}) AS rs")
+    # Mitchell's filter by its polynomial, in SQL.
+    poly = (
+        "CASE WHEN d < 1 THEN (CAST(7 AS DOUBLE) * d * d * d - CAST(12 AS DOUBLE) * d * d + CAST(16 AS DOUBLE) / 3) / 6 "
+        "WHEN d < 2 THEN (CAST(-7 AS DOUBLE) / 3 * d * d * d + CAST(12 AS DOUBLE) * d * d - CAST(20 AS DOUBLE) * d + CAST(32 AS DOUBLE) / 3) / 6 ELSE CAST(0 AS DOUBLE) END"
+    )
+
+    def axis(a: str, o: str, n: int, m: int, source: str) -> str:
+        scale, wide = n / m, max(1.0, n / m)
+        at = f"((CAST(t.v AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST({scale!r} AS DOUBLE) - CAST(0.5 AS DOUBLE))"
+        far = f"SELECT t.v AS t, least(greatest(k.v, 0), {n - 1}) AS s, abs(CAST(k.v AS DOUBLE) - {at}) / CAST({wide!r} AS DOUBLE) AS d FROM range({m}) AS t(v), range(-20, {n + 20}) AS k(v)"
+        taps = f"SELECT t, s, {poly} AS w FROM ({far}) AS f0 WHERE d < 2"
+        return (
+            f"SELECT image_id, {o}, CAST(t AS INT) AS {a}, sum(p.v * w) / sum(w) AS v FROM ({source}) AS p JOIN ({taps}) AS q ON p.{a} = q.s GROUP BY image_id, {o}, t"
+        )
+
+    gray_query("ge_resize_mitchell", lambda i: sampling.resize_filtered(i, 20, 70, "mitchell"), f"SELECT image_id, y, x, v FROM ({axis('y', 'x', H, 70, axis('x', 'y', 64, 20, GRAY_SQL))}) AS rs")
+    m = sampling.composed(sampling.translation(-7, -20), sampling.scaling(1.2, 0.8), sampling.shear(0.2, -0.1), sampling.translation(8, 22))
+    sample_query("wa_composed", sampling.affine_map(m))
     level_sql, w, h, every = GRAY_SQL, 64, H, [f"SELECT CAST(0 AS INT) AS level, image_id, y, x, v FROM ({GRAY_SQL}) AS l0"]
     for i in range(1, sampling.mip_levels(64, H)):
         sx, sy = (2 if w > 1 else 1), (2 if h > 1 else 1)
@@ -286,6 +304,14 @@ def _patterns() -> None:
     }
     for name, op in ops.items():
         image_query(name, lambda s, d, op=op: patterns.painted(s, roi, op, 2), op.sql(patterns.blank_sql(roi, 2), K), tuple(op.out))
+    box = Roi(0, 64, 0, 64)
+    image_query("pa_blue_noise", lambda s, d: patterns.painted(s, box, patterns.blue_noise(box)), patterns.blue_noise(box).sql(patterns.blank_sql(box), K), ("v",))
+    page = Roi(0, 80, 0, 30)
+    written = patterns.drawn(patterns.in_text("Take 7:\nshot_42?", 3, 4, 1, "center", 70), (0.9, 0.8, 0.7, 1.0))
+    paper = Op({"r": 0.1, "g": 0.2, "b": 0.3, "a": 1.0})
+    image_query(
+        "dr_text", lambda s, d: patterns.painted(s, page, paper).apply(written), written.sql(paper.sql(patterns.blank_sql(page), K), K), RGBA
+    )
     shapes = {
         "line": patterns.on_line(1, 2, 13, 41), "line_steep": patterns.on_line(14, 3, 2, 9), "box": patterns.in_box(3, 5, 11, 30, False),
         "circle": patterns.in_circle(8, 20, 6), "circle_outline": patterns.in_circle(8, 20, 6, False), "ellipse": patterns.in_ellipse(8, 25, 5, 15),
