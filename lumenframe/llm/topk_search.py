@@ -18,7 +18,8 @@ represent all partial sums of the integers exactly. Where lengths are too large
 only sorts out what is surely not among the k best, and the rest is multiplied in whole numbers of any size.
 
 Queries come in groups and meet the bucket parts they can't skip; each such tile
-returns the k best it holds for each query, above the bound.
+returns the k best it holds for each query, above the bound. Bounds come from a few vectors first and then
+from searches of growing shares of the table, so tiles return few vectors that aren't among the best.
 
 Defined cases: null vectors and vectors with null or non-finite components take
 no part; a shorter vector counts as padded with zeros; every row with a query's id asks for itself, and
@@ -33,7 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -41,10 +42,10 @@ from .common import cut_lineage
 K, SCALE, EVERY = 20, 64, 20
 #: Norms of a bucket differ by this factor at most.
 NORM_STEP = 1.05
-#: Bytes of a bucket part's vectors at most, rows of it at most, and rows of a query group.
-PART_BYTES, PART_ROWS, QUERY_ROWS = 1 << 24, 65_536, 65_536
-#: Vectors that seed the lower bounds.
-SEEDS = 1024
+#: Rows of a bucket part at least; parts above which they grow with the table; bytes of a part's vectors at most; rows of a query group.
+PART_ROWS, PARTS, PART_BYTES, QUERY_ROWS = 1024, 256, 1 << 25, 65_536
+#: Vectors that seed the lower bounds, and how much larger the share is that is searched next.
+SEEDS, STEP = 1024, 8
 COORDINATE_FROM, FOCUS = 0.8, 4
 SLACK = 1e-6
 #: What rounding changes at most, relative to the product of two lengths; and the least and greatest long. Fixed values.
@@ -53,17 +54,26 @@ ROUNDED, LEAST, GREATEST = 1e-12, -(1 << 63), (1 << 63) - 1
 
 def integers(embeddings: DataFrame) -> DataFrame:
     """(row, vec_id, v, norm): floor(SCALE * x) of every usable vector, as whole doubles, its length, and a number of its own."""
-    x = F.col("embedding")
-    fine = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double") * SCALE) == float("inf")))
 
-    def whole(e: Column) -> Column:
-        y = e.cast("double") * SCALE  # a double beyond 2**53 is whole already
-        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
-
-    rows = embeddings.where(fine & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, whole).alias("v"))
-    most = F.greatest(F.array_max(F.transform("v", F.abs)), F.lit(1.0))
-    square = F.aggregate("v", F.lit(0.0), lambda a, e: a + (e / most) * (e / most))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "*", F.coalesce(F.sqrt(square) * most, F.lit(0.0)).alias("norm"))
+    def run(batches):
+        for batch in batches:
+            ids, vectors = batch.column("vec_id"), batch.column("embedding")
+            fine = np.zeros(len(ids), bool)
+            if len(ids):
+                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE
+                usable = np.isfinite(x) & ~np.asarray(vectors.flatten().is_null())
+                owners = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(vectors), 0)))
+                fine = np.asarray(ids.is_valid()) & np.asarray(vectors.is_valid()) & (np.bincount(owners[~usable], minlength=len(ids)) == 0)
+            kept = batch.filter(pa.array(fine))
+            sizes = np.asarray(pa.compute.list_value_length(kept.column("embedding")), np.int64)
+            whole = np.floor(kept.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE)
+            ends = np.cumsum(sizes)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(whole))
+            width = int(sizes.max(initial=0))
+            yield pa.RecordBatch.from_arrays([kept.column("vec_id").cast(pa.int64()), rows, pa.array(lengths_of(_matrix(rows, width)))], ["vec_id", "v", "norm"])
+
+    told = embeddings.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, v array<double>, norm double")
+    return told.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -186,81 +196,117 @@ class Part:
         return i, self.ids[at][best], np.array([whole[j] for j in best], np.int64)
 
 
+class _Search:
+    """Tiles of bucket parts and query groups. `table`: the rows and the greatest norm of each bucket."""
+
+    def __init__(self, table: list, width: int, total: int, every: int, k: int):
+        self.table, self.width, self.k = sorted(table, key=lambda r: -r["longest"]), width, k
+        self.size = max(1, min(max(PART_ROWS, total // PARTS), PART_BYTES // (8 * max(1, width))))
+        self.groups = max(1, -(-(total // every + 1) // QUERY_ROWS))
+
+    def found(self, binned: DataFrame, asking: DataFrame, rate: float = 1.0) -> DataFrame:
+        """(row, vec_id, score): the k best of each tile for each of the queries (row, v, bound), no worse than its bound.
+
+        With a `rate` below 1 that share of the vectors is searched, chosen by a hash.
+        """
+        width, k = self.width, self.k
+        if rate < 1:
+            binned = binned.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+        # (bucket, its first part, its parts, its greatest norm), the longest first.
+        spans, parts = [], 0
+        for r in self.table:
+            count = max(1, math.ceil(r["n"] * rate / self.size))
+            spans.append((r["bucket"], parts, count, r["longest"]))
+            parts += count
+        lengths, starts = np.array([s[3] for s in spans]), np.array([s[1] for s in spans] + [parts])
+        # As many rows as norms have magnitudes: bounded by the range of doubles.
+        spans_df = binned.sparkSession.createDataFrame([s[:3] for s in spans], "bucket int, first int, count int")
+        data = binned.join(F.broadcast(spans_df), "bucket").select(
+            (F.col("first") + F.pmod(F.xxhash64("row"), F.col("count"))).cast("int").alias("part"), "row", "vec_id", "v"
+        )
+
+        def reach(batches):
+            for batch in batches:
+                least = batch.column("bound").to_numpy()
+                norms = lengths_of(_matrix(batch.column("v"), width))
+                # Buckets, and so parts, stand in the order of their greatest norms: those a query can't skip come first.
+                last = [np.searchsorted(-n * lengths, -(b * (1 - SLACK) - SLACK), "right") if b > 0 else len(lengths) for n, b in zip(norms, least, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts[np.array(last, np.int64)], pa.int32())], ["row", "v", "bound", "parts"])
+
+        group = F.pmod(F.xxhash64("row"), F.lit(self.groups)).cast("int").alias("group")
+        reached = asking.select("row", "v", "bound").mapInArrow(reach, "row bigint, v array<double>, bound double, parts int").where("parts > 0")
+        query_tiles = reached.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), group, "row", "v", "bound")
+        # A part goes to the groups with a query that asks for it.
+        asked = reached.groupBy(group).agg(F.max("parts").alias("parts"))
+        tiles = cut_lineage(asked.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+        data_tiles = data.join(tiles, "part").select("part", "group", "row", "vec_id", "v")
+
+        def tile(key, left, right):
+            ids, scores, owners = [], [], []
+            if len(left) and len(right):
+                held = Part(left.column("row").to_numpy(), left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks(), width))
+                numbers = right.column("row").to_numpy()
+                queries, bounds = _matrix(right.column("v").combine_chunks(), width), right.column("bound").to_numpy()
+                for i, found, best in held.search(numbers, queries, bounds, k):
+                    ids.append(found)
+                    scores.append(best)
+                    owners.append(np.full(len(found), numbers[i]))
+            join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+            return pa.table({"row": join(owners), "vec_id": join(ids), "score": join(scores)})
+
+        return (
+            data_tiles.groupBy("part", "group")
+            .cogroup(query_tiles.groupBy("part", "group"))
+            .applyInArrow(tile, "row bigint, vec_id bigint, score bigint")
+        )
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _lowered(score):
+    """A bound that no rounding puts above the score."""
+    return score * F.when(score > 0, 1 - ROUNDED).otherwise(1 + ROUNDED)
+
+
 def searched(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all rows."""
-    spark = embeddings.sparkSession
+    """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`, against all rows.
+
+    The first bounds come from SEEDS vectors; searches of shares of the table that grow by STEP raise them, so
+    a query gets some k x STEP vectors back from each search, however large the table.
+    """
     rows = cut_lineage(integers(embeddings))
     bucket = F.when(F.col("norm") >= 1, F.floor(F.log("norm") / math.log(NORM_STEP))).otherwise(-1).cast("int")
     binned = rows.withColumn("bucket", bucket)
-    # As many rows as norms have magnitudes: bounded by the range of doubles.
     table = binned.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.max(F.size("v")).alias("width")).collect()
     width = max((r["width"] for r in table), default=0)
     total = sum(r["n"] for r in table)
-    size = max(1, min(PART_ROWS, PART_BYTES // (8 * max(1, width))))
-    # (bucket, its first part, its parts, its greatest norm), the longest first.
-    spans, parts = [], 0
-    for r in sorted(table, key=lambda r: -r["longest"]):
-        count = -(-r["n"] // size)
-        spans.append((r["bucket"], parts, count, r["longest"]))
-        parts += count
-    spans_df = spark.createDataFrame([s[:3] for s in spans], "bucket int, first int, count int")
-    data = binned.join(F.broadcast(spans_df), "bucket").select(
-        (F.col("first") + F.pmod(F.xxhash64("row"), F.col("count"))).cast("int").alias("part"), "row", "vec_id", "v"
-    )
-    asking = rows.where(F.col("vec_id") % every == 0).select("row", "v")
+    search = _Search(table, width, total, every, k)
+    asking = rows.where(F.col("vec_id") % every == 0)
     seeds = rows.orderBy(F.xxhash64(F.lit("seed"), "vec_id"), "vec_id").limit(SEEDS).select("row", "vec_id", "v").toArrow()
     seed_rows, seed_ids = seeds.column("row").to_numpy(), seeds.column("vec_id").to_numpy()
     seed_part = Part(seed_rows, seed_ids, _matrix(seeds.column("v").combine_chunks(), width) if len(seed_ids) else np.zeros((0, width)))
-    lengths, starts = np.array([s[3] for s in spans]), np.array([s[1] for s in spans] + [parts])
 
     def bound(batches):
         for batch in batches:
-            queries = _matrix(batch.column("v"), width)
-            numbers = batch.column("row").to_numpy()
-            norms = lengths_of(queries)
+            queries, numbers = _matrix(batch.column("v"), width), batch.column("row").to_numpy()
             least = np.full(len(numbers), -np.inf)
             for i, _, scores in seed_part.search(numbers, queries, np.full(len(numbers), -np.inf), k):
                 if len(scores) == k:
                     least[i] = float(scores[-1]) * (1 - ROUNDED if scores[-1] > 0 else 1 + ROUNDED)
-            # Buckets, and so parts, stand in the order of their greatest norms: those a query can't skip come first.
-            reach = [np.searchsorted(-n * lengths, -(b * (1 - SLACK) - SLACK), "right") if b > 0 else len(lengths) for n, b in zip(norms, least, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("v"), pa.array(least, pa.float64()), pa.array(starts[np.array(reach, np.int64)], pa.int32())],
-                ["row", "v", "bound", "parts"],
-            )
-
-    groups = max(1, -(-(total // every + 1) // QUERY_ROWS))
-    bounded = asking.mapInArrow(bound, "row bigint, v array<double>, bound double, parts int").where("parts > 0")
-    query_tiles = bounded.select(
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"), "row", "v", "bound",
-    )
-    # A part goes to the groups with a query that asks for it.
-    asked = bounded.groupBy(F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")).agg(F.max("parts").alias("parts"))
-    tiles = cut_lineage(asked.select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    data_tiles = data.join(tiles, "part").select("part", "group", "row", "vec_id", "v")
-
-    def tile(key, left, right):
-        ids, scores, owners = [], [], []
-        if len(left) and len(right):
-            held = Part(left.column("row").to_numpy(), left.column("vec_id").to_numpy(), _matrix(left.column("v").combine_chunks(), width))
-            numbers = right.column("row").to_numpy()
-            queries, bounds = _matrix(right.column("v").combine_chunks(), width), right.column("bound").to_numpy()
-            for i, found, best in held.search(numbers, queries, bounds, k):
-                ids.append(found)
-                scores.append(best)
-                owners.append(np.full(len(found), numbers[i]))
-        join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"row": join(owners), "vec_id": join(ids), "score": join(scores)})
-
-    found = (
-        data_tiles.groupBy("part", "group")
-        .cogroup(query_tiles.groupBy("part", "group"))
-        .applyInArrow(tile, "row bigint, vec_id bigint, score bigint")
-    )
-    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    names = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.float64())], ["row", "v", "bound"])
+
+    bounded = asking.select("row", "v").mapInArrow(bound, "row bigint, v array<double>, bound double")
+    rate = SEEDS * STEP / max(1, total)
+    while rate * 2 < 1:
+        bounded = cut_lineage(bounded)
+        kth = _ranked(search.found(binned, bounded, rate), k).where(F.col("rank") == k).select("row", _lowered(F.col("score").cast("double")).alias("raised"))
+        bounded = bounded.join(kth, "row", "left").select("row", "v", F.greatest("bound", F.coalesce("raised", "bound")).alias("bound"))
+        rate *= STEP
+    best = _ranked(search.found(binned, cut_lineage(bounded), 1.0), k)
+    names = asking.select("row", F.col("vec_id").alias("query_id"))
     return best.join(names, "row").select("query_id", "rank", "vec_id", "score")
 
 
