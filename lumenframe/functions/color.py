@@ -358,6 +358,14 @@ def basic_tone(shadows=(1,) * 4, midtones=(1,) * 4, highlights=(1,) * 4, whites=
     return Op({**out, "a": "a"}, {"y0": luma(*RGB)}, weights, {"wm": greatest(ex(1.0) - "wd" - "wl", 0.0)})
 
 
+def pixel_bytes(channels, bits: int = 8):
+    """The channels' stored integers (clamped, scaled, cut off), high byte first, in hexadecimal digits."""
+    from pyspark.sql import functions as F
+
+    stored = [F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) * (2**bits - 1)).cast("int") for c in channels]
+    return F.concat(*[F.lpad(F.hex(v), bits // 4, "0") for v in stored])
+
+
 # Filmic tone curve
 
 #: Coefficients a, b, c, d, e of the tone curve x(ax+b) / (x(cx+d)+e). Fixed values.

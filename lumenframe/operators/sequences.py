@@ -86,6 +86,33 @@ def as_xml(columns: list[str]) -> Column:
     return F.to_xml(F.struct(*columns))
 
 
+def attribute_count(document: Column) -> Column:
+    """How many attributes a JSON document has at its top; 0 for what is no object."""
+    return F.coalesce(F.size(F.json_object_keys(document)), F.lit(0)).cast("bigint")
+
+
+def attributes_hash(document: Column) -> Column:
+    """A digest of a JSON document's attributes that doesn't depend on their order."""
+    pairs = F.from_json(document, "map<string,string>")
+    texts = F.transform(F.array_sort(F.map_keys(pairs)), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at(pairs, k), F.lit(""))))
+    return F.sha2(F.concat_ws("\n", texts).cast("binary"), 256)
+
+
+def as_int(value: Column) -> Column:
+    """A text attribute as an integer: whole numbers as they are, others cut off, held in the range of 32 bits; null for what is no number."""
+    number = value.try_cast("double")
+    cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
+    return F.when(F.isnan(number), None).otherwise(F.greatest(F.lit(-(1 << 31)), F.least(F.lit((1 << 31) - 1), cut))).cast("int")
+
+
+def with_attribute(document: Column, name: str, value: Column) -> Column:
+    """A JSON document of text attributes with one set: a JSON object whose values are texts, in the order of their names."""
+    pairs = F.coalesce(F.from_json(document, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    others = F.map_filter(pairs, lambda k, _: k != name)
+    entries = F.array_sort(F.map_entries(F.map_concat(others, F.create_map(F.lit(name), value.cast("string")))))
+    return F.to_json(F.map_from_entries(entries))
+
+
 def from_xml(document: Column, schema: str) -> Column:
     return F.from_xml(document, schema)
 

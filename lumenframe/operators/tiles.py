@@ -163,3 +163,16 @@ def demosaic(img: Img, pattern: str = "RGGB", method: str = "vng", size: int = S
         return np.where((alike[0] <= alike[1])[..., None], made[0], made[1])
 
     return kernel(img, {"vng": vng, "ahd": ahd}[method], 5, ("r", "g", "b"), size)
+
+
+def memory(width, height, channels: int, copies: int = 2, bytes_each: int = 8):
+    """Bytes that an operation holds for an image: its channels, so many copies of them."""
+    return width * height * channels * copies * bytes_each
+
+
+def planned(width: int, height: int, channels: int, limit: int, halo: int = 0, copies: int = 2) -> tuple[int, int]:
+    """(side, tiles): the greatest power of two, from 16 up, whose tiles with their halos stay within `limit` bytes, and how many tiles an image has."""
+    side = 16
+    while side < max(width, height) and memory(2 * side + 2 * halo, 2 * side + 2 * halo, channels, copies) <= limit:
+        side *= 2
+    return side, -(-width // side) * -(-height // side)

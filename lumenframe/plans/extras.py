@@ -271,7 +271,114 @@ def _files() -> None:
         )
 
 
+def _more_files() -> None:
+    """Deep, wavelet-packed, lossy, several in one file, levels, boxes, tiles, headers and batches."""
+    from ..operators import adapters, deep
+    from ..sources import exr, files
+    from .base import RGBA
+
+    names = ("r", "g", "b")
+    single = "CAST(CAST({} AS FLOAT) AS DOUBLE)".format
+
+    def rows(s, d, channels=names):
+        img = rgba(s, d)
+        return img.df.select(F.col("image_id").cast("string").alias("path"), F.col("y").alias("py"), F.col("x").alias("px"), *channels)
+
+    def placed(df, channels=names):
+        return df.select(F.col("path").cast("bigint").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x"), *channels)
+
+    floats = f"SELECT image_id, y, x, {', '.join(f'{single(c)} AS {c}' for c in names)} FROM ({RGBA_SQL}) AS p"
+    for name, compression in (("piz", exr.PIZ), ("rle", exr.RLE), ("none", exr.NONE)):
+        table_query(f"so_exr_{name}", lambda s, d, k=compression: placed(files.decoded(files.encoded(rows(s, d), "exr", channels=names, compression=k), names)), floats, K, names)
+    table_query(
+        "so_exr_tiles", lambda s, d: placed(files.decoded(files.encoded(rows(s, d), "exr", channels=names, tile=8), names)), floats, K, names
+    )
+    table_query(
+        "so_exr_box",
+        lambda s, d: placed(files.decoded(files.encoded(rows(s, d), "exr", channels=names, tile=8), names, box=(3, 10, 12, 33))),
+        f"SELECT * FROM ({floats}) AS b0 WHERE x BETWEEN 3 AND 11 AND y BETWEEN 10 AND 32",
+        K,
+        names,
+    )
+    extra = ("diffuse.R", "id")
+
+    def others(s, d):
+        wide = rows(s, d, RGBA).withColumn("diffuse.R", F.col("r") + F.col("g")).withColumn("id", F.col("px").cast("double"))
+        back = files.decoded(files.encoded(wide, "exr", channels=(*names, *extra)))
+        return placed(back.select("path", "py", "px", F.col("others")["diffuse.R"].alias("diffuse"), F.col("others")["id"].alias("id")), ("diffuse", "id"))
+
+    table_query("so_other_channels", others, f"SELECT image_id, y, x, {single('r + g')} AS diffuse, CAST(x AS DOUBLE) AS id FROM ({RGBA_SQL}) AS p", K, ("diffuse", "id"))
+    # A grey image of squares that JPEG holds exactly at full quality.
+    square = "floor(((y // 8) * 7 + (x // 8) * 3 + image_id) % 32) * 8"
+
+    def jpeg(s, d):
+        level = F.expr("CAST(((y div 8) * 7 + (x div 8) * 3 + image_id) % 32 * 8 AS DOUBLE) / 255D")
+        grey = rgba(s, d).df.select(F.col("image_id").cast("string").alias("path"), F.col("y").alias("py"), F.col("x").alias("px"), (level + 1e-6).alias("y"))
+        back = files.decoded(files.encoded(grey, "jpeg", channels=("y",)), ("y",))
+        return back.select(F.col("path").cast("bigint").alias("image_id"), F.col("py").alias("y"), F.col("px").alias("x"), F.round(F.col("y") * 255 / 8).cast("int").alias("step"))
+
+    table_query("so_jpeg", jpeg, f"SELECT image_id, y, x, CAST({square} / 8 AS INT) AS step FROM ({RGBA_SQL}) AS p", [*K, "step"])
+
+    def deep_file(s, d):
+        # Orders of one file each hundred, lines below each other.
+        found = deep.exploded(deep.gathered(adapters.deep(s, d))).where("y < 2000")
+        told = found.select(F.expr("CAST(y div 100 AS STRING)").alias("path"), (F.col("y") % 100).cast("int").alias("y"), F.col("x").cast("int").alias("x"), "s", "z", "a", "r", "g", "b")
+        back = files.decoded_deep(files.encoded_deep(told, tile=4))
+        return back.select(F.col("path").cast("bigint").alias("file"), "y", "x", "s", "z", "zback", "a", "r", "g", "b")
+
+    ordered = f"SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY z, zback, a, r, g, b) - 1 AS s FROM ({adapters.DEEP_SQL}) AS dp"
+    table_query(
+        "so_deep_exr",
+        deep_file,
+        f"SELECT y // 100 AS file, CAST(y % 100 AS INT) AS y, CAST(x AS INT) AS x, CAST(s AS INT) AS s, {single('z')} AS z, {single('z')} AS zback, "
+        f"{', '.join(f'{single(c)} AS {c}' for c in 'argb')} FROM ({ordered}) AS o WHERE y < 2000",
+        ["file", "y", "x", "s"],
+        ("z", "zback", "a", "r", "g", "b"),
+    )
+
+    def broken(s, d):
+        # Each third file is cut short.
+        made = files.encoded(rows(s, d), "png", channels=names)
+        cut = made.withColumn("content", F.when(F.col("path").cast("int") % 3 == 0, F.expr("substring(content, 1, 20)")).otherwise(F.col("content")))
+        return files.decoded(cut, names).groupBy(F.col("path").cast("bigint").alias("image_id")).agg(F.count("px").alias("pixels"), F.count("error").alias("errors"))
+
+    table_query(
+        "so_broken",
+        broken,
+        f"SELECT image_id, sum(CASE WHEN image_id % 3 = 0 THEN 0 ELSE 1 END)::BIGINT AS pixels, CAST(max(CASE WHEN image_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM ({RGBA_SQL}) AS p GROUP BY image_id",
+        ["image_id", "pixels", "errors"],
+    )
+
+
+def _layer_changes() -> None:
+    from .images import _conv
+
+    both = lambda s, d: layers.merged({"beauty": rgba(s, d).select({"v": F.col("r")}), "id": rgba(s, d).select({"v": F.col("a")})})
+    box = Roi(0, 16, 0, 50)
+    beauty = f"SELECT 'beauty' AS layer, image_id, y, x, r AS v FROM ({RGBA_SQL}) AS p"
+    table_query(
+        "la_crop",
+        lambda s, d: layers.transformed(both(s, d), "id", box, ("v",), lambda i: i.crop(Roi(2, 9, 5, 20))),
+        f"{beauty} UNION ALL SELECT 'id', image_id, y, x, a FROM ({RGBA_SQL}) AS q WHERE x BETWEEN 2 AND 8 AND y BETWEEN 5 AND 19",
+        ["layer", *K],
+        ("v",),
+    )
+    import numpy as np
+
+    k = np.full((3, 3), 1 / 9)
+    blurred = _conv(k, source=f"SELECT image_id, y, x, a AS v FROM ({RGBA_SQL}) AS q", box=box)
+    table_query(
+        "la_blur",
+        lambda s, d: layers.transformed(both(s, d), "id", box, ("v",), lambda i: filters.box_blur(i, 3)),
+        f"{beauty} UNION ALL SELECT 'id', image_id, y, x, v FROM ({blurred}) AS q",
+        ["layer", *K],
+        ("v",),
+    )
+
+
 _layers()
 _textures()
 _tiles()
 _files()
+_more_files()
+_layer_changes()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import color
 from ..operators import adapters, composite, deep, sequences, stats
 from ..operators.adapters import DEEP_SQL, load, rgba
 from .base import K, RGBA, RGBA_SQL, gray, register, rounded, table_query
@@ -277,6 +278,50 @@ def _sequences() -> None:
         "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k.none') AS none FROM events",
         ["event_id", "k", "none"],
     )
+    table_query(
+        "md_count",
+        lambda s, d: load(s, d, "events").select("event_id", sequences.attribute_count(F.col("props")).alias("n")),
+        "SELECT event_id, CAST(coalesce(len(json_keys(props)), 0) AS BIGINT) AS n FROM events",
+        ["event_id", "n"],
+    )
+    table_query(
+        "md_hash",
+        lambda s, d: load(s, d, "events").select("event_id", sequences.attributes_hash(F.col("props")).alias("hash")),
+        "SELECT event_id, sha256(string_agg(k || '=' || coalesce(json_extract_string(props, '$.\"' || k || '\"'), ''), chr(10) ORDER BY k)) AS hash "
+        "FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) AS e0 GROUP BY event_id",
+        ["event_id", "hash"],
+    )
+    table_query(
+        "md_as_int",
+        lambda s, d: load(s, d, "orders").select("o_orderkey", sequences.as_int(F.concat(F.lit("-"), (F.col("o_totalprice") * 100000).cast("string"))).alias("n")),
+        "SELECT o_orderkey, CAST(greatest(-2147483648, ceil(-(o_totalprice * 100000))) AS INT) AS n FROM orders",
+        ["o_orderkey", "n"],
+    )
+    table_query(
+        "md_set",
+        lambda s, d: load(s, d, "nation").select(
+            "n_nationkey", sequences.attribute(sequences.with_attribute(F.to_json(F.struct("n_name", F.lit("x").alias("a"))), "a", F.col("n_regionkey")), "a").alias("a"),
+            sequences.attribute(sequences.with_attribute(F.to_json(F.struct("n_name")), "b", F.lit("y")), "n_name").alias("name"),
+        ),
+        "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS a, n_name AS name FROM nation",
+        ["n_nationkey", "a", "name"],
+    )
+    from ..operators import tiles
+
+    table_query(
+        "ti_memory",
+        lambda s, d: load(s, d, "part").select("p_partkey", tiles.memory(F.col("p_size").cast("bigint") * 64, F.lit(1080).cast("bigint"), 4).alias("bytes")),
+        "SELECT p_partkey, CAST(p_size AS BIGINT) * 64 * 1080 * 4 * 2 * 8 AS bytes FROM part",
+        ["p_partkey", "bytes"],
+    )
+    bits = lambda c: f"CAST(floor(least(greatest({c}, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) * 255) AS INT)"
+    hexed = lambda c: "printf('%02X', " + bits(c) + ")"
+    table_query(
+        "px_bytes",
+        lambda s, d: rgba(s, d).df.select(*K, color.pixel_bytes(RGBA, 8).alias("bytes")),
+        f"SELECT image_id, y, x, {' || '.join(hexed(c) for c in RGBA)} AS bytes FROM ({RGBA_SQL}) AS p",
+        [*K, "bytes"],
+    )
     table_query(
         "md_xml",
         lambda s, d: load(s, d, "nation").select(sequences.from_xml(sequences.as_xml(["n_nationkey", "n_name"]), "n_nationkey int, n_name string").alias("b")).select("b.*"),
