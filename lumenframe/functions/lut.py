@@ -241,16 +241,22 @@ def write_spi3d(lut: Lut3D) -> str:
 
 
 def parse_3dl(text: str) -> Lut3D:
-    """.3dl: integer rows with blue fastest; a first line may hold the input steps"""
+    """.3dl: integer rows with blue fastest; a first line may hold the input steps, a line `Mesh` the bits of inputs and outputs.
+
+    Without that line the least usual depth holds that fits the greatest value.
+    """
     lines = [x.split() for x in text.splitlines() if x.strip() and _numeric(x)]
     rows = np.array([[float(v) for v in x] for x in lines if len(x) == 3])
+    mesh = re.search(r"^\s*Mesh\s+(\d+)\s+(\d+)", text, re.M | re.I)
     top = rows.max()
-    bits = next(b for b in (8, 10, 12, 16, 32) if top < 2**b)
+    bits = int(mesh[2]) if mesh else next(b for b in (8, 10, 12, 16, 32) if top < 2**b)
+    if top >= 2**bits:
+        raise ValueError(f"a value beyond {bits} bits")
     return Lut3D(_cube_of(rows / (2**bits - 1), blue_first=True))
 
 
 def parse_csp(text: str) -> Lut1D | Lut3D:
-    """.csp without shapers other than their end points"""
+    """.csp whose shapers are straight lines onto [0, 1]; others are refused"""
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     kind = lines[1].upper()
     i = 2
@@ -260,7 +266,10 @@ def parse_csp(text: str) -> Lut1D | Lut3D:
         i += 1
     low, high = [], []
     for _ in range(3):
-        xs = [float(v) for v in lines[i + 1].split()]
+        xs, ys = ([float(v) for v in lines[i + k].split()] for k in (1, 2))
+        straight = np.interp(xs, [xs[0], xs[-1]], [0.0, 1.0])
+        if len(xs) != len(ys) or not np.allclose(ys, straight, atol=1e-6):
+            raise ValueError("a shaper that bends")
         low.append(xs[0])
         high.append(xs[-1])
         i += 3
@@ -423,5 +432,38 @@ def parse_clf(xml: str) -> list[tuple[str, object]]:
     return out
 
 
+def write_clf(nodes: list[tuple[str, object]], name: str = "list") -> str:
+    """A process list (.clf) of nodes as `parse_clf` gives them, values as floats."""
+    out = []
+    rows = lambda a: "\n".join(" ".join(f"{v:.10g}" for v in row) for row in np.asarray(a, float).reshape(-1, np.shape(a)[-1]))
+    attributes = lambda p: "".join(f' {k}="{v!r}"' for k, v in p.items())
+    for i, (kind, value) in enumerate(nodes):
+        tag = f'id="n{i}" inBitDepth="32f" outBitDepth="32f"'
+        if kind == "matrix":
+            m = np.column_stack([value[0], value[1]])
+            out.append(f'<Matrix {tag}><Array dim="3 4 3">\n{rows(m)}\n</Array></Matrix>')
+        elif kind == "lut1d":
+            n, width = value.tables.shape
+            out.append(f'<LUT1D {tag}><Array dim="{n} {width}">\n{rows(value.tables)}\n</Array></LUT1D>')
+        elif kind == "lut3d":
+            out.append(f'<LUT3D {tag}><Array dim="{value.size} {value.size} {value.size} 3">\n{rows(value.cube.reshape(-1, 3))}\n</Array></LUT3D>')
+        elif kind == "range":
+            names = ("minInValue", "maxInValue", "minOutValue", "maxOutValue")
+            body = "".join(f"<{k}>{v!r}</{k}>" for k, v in zip(names, value[:4], strict=True) if v is not None)
+            out.append(f'<Range {tag} style="{"clamp" if value[4] else "noClamp"}">{body}</Range>')
+        elif kind == "cdl":
+            c, style = value
+            sop = "".join(f"<{k}>{' '.join(map(repr, v))}</{k}>" for k, v in (("Slope", c.slope), ("Offset", c.offset), ("Power", c.power)))
+            out.append(f'<ASC_CDL {tag} style="{style}"><SOPNode>{sop}</SOPNode><SatNode><Saturation>{c.saturation!r}</Saturation></SatNode></ASC_CDL>')
+        elif kind == "exponent":
+            out.append(f'<Exponent {tag} style="{value[0]}"><ExponentParams{attributes(value[1])}/></Exponent>')
+        elif kind == "log":
+            params = f"<LogParams{attributes(value[1])}/>" if value[1] else ""
+            out.append(f'<Log {tag} style="{value[0]}">{params}</Log>')
+        else:
+            raise ValueError(kind)
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<ProcessList id="{name}" compCLFversion="3">\n' + "\n".join(out) + "\n</ProcessList>\n"
+
+
 def identity3d(n: int) -> Lut3D:
     return Lut3D.of(lambda c: c, n)

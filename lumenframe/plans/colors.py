@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import aces2, curves
+from ..functions import aces2, curves, icc, lut
 from ..functions.color import each as color_each
 from ..functions.color import hsy_to_rgb as color_hsy
 from ..functions.expr import Op, clamp, ex
@@ -167,6 +167,32 @@ def _appearance() -> None:
     pixel_query("ac2_gamut_fitted", _jmh_of_channels())
 
 
+CLF = [
+    ("matrix", (np.array([[1.1, 0.05, 0], [0, 0.95, 0.02], [0.01, 0, 0.9]]), np.array([0.01, 0.0, -0.01]))), ("range", (0.0, 1.0, 0.1, 0.9, True)),
+    ("lut1d", Lut1D(np.linspace(0, 1, 9)[:, None] ** 1.5)), ("exponent", ("basicFwd", {"exponent": 1.2})),
+    ("log", ("linToLog", {"base": 10.0, "logSideSlope": 0.3, "logSideOffset": 0.5, "linSideSlope": 1.2, "linSideOffset": 0.4})),
+]
+CORRECTION = """<ColorDecisionList><ColorDecision><ColorCorrection id="a"><SOPNode><Slope>1.1 1 0.9</Slope><Offset>0.02 0 -0.02</Offset><Power>1.2 1 0.9</Power></SOPNode>
+<SatNode><Saturation>0.8</Saturation></SatNode></ColorCorrection></ColorDecision></ColorDecisionList>"""
+
+
+def _written_tables() -> None:
+    """Tables and corrections as texts of their formats, read again, against the values they were made of."""
+    chain_query("lu_cube_file", catalog.from_file("x.cube", lut.write_cube(CUBE)))
+    chain_query("lu_spi1d_file", catalog.from_file("x.spi1d", lut.write_spi1d(CURVE)))
+    chain_query("lu_spi3d_file", catalog.from_file("x.spi3d", lut.write_spi3d(CUBE)))
+    chain_query("lu_spimtx_file", catalog.from_file("x.spimtx", lut.write_spimtx(np.diag([1.2, 1.0, 0.8]), (0.1, 0.0, -0.1))))
+    chain_query("lu_clf_file", catalog.from_file("x.clf", lut.write_clf(CLF)))
+    chain_query("lu_correction_file", catalog.from_file("x.cdl", CORRECTION))
+    p3 = icc.named("display_p3", icc.Curve(*icc.SRGB))
+    again = icc.read(icc.write(p3))
+    chain_query("icc_srgb_to_p3", icc.conversion(icc.srgb(), again))
+    chain_query("icc_p3_to_linear", icc.conversion(again, icc.named("aces_ap1"), "relative"))
+    chain_query("icc_absolute", icc.conversion(icc.srgb(), icc.named("prophoto", icc.Curve(1.8)), "absolute"))
+    table = icc.Profile(p3.matrix, (icc.Curve(table=tuple(np.linspace(0, 1, 33) ** 2.0)),) * 3, p3.adaptation)
+    chain_query("icc_table", icc.conversion(table, icc.named("display_p3")))
+
+
 def _jmh_of_channels() -> Op:
     """The gamut compression of colours whose J, M and h are made of the channels."""
     fitted = aces2.gamut_fitted()
@@ -190,4 +216,5 @@ class _Ready:
 _luts()
 _catalog()
 _configured()
+_written_tables()
 _appearance()

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 
-from ..functions import aces2, color, curves
+from ..functions import aces2, color, curves, icc
 from ..functions.expr import Op, ex, greatest, ln, power
 from ..functions.lut import Lut1D, Lut3D
 from ..functions.transfer import CURVES, log_camera, moncurve, pq
@@ -250,6 +250,7 @@ MAKERS = {
     "line": lambda points, slope, back: color.each(curves.line_through(points, slope, back)),
     "tone": lambda preset, back: _tone_mapped(preset, back),
     "matrix4": lambda m, offset, back: _matrix4(np.array(m), np.array(offset), back),
+    "icc_curves": lambda found, back: icc.curves_op(found, back),
     "surround": lambda gamma, back: color.surround(1 / gamma if back else gamma),
 }
 
