@@ -55,6 +55,10 @@ class Lut1D:
         return Lut1D(np.stack([np.interp(at_, t, x) for t in self.tables.T], axis=1), low, high)
 
 
+#: Steps a side of a cube that is broadcast at most: 400 MB.
+MOST_CUBE = 256
+
+
 @dataclass(frozen=True)
 class Lut3D:
     """A cube of colours, indexed [r, g, b]."""
@@ -138,7 +142,9 @@ class Lut3D:
         return out
 
     def frame(self, df: DataFrame, method: str = "trilinear") -> DataFrame:
-        """`df` with its r, g and b looked up in Arrow batches; the cube is broadcast."""
+        """`df` with its r, g and b looked up in Arrow batches; the cube is broadcast, if it isn't larger than MOST_CUBE a side."""
+        if self.size > MOST_CUBE:
+            raise ValueError(f"a cube of {self.size} steps is too large to broadcast")
         # Broadcast values are pickled by reference to their class, so only plain values go there.
         held = df.sparkSession.sparkContext.broadcast((self.cube, self.low, self.high))
 

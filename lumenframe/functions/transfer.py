@@ -272,10 +272,6 @@ def decode(name: str, v) -> Ex:
     return CURVES[name][1](v)
 
 
-def middle_gray(name: str) -> Ex:
-    """The code value of 18 % grey."""
-    return encode(name, 0.18)
-
 
 def shaping(name: str, x, *p: float) -> Ex:
     """Scalar shaping functions: lerp-like, steps, bias and gain."""

@@ -119,25 +119,12 @@ def shuffle_pattern(img: Img, pattern: str) -> Img:
     return img.select(out)
 
 
-def channel_sum(img: Img, weights) -> Img:
-    weights = list(weights) or [1.0]
-    total = F.lit(0.0)
-    for i, c in enumerate(img.channels):
-        total = total + F.col(c) * float(weights[min(i, len(weights) - 1)])
-    return img.select({"v": total})
-
 
 def alpha(img: Img) -> Img:
     """The alpha channel, opaque where there is none."""
     return img.select({"a": F.col("a") if "a" in img.channels else F.lit(1.0)})
 
 
-def appended(a: Img, b: Img) -> Img:
-    """The channels of both images, over the union of their boxes."""
-    from .composite import paired
-
-    return paired(a, b)
-
 
 def renamed(img: Img, name) -> Img:
     """Channels under the names that `name` makes of their own."""

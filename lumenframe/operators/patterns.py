@@ -203,12 +203,3 @@ def in_polygon(points: list[tuple[int, int]]) -> Ex:
 def drawn(covered: Ex, color, names=("r", "g", "b", "a")) -> Op:
     """A shape of one colour on an image."""
     return Op({c: when((covered, float(v)), c) for c, v in zip(names, color, strict=True)})
-
-
-def in_sine(amplitude: float, frequency: float) -> Ex:
-    """The area under a sine curve (a test card)."""
-    return Y <= sin(X * frequency) * amplitude + amplitude
-
-
-def clamp_all(names=("r", "g", "b")) -> Op:
-    return Op({c: clamp(c) for c in names})

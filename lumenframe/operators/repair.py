@@ -20,9 +20,6 @@ def holes(img: Img, threshold: float = 1e-3) -> DataFrame:
     return img.df.groupBy("image_id").agg(F.count_if(F.col("a") < threshold).alias("n"))
 
 
-def has_holes(img: Img, threshold: float = 1e-3) -> DataFrame:
-    return holes(img, threshold).select("image_id", (F.col("n") > 0).alias("holes"))
-
 
 def _blocks(img: Img, levels: int):
     """An array of (level, by, bx): the blocks of 2, 4, 8, ... pixels that hold a pixel."""

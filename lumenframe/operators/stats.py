@@ -95,11 +95,6 @@ def constant_color(img: Img, threshold: float = 0.0) -> DataFrame:
     return img.df.groupBy("image_id").agg(*first, *ends).select("image_id", within.alias("constant"))
 
 
-def first_color(img: Img, threshold: float = 0.0) -> DataFrame:
-    """(image_id, channels): the colour of each image that is constant."""
-    first = [F.min_by(c, F.struct("y", "x")).alias(c) for c in img.channels]
-    return img.df.groupBy("image_id").agg(*first).join(constant_color(img, threshold).where("constant").drop("constant"), "image_id")
-
 
 def constant_channel(img: Img, channel: str, value: float, threshold: float = 0.0) -> DataFrame:
     return img.df.groupBy("image_id").agg(F.bool_and(F.abs(F.col(channel) - value) <= threshold).alias("constant"))
@@ -199,11 +194,6 @@ def pixel_hash(img: Img, extra: str = "", digits: int = 6) -> DataFrame:
     return sums.select("image_id", F.sha2(F.concat_ws("/", F.col("a").cast("string"), F.col("b").cast("string"), F.lit(extra)).cast("binary"), 256).alias("hash"))
 
 
-def extremes(img: Img, greatest: bool = True) -> Img:
-    """The greatest or least channel of each pixel."""
-    f = F.greatest if greatest else F.least
-    return img.select({"v": f(*img.channels)})
-
 
 def difference_image(a: Img, b: Img, gain: float = 10.0) -> Img:
     """Amplified absolute difference, at most 1."""

@@ -21,6 +21,11 @@ def _transfer_queries() -> None:
             pixel_query(f"tf_{name}_{direction}", Op({c: one(ex(c)) for c in ALL}), view="samples")
 
 
+def _chained(one: Op, other: Op) -> Op:
+    """One operation after another on r, g and b."""
+    return Op(other.out, *one.steps, {c: one.out[c] for c in ("r", "g", "b")}, *other.steps)
+
+
 def _curve_ops() -> dict[str, Op]:
     s_shape = curves.fitted([(0.0, 0.0), (0.25, 0.15), (0.6, 0.7), (1.0, 1.0)])
     lift = curves.fitted([(0.0, 0.05), (0.5, 0.5), (1.0, 0.9)])
@@ -73,6 +78,7 @@ def _color_queries() -> None:
         "co_contrast_step": color.contrast_remap(0.5, 0.5),
         "co_rangecompress": color.range_compressed(),
         "co_rangecompress_luma": color.range_compressed(True),
+        "co_rangeexpand_luma": _chained(color.range_compressed(True), color.range_expanded(True)),
         "co_rangeexpand": color.each(lambda v: color.expand(least(v, 0.9))),  # the curve is infinite at 1
         "co_matrix4": color.matrixed4(np.array([[0.9, 0.1, 0, 0], [0.05, 0.8, 0.1, 0], [0, 0.1, 0.9, 0], [0, 0, 0.02, 1]])),
         "ga_rgb2xyz": color.matrixed(gamut.rgb_to_xyz("srgb")),

@@ -253,6 +253,12 @@ def _sequences() -> None:
         "SELECT 'shots/' || c_mktsegment || '.' AS prefix, '.exr' AS suffix, CAST(6 AS INT) AS padding, min(c_custkey) AS first, max(c_custkey) AS last, count(DISTINCT c_custkey) AS n FROM customer GROUP BY c_mktsegment",
         ["prefix", "suffix", "padding", "first", "last", "n"],
     )
+    table_query(
+        "sq_frame_path",
+        lambda s, d: load(s, d, "customer").select("c_custkey", sequences.frame_path(F.lit("a/b."), F.col("c_custkey"), F.lit(4), F.lit(".exr")).alias("path")),
+        "SELECT c_custkey, 'a/b.' || lpad(CAST(c_custkey AS VARCHAR), greatest(4, length(CAST(c_custkey AS VARCHAR)))::INT, '0') || '.exr' AS path FROM customer",
+        ["c_custkey", "path"],
+    )
     tile = lambda c, most: f"greatest(0, least(CAST(floor({c}) AS INT), {most}))"
     table_query(
         "sq_udim",

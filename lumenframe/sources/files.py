@@ -390,8 +390,3 @@ class PatternSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PatternSource)
-
-
-def sequence_paths(spark: SparkSession, path: str) -> DataFrame:
-    """The paths of files, without reading them."""
-    return binary(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "modificationTime")

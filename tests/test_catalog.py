@@ -92,6 +92,13 @@ def test_a_configuration_with_views(spark):
         c.display("ap1", "Show", "Nothing")
 
 
+def test_active_spaces():
+    c = catalog.standard()
+    c.active, c.inactive = ("sRGB", "raw", "nowhere"), ("raw",)
+    assert c.active_spaces() == ["sRGB"]
+    assert catalog.load(catalog.dumped(c)).active_spaces() == ["sRGB"]
+
+
 def test_dumped_and_loaded_again(spark):
     one = catalog.standard()
     two = catalog.load(catalog.dumped(one))
