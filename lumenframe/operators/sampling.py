@@ -121,34 +121,37 @@ def resize(img: Img, width: int, height: int, kind: str = "bilinear") -> Img:
 SUPPORT = {"bilinear": 1.0, "mitchell": 2.0, "lanczos3": 3.0}
 
 
-def filter_weight(name: str, x: float) -> float:
-    x = abs(x)
+def filter_weight(name: str, x) -> np.ndarray:
+    x = np.abs(np.asarray(x, float))
     if name == "bilinear":
-        return max(0.0, 1 - x)
+        return np.maximum(0.0, 1 - x)
     if name == "mitchell":
         b = c = 1 / 3
-        if x < 1:
-            return ((12 - 9 * b - 6 * c) * x**3 + (-18 + 12 * b + 6 * c) * x**2 + (6 - 2 * b)) / 6
-        return ((-b - 6 * c) * x**3 + (6 * b + 30 * c) * x**2 + (-12 * b - 48 * c) * x + (8 * b + 24 * c)) / 6 if x < 2 else 0.0
-    return float(np.sinc(x) * np.sinc(x / 3)) if x < 3 else 0.0
+        near = ((12 - 9 * b - 6 * c) * x**3 + (-18 + 12 * b + 6 * c) * x**2 + (6 - 2 * b)) / 6
+        far = ((-b - 6 * c) * x**3 + (6 * b + 30 * c) * x**2 + (-12 * b - 48 * c) * x + (8 * b + 24 * c)) / 6
+        return np.where(x < 1, near, np.where(x < 2, far, 0.0))
+    return np.where(x < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
 
 
 def filter_taps(n: int, m: int, name: str) -> list[tuple[int, int, float]]:
     """(source, target, weight) along one axis of a separable resize, clamped and normalised."""
     scale = n / m
     stretch = max(1.0, scale)
-    out = []
-    for t in range(m):
-        centre = (t + 0.5) * scale - 0.5
-        weights: dict[int, float] = {}
-        for s in range(math.floor(centre - SUPPORT[name] * stretch), math.ceil(centre + SUPPORT[name] * stretch) + 1):
-            w = filter_weight(name, (s - centre) / stretch)
-            if w:
-                at = min(max(s, 0), n - 1)
-                weights[at] = weights.get(at, 0.0) + w
-        total = sum(weights.values())
-        out += [(s, t, w / total) for s, w in sorted(weights.items())]
-    return out
+    reach = math.ceil(SUPPORT[name] * stretch) + 1
+    t = np.arange(m)
+    centre = (t + 0.5) * scale - 0.5
+    s = np.floor(centre).astype(int)[:, None] + np.arange(-reach, reach + 1)
+    w = filter_weight(name, (s - centre[:, None]) / stretch)
+    # Taps beyond the ends fall on the end pixels, and those on one pixel add up.
+    cells, place = np.unique(t[:, None] * n + np.clip(s, 0, n - 1), return_inverse=True)
+    sums = np.bincount(place.ravel(), w.ravel())
+    totals = np.bincount(cells // n, sums, m)
+    kept = sums != 0
+    return list(zip((cells % n)[kept].tolist(), (cells // n)[kept].tolist(), (sums / totals[cells // n])[kept].tolist(), strict=True))
+
+
+#: Taps of an axis that are broadcast at most, some 24 bytes each; more join in a shuffle.
+MOST_TAPS = 1 << 20
 
 
 def resize_filtered(img: Img, width: int, height: int, name: str = "lanczos3") -> Img:
@@ -156,10 +159,11 @@ def resize_filtered(img: Img, width: int, height: int, name: str = "lanczos3") -
     spark = img.df.sparkSession
     df = img.df
     for axis, other, n, m, low in (("x", "y", img.roi.width, width, img.roi.x0), ("y", "x", img.roi.height, height, img.roi.y0)):
-        taps = spark.createDataFrame(filter_taps(n, m, name), "s int, t int, w double")
+        found = filter_taps(n, m, name)
+        taps = spark.createDataFrame(found, "s int, t int, w double")
         df = (
             df.withColumn("s", F.col(axis) - low)
-            .join(F.broadcast(taps), "s")
+            .join(F.broadcast(taps) if len(found) <= MOST_TAPS else taps, "s")
             .groupBy("image_id", F.col(other), F.col("t").alias("at"))
             .agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in img.channels])
             .select("image_id", other, F.col("at").alias(axis), *img.channels)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.expr import Op
+from ..sources import files
 
 
 def pixels_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -14,6 +15,13 @@ def pixels_stream(spark: SparkSession, folder: str, schema, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def images_stream(spark: SparkSession, folder: str, pattern: str = "*", channels: tuple[str, ...] | None = None, files_per_batch: int = 16) -> DataFrame:
+    """The pixels of image files as they arrive in a folder, decoded where they are read; a broken file is a row with its error."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    arriving = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder)
+    return files.decoded(arriving, channels)
+
+
 def processed(stream: DataFrame, ops: list[Op], keys: list[str]) -> DataFrame:
     """Per-pixel operations on a stream: the same projections as on a table."""
     for op in ops:

@@ -35,6 +35,26 @@ def test_folded_tiles(spark, tmp_path):
     assert sum(n for n, *_ in sums().values()) == 53
 
 
+def test_images_stream(spark, tmp_path):
+    """Files that land later are decoded by the next run, and none twice."""
+    import numpy as np
+
+    from lumenframe.sources import codecs
+    from lumenframe.sources.picture import Picture
+
+    landing, out, mark = tmp_path / "landing", str(tmp_path / "out"), str(tmp_path / "mark")
+    landing.mkdir()
+    picture = Picture({c: np.full((3, 4), 0.25, np.float32) for c in "rgb"})
+    run = lambda: tiles.run_available(tiles.images_stream(spark, str(landing), channels=("r",), files_per_batch=1), out, mark)
+    (landing / "a.exr").write_bytes(codecs.encode(picture, "exr"))
+    (landing / "b.png").write_bytes(b"broken")
+    run()
+    (landing / "c.pfm").write_bytes(codecs.encode(picture, "pfm"))
+    run()
+    rows = spark.read.parquet(out).groupBy("path").agg(F.count("px").alias("n"), F.count("error").alias("e"), F.max("r").alias("r")).collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.n, r.e, r.r) for r in rows} == {"a.exr": (12, 0, 0.25), "b.png": (0, 1, None), "c.pfm": (12, 0, 0.25)}
+
+
 def test_event_frames(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     frames = tiles.event_frames(events)
