@@ -261,5 +261,20 @@ def test_topk_awkward(spark):
     assert topk_search.op6_query(df.where("false")).collect() == []
 
 
+def test_cut_lineage_refuses_a_folder_of_one_machine():
+    """Without spark.checkpoint.dir only a single process may choose a folder of its own."""
+    from types import SimpleNamespace
+
+    def frame(master):
+        chosen = []
+        sc = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda _: None), getCheckpointDir=lambda: None, setCheckpointDir=chosen.append)
+        return SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc), checkpoint=lambda: chosen)
+
+    assert len(cut_lineage(frame("local[4]"))) == len(cut_lineage(frame("local"))) == 1
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn", "k8s://x"):
+        with pytest.raises(ValueError):
+            cut_lineage(frame(master))
+
+
 def test_cut_lineage_keeps_rows(spark):
     assert sorted(r.id for r in cut_lineage(spark.range(10)).collect()) == list(range(10))
