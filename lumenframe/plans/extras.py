@@ -336,6 +336,23 @@ def _more_files() -> None:
         ("z", "zback", "a", "r", "g", "b"),
     )
 
+    kinds = ("png", "exr", "dpx", "tiff", "pfm", "hdr", "jpeg", "dds")
+
+    def headers(s, d):
+        made = None
+        for kind in kinds:
+            some = files.encoded(rows(s, d), kind, channels=names)
+            made = some if made is None else made.unionByName(some)
+        return files.described(made).select(F.col("path").cast("bigint").alias("image_id"), "format", "width", "height", F.array_join("channel_names", "").alias("names"))
+
+    table_query(
+        "so_headers",
+        headers,
+        f"SELECT image_id, f AS format, CAST(max(x) + 1 AS INT) AS width, CAST(max(y) + 1 AS INT) AS height, CASE WHEN f = 'dds' THEN 'rgba' ELSE 'rgb' END AS names "
+        f"FROM ({RGBA_SQL}) AS p, (VALUES {', '.join(f'({chr(39)}{k}{chr(39)})' for k in kinds)}) AS v(f) GROUP BY image_id, f",
+        ["image_id", "format", "width", "height", "names"],
+    )
+
     def broken(s, d):
         # Each third file is cut short.
         made = files.encoded(rows(s, d), "png", channels=names)

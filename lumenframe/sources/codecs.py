@@ -479,11 +479,45 @@ def describe(b: bytes, subimage: int = 0) -> tuple[int, int, list[str], dict[str
             return w, h, names_of(jpeg.components(b)), {}
         if name in ("psd", "dds"):
             return textures.describe(b, name)
+        if name in _FOREIGN:
+            return _foreign(b, name)
     except (IndexError, KeyError, struct.error, ValueError) as e:
         raise e if isinstance(e, Unreadable) else Unreadable(f"broken {name} header: {e}") from e
     raise Unreadable(name or "unknown format")
 
 
+#: Formats that are told by their headers only, with their usual channels (vendor raw is one mosaic).
+_FOREIGN = {"webp": 3, "jp2": 3, "heif": 3, "arriraw": 1, "redcode": 1}
+
+
+def _foreign(b: bytes, name: str) -> tuple[int, int, list[str], dict[str, str]]:
+    """Size and model from the headers of formats that aren't decoded here."""
+    model = {}
+    if name == "webp":
+        kind = b[12:16]
+        if len(b) < 25 or (kind != b"VP8L" and len(b) < 30):
+            raise Unreadable("broken webp header")
+        if kind == b"VP8X":
+            w, h = (1 + int.from_bytes(b[i : i + 3], "little") for i in (24, 27))
+        elif kind == b"VP8L":
+            bits = int.from_bytes(b[21:25], "little")
+            w, h = 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        else:
+            w, h = (v & 0x3FFF for v in struct.unpack("<HH", b[26:30]))
+    elif name == "jp2":
+        at = b.index(b"ihdr") + 4
+        h, w = struct.unpack(">II", b[at : at + 8])
+    elif name == "heif":
+        at = b.index(b"ispe") + 8  # behind the version and flags
+        w, h = struct.unpack(">II", b[at : at + 8])
+    else:
+        (w, h), at = (struct.unpack("<II", b[32:40]), 128) if name == "arriraw" else (struct.unpack(">II", b[8:16]), 64)
+        model = {"camera": b[at : at + 32].split(b"\0")[0].decode("latin-1")}
+    if not 0 < w < 1 << 20 or not 0 < h < 1 << 20:
+        raise Unreadable(f"{name} header of {w} by {h} pixels")
+    return w, h, names_of(_FOREIGN[name]), model
+
+
 def size_of(b: bytes) -> tuple[int, int]:
     """(width, height) from the header alone."""
     return describe(b)[:2]

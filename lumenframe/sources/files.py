@@ -47,6 +47,11 @@ def _said(e: BaseException) -> str:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """One row for each image of each file, from its header: format, size, channels, attributes; or the error."""
+    return described(binary(spark, path))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """What the headers of (path, content) rows say."""
 
     def run(batches):
         for p, content in _files(batches):
@@ -60,7 +65,7 @@ def images(spark: SparkSession, path: str) -> DataFrame:
                 rows.append(base | {"subimage": len(rows), "error": _said(e)})
             yield pa.RecordBatch.from_pylist(rows, schema=_IMAGES_ARROW)
 
-    return binary(spark, path).select("path", "content").mapInArrow(run, IMAGES)
+    return files.select("path", "content").mapInArrow(run, IMAGES)
 
 
 _MAP = pa.map_(pa.string(), pa.float64())

@@ -290,6 +290,28 @@ def test_psd_and_dds():
         assert max(np.abs(got.channels[c] - v).max() for c, v in p.channels.items()) < 1 / 254
 
 
+def test_headers_of_formats_that_are_not_decoded():
+    import struct
+
+    made = {
+        "webp": b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + bytes(4) + (639).to_bytes(3, "little") + (479).to_bytes(3, "little"),
+        "webp2": b"RIFF\0\0\0\0WEBPVP8L" + bytes(4) + b"\x2f" + (639 | 479 << 14).to_bytes(4, "little"),
+        "webp3": b"RIFF\0\0\0\0WEBPVP8 " + bytes(4) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 640, 480),
+        "jp2": b"\0\0\0\x0cjP  \r\n\x87\n" + b"\0\0\0\x16ihdr" + struct.pack(">II", 480, 640),
+        "heif": b"\0\0\0\x18ftypheic" + bytes(20) + b"\0\0\0\x14ispe" + bytes(4) + struct.pack(">II", 640, 480),
+        "arriraw": b"ARRI" + bytes(28) + struct.pack("<II", 640, 480) + bytes(88) + b"Camera A".ljust(32, b"\0"),
+        "redcode": b"RED2" + bytes(4) + struct.pack(">II", 640, 480) + bytes(48) + b"Camera B".ljust(32, b"\0"),
+    }
+    for name, b in made.items():
+        assert codecs.probe(b) == name.rstrip("23"), name
+        assert codecs.describe(b)[:2] == (640, 480), name
+        with pytest.raises(Unreadable):
+            codecs.decode(b)
+        with pytest.raises(Unreadable):
+            codecs.describe(b[:20])
+    assert codecs.describe(made["arriraw"])[3] == {"camera": "Camera A"}
+
+
 def test_dds_blocks():
     """A block of each kind against its definition, pixel by pixel."""
     import struct
