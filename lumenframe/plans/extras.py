@@ -353,6 +353,18 @@ def _more_files() -> None:
         ["image_id", "format", "width", "height", "names"],
     )
 
+    def estimates(s, d):
+        told = files.described(files.encoded(rows(s, d).where("px <= image_id"), "png", channels=names))
+        return files.estimated(told, 8000).select(F.col("path").cast("bigint").alias("image_id"), "memory_bytes", "strategy")
+
+    table_query(
+        "so_estimates",
+        estimates,
+        f"SELECT image_id, n AS memory_bytes, CASE WHEN n < 2000 THEN 'whole' WHEN n <= 8000 THEN 'strips' ELSE 'tiles' END AS strategy FROM "
+        f"(SELECT image_id, CAST((max(x) + 1) * (max(y) + 1) * 3 * 4 AS BIGINT) AS n FROM ({RGBA_SQL}) AS p WHERE x <= image_id GROUP BY image_id) AS e0",
+        ["image_id", "memory_bytes", "strategy"],
+    )
+
     def broken(s, d):
         # Each third file is cut short.
         made = files.encoded(rows(s, d), "png", channels=names)

@@ -68,6 +68,17 @@ def described(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, IMAGES)
 
 
+def estimated(images: DataFrame, memory: int) -> DataFrame:
+    """`images` with the bytes that each takes in a worker (four a channel), and how to read it there.
+
+    Under a quarter of `memory` an image is read as a whole; up to all of it in strips; above that in tiles,
+    from a format that has blocks.
+    """
+    size = F.col("width").cast("bigint") * F.col("height") * F.size("channel_names") * 4
+    how = F.when(size < memory // 4, "whole").when(size <= memory, "strips").otherwise("tiles")
+    return images.withColumn("memory_bytes", size).withColumn("strategy", F.when(F.col("error").isNull(), how))
+
+
 _MAP = pa.map_(pa.string(), pa.float64())
 _IMAGES_ARROW = pa.schema([
     ("path", pa.string()), ("subimage", pa.int32()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()),

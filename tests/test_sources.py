@@ -303,7 +303,7 @@ def test_headers_of_formats_that_are_not_decoded():
         "redcode": b"RED2" + bytes(4) + struct.pack(">II", 640, 480) + bytes(48) + b"Camera B".ljust(32, b"\0"),
     }
     for name, b in made.items():
-        assert codecs.probe(b) == name.rstrip("23"), name
+        assert codecs.probe(b) == ("webp" if name.startswith("webp") else name), name
         assert codecs.describe(b)[:2] == (640, 480), name
         with pytest.raises(Unreadable):
             codecs.decode(b)
