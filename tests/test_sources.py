@@ -308,7 +308,7 @@ def test_headers_of_formats_that_are_not_decoded():
         with pytest.raises(Unreadable):
             codecs.decode(b)
         with pytest.raises(Unreadable):
-            codecs.describe(b[:20])
+            codecs.describe(b[:12])
     assert codecs.describe(made["arriraw"])[3] == {"camera": "Camera A"}
 
 
