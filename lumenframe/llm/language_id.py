@@ -71,11 +71,14 @@ class Network:
         s = embedded.strides
         return np.lib.stride_tricks.as_strided(embedded, (n, length - self.widest + 1, self.widest * e), (s[0], s[1], s[2]), writeable=False)
 
-    def pooled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def responses(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the filters see, and how each responds at each place."""
         seen = self.patches(rows)
         n, places, k = seen.shape
-        responses = (seen.reshape(n * places, k) @ self.p["filters"]).reshape(n, places, -1)
-        return seen, responses, responses.max(axis=1) + self.p["bias"]
+        return seen, (seen.reshape(n * places, k) @ self.p["filters"]).reshape(n, places, -1)
+
+    def pooled(self, rows: np.ndarray) -> np.ndarray:
+        return self.responses(rows)[1].max(axis=1) + self.p["bias"]
 
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
@@ -85,24 +88,26 @@ class Network:
     def probabilities(self, rows: np.ndarray, block: int = 256) -> np.ndarray:
         out = np.empty((len(rows), len(self.p["out_bias"])), np.float32)
         for i in range(0, len(rows), block):
-            top = np.maximum(self.pooled(rows[i : i + block])[2], 0)
+            top = np.maximum(self.pooled(rows[i : i + block]), 0)
             out[i : i + block] = self.softmax(top @ self.p["out"] + self.p["out_bias"])
         return out
 
     def gradients(self, rows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        seen, responses, raw = self.pooled(rows)
+        seen, responses = self.responses(rows)
         n = len(rows)
         at = responses.argmax(axis=1)
+        raw = np.take_along_axis(responses, at[:, None], axis=1)[:, 0] + self.p["bias"]
         top = np.maximum(raw, 0)
         d = self.softmax(top @ self.p["out"] + self.p["out_bias"])
         d[np.arange(n), labels] -= 1
         d /= n
         d_top = (d @ self.p["out"].T) * (raw > 0)
         won = seen[np.arange(n)[:, None], at]  # (n, filters, widest x EMBEDDING)
-        d_embed = np.zeros_like(self.p["embed"])
         back = (d_top[:, :, None] * self.p["filters"].T[None]).reshape(n, -1, self.widest, EMBEDDING)
-        for j in range(self.widest):
-            np.add.at(d_embed, rows[np.arange(n)[:, None], at + j], back[:, :, j])
+        # The bytes that each winning place saw, and in which dimension: summed up as one histogram.
+        bytes_seen = rows[np.arange(n)[:, None, None], at[:, :, None] + np.arange(self.widest)].astype(np.int64)
+        cells = bytes_seen[..., None] * EMBEDDING + np.arange(EMBEDDING)
+        d_embed = np.bincount(cells.ravel(), back.ravel(), 256 * EMBEDDING).reshape(256, EMBEDDING).astype(self.p["embed"].dtype)
         d_embed[0] = 0
         return {
             "embed": d_embed,
