@@ -346,8 +346,8 @@ def line_through(points, slope_above: float, inverse: bool = False):
 
 
 def gamma_log(mirror=0.0, break_point=1 / 12, gamma_power=0.5, gamma_slope=math.sqrt(3.0), gamma_offset=0.0, base=math.e, log_slope=0.17883277,
-              log_offset=0.55991073, lin_slope=12.0, lin_offset=-0.28466892):
-    """A power below a break, a logarithm above, mirrored (the defaults are HLG's)."""
+              log_offset=0.55991073, lin_slope=12.0, lin_offset=-0.28466892, inverse=False):
+    """A power below a break, a logarithm above, mirrored (the defaults are HLG's); or back."""
 
     def encode(v):
         t = ex(v) - mirror
@@ -358,15 +358,29 @@ def gamma_log(mirror=0.0, break_point=1 / 12, gamma_power=0.5, gamma_slope=math.
         )
         return when((t < 0.0, -y), y)
 
-    return encode
+    def decode(v):
+        v = ex(v)
+        y = when((v < 0.0, -v), v)
+        e = when(
+            (y < gamma_slope * (break_point + gamma_offset) ** gamma_power, power(y / gamma_slope, 1 / gamma_power) - gamma_offset),
+            (power(float(base), (y - log_offset) / log_slope) - lin_offset) / lin_slope,
+        )
+        return when((v < 0.0, -(e - mirror)), e - mirror) + mirror
 
+    return decode if inverse else encode
 
-def double_log(base=10.0, break1=-0.1, break2=0.1, log1=(-0.3, 0.2, -1.0, 0.5), log2=(0.3, 0.8, 1.0, 0.5), lin=(0.5, 0.5)):
-    """A logarithm, a line, a logarithm; each log is (slope, offset, slope of its argument, offset of its argument)."""
+
+def double_log(base=10.0, break1=-0.1, break2=0.1, log1=(-0.3, 0.2, -1.0, 0.5), log2=(0.3, 0.8, 1.0, 0.5), lin=(0.5, 0.5), inverse=False):
+    """A logarithm, a line, a logarithm; each log is (slope, offset, slope of its argument, offset of its argument); or back."""
 
     def encode(v):
         x = ex(v)
         one = lambda p: ln(greatest(x * p[2] + p[3], 1e-300)) * (p[0] / math.log(base)) + p[1]
         return when((x < break1, one(log1)), (x < break2, x * lin[0] + lin[1]), one(log2))
 
-    return encode
+    def decode(v):
+        y = ex(v)
+        one = lambda p: (power(float(base), (y - p[1]) / p[0]) - p[3]) / p[2]
+        return when((y < break1 * lin[0] + lin[1], one(log1)), (y < break2 * lin[0] + lin[1], (y - lin[1]) / lin[0]), one(log2))
+
+    return decode if inverse else encode

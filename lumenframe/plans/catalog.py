@@ -553,10 +553,7 @@ def _fixed(node: dict):
     if plain == "rec2100surround":
         return ir.Made("surround", (p[0] if p else color.DIM_GAMMA,))
     if plain in ("lintogammalog", "gammalogtolin", "lintodoublelog", "doublelogtolin"):
-        make = curves.gamma_log if "gamma" in plain else curves.double_log
-        if plain.startswith("lin"):
-            return ir.Ready(color.each(make()))
-        raise Missing(style)
+        return ir.Made("logs", ("gamma" if "gamma" in plain else "double", tuple(p)), not plain.startswith("lin"))
     if plain == "acesoutputtransform20":
         # Peak luminance, and the chromaticities of the limiting gamut's primaries and white.
         return _aces2(aces2.output_transform, p)

@@ -106,6 +106,10 @@ TRANSFORMS = {
     "lut3d": "!<Lut3DTransform> {gridSize: 2, interpolation: tetrahedral, values: [0, 0, 0, 0.1, 0, 0.9, 0, 1, 0.1, 0, 0.9, 1, 1, 0.1, 0, 0.9, 0, 1, 1, 0.9, 0.2, 1, 1, 1]}",
     "fixed_hsy": "!<GroupTransform> {children: [!<FixedFunctionTransform> {style: RGB_TO_HSY_LIN}, !<MatrixTransform> {matrix: [1, 0, 0, 0, 0, 0.8, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]}, !<FixedFunctionTransform> {style: HSY_LIN_TO_RGB}]}",
     "fixed_pq": "!<FixedFunctionTransform> {style: LIN_TO_PQ}",
+    "fixed_gamma_log": "!<FixedFunctionTransform> {style: LIN_TO_GAMMA_LOG, params: [0, 0.08333333333333333, 0.5, 1.7320508075688772, 0, 2.718281828459045, 0.17883277, 0.55991073, 12, -0.28466892]}",
+    "fixed_gamma_log_back": "!<FixedFunctionTransform> {style: GAMMA_LOG_TO_LIN}",
+    "fixed_double_log": "!<FixedFunctionTransform> {style: LIN_TO_DOUBLE_LOG, params: [10, 0, 0.5, -0.2, 0.2, -1, 0.3, 0.3, 0.7, 1, 0.4, 0.8, 0.3]}",
+    "fixed_double_log_back": "!<FixedFunctionTransform> {style: DOUBLE_LOG_TO_LIN}",
     "fixed_surround": "!<FixedFunctionTransform> {style: REC2100_SURROUND, params: [1.2]}",
     "exposure_back": "!<ExposureContrastTransform> {style: video, exposure: 0.5, contrast: 1.2, pivot: 0.2, direction: inverse}",
     "exposure_log_back": "!<ExposureContrastTransform> {style: log, exposure: 0.5, contrast: 1.2, pivot: 0.2, direction: inverse}",

@@ -250,11 +250,21 @@ MAKERS = {
     "line": lambda points, slope, back: color.each(curves.line_through(points, slope, back)),
     "tone": lambda preset, back: _tone_mapped(preset, back),
     "matrix4": lambda m, offset, back: _matrix4(np.array(m), np.array(offset), back),
+    "logs": lambda kind, p, back: _logs(kind, p, back),
     "icc_curves": lambda found, back: icc.curves_op(found, back),
     "surround": lambda gamma, back: color.surround(1 / gamma if back else gamma),
 }
 
 
+def _logs(kind: str, p: tuple, back: bool) -> Op:
+    """The curve of a power and a logarithm, or of two logarithms, with the parameters of a configuration (none: the defaults)."""
+    if kind == "gamma":
+        names = ("mirror", "break_point", "gamma_power", "gamma_slope", "gamma_offset", "base", "log_slope", "log_offset", "lin_slope", "lin_offset")
+        return color.each(curves.gamma_log(**dict(zip(names, p, strict=False)), inverse=back))
+    given = {"base": p[0], "break1": p[1], "break2": p[2], "log1": p[3:7], "log2": p[7:11], "lin": p[11:13]} if len(p) == 13 else {}
+    return color.each(curves.double_log(**given, inverse=back))
+
+
 def _basic_tone(kw: dict, back: bool) -> Op:
     if back:
         raise ValueError("tone zones by luma have no inverse")

@@ -113,7 +113,7 @@ def test_dumped_and_loaded_again(spark):
         assert np.allclose(run(spark, chain), run(spark, again), atol=1e-9), name
 
 
-@pytest.mark.parametrize("name", ["matrix4", "exponent_linear", "log_affine", "log_camera", "allocation", "primary_back", "primary_video", "tone_video", "curves", "hue_back", "exposure_back", "exposure_log_back"])
+@pytest.mark.parametrize("name", ["matrix4", "exponent_linear", "log_affine", "log_camera", "allocation", "primary_back", "primary_video", "tone_video", "curves", "hue_back", "exposure_back", "exposure_log_back", "fixed_gamma_log", "fixed_gamma_log_back"])
 def test_transforms_have_inverses(spark, name):
     chain = made(name)
     rows = ROWS * [0.1, 0.1, 0.1, 1] + [0.4, 0.4, 0.4, 0] if name in ("hue_back", "primary_back") else ROWS
