@@ -10,16 +10,16 @@ from .image import Img
 from .sampling import environment_st, mip_level, mip_levels, mip_pyramid
 
 
-#: Copies of a coarse level's texel at most.
-MOST_COPIES = 4096
+#: Levels whose texels stand there once, and copies of a coarser level's texel at most.
+SINGLE_LEVELS, MOST_COPIES = 3, 4096
 
 
 def trilinear(lookups: DataFrame, texture: Img, wrap: str = "periodic") -> DataFrame:
     """Lookups (key, image_id, u, v, level) of a texture: bilinear in the two levels around `level`, blended.
 
     Each lookup names at most eight texels; they meet the pyramid in one equi-join. A level has fewer texels
-    the coarser it is, and each gets more lookups; so its texels stand there in copies, and lookups are
-    dealt among them by their keys. All levels together have no more copies than the finest has texels for each level.
+    the coarser it is, and each gets more lookups; so the texels of levels above SINGLE_LEVELS stand there in copies, and lookups are
+    dealt among them by their keys. Each of those levels has as many copies as level SINGLE_LEVELS has texels, at most.
     """
     w, h, n = texture.roi.width, texture.roi.height, mip_levels(texture.roi.width, texture.roi.height)
     low = F.least(F.floor("level"), F.lit(n - 1)).cast("int")
@@ -38,7 +38,7 @@ def trilinear(lookups: DataFrame, texture: Img, wrap: str = "periodic") -> DataF
         for dy in (0, 1) for dx in (0, 1)
     ])
     rows = at.select("key", "image_id", F.col("l").alias("level"), F.explode(taps).alias("t")).select("key", "image_id", "level", "t.x", "t.y", "t.w")
-    copies = F.least(F.expr("shiftleft(1, 2 * level)"), F.lit(MOST_COPIES))
+    copies = F.least(F.expr(f"shiftleft(1, 2 * greatest(level - {SINGLE_LEVELS}, 0))"), F.lit(MOST_COPIES))
     dealt = rows.withColumn("copy", F.pmod(F.xxhash64("key"), copies).cast("int"))
     texels = mip_pyramid(texture).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     found = dealt.join(texels, ["image_id", "level", "y", "x", "copy"], "left")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions import color, curves, gamut, transfer
+from ..functions import color, curves, gamut, sql, transfer
 from ..functions.expr import Op, ex, least
-from .base import pixel_query
+from .base import K, RGBA_SQL, pixel_query, rgba, table_query
 
 ALL = ("r", "g", "b", "a")
 
@@ -152,3 +152,21 @@ def _color_queries() -> None:
 
 _transfer_queries()
 _color_queries()
+
+
+def _sql_functions() -> None:
+    """Functions called from SQL text."""
+    hsv = color.rgb_to_hsv()
+    names = {"code": transfer.CURVES["acescct"][0](ex("g")), "light": transfer.CURVES["slog3"][1](ex("b"))}
+
+    def called(s, d):
+        sql.register(s, ("acescct_encode", "slog3_decode", "rgb_to_hsv"))
+        told = "SELECT image_id, y, x, acescct_encode(g) AS code, slog3_decode(b) AS light, rgb_to_hsv(r, g, b) AS hsv FROM {pixels}"
+        return s.sql(told, pixels=rgba(s, d).df).select(*K, "code", "light", "hsv.r", "hsv.g", "hsv.b")
+
+    both = f"SELECT h.image_id, h.y, h.x, {', '.join(f'{v.sql} AS {k}' for k, v in names.items())} FROM ({RGBA_SQL}) AS h"
+    turned = hsv.sql(RGBA_SQL, K)
+    table_query("sql_functions", called, f"SELECT c.*, t.r, t.g, t.b FROM ({both}) AS c JOIN ({turned}) AS t USING (image_id, y, x)", K, ("code", "light", "r", "g", "b"))
+
+
+_sql_functions()

@@ -41,6 +41,15 @@ def test_curves_round_trip(spark, name):
     assert np.allclose(column(spark, light, lambda v: decode(encode(v))), light, rtol=3e-3, atol=1e-5)
 
 
+def test_sql_functions(spark):
+    from lumenframe.functions import sql
+
+    names = sql.register(spark, prefix="lf_")
+    assert {"lf_srgb_encode", "lf_pq_decode", "lf_rgb_to_hsv"} <= set(names) and len(names) == 2 * len(transfer.CURVES) + len(sql.OPERATIONS)
+    row = spark.sql("SELECT lf_srgb_decode(0.5) AS v, lf_hsv_to_rgb(lf_rgb_to_hsv(0.2, 0.5, 0.9).r, lf_rgb_to_hsv(0.2, 0.5, 0.9).g, 0.9) AS c").first()
+    assert row.v == pytest.approx(((0.5 + 0.055) / 1.055) ** 2.4) and (row.c.r, row.c.g, row.c.b) == pytest.approx((0.2, 0.5, 0.9))
+
+
 def test_published_code_values(spark):
     assert np.allclose(column(spark, [0.0, 0.0078125], lambda v: transfer.encode("acescct", v)), [0.0729055, 0.15525114], atol=1e-6)
     assert np.allclose(column(spark, [0.18], lambda v: transfer.encode("slog3", v)), [420 / 1023], atol=1e-6)
