@@ -23,8 +23,8 @@ from .common import SPACES
 WORDS, SIZE = 5, 128
 #: Rows of a chunk of neighbouring documents, about; chunks at most; and sampled places for each chunk's bound.
 CHUNK_ROWS, MOST_CHUNKS, EACH = 512, 1 << 16, 16
-#: Chunks of a partition, on average, and partitions at most.
-PARTITION_CHUNKS, MOST_PARTITIONS = 2, 1 << 15
+#: Chunks of a partition, on average (and partitions of a small table), and partitions at most.
+PARTITION_CHUNKS, MOST_PARTITIONS = 8, 1 << 15
 
 
 def word_hashes(text: Column) -> Column:
@@ -77,6 +77,21 @@ def containment(a: Column, b: Column, k: int = SIZE) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), share))
 
 
+def with_comparison(df: DataFrame, a: str, b: str, near: str, share: str | None = None, k: int = SIZE) -> DataFrame:
+    """`df` with the resemblance of the sketches `a` and `b` in column `near` and, if asked, the containment of `a` in `b` in `share`.
+
+    The same as `resemblance` and `containment`, but the sketch of both stands in a column of its own, so
+    it is made once and the generated code stays small enough to be compiled.
+    """
+    held = df.withColumn("__both", merged(F.col(a), F.col(b), k))
+    size, common = F.size("__both"), F.size(F.array_intersect(F.col("__both"), F.array_intersect(a, b)))
+    out = held.withColumn(near, F.when(size == 0, F.lit(1.0)).otherwise(common / size))
+    if share:
+        part = F.col(near) * distinct_shingles(F.col("__both"), k) / distinct_shingles(F.col(a), k)
+        out = out.withColumn(share, F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), part)))
+    return out.drop("__both")
+
+
 def merge_parts(df: DataFrame, keys: list[str], sketch: str, k: int = SIZE) -> DataFrame:
     """One merged sketch for each group of `keys`, however many rows a group has.
 
@@ -118,7 +133,7 @@ def in_chunks(docs: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
     the windows over them spill to disk. Partitions grow in number with the table, not in size, up to MOST_PARTITIONS.
     """
     n = docs.count()
-    partitions = max(1, min(MOST_PARTITIONS, n // (rows * PARTITION_CHUNKS)))
+    partitions = max(1, min(MOST_PARTITIONS, max(n // (rows * PARTITION_CHUNKS), min(PARTITION_CHUNKS, n // rows))))
     chunks = max(1, min(MOST_CHUNKS, n // rows))
     bounds = sorted(set(_bounds(docs, chunks, n))) if chunks > 1 else []
     wide = max(1, math.isqrt(len(bounds)))
@@ -185,14 +200,15 @@ def as_text(sketch: Column) -> Column:
 
 def op1_query(docs: DataFrame) -> DataFrame:
     out = fingerprinted(docs.select("doc_id", "text"))
+    out = with_comparison(with_comparison(out, "edited_sketch", "sketch", "near_edited", "edited_containment"), "sketch", "next_sketch", "near_next")
     return out.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "near_edited",
+        "near_next",
         distinct_shingles(F.col("sketch")).alias("distinct_shingles"),
-        containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_containment"),
+        "edited_containment",
     )

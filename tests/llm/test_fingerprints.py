@@ -87,6 +87,16 @@ def test_merge_is_the_sketch_of_the_whole(spark):
         assert merged[g] == sorted({h for p in parts for h in p})[:64]
 
 
+def test_comparison_in_columns_is_that_of_the_expressions(spark):
+    texts = ["", " ".join(f"v{i}" for i in range(900)), " ".join(f"v{i}" for i in range(300, 1500)), "a b c", " ".join(f"v{i}" for i in range(40))]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "p string, q string")
+    df = fp.with_sketch(fp.with_sketch(df, F.col("p"), "x"), F.col("q"), "y")
+    rows = fp.with_comparison(df, "x", "y", "near", "share").select(
+        "near", "share", fp.resemblance(F.col("x"), F.col("y")).alias("r"), fp.containment(F.col("x"), F.col("y")).alias("c")
+    ).collect()
+    assert len(rows) == 25 and all(r.near == r.r and r.share == r.c for r in rows)
+
+
 def test_distinct_count_and_containment(spark):
     text = " ".join(f"u{i}" for i in range(3000))
     part = " ".join(f"u{i}" for i in range(1500))
