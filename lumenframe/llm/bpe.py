@@ -1,8 +1,8 @@
 """Byte-level BPE with content-defined chunk reuse.
 
 Texts are cut into chunks where a rolling hash of the last 16 bytes says so, so
-equal passages in different documents give equal chunks. A Python worker encodes each
-distinct chunk once, for all the documents of its tasks, and keeps the result in a bounded cache (a chunk that has
+equal passages in different documents give equal chunks. A task encodes each
+distinct chunk once and keeps the result in a bounded cache (a chunk that has
 left the cache is encoded again: the bound costs time, never exactness).
 
 Chunks are then joined. Text breaks between a visible ASCII character and a space or
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from bisect import bisect_left
 from collections import OrderedDict
 from itertools import accumulate
@@ -62,7 +63,7 @@ class Chunk:
     __slots__ = ("first", "ids", "last", "second")
 
     def __init__(self, ids: list[int], first=None, second=None, last=None):
-        self.ids = ids
+        self.ids = array("i", ids)
         #: All of them or none.
         self.first, self.second, self.last = (first, second, last) if first and second and last else (None, None, None)
 
@@ -138,7 +139,7 @@ class Codec:
         """The tokens of a text without special tokens."""
         cuts = self.cuts(text)
         if len(cuts) == 1:
-            return self.chunk(text).ids
+            return self.chunk(text).ids.tolist()
         out: list[int] = []
         open_, begin = None, 0
         for end in cuts:
@@ -149,7 +150,7 @@ class Codec:
                     out += c.ids[: c.last[1]]
                     open_ = begin + c.last[0]
                 else:
-                    again, both = self.plain(text[open_ : begin + c.second[0]]), c.ids[c.first[1] : c.second[1]]
+                    again, both = self.plain(text[open_ : begin + c.second[0]]), c.ids[c.first[1] : c.second[1]].tolist()
                     if again[-len(both) :] == both:
                         out += again
                         out += c.ids[c.second[1] : c.last[1]]
@@ -184,6 +185,7 @@ _KEPT: dict[bytes, Codec] = {}
 
 
 def kept_codec(file: bytes) -> Codec:
+    """The codec of a file, without chunks: idle workers hold its tables only."""
     key = hashlib.sha256(file).digest()
     if key not in _KEPT:
         _KEPT.clear()
@@ -191,6 +193,11 @@ def kept_codec(file: bytes) -> Codec:
     return _KEPT[key]
 
 
+def forget_chunks(codec: Codec) -> None:
+    codec.cache.clear()
+    codec.held = 0
+
+
 #: What `coded` can return for each text.
 OUTPUTS = {
     "ids": ("array<int>", pa.list_(pa.int32()), lambda codec, ids: ids),
@@ -210,15 +217,18 @@ def coded(docs: DataFrame, file: str, want: tuple[str, ...] = ("ids", "decoded")
 
     def run(batches):
         codec = kept_codec(held.value)
-        for batch in slices(batches):
-            texts, out = batch.column("text"), [[] for _ in want]
-            for t in texts:
-                ids = codec.encode(t.as_py() or "")
-                for column, (_, _, f) in zip(out, outputs, strict=True):
-                    column.append(f(codec, ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, o[1]) for c, o in zip(out, outputs, strict=True))], names
-            )
+        try:
+            for batch in slices(batches):
+                texts, out = batch.column("text"), [[] for _ in want]
+                for t in texts:
+                    ids = codec.encode(t.as_py() or "")
+                    for column, (_, _, f) in zip(out, outputs, strict=True):
+                        column.append(f(codec, ids))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *(pa.array(c, o[1]) for c, o in zip(out, outputs, strict=True))], names
+                )
+        finally:
+            forget_chunks(codec)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{name} {o[0]}" for name, o in zip(want, outputs, strict=True))])
