@@ -39,6 +39,8 @@ from .common import cut_lineage, slices
 
 WORDS, SEED, RADIUS = 4, 42, 4
 CROWD = 1000
+#: Rows of links that a stored file holds, about.
+ROWS_OF_A_FILE = 20_000
 #: A fingerprint that over one in HEAVY rows have is joined by a broadcast; fewer than HEAVY fingerprints can be.
 HEAVY = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -163,12 +165,16 @@ def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of `pairs` (a, b) reaches.
 
     Alternates large-star and small-star steps until the links no longer change;
-    links never grow in number, and rounds grow with the logarithm of a path.
+    links never grow in number, and rounds grow with the logarithm of a path. What is stored between steps stands in as
+    many files as its rows need.
     """
 
+    def stored(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.coalesce(8 + 2 * seen[0] // ROWS_OF_A_FILE))
+
     def smallest(df: DataFrame) -> DataFrame:
         # Stored, so that the join that follows has two plain sides and can be split where a node has very many links.
-        return cut_lineage(df.groupBy("a").agg(F.min("b").alias("m")))
+        return stored(df.groupBy("a").agg(F.min("b").alias("m")))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -178,9 +184,9 @@ def components(pairs: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = smallest(both).select("a", F.least("a", "m").alias("m"))
-        large = cut_lineage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         small = large.join(smallest(large), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(small.where("a <> b").distinct())
+        now = stored(small.where("a <> b").distinct())
         before, seen = seen, state(now)
         if seen == before:
             break
