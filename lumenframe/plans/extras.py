@@ -61,9 +61,10 @@ def _frequency() -> None:
     whole = lambda s, d: frequency.fft(gray(s, d)).df.groupBy("image_id").agg(F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("energy"))
     # The transform keeps energy (a last image with missing rows counts as padded with zeros).
     table_query("fft_energy", whole, f"SELECT image_id, sum(v * v) AS energy FROM ({GRAY_SQL}) AS g0 GROUP BY image_id", ["image_id"], ("energy",))
-    back = lambda s, d: frequency.ifft(frequency.fft(gray(s, d))).df
+    back = lambda s, d: frequency.ifft(frequency.fft(gray(s, d), marked=True)).df
     table_query("fft_inverse", back, GRAY_SQL, K, ("v",))
-    circle = lambda s, d: frequency.fft(gray(s, d)).apply(frequency.to_polar()).apply(frequency.to_complex())
+    known = frequency.KNOWN
+    circle = lambda s, d: frequency.fft(gray(s, d), marked=True).apply(frequency.to_polar(known)).apply(frequency.to_complex(known))
     table_query("fft_polar_inverse", lambda s, d: frequency.ifft(circle(s, d)).df, GRAY_SQL, K, ("v",))
 
 

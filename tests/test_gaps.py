@@ -12,6 +12,8 @@ WINDOWS = ["fi_gauss", "fi_median", "fi_sobel", "fi_bilateral", "fi_emboss", "fi
            "fi_box", "fi_open", "st_fix_box3", "de_bilinear"]
 #: Queries whose rows come from tiles.
 TILES = ["fi_gauss_tiles", "fi_median_tiles", "de_vng_sites", "de_ahd_sites"]
+#: Queries whose rows come from Fourier transforms.
+TRANSFORMS = ["fft_convolve", "fft_inverse", "fft_polar_inverse", "fft_forward", "fft_energy"]
 
 
 @pytest.fixture(scope="module", params=["vec_id < 120", "vec_id < 151", "vec_id < 120 AND vec_id NOT IN (10, 11, 25, 49)"])
@@ -71,3 +73,8 @@ def test_demosaic_beside_gaps(spark, method):
     # The colours are smooth; beside a gap an estimate may use neighbours of one side only.
     inner = [np.abs(np.array(rgb) - true(*at)).max() for at, rgb in made[64].items() if 3 <= at[1] <= 10 and at[0] in (6, 7, 8)]
     assert max(inner) < 0.2
+
+
+@pytest.mark.parametrize("name", TRANSFORMS)
+def test_transforms(spark, lacking, name):
+    same_rows(spark, lacking, name)
