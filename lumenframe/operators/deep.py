@@ -89,10 +89,10 @@ def tidied(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("samples", merge_overlaps(F.array_sort("samples"))).withColumn("samples", culled(F.col("samples")))
 
 
-def merged(a: DataFrame, b: DataFrame, keys=("y", "x")) -> DataFrame:
-    """Samples of both at each pixel, in order, overlaps merged."""
-    both = a.unionByName(b)
-    return gathered(both, keys).withColumn("samples", merge_overlaps(F.col("samples")))
+def merged(a: DataFrame, b: DataFrame, keys=("y", "x"), overlaps: bool = True) -> DataFrame:
+    """Samples of both at each pixel, in order; those at the same depth range become one, or all stay (`overlaps` false)."""
+    both = gathered(a.unionByName(b), keys)
+    return both.withColumn("samples", merge_overlaps(F.col("samples"))) if overlaps else both
 
 
 def holdout(pixels: DataFrame, z: float) -> DataFrame:
