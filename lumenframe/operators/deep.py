@@ -16,7 +16,7 @@ OPAQUE, SAME = 0.9999, 1e-6
 
 def gathered(samples: DataFrame, keys=("y", "x")) -> DataFrame:
     """One row for each pixel: its samples in order of depth (ties by the other fields)."""
-    return samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("samples"))
+    return samples.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("samples"))
 
 
 def exploded(pixels: DataFrame, keys=("y", "x")) -> DataFrame:
@@ -39,13 +39,26 @@ def flattened(samples: Column) -> Column:
     return F.aggregate(samples, zero, step)
 
 
+def _bound(value: Column, f) -> Column:
+    """`f` of a value that is computed once for a row, however often `f` names it (a lambda would compute it at each element)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _if_several(samples: Column, f) -> Column:
+    """`f(samples)`, but pixels of one sample or none, which most are, stay as they are."""
+    return _bound(samples, lambda s: F.when(F.size(s) <= 1, s).otherwise(f(s)))
+
+
 def merge_overlaps(samples: Column) -> Column:
     """Neighbours at the same depth range become one: alphas combine, colours are weighted by them.
 
     Samples get the number of their run, and each run is folded by itself, so a
     pixel's work grows with its samples, not with their square.
     """
+    return _if_several(samples, _merged_runs)
 
+
+def _merged_runs(samples: Column) -> Column:
     def apart(i):
         a, b = F.get(samples, i - 1), F.get(samples, i)
         return (F.abs(a["z"] - b["z"]) >= SAME) | (F.abs(a["zback"] - b["zback"]) >= SAME)
@@ -57,15 +70,18 @@ def merge_overlaps(samples: Column) -> Column:
         return _sample(z=last["z"], zback=last["zback"], a=a, r=mix("r"), g=mix("g"), b=mix("b"))
 
     n = F.size(samples)
-    # Where runs begin; a pixel without samples has none.
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | apart(i)))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | apart(i))
+
+    def runs(starts):
+        def run(begin, k):
+            end = F.coalesce(F.get(starts, k + 1), n)
+            rest = F.slice(samples, begin + 2, end - begin - 1)
+            return F.aggregate(rest, F.get(samples, begin), step)
 
-    def run(begin, k):
-        end = F.coalesce(F.get(starts, k + 1), n)
-        rest = F.slice(samples, begin + 2, F.greatest(end - begin - 1, F.lit(0)))
-        return F.aggregate(rest, F.get(samples, begin), step)
+        # Where every sample begins a run, all stay.
+        return F.when(F.size(starts) == n, samples).otherwise(F.transform(starts, run))
 
-    return F.transform(starts, run)
+    return _bound(starts, runs)
 
 
 def opaque_z(samples: Column) -> Column:
@@ -81,12 +97,13 @@ def opaque_z(samples: Column) -> Column:
 
 def culled(samples: Column) -> Column:
     """Without what lies behind the opaque depth."""
-    limit = opaque_z(samples)
-    return F.filter(samples, lambda s: limit.isNull() | (s["z"] <= limit))
+    return _if_several(
+        samples, lambda every: _bound(opaque_z(every), lambda limit: F.when(limit.isNull(), every).otherwise(F.filter(every, lambda s: s["z"] <= limit)))
+    )
 
 
 def tidied(pixels: DataFrame) -> DataFrame:
-    return pixels.withColumn("samples", merge_overlaps(F.array_sort("samples"))).withColumn("samples", culled(F.col("samples")))
+    return pixels.withColumn("samples", merge_overlaps(F.sort_array("samples"))).withColumn("samples", culled(F.col("samples")))
 
 
 def merged(a: DataFrame, b: DataFrame, keys=("y", "x"), overlaps: bool = True) -> DataFrame:

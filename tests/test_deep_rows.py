@@ -31,3 +31,38 @@ def test_samples_that_meet(spark, close, name):
 def test_overlaps_merge_by_default(spark):
     one = spark.createDataFrame([(0, 0, 0.5, 0.5, 0.5, 1.0, 0.0, 0.0)], "y int, x int, z double, zback double, a double, r double, g double, b double")
     assert deep.exploded(deep.merged(one, one)).count() == 1 and deep.exploded(deep.merged(one, one, overlaps=False)).count() == 2
+
+
+def crowded(spark, n=200):
+    rows = [(k % 3, 0, (i * 7 % (n // 4)) / 10, (i * 7 % (n // 4)) / 10, 0.02 + (i * k) % 5 / 1000, (i % 9) / 9, (i % 7) / 7, 0.25) for k in range(3) for i in range(n if k else 1)]
+    return deep.gathered(spark.createDataFrame(rows, "y int, x int, z double, zback double, a double, r double, g double, b double"))
+
+
+def test_crowded_pixels(spark):
+    """Sorting, merging and culling as by hand, on pixels of one sample and of many."""
+    pixels = crowded(spark)
+    want = {}
+    for p in pixels.collect():
+        runs = []
+        for s in sorted(tuple(v) for v in p.samples):
+            if runs and runs[-1][0] == s[0]:
+                m, a = runs[-1], runs[-1][2] + s[2] * (1 - runs[-1][2])
+                runs[-1] = (*m[:2], a, *[(m[c] * m[2] + s[c] * s[2] * (1 - m[2])) / a for c in (3, 4, 5)])
+            else:
+                runs.append(s)
+        total, kept = 0.0, []
+        for s in runs:
+            if total < deep.OPAQUE:
+                kept.append(s)
+            total += s[2] * (1 - total)
+        want[p.y] = kept
+    got = {p.y: [tuple(v) for v in p.samples] for p in deep.tidied(pixels).collect()}
+    assert got.keys() == want.keys()
+    for y in want:
+        assert len(got[y]) == len(want[y]) and all(g == pytest.approx(w) for g, w in zip(got[y], want[y], strict=True))
+
+
+def test_values_are_computed_once_for_a_pixel(spark):
+    """Neither the sorting nor the opaque depth of a pixel stands inside a step over its samples."""
+    plan = deep.tidied(crowded(spark, 4)).select("y", "samples")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sort_array(samples") + plan.count("array_sort(samples") == 1
